@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attestry.llm.line_dedup import line_dedup, lines_of
 from attestry.llm.ngram_join import ngram_join
+from attestry.llm.quality import quality_rules
 from attestry.llm.substring_dedup import substring_dedup
 
 
@@ -14,6 +17,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = line_dedup(docs.withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long")))
+    lost = F.aggregate(F.transform("_bitmap", lambda x, i: F.when(i % 2 == 1, x).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(lost, F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
@@ -23,8 +43,27 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        with l as (
+            select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos
+            from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
+        ), k as (
+            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from l
+        ), c as (
+            select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+        ), m as (
+            select doc_id, line, pos, coalesce(doc_id < keeper, false) as lost from k left join c using (key)
+        )
+        select doc_id, count(*)::bigint as n_lines, (count(*) filter (where lost))::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
+        from m group by doc_id""",
+}
