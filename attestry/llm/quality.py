@@ -36,7 +36,7 @@ RULES = (
     Rule("alphabetic", "alpha_words_ratio", 0.6, None),
     Rule("capitals", "upper_ratio", None, 0.4),
     Rule("exclamations", "exclamations_per_word", None, 0.4),
-    Rule("duplicate_lines", "dup_lines_ratio", None, 0.3, 40),
+    Rule("duplicate_lines", "dup_lines_ratio", None, 0.5),
     Rule("stop_words", "stop_words_ratio", 0.01, None, 80),
     Rule("words_variety", "distinct_words_ratio", 0.05, None),
 )

@@ -59,16 +59,33 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def combine(first: np.ndarray, second: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Combines equal (first, second) rows of a chunk before they are dealt out: returns new firsts and weights.
+
+    The first row of several equal ones stands for them with weight 2. The others are repeats for certain; they get
+    weight 0 and a ``first`` of their own, so they are spread evenly and pass through. A word, line or passage that
+    fills a third of the documents so sends a few rows of each chunk to its task.
+    """
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    many = np.diff(np.append(np.flatnonzero(new), len(order)))
+    weight = np.zeros(len(order), dtype=np.int64)
+    weight[order[new]] = np.minimum(many, 2)
+    own = textscan.mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    return np.where(weight == 0, own, first), weight
+
+
 def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, context, key, place) sorted by anchor and context: returns repeated edges (branch false) and one
-    edge of each context of an anchor that has several (branch true). Keeps one row between batches."""
+    """Rows (anchor, context, key, place * 4 + weight) sorted by anchor and context: returns repeated edges (branch
+    false) and one edge of each context of an anchor that has several (branch true). Keeps one row between batches."""
     names = ["key", "place", "branch"]
     tail = None
     for batch in batches:
         if not batch.num_rows:
             continue
         a, c, key, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        weight = np.ones(len(a), dtype=np.int64)
+        weight, place = place & 3, place >> 2
         told, asked, prior = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
         if tail is not None:
             a, c, key, place, weight, told, asked, prior = (
@@ -85,7 +102,7 @@ def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = (np.bincount(node) > 1)[node]
         if prior[0]:
             several |= node == 0
-        span = (total[run] > 1) & ~told
+        span = ((total[run] > 1) | (weight == 0)) & ~told
         ask = several & ~asked[begin]
         rows = np.flatnonzero(span)
         reps = begin[ask]
@@ -98,25 +115,25 @@ def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=names,
         )
         b, r = begin[-1], len(begin) - 1
-        tail = (a[b], c[b], key[b], place[b], min(int(total[r]), 2), bool(total[r] > 1), bool(several[r]), bool(several[r]))
+        tail = (a[b], c[b], key[b], place[b], min(int(total[r]), 2), bool(total[r] != 1), bool(several[r]), bool(several[r]))
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (window, key, place) sorted by window: returns those whose window occurs again. Keeps one row."""
+    """Rows (window, key, place * 4 + weight) sorted by window: returns those whose window occurs again. Keeps one row."""
     tail = None
     for batch in batches:
         if not batch.num_rows:
             continue
         w, key, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        told = np.zeros(len(w), dtype=bool)
+        weight, place, told = place & 3, place >> 2, np.zeros(len(w), dtype=bool)
         if tail is not None:
-            w, key, place, told = (np.concatenate(([x], y)) for x, y in zip(tail, (w, key, place, told), strict=True))
+            w, key, place, weight, told = (np.concatenate(([x], y)) for x, y in zip(tail, (w, key, place, weight, told), strict=True))
         same = np.zeros(len(w) + 1, dtype=bool)
         same[1:-1] = w[1:] == w[:-1]
-        again = same[1:] | same[:-1] | told
+        again = same[1:] | same[:-1] | (weight != 1) | told
         rows = np.flatnonzero(again & ~told)
         yield pa.RecordBatch.from_arrays([_long(key[rows]), _long(place[rows])], names=["key", "place"])
-        tail = (w[-1], key[-1], place[-1], bool(again[-1]))
+        tail = (w[-1], key[-1], place[-1], int(weight[-1]), bool(again[-1]))
 
 
 def remove_spans(text: str | None, spans: np.ndarray | None, window: int) -> tuple[int, list[str]]:
@@ -144,8 +161,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for anchor, context, doc, start, count in anchored_edges(batch.column(1).to_pylist(), window, k):
+                place = start * 256 + count
+                anchor, weight = combine(anchor, context, keys[doc], place)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(anchor), _long(context), _long(keys[doc]), _long(start * 256 + count)], names=["anchor", "context", "key", "place"]
+                    [_long(anchor), _long(context), _long(keys[doc]), _long(place * 4 + weight)], names=["anchor", "context", "key", "place"]
                 )
 
     dealt = (
@@ -168,8 +187,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 start, count = own >> 8, own & 255
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at, doc = np.repeat(start, count) + step, np.repeat(doc, count)
+                found, place = hashes[words.first[doc] + at], at * 256 + 1
+                found, weight = combine(found, found, keys[part][doc], place)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(hashes[words.first[doc] + at]), _long(keys[part][doc]), _long(at * 256 + 1)], names=["window", "key", "place"]
+                    [_long(found), _long(keys[part][doc]), _long(place * 4 + weight)], names=["window", "key", "place"]
                 )
 
     asked = found.where("branch").distinct().groupBy("key").agg(F.collect_list("place").alias("places"))
