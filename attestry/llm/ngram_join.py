@@ -233,15 +233,8 @@ def _link(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         yield links()
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100), block: int = BLOCK) -> DataFrame:
-    """Components of the documents linked by den * intersection >= num * union of their n-word shingle sets.
-
-    Returns one row per input row: the id, n_shingles and component_id, the least id reachable by links, itself
-    included. A text with fewer than n words has its whole word sequence as one shingle. A null text, or one without
-    words, has an empty set and is linked with nothing. Rows that repeat an id with another text are vertices of their
-    own. A null id is never a component's least one unless all ids of the component are null. Other columns are
-    ignored, whatever their names. Sets are compared by 64-bit shingle hashes.
-    """
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: tuple[int, int], block: int) -> DataFrame:
+    """Rows (doc, key, size, root, least) for ngram_join(): root names the component, null for an empty set."""
     num, den = threshold
     if num > den or 10 * num < 7 * den:
         raise ValueError("the threshold must lie between 0.7 and 1")
@@ -342,8 +335,32 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .mapInArrow(lambda batches: _link(batches, num, den), "a binary, b binary")
     )
     joined = components(linked).select(F.col("v").alias("vertex"), "root")
-    table = table.select("doc", "size", "vertex").join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    table = table.select("doc", "key", "size", "vertex").join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = table.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-    return table.join(least, "root", "left").select(
-        F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id")
-    )
+    return table.join(least, "root", "left").select("doc", "key", "size", "root", F.coalesce("least", "doc").alias("least"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100), block: int = BLOCK) -> DataFrame:
+    """Components of the documents linked by den * intersection >= num * union of their n-word shingle sets.
+
+    Returns one row per input row: the id, n_shingles and component_id, the least id reachable by links, itself
+    included. A text with fewer than n words has its whole word sequence as one shingle. A null text, or one without
+    words, has an empty set and is linked with nothing. Rows that repeat an id with another text are vertices of their
+    own. A null id is never a component's least one unless all ids of the component are null. Other columns are
+    ignored, whatever their names. Sets are compared by 64-bit shingle hashes.
+    """
+    found = linked_rows(docs, id_col, text_col, n, threshold, block)
+    return found.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each component: the one of the least id (a null id comes last), and of rows that
+    repeat an id the one of the least key. Rows with equal id and text are one document. Texts without words all stay.
+    A column ``_key`` is refused; all others may be there."""
+    if "_key" in docs.columns:
+        raise ValueError("docs has a column _key")
+    found = materialise(linked_rows(docs, id_col, text_col, n, threshold, block).select("doc", "key", "root"))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "key")).alias("first"))
+    keys = first.select(F.col("first.key").alias("_key")).unionByName(found.where("root is null").select(F.col("key").alias("_key")))
+    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keys.distinct().hint("shuffle_hash"), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

@@ -153,6 +153,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     own = [c for c in docs.columns if c not in {*added, *helpers, "base_failed", "kept", "failed_rules"} or c == text_col]
     held = F.struct(*[F.col(c) for c in docs.columns])
     measured = measures(docs.select(held.alias("_row"), F.col(text_col).alias("_text")), "_text")
+    # a generator of one row: filters on the verdict don't move below it, where they'd repeat every measure
+    own_measures = F.struct(*[F.col(c) for c in (*added, *helpers)])
+    measured = measured.select("_row", F.explode(F.array(own_measures)).alias("_m")).select("_row", "_m.*")
     checks = compile_rules(rules)
     failed = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -12,8 +12,10 @@ from attestry.llm import toxicity
 from attestry.llm.fingerprint import edited_fingerprints
 from attestry.llm.langid import fit, identify
 from attestry.llm.line_dedup import line_dedup, lines_of
+from attestry.llm.mixing import mixing_rates
 from attestry.llm.ngram_join import ngram_join
 from attestry.llm.packing import pack
+from attestry.llm.pii import pseudonymise
 from attestry.llm.quality import quality_rules
 from attestry.llm.substring_dedup import substring_dedup
 
@@ -27,10 +29,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Stands for a key that a real run takes from its secret store.
+PII_KEY = b"a key for tests and checks only"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir), PII_KEY)
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir)).drop("next_fingerprint")
 
 
+#: Shares of the tokens that the domains of the labelled table shall have.
+MIX = {"good": 0.86, "low": 0.07, "toxic": 0.07}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table with a domain: toxic, else low quality, else good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return mixing_rates(docs, domain_labels(spark, sf_dir), MIX)[0]
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = line_dedup(docs.withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long")))
@@ -72,7 +98,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
