@@ -1,0 +1,38 @@
+"""The driver's tables seen as the engine's model: conversations as an export with branching trees, and so on."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestry.functions.identity import record_id, sha256
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SOURCE = "chatgpt:driver"
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversation, node, parent, position, role, text, pointer, record_id. The tree has two interleaved chains: the
+    parent of turn 1 is 0, that of a later turn t is t - 2."""
+    t = table(spark, sf_dir, "conversations")
+    parent = F.when(F.col("turn") == 0, F.lit(None)).when(F.col("turn") == 1, F.lit(0)).otherwise(F.col("turn") - 2)
+    pointer = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit("/mapping/"), F.col("turn").cast("string"), F.lit("/message"))
+    return t.select(
+        F.col("conv_id").alias("conversation"), F.col("turn").alias("node"), parent.cast("long").alias("parent"), F.col("turn").alias("position"), "role", "text", pointer.alias("pointer")
+    ).withColumn("record_id", record_id("message", F.lit(SOURCE), F.col("pointer")))
+
+
+def export_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two exports: the later one has some texts changed, some last turns gone and some turns new."""
+    m = messages(spark, sf_dir).select("conversation", "node", "parent", "text")
+    last = m.groupBy("conversation").agg(F.max("node").alias("last"))
+    before = m.select("conversation", "node", "parent", sha256(F.col("text")).alias("message_sha"), F.coalesce(F.col("parent").cast("string"), F.lit("-")).alias("context_sha"))
+    changed = F.when((F.col("conversation") * 31 + F.col("node")) % 17 == 0, F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))
+    stay = m.join(last, "conversation").where("not (conversation % 10 = 0 and node = last)").select("conversation", "node", "parent", changed.alias("text"))
+    more = last.where("conversation % 7 = 0").select("conversation", (F.col("last") + 1).alias("node"), F.col("last").alias("parent"), F.lit("a new turn").alias("text"))
+    after = stay.unionByName(more).select("conversation", "node", "parent", sha256(F.col("text")).alias("message_sha"), F.coalesce(F.col("parent").cast("string"), F.lit("-")).alias("context_sha"))
+    return before, after
