@@ -1,0 +1,178 @@
+"""Markdown documents: visible lines, tokens, entries, source blocks, references, audit.
+
+Only the scan of one document's lines is Python (protected blocks are a state that lines carry on); everything after is
+DataFrame operations over tokens, by document.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from attestry.functions.text import DATA_URI, link_targets, long_words, slug
+
+ENTRY = r"^(E\d{4,})\s*(?:[—–:-]|\s)\s*(.+)$"
+SOURCE_ANCHOR = r"(?i)^(?:src-|cor\d)[A-Za-z0-9_-]*$"
+
+_HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)\s*#*\s*")
+_ANCHOR = re.compile(r'<a\s+id="([^"]+)"\s*>\s*</a>')
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
+_BEGIN = re.compile(r"\s*<!-- ARCHIVED_TEXT_BEGIN (\S+) -->\s*")
+
+
+def scan_lines(text: str) -> tuple[list[tuple[int, int, int, str]], bool]:
+    """(start, end, number, line) of the lines outside fences and archived blocks; and whether a block is left open.
+
+    Offsets count code points. Lines end where Python's splitlines ends them.
+    """
+    out, at, closing = [], 0, None
+    for number, line in enumerate(text.splitlines(keepends=True), 1):
+        begin, at = at, at + len(line)
+        if closing is not None:
+            if closing.fullmatch(line):
+                closing = None
+            continue
+        archive, fence = _BEGIN.fullmatch(line), _FENCE.match(line)
+        if archive:
+            closing = re.compile(rf"\s*<!-- ARCHIVED_TEXT_END {re.escape(archive[1])} -->\s*")
+        elif fence and not (fence[1][0] == "`" and "`" in fence[2]):
+            closing = re.compile(rf" {{0,3}}{re.escape(fence[1][0])}{{{len(fence[1])},}}[ \t]*\r?\n?")
+        else:
+            out.append((begin, at, number, line))
+    return out, closing is not None
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """``docs``: document, text. Rows (document, start, end, number, line, kind, level, title, unclosed): the visible
+    lines; kind is heading (level, title), anchor (title is its id) or null. An unclosed block is marked on a row of its
+    own (start null). A document over the engine's bounds is the caller's to refuse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["document", "start", "end", "number", "line", "kind", "level", "title", "unclosed"]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+        for batch in batches:
+            rows = []
+            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, unclosed = scan_lines(text or "")
+                for begin, end, number, line in found:
+                    body = line.rstrip("\r\n")
+                    heading, anchor = _HEADING.fullmatch(body), _ANCHOR.fullmatch(body)
+                    kind = "heading" if heading else "anchor" if anchor else None
+                    title = heading[2] if heading else anchor[1] if anchor else None
+                    rows.append((document, begin, end, number, line, kind, len(heading[1]) if heading else None, title, False))
+                if unclosed:
+                    rows.append((document, None, None, None, None, None, None, None, True))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return docs.select(F.col("document").cast("string"), "text").mapInArrow(run, "document string, start long, end long, number int, line string, kind string, level int, title string, unclosed boolean")
+
+
+def entries(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Rows (document, entry_id, title, start, end, text, sha256): sections headed by an entry id at level 2 or 3.
+
+    An entry ends at the next heading of its level or a higher one, or at the next entry's heading; an anchor right
+    before that heading belongs to the following section.
+    """
+    heads = scanned.where("kind = 'heading'").withColumn("is_entry", F.col("level").isin(2, 3) & F.col("title").rlike(ENTRY))
+    own = heads.where("is_entry").select("document", "start", "level", F.regexp_extract("title", ENTRY, 1).alias("entry_id"), F.regexp_extract("title", ENTRY, 2).alias("title"))
+    later = heads.select("document", F.col("start").alias("next"), F.col("level").alias("next_level"), F.col("is_entry").alias("next_entry"))
+    ends = own.join(later, "document").where("next > start and (next_level <= level or next_entry)").groupBy("document", "start").agg(F.min("next").alias("next"))
+    # the visible token before the end, if it's an anchor with nothing but blank lines between
+    tokens = scanned.where("kind is not null or trim(line) <> ''").where("start is not null")
+    before = tokens.withColumn("prior_kind", F.lag("kind").over(Window.partitionBy("document").orderBy("start"))).withColumn("prior_start", F.lag("start").over(Window.partitionBy("document").orderBy("start")))
+    before = before.select("document", F.col("start").alias("next"), "prior_kind", "prior_start")
+    bounded = own.join(ends, ["document", "start"], "left").join(before, ["document", "next"], "left").join(docs.select(F.col("document").cast("string"), F.col("text").alias("whole")), "document")
+    end = F.when(F.col("next").isNull(), F.length("whole")).when((F.col("prior_kind") == "anchor") & (F.col("prior_start") > F.col("start")), F.col("prior_start")).otherwise(F.col("next"))
+    body = F.concat(F.rtrim(F.regexp_replace(F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), r"\s+$", "")), F.lit("\n"))
+    return bounded.withColumn("end", end.cast("long")).withColumn("text", body).select("document", "entry_id", "title", "start", "end", "text", F.sha2("text", 256).alias("sha256"))
+
+
+def source_blocks(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Rows (document, source_id, start, end, text, sha256): from a source's or correction's anchor to the next anchor."""
+    w = Window.partitionBy("document").orderBy("start")
+    anchors = scanned.where("kind = 'anchor'").withColumn("next", F.lead("start").over(w)).where(F.col("title").rlike(SOURCE_ANCHOR))
+    joined = anchors.join(docs.select(F.col("document").cast("string"), F.col("text").alias("whole")), "document")
+    stop = F.coalesce("next", F.length("whole"))
+    body = F.substring("whole", (F.col("end") + 1).cast("int"), (stop - F.col("end")).cast("int"))
+    return joined.select("document", F.col("title").alias("source_id"), F.col("end").alias("start"), stop.cast("long").alias("end"), body.alias("text")).withColumn("sha256", F.sha2("text", 256))
+
+
+def entry_references(entry_rows: DataFrame) -> DataFrame:
+    """Rows (document, entry_id, ref): the distinct places that an entry's visible lines link to."""
+    inside = lines(entry_rows.select(F.concat_ws("\x1f", "document", "entry_id").alias("document"), "text")).where("line is not null")
+    at = F.split("document", "\x1f")
+    return inside.select(at[0].alias("document"), at[1].alias("entry_id"), F.explode(link_targets(F.col("line"))).alias("ref")).distinct()
+
+
+def entry_bases(entry_rows: DataFrame, refs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (document, entry_id, sources): each reference but those to entries, with its block's hash or unavailable."""
+    own = refs.where(~F.col("ref").rlike(r"^e\d{4,}$"))
+    joined = own.join(blocks.select("document", F.col("source_id").alias("ref"), F.col("sha256").alias("block")), ["document", "ref"], "left")
+    grouped = joined.groupBy("document", "entry_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref", F.coalesce("block", F.lit("unavailable")))))).alias("sources"))
+    return entry_rows.select("document", "entry_id").join(grouped, ["document", "entry_id"], "left")
+
+
+def anchors(scanned: DataFrame) -> DataFrame:
+    """Rows (document, target): anchors, and headings' slugs with -1, -2 … for those that repeat."""
+    s = scanned.where("kind = 'heading'").withColumn("slug", slug(F.col("title")))
+    n = F.row_number().over(Window.partitionBy("document", "slug").orderBy("start")) - 1
+    named = s.withColumn("n", n).select("document", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string"))).alias("target"))
+    return named.unionByName(scanned.where("kind = 'anchor'").select("document", F.col("title").alias("target")))
+
+
+def audit(docs: DataFrame) -> DataFrame:
+    """Rows (document, code, entry_id, detail): unclosed_block, duplicate_entry, duplicate_source,
+    encoded_attachment_excluded, external_or_missing_target, body_sources_missing_from_header, stale_index_title."""
+    scanned = lines(docs)
+    found, blocks = entries(docs, scanned), source_blocks(docs, scanned)
+    refs = entry_references(found)
+    none = F.lit(None).cast("string")
+    row = lambda df, code, entry=none, detail=none: df.select("document", F.lit(code).alias("code"), entry.alias("entry_id"), detail.alias("detail"))
+    known = blocks.select("document", F.col("source_id").alias("ref")).unionByName(found.select("document", F.lower("entry_id").alias("ref")))
+    header = found.select("document", "entry_id", F.explode(link_targets(F.regexp_extract("text", r"(?m)^(\*\*Source references:\*\*[^\n]*)", 1))).alias("ref")).distinct()
+    index = scanned.select("document", F.regexp_extract("line", r"^\| \[(E\d{4,})\]\(#[^)]+\) \| ([^|]+) \|", 1).alias("entry_id"), F.trim(F.regexp_extract("line", r"^\| \[(E\d{4,})\]\(#[^)]+\) \| ([^|]+) \|", 2)).alias("shown")).where("entry_id <> ''")
+    parts = [
+        row(scanned.where("unclosed"), "unclosed_block"),
+        row(found.groupBy("document", "entry_id").count().where("count > 1"), "duplicate_entry", F.col("entry_id")),
+        row(blocks.groupBy("document", "source_id").count().where("count > 1"), "duplicate_source", none, F.col("source_id")),
+        row(docs.select(F.col("document").cast("string"), "text").where(F.col("text").rlike(DATA_URI)), "encoded_attachment_excluded"),
+        row(refs.join(known, ["document", "ref"], "left_anti"), "external_or_missing_target", F.col("entry_id"), F.col("ref")),
+        row(refs.where("lower(ref) like 'src-%'").join(header, ["document", "entry_id", "ref"], "left_anti"), "body_sources_missing_from_header", F.col("entry_id"), F.col("ref")),
+        row(index.join(found.select("document", "entry_id", "title"), ["document", "entry_id"]).where("shown <> title"), "stale_index_title", F.col("entry_id"), F.col("shown")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def misplaced_additions(additions: DataFrame, titles: DataFrame, top: int = 3) -> DataFrame:
+    """Rows (entry_id, addition, other, shared): other entries whose title words an addition shares: three or more, and
+    three more than with its own entry; the best ``top`` by share of the title. ``additions``: entry_id, addition, text;
+    ``titles``: entry_id, title. An equi-join on words, not a cross join."""
+    words = titles.select(F.col("entry_id").alias("other"), F.explode(long_words(F.col("title"))).alias("word"))
+    sizes = words.groupBy("other").agg(F.count("*").alias("n"))
+    terms = additions.select("entry_id", "addition", F.explode(long_words(F.col("text"))).alias("word"))
+    shared = terms.join(words, "word").groupBy("entry_id", "addition", "other").agg(F.count("*").alias("shared"))
+    own = shared.where("entry_id = other").select("entry_id", "addition", F.col("shared").alias("own"))
+    others = shared.where("entry_id <> other").join(own, ["entry_id", "addition"], "left").join(sizes, "other")
+    fit = others.where(F.col("shared") >= F.greatest(F.lit(3), F.coalesce("own", F.lit(0)) + 3))
+    w = Window.partitionBy("entry_id", "addition").orderBy((F.col("shared") / F.col("n")).desc(), F.desc("shared"), F.desc("other"))
+    return fit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("entry_id", "addition", "other", "shared")
+
+
+def witness_problems(witnesses: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Witnesses (source_id, source_sha256, start, end, quote) with a code: unknown_source, stale_source, text_mismatch."""
+    joined = witnesses.join(blocks.select("source_id", F.col("sha256").alias("_sha"), F.col("text").alias("_text")), "source_id", "left")
+    found = F.substring("_text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    code = (
+        F.when(F.col("_sha").isNull(), "unknown_source")
+        .when(F.col("_sha") != F.col("source_sha256"), "stale_source")
+        .when((F.col("start") < 0) | (F.col("start") >= F.col("end")) | (found != F.col("quote")), "text_mismatch")
+    )
+    return joined.withColumn("code", code).where("code is not null").drop("_sha", "_text")

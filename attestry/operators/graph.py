@@ -45,7 +45,7 @@ def tree_order(nodes: DataFrame, strict: bool = True) -> DataFrame:
         place = {n: i for i, n in enumerate(group["node"])}
         order = _preorder([place.get(p, -1) for p in group["parent"]], strict)
         at = pd.Series(range(len(order)), index=order, dtype="Int32").reindex(range(len(group)))
-        return pd.DataFrame({"conversation": group["conversation"], "node": group["node"], "order": at})
+        return pd.DataFrame({"conversation": group["conversation"].astype(object), "node": group["node"].astype(object), "order": at})
 
     return nodes.join(nodes.select("conversation", "node", "parent", "position").groupBy("conversation").applyInPandas(run, schema), KEY)
 
@@ -63,7 +63,7 @@ def selected_path(nodes: DataFrame, current: DataFrame) -> DataFrame:
             seen.add(at)
             out.append(at)
             at = parent[at]
-        return pd.DataFrame({"conversation": [key[0]] * len(out), "node": out, "depth": range(len(out))})
+        return pd.DataFrame({"conversation": [key[0]] * len(out), "node": out, "depth": range(len(out))}, dtype=object)
 
     return nodes.groupBy("conversation").cogroup(current.groupBy("conversation")).applyInPandas(run, schema)
 
@@ -84,7 +84,7 @@ def cycle_members(nodes: DataFrame) -> DataFrame:
             if at in parent and state.get(at) == start and at in path:
                 found += path[path.index(at) :]
         own = group["conversation"].iloc[0]
-        return pd.DataFrame({"conversation": [own] * len(found), "node": found})
+        return pd.DataFrame({"conversation": [own] * len(found), "node": found}, dtype=object)
 
     return nodes.select("conversation", "node", "parent").groupBy("conversation").applyInPandas(run, nodes.select("conversation", "node").schema)
 
