@@ -14,6 +14,7 @@ from attestry.llm.langid import fit, identify
 from attestry.llm.line_dedup import line_dedup, lines_of
 from attestry.llm.mixing import mixing_rates
 from attestry.llm.ngram_join import ngram_join
+from attestry.llm.oracles import ORACLE_SQL
 from attestry.llm.packing import pack
 from attestry.llm.pii import pseudonymise
 from attestry.llm.quality import quality_rules
@@ -109,21 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op5_line_dedup": """
-        with l as (
-            select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos
-            from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
-        ), k as (
-            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-            from l
-        ), c as (
-            select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
-        ), m as (
-            select doc_id, line, pos, coalesce(doc_id < keeper, false) as lost from k left join c using (key)
-        )
-        select doc_id, count(*)::bigint as n_lines, (count(*) filter (where lost))::bigint as n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
-        from m group by doc_id""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
