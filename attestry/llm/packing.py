@@ -11,6 +11,8 @@ result is never worse than that. An island stops as soon as its best solution re
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,34 +27,77 @@ from attestry.llm.shared import materialise
 #: Words whose ids a worker remembers.
 MEMORY = 400_000
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Letters and then punctuation without an apostrophe: what the tokenizers below cut into these two parts.
+_SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Words:
+    """Ids of single words from a tokenizers file, remembered within bounds.
+
+    The tokenizer is to drop white space and never to join what stands on both sides of a space or a line break. If it
+    lower-cases, cuts at the border of letters and other signs and spells in bytes, a simple word's two parts go to its
+    model directly, which spares the tracking of offsets; every other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.spell = self._spelling() if self._splits_simply(json.loads(self.tokenizer.to_str())) else None
+
+    @staticmethod
+    def _splits_simply(setup: dict) -> bool:
+        steps = [x.get("type") for x in (setup["normalizer"] or {}).get("normalizers", [])]
+        cuts = (setup["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+            and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in cuts[0]["pattern"].get("Regex", "")
+            and not cuts[1]["add_prefix_space"]
+            and setup["model"]["type"] == "BPE"
+            and not setup["model"]["dropout"]
+        )
 
+    @staticmethod
+    def _spelling() -> dict[int, str]:
+        """Bytes as the characters that byte-level models use: printable ones stand for themselves, others follow 255."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-def token_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; null has none.
+    def _part(self, text: str) -> bytes:
+        if text not in self.parts:
+            spelled = text.encode().decode("latin-1").translate(self.spell)
+            self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        return self.parts[text]
 
-    The tokenizer drops white space and never joins what stands on both sides of a space or a line break, so words are
-    tokenized once each and remembered.
-    """
-    tokenizer, known = _tokenizer(path)
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        if len(self.parts) > MEMORY:
+            self.parts = {"": b""}
+        for w in words.difference(self.known):
+            simple = _SIMPLE.fullmatch(w) if self.spell else None
+            if simple:
+                self.known[w] = self._part(simple[1].lower()) + self._part(simple[2])
+            else:
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+_words: dict[str, Words] = {}
+
+
+def token_ids(texts: list[str | None], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; null has none."""
+    if path not in _words:
+        _words[path] = Words(path)
+    words = _words[path]
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    if len(known) > MEMORY:
-        known.clear()
-    new = list({w for words in split for w in words}.difference(known))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    words.learn(set().union(*split))
+    get = words.known.__getitem__
+    return [b"".join(map(get, own)) for own in split]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, end_id: int) -> DataFrame:
