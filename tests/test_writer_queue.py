@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from attestry.__main__ import main
+from attestry.operators import writer
+from attestry.operators.queue import Queue
+
+DOC = """---
+entry_count: 2
+next_entry_id: E0004
+next_source_id: "SRC-001"
+---
+# Book
+## E0001 First
+[ok](#book) [bad](#nowhere) [e](#e0001-first)
+## E0002 Second
+<a id="src-001"></a>
+```
+## E0009 hidden
+```
+"""
+
+
+def rows(df):
+    return sorted((r["code"], r["detail"]) for r in df.collect())
+
+
+def test_writer_checks(spark):
+    one = lambda t: writer.parts(spark.createDataFrame([("d", t)], "document string, text string"))
+    now = one(DOC)
+    assert rows(writer.problems(now)) == [("broken_internal_link", "nowhere"), ("next_id_collision", "next_source_id"), ("next_id_gap", "next_entry_id")]
+    later = DOC.replace("## E0002 Second\n", "").replace("hidden", "other") + "```\nopen"
+    assert {c for c, _ in rows(writer.problems(one(later), now))} == {
+        "broken_internal_link", "counter_mismatch", "next_id_collision", "next_id_gap", "protected_material_changed", "removed_entry", "unclosed_block",
+    }
+    assert writer.parts(spark.createDataFrame([("e", ""), ("n", None)], "document string, text string")).count() == 0
+
+
+def test_patches_and_preview():
+    patches = [{"before": "a b", "after": "c"}, {"before": "c d", "after": "e"}]
+    assert writer.apply_patches("a b d", patches) == "e" and writer.apply_patches("e", patches, back=True) == "a b d"
+    for text, before in (("x", "y"), ("x x", "x"), ("x", "")):
+        with pytest.raises(writer.PatchError):
+            writer.apply_patches(text, [{"before": before, "after": "z"}])
+    assert "+b" in writer.preview("a\n", "b\n", "d.md")
+
+
+def test_evidence_access(spark):
+    refs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "ref string")
+    blocks = spark.createDataFrame([("a", "x"), ("b", "x" * 20), ("c", "x" * 20)], "source_id string, text string")
+    out = writer.evidence_access(refs, blocks, spark.createDataFrame([("c",)], "source_id string"), most=10)
+    assert {r["ref"]: r["access"] for r in out.collect()} == {"a": "complete_available_block", "b": "external_not_included", "c": "selected_exact_excerpt", "d": "not_available_in_input"}
+
+
+def test_queue_budgets_and_recovery(tmp_path):
+    calls = []
+
+    def worker(request):
+        calls.append(request["p"])
+        return {"proposal": {"p": request["p"]}, "usage": {"input_tokens": 60, "output_tokens": 40}, "error": None}
+
+    q = Queue(tmp_path / "q.json", ["a", "b", "c"])
+    run = lambda **k: q.run(lambda p: {"p": p}, worker, lambda p, x: x["p"] == p, **k)
+    assert run(max_calls=1).stop == "call_budget" and calls == ["a"]
+    assert run(max_tokens=150).stop == "token_budget" and calls == ["a", "b"]
+    assert run().stop == "complete" and run().stop == "complete" and calls == ["a", "b", "c"]
+    q = Queue(tmp_path / "r.json", ["a", "b"])
+    assert run(max_prompt_chars=3).stop == "prompt_size"
+    state = q.load()
+    state.jobs["a"] = "in_flight"
+    q.save(state)
+    assert run().stop == "recovery_required"
+    assert q.recover().jobs["a"] == "blocked" and run().stop == "blocked"
+    q = Queue(tmp_path / "s.json", ["a", "b"])
+    assert q.run(lambda p: {}, lambda r: {"proposal": {}, "usage": None}, lambda p, x: True).unknown_usage == 1
+    with pytest.raises(ValueError):
+        run(max_calls=0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "d.md").write_text("## E0001 — A\n[x](#src-1)\n")
+    assert main(["audit", str(tmp_path / "d.md")]) == 0
+    assert "external_or_missing_target" in capsys.readouterr().out
+    (tmp_path / "c.json").write_text('[{"id": "c", "mapping": {"a": {"message": {"id": "m", "author": {"role": "user"}, "content": {"content_type": "text", "parts": ["hi"]}}}}}]')
+    (tmp_path / "s.toml").write_text('[[sources]]\nprovider="chatgpt"\npath="c.json"\n[expected]\nchatgpt_messages=1\n')
+    assert main(["normalize", "--config", str(tmp_path / "s.toml"), "--output", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "segments")).select(F.col("text")).first()[0] == "hi"
