@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions.identity import pointer_key, pointer_token, record_id, sha256, source_id, struct_fingerprint
-from attestry.operators import delta, graph, packets, review, validate
-from attestry.plans.bridge import export_sides, messages, table
+from attestry.operators import delta, documents, graph, normalize, packets, proposals, review, validate, writer
+from attestry.plans.bridge import SOURCE, export_sides, messages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -485,3 +485,90 @@ def review_decisions(spark, sf_dir):
     answers = table(spark, sf_dir, "labels")
     decision = F.when(F.col("quality") == 0, "defer").when(F.col("toxic") == 1, "revise").otherwise("keep")
     return answers.groupBy((F.col("quality") * 10 + F.col("toxic")).alias("code"), decision.alias("decision")).agg(F.count("*").alias("n"))
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridge's conversations as raw rows of the import: one JSON text for each, in the ChatGPT form."""
+    m = messages(spark, sf_dir)
+    kids = graph.children(m)
+    j = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})) - 6)
+    full = m.join(kids, ["conversation", "node"], "left")
+    key = F.col("node").cast("string")
+    message = F.concat(F.lit('{"id":"m'), key, F.lit('","author":{"role":"'), "role", F.lit('"},"create_time":null,"content":{"content_type":"text","parts":['), j(F.col("text")), F.lit("]}}"))
+    parent = F.coalesce(F.concat(F.lit('"'), F.col("parent").cast("string"), F.lit('"')), F.lit("null"))
+    children = F.to_json(F.coalesce(F.col("children").cast("array<string>"), F.array().cast("array<string>")))
+    entry = F.concat(F.lit('"'), key, F.lit('":{"id":"'), key, F.lit('","parent":'), parent, F.lit(',"children":'), children, F.lit(',"message":'), message, F.lit("}"))
+    listed = full.groupBy("conversation").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    text = F.concat(F.lit('{"id":"c'), F.col("conversation").cast("string"), F.lit('","title":null,"mapping":{'), F.array_join("entries", ","), F.lit("}}"))
+    return listed.select(F.lit(SOURCE).alias("source_id"), F.lit("chatgpt").alias("provider"), F.lit("driver").alias("sha256"), F.col("conversation").alias("index"), text.alias("conversation"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"""with m as ({MESSAGES}) select record_id, 'c' || conversation as conversation, 'm' || node as original_id, node::varchar as node_id, parent::varchar as parent_id,
+    position::int as position, role, text from m""")
+def normalized_messages(spark, sf_dir):
+    t = normalize.chatgpt(exported(spark, sf_dir))
+    segments = t.segments.where("segment_index = 0").select(F.col("message_record_id").alias("record_id"), "text")
+    return t.messages.join(segments, "record_id").select("record_id", F.col("conversation_original_id").alias("conversation"), "original_id", "node_id", "parent_id", "position", "role", "text")
+
+
+@query(f"""with m as ({MESSAGES}) select 'c' || conversation as conversation, count(*)::bigint as message_count, 0::bigint as warnings from m group by 1""")
+def normalized_conversations(spark, sf_dir):
+    t = normalize.chatgpt(exported(spark, sf_dir))
+    warned = t.warnings.agg(F.count("*").alias("warnings"))
+    return t.conversations.select(F.col("original_id").alias("conversation"), "message_count").join(F.broadcast(warned)).select("conversation", "message_count", "warnings")
+
+
+def _book(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id < 10000")
+    number = F.lpad(F.col("doc_id").cast("string"), 4, "0")
+    text = F.concat(F.lit("# Book\n## E"), number, F.lit(" — "), "source", F.lit("\n**Source references:** [S](#src-"), number, F.lit(")\nBody in "), "lang", F.lit(" [T](#src-x"), (F.col("doc_id") % 5).cast("string"), F.lit(")\n\n# Sources\n<a id=\"src-"), number, F.lit("\"></a>\nsource of "), "lang", F.lit("\n"))
+    return d.select(F.col("doc_id").cast("string").alias("document"), text.alias("text"))
+
+
+@query("""with d as (select doc_id, lpad(doc_id::varchar, 4, '0') as n, source, lang from documents where doc_id < 10000)
+    select doc_id::varchar as document, 'E' || n as entry_id, source as title,
+        sha256('## E' || n || ' — ' || source || chr(10) || '**Source references:** [S](#src-' || n || ')' || chr(10) || 'Body in ' || lang || ' [T](#src-x' || (doc_id % 5) || ')' || chr(10)) as sha256 from d""")
+def document_entries(spark, sf_dir):
+    docs = _book(spark, sf_dir)
+    return documents.entries(docs, documents.lines(docs)).select("document", "entry_id", "title", "sha256")
+
+
+@query("""select doc_id::varchar as document, 'src-' || lpad(doc_id::varchar, 4, '0') as source_id, sha256('source of ' || lang || chr(10)) as sha256 from documents where doc_id < 10000""")
+def document_sources(spark, sf_dir):
+    docs = _book(spark, sf_dir)
+    return documents.source_blocks(docs, documents.lines(docs)).select("document", "source_id", "sha256")
+
+
+@query("""with d as (select doc_id::varchar as document, 'E' || lpad(doc_id::varchar, 4, '0') as entry_id, 'src-x' || (doc_id % 5) as detail from documents where doc_id < 10000)
+    select document, unnest(['external_or_missing_target', 'body_sources_missing_from_header']) as code, entry_id, detail from d""")
+def document_audit(spark, sf_dir):
+    return documents.audit(_book(spark, sf_dir))
+
+
+@query("""select doc_id::varchar as document, 'broken_internal_link' as code, unnest(['src-' || lpad(doc_id::varchar, 4, '0'), 'src-x' || (doc_id % 5)]) as detail from documents where doc_id < 10000 and doc_id % 2 = 0""")
+def writer_problems(spark, sf_dir):
+    docs = _book(spark, sf_dir).where("cast(document as long) % 2 = 0").withColumn("text", F.regexp_replace("text", '<a id=[^>]*></a>', ""))
+    return writer.problems(writer.parts(docs))
+
+
+@query(f"""with m as ({MESSAGES}), p as (select conversation, node, role, text, node % 4 = 3 as covered from m),
+    e as (select *, substr(text, 3, 6) as span, case when node % 5 = 4 then 'wrong!' else substr(text, 3, 6) end as quote from p where length(text) >= 20)
+    select conversation::varchar as packet, code, item from (
+        select conversation, 'quote_mismatch' as code, 'k' || node as item from e where quote <> span
+        union select conversation, 'assistant_as_owner', 'k' || node from e where role = 'assistant'
+        union select conversation, 'owner_without_user_text', 'k' || node from e where role <> 'user'
+        union select conversation, 'no_pending_evidence', 'k' || node from e where covered
+        union select conversation, 'uncovered_piece', node::varchar from p where not covered and node % 7 = 6
+        union select conversation, 'links_differ', p.node::varchar from p where not covered and node % 7 <> 6 and length(text) < 20
+        union select conversation, 'coverage_not_pending', node::varchar from p where covered and node % 7 <> 6
+        union select conversation, 'links_differ', node::varchar from p where covered and node % 7 <> 6)""")
+def proposal_problems(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("packet", F.col("conversation").cast("string")).withColumn("piece_id", F.col("node").cast("string"))
+    cid = F.concat(F.lit("k"), "piece_id")
+    pieces = m.select("packet", "piece_id", "text", "role", F.lit("text").alias("kind"), F.lit(0).alias("segment_index"), (F.col("node") % 4 == 3).alias("already_covered"))
+    coverage = m.where("node % 7 <> 6").select("packet", "piece_id", F.lit("candidate").alias("disposition"), F.lit("why").alias("reason"), F.array(cid).alias("candidate_ids"))
+    some = m.where("length(text) >= 20")
+    candidates = some.select("packet", cid.alias("candidate_id"), F.lit("owner_statement").alias("attribution"), F.lit("says").alias("statement"))
+    quote = F.when(F.col("node") % 5 == 4, "wrong!").otherwise(F.substring("text", 3, 6))
+    evidence = some.select("packet", cid.alias("candidate_id"), "piece_id", F.lit(2).alias("start"), F.lit(8).alias("end"), quote.alias("quote"))
+    return proposals.problems(pieces, coverage, candidates, evidence)
