@@ -131,6 +131,13 @@ def _ip(key: bytes, text: str, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _ipv6(key: bytes, text: str, back: bool) -> str | None:
+    plain = text.replace(":", "")
+    plain = plain if plain in (plain.lower(), plain.upper()) else plain.lower()
+    new = iter(_permute(key, f"ipv6{[len(g) for g in text.split(':')]}", plain, back, hexadecimal=True))
+    return "".join(c if c == ":" else next(new) for c in text)
+
+
 def _iban_check(country: str, rest: str) -> str:
     digits = "".join(str(int(c, 36)) for c in rest + country + "00")
     return f"{98 - int(digits) % 97:02d}"
@@ -200,10 +207,11 @@ KINDS: dict[str, tuple[str, Callable[[bytes, str, bool], str | None]]] = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     "secret": (r"(?<![A-Za-z0-9])[A-Za-z0-9_\-]{20,128}(?![A-Za-z0-9_\-])", _secret),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _ip),
+    "ipv6": (r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", _ipv6),
     "date": (r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/]|\.\d)", _date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
     "card": (r"(?<![\d])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", _card),
-    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])(?:\d{2,4}[ .\-]){0,4}\d{3,4}(?!\w|\.\d)", _phone),
+    "phone": (r"(?<![\w+])\+\d{9,15}(?!\w|\.\d)|(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])(?:\d{2,4}[ .\-]){0,4}\d{3,4}(?!\w|\.\d)", _phone),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 _HINT = re.compile(r"[0-9@]")

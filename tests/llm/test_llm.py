@@ -255,6 +255,9 @@ def test_pii(spark):
     assert [r["text"] for r in pii.pseudonymise(again, b"k", back=True).orderBy("doc_id").collect()] == [text, text.upper()]
     with pytest.raises(ValueError):
         pii.Pseudonymiser(b"")
+    more = "tel +442071838750, 555.123.4567 at 2001:0DB8:85A3:0000:0000:8A2E:0370:7334, 12:30:45 1.2.3"
+    new, found = pii.Pseudonymiser(b"k").text(more)
+    assert found == {"phone": 2, "ipv6": 1} and new.endswith("12:30:45 1.2.3") and pii.Pseudonymiser(b"k", True).text(new)[0] == more
 
 
 def test_toxicity_automaton_against_edit_distance():
