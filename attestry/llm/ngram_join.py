@@ -206,6 +206,21 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _names(shingles: np.ndarray) -> tuple[bytes | None, int | None]:
+    """128 bits that name a set, and 64 of them; none for an empty set."""
+    if not len(shingles):
+        return None, None
+    spread = textscan.mix(shingles)
+    one = textscan.mix(spread.sum(keepdims=True) + np.uint64(len(shingles)))
+    two = textscan.mix(np.bitwise_xor.reduce(spread * np.uint64(0xC2B2AE3D27D4EB4F), keepdims=True))
+    return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0])
+
+
+def _signed(held: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    owner = np.repeat(np.array(nodes, dtype=np.int64), [len(h) for h in held])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(owner)], names=["sig", "node"])
+
+
 def _set_rows(out: list[list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["cluster", "task", "vertex", "shingles"])
@@ -241,41 +256,39 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     kind = dict(docs.select(F.col(id_col).alias("doc")).dtypes)["doc"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            size, vertex, node, sig = [], [], [], []
-            for _, s in shingle_sets(batch.column(1).to_pylist(), n):
-                size.append(len(s))
-                if not len(s):
-                    vertex.append(None)
-                    node.append(None)
-                    sig.append(None)
-                    continue
-                spread = textscan.mix(s)
-                one = textscan.mix(spread.sum(keepdims=True) + np.uint64(len(s)))
-                two = textscan.mix(np.bitwise_xor.reduce(spread * np.uint64(0xC2B2AE3D27D4EB4F), keepdims=True))
-                v = one.tobytes() + two.tobytes()
-                vertex.append(v)
-                node.append(int(one.view(np.int64)[0]))
-                sig.append(None if v in seen else signatures(s, num, den).view(np.int64))
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(v)
+            found = [(len(s), *_names(s)) for _, s in shingle_sets(batch.column(1).to_pylist(), n)]
+            size, vertex, node = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertex, pa.binary()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                names=["doc", "key", "size", "vertex", "node", "sigs"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertex, pa.binary()), pa.array(node, pa.int64())],
+                names=["doc", "key", "size", "vertex", "node"],
             )
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            held: list[np.ndarray] = []
+            nodes: list[int] = []
+            for _, s in shingle_sets(batch.column(0).to_pylist(), n):
+                vertex, node = _names(s)
+                if vertex is not None and vertex not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(vertex)
+                    held.append(signatures(s, num, den))
+                    nodes.append(node)
+                if len(held) >= 2000:
+                    yield _signed(held, nodes)
+                    held, nodes = [], []
+            if held:
+                yield _signed(held, nodes)
+
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, sigs array<long>"))
-    stars = (
-        table.where("sigs is not null")
-        .select(F.explode("sigs").alias("sig"), "node")
-        .repartition("sig")
-        .sortWithinPartitions("sig", "node")
-        .mapInArrow(_star, "a long, b long")
-    )
-    clusters = components(stars).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
+    table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long"))
+    # signatures are a second scan's work: kept beside the table, they'd take more room than the texts
+    clusters = components(
+        base.select("text").mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
+    ).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
     # one row per distinct set of a cluster; the key of any one of its rows leads back to a text
     member = (
         table.where("vertex is not null")
@@ -323,18 +336,15 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                     out, held = [[], [], [], []], 0
             yield _set_rows(out)
 
-    sent = (
+    joined = components(
         base.select("key", "text")
         .join(tasks.hint("shuffle_hash"), "key")
         .select("text", "vertex", "cluster", "tasks")
         .mapInArrow(emit, "cluster long, task string, vertex binary, shingles binary")
-    )
-    linked = (
-        sent.repartition("cluster", "task")
+        .repartition("cluster", "task")
         .sortWithinPartitions("cluster", "task")
         .mapInArrow(lambda batches: _link(batches, num, den), "a binary, b binary")
-    )
-    joined = components(linked).select(F.col("v").alias("vertex"), "root")
+    ).select(F.col("v").alias("vertex"), "root")
     table = table.select("doc", "key", "size", "vertex").join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = table.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     return table.join(least, "root", "left").select("doc", "key", "size", "root", F.coalesce("least", "doc").alias("least"))

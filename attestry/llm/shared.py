@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are."""
     return F.xxhash64(*[F.col(c) for c in columns])
@@ -59,6 +66,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    del edges
+    tidy(now.sparkSession)
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
