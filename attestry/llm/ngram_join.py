@@ -5,7 +5,8 @@ point, its counts by group; the summed coordinate minima of two points bound the
 point and a box's upper corner bound it for all points in the box. So a packed R-tree over the points finds for a
 document all partners that may reach the threshold, and the sets themselves settle the surviving pairs.
 
-A tree needs its points in one place. Documents come together by an exact filter: two sets of similarity t differ in
+First the points alone, without the sets, cut loose clusters into those whose bounds admit links; then the sets go to
+their clusters' tasks. A tree needs its points in one place. Documents come together by an exact filter: two sets of similarity t differ in
 at most (|A| + |B|) * (1 - t) / (1 + t) shingles, so among one group more than that at least one group of shingles is
 equal in both. A document emits the hash of each of its groups (about 1/9 as many as shingles at t = 0.9); documents
 that share one are joined to a star, the stars' components are the clusters, and each cluster gets its trees. A large
@@ -109,11 +110,21 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    points = np.zeros((len(sets), groups), dtype=np.int32)
-    for i, s in enumerate(sets):
-        points[i] = np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
-    return points
+def groups_for(size: int) -> int:
+    """Groups of a set's point: a power of two near a quarter of its size."""
+    return 1 << int(np.clip(math.ceil(math.log2(max(size / 4, 1))), 6, 10))
+
+
+def point(shingles: np.ndarray) -> np.ndarray:
+    """A set's counts by group. Those by half as many groups are the sums of the two halves."""
+    g = groups_for(len(shingles))
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % g, minlength=g).astype(np.uint32)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points by as many groups as the smallest has."""
+    g = min(len(p) for p in points)
+    return np.stack([p.reshape(-1, g).sum(axis=0, dtype=np.int32) for p in points])
 
 
 class CountTree:
@@ -127,8 +138,9 @@ class CountTree:
             cut = np.arange(0, len(top), fan)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, i: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions after i whose bound admits den * overlap >= num * union with point i, and the bounds."""
+    def search(self, i: int, num: int, den: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions after i of another label than i's whose bound admits den * overlap >= num * union with point i, and
+        the bounds."""
         point, size = self.levels[0][0][i], int(self.levels[0][1][i])
         at, bound = np.arange(len(self.levels[-1][0])), None
         for level in range(len(self.levels) - 1, -1, -1):
@@ -137,6 +149,8 @@ class CountTree:
                 at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
                 at = at[at < len(top)]
             at = at[at >= (i + 1 if level == 0 else i // self.fan**level)]
+            if level == 0:
+                at = at[label[at] != label[i]]
             at = at[(num * size <= den * high[at]) & (num * low[at] <= den * size)]
             bound = np.minimum(top[at], point).sum(axis=1)
             keep = (num + den) * bound >= num * (size + low[at])
@@ -163,24 +177,46 @@ def forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         common = overlap(a, b)
         return [(0, 1)] if den * common >= num * (len(a) + len(b) - common) else []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    groups = 1 << int(np.clip(math.ceil(math.log2(max(sizes.max() / 4, 1))), 6, 10))
-    points = count_vectors(sets, groups)
-    # neighbours in the order get into one leaf: by size band, then by the largest coordinates' places
-    order = np.lexsort((*[points[:, j] for j in range(0, groups, max(1, groups // 6))], np.log(np.maximum(sizes, 1)) // 0.1))
+
+    def settled(i: int, j: int) -> bool:
+        common = overlap(sets[i], sets[j])
+        return den * common >= num * (len(sets[i]) + len(sets[j]) - common)
+
+    return _forest([point(s) for s in sets], sizes, num, den, settled)
+
+
+def _forest(points: list[np.ndarray], sizes: np.ndarray, num: int, den: int, settled=None) -> list[tuple[int, int]]:
+    """Links that connect what is connected, by trees over two neighbouring size bands each, whose points have as many
+    groups as suit these sizes."""
+    if len(sizes) <= 64:
+        return _spanning(folded(points), sizes, num, den, settled)
+    band_ = np.floor(np.log(sizes) / (math.log(den / num) if num < den else 1.0) + 1e-9).astype(np.int64)
+    links = []
+    for b in np.unique(band_):
+        own = np.flatnonzero((band_ == b) | (band_ == b + 1))
+        if len(own) > 1:
+            found = (lambda i, j, own=own: settled(int(own[i]), int(own[j]))) if settled else None
+            links += [(int(own[i]), int(own[j])) for i, j in _spanning(folded([points[k] for k in own]), sizes[own], num, den, found)]
+    return links
+
+
+def _spanning(points: np.ndarray, sizes: np.ndarray, num: int, den: int, settled=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bound admits a link and that ``settled`` (if given) confirms."""
+    # neighbours in the order get into one leaf: by size, then by some coordinates
+    some = range(0, points.shape[1], max(1, points.shape[1] // 6))
+    order = np.lexsort((*[points[:, j] for j in some], np.log(np.maximum(sizes, 1)) // 0.1))
     tree = CountTree(points[order], sizes[order])
-    label = np.arange(m)
+    label = np.arange(len(sizes))
     links = []
-    for i in range(m):
-        at, bound = tree.search(i, num, den)
+    for i in range(len(sizes)):
+        at, bound = tree.search(i, num, den, label)
         at = at[np.argsort(-bound, kind="stable")]
         while len(at):
             at = at[label[at] != label[i]]
             if not len(at):
                 break
             j, at = at[0], at[1:]
-            a, b = sets[order[i]], sets[order[j]]
-            common = overlap(a, b)
-            if den * common >= num * (len(a) + len(b) - common):
+            if settled is None or settled(int(order[i]), int(order[j])):
                 links.append((int(order[i]), int(order[j])))
                 label[label == label[j]] = label[i]
     return links
@@ -226,6 +262,29 @@ def _set_rows(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["cluster", "task", "vertex", "shingles"])
 
 
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, task, vertex, size, counts) sorted by the first two: a forest of the pairs that may link."""
+    task, held = None, {}
+
+    def pairs() -> pa.RecordBatch:
+        names = list(held)
+        sizes = np.array([s for s, _ in held.values()], dtype=np.int64)
+        found = _forest([np.frombuffer(c, dtype=np.uint32) for _, c in held.values()], sizes, num, den)
+        return pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        cluster, todo, vertex, size, counts = (batch.column(i) for i in range(5))
+        for i in range(batch.num_rows):
+            now = (cluster[i].as_py(), todo[i].as_py())
+            if now != task:
+                if len(held) > 1:
+                    yield pairs()
+                task, held = now, {}
+            held[vertex[i].as_py()] = (size[i].as_py(), counts[i].as_py())
+    if len(held) > 1:
+        yield pairs()
+
+
 def _link(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, task, vertex, shingles) sorted by the first two: returns each task's forest of links."""
     task, held = None, {}
@@ -248,6 +307,34 @@ def _link(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         yield links()
 
 
+def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Adds ``tasks``, an array of (band, i, j), to members (cluster, vertex, size, ...).
+
+    A cluster of at most ``block`` shingles is one task. A larger one is divided by size band and a hash of the vertex
+    into parts; each part meets each part of its band and of the next one in a task of theirs.
+    """
+    step = math.log(den / num) if num < den else 1.0
+    banded = members.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9)))
+    totals = banded.groupBy("cluster", "band").agg(F.sum("size").alias("band_size"))
+    whole = totals.groupBy("cluster").agg(F.sum("band_size").alias("cluster_size"))
+    parts = totals.join(whole, "cluster").select(
+        "cluster", "band", F.when(F.col("cluster_size") <= block, 0).otherwise(F.ceil(F.col("band_size") / block)).cast("int").alias("parts")
+    )
+    above = parts.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    parts = parts.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").na.fill(0)
+    # tasks of a set: with each part of its own band, of the next and of the one before
+    plan = f"""case when parts = 0 then array(struct(-1L as band, 0 as i, 0 as j)) else concat(
+        transform(sequence(0, parts - 1), x -> struct(band, least(x, part) as i, greatest(x, part) as j)),
+        if(above > 0, transform(sequence(0, greatest(above, 1) - 1), x -> struct(band, part as i, x + 1000000 as j)), array()),
+        if(below > 0, transform(sequence(0, greatest(below, 1) - 1), x -> struct(band - 1 as band, x as i, part + 1000000 as j)), array())) end"""
+    return (
+        banded.join(parts, ["cluster", "band"])
+        .withColumn("part", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("vertex"), F.greatest("parts", F.lit(1)))).otherwise(0).cast("int"))
+        .withColumn("tasks", F.expr(plan))
+    )
+
+
 def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: tuple[int, int], block: int) -> DataFrame:
     """Rows (doc, key, size, root, least) for ngram_join(): root names the component, null for an empty set."""
     num, den = threshold
@@ -257,11 +344,11 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *_names(s)) for _, s in shingle_sets(batch.column(1).to_pylist(), n)]
-            size, vertex, node = zip(*found, strict=True) if found else ((), (), ())
+            found = [(len(s), *_names(s), point(s).tobytes()) for _, s in shingle_sets(batch.column(1).to_pylist(), n)]
+            size, vertex, node, counts = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertex, pa.binary()), pa.array(node, pa.int64())],
-                names=["doc", "key", "size", "vertex", "node"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertex, pa.binary()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())],
+                names=["doc", "key", "size", "vertex", "node", "counts"],
             )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,39 +371,23 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                 yield _signed(held, nodes)
 
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long"))
+    table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, counts binary"))
     # signatures are a second scan's work: kept beside the table, they'd take more room than the texts
     clusters = components(
         base.select("text").mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
     ).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
-    # one row per distinct set of a cluster; the key of any one of its rows leads back to a text
-    member = (
-        table.where("vertex is not null")
-        .groupBy("vertex", "node", "size")
-        .agg(F.min("key").alias("key"))
-        .join(clusters, "node")
-        .select("vertex", "cluster", "size", "key")
-    )
-    step = math.log(den / num) if num < den else 1.0
-    banded = member.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9)))
-    totals = banded.groupBy("cluster", "band").agg(F.sum("size").alias("band_size"))
-    whole = totals.groupBy("cluster").agg(F.sum("band_size").alias("cluster_size"))
-    parts = totals.join(whole, "cluster").select(
-        "cluster", "band", F.when(F.col("cluster_size") <= block, 0).otherwise(F.ceil(F.col("band_size") / block)).cast("int").alias("parts")
-    )
-    above = parts.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    below = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    parts = parts.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").na.fill(0)
-    # tasks of a set: with each part of its own band, of the next and of the one before
-    plan = f"""case when parts = 0 then array(struct(-1L as band, 0 as i, 0 as j)) else concat(
-        transform(sequence(0, parts - 1), x -> struct(band, least(x, part) as i, greatest(x, part) as j)),
-        if(above > 0, transform(sequence(0, greatest(above, 1) - 1), x -> struct(band, part as i, x + 1000000 as j)), array()),
-        if(below > 0, transform(sequence(0, greatest(below, 1) - 1), x -> struct(band - 1 as band, x as i, part + 1000000 as j)), array())) end"""
-    tasks = (
-        banded.join(parts, ["cluster", "band"])
-        .withColumn("part", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("vertex"), F.greatest("parts", F.lit(1)))).otherwise(0).cast("int"))
-        .select("key", "vertex", "cluster", F.expr(plan).alias("tasks"))
-    )
+    # one row per distinct set; the key of any one of its rows leads back to a text
+    sets_ = table.where("vertex is not null").groupBy("vertex", "node", "size").agg(F.min("key").alias("key"), F.first("counts").alias("counts"))
+    # the clusters' points alone say which of their sets may link: their trees cut loose clusters into tight ones
+    near = components(
+        _tasks(sets_.join(clusters, "node"), num, den, block)
+        .select("cluster", F.explode("tasks").alias("t"), "vertex", "size", "counts")
+        .select("cluster", F.concat_ws(",", "t.band", "t.i", "t.j").alias("task"), "vertex", "size", "counts")
+        .repartition("cluster", "task")
+        .sortWithinPartitions("cluster", "task")
+        .mapInArrow(lambda batches: _near(batches, num, den), "a binary, b binary")
+    ).select(F.col("v").alias("vertex"), F.xxhash64("root").alias("cluster"))
+    tasks = _tasks(sets_.drop("counts").join(near, "vertex"), num, den, block).select("key", "vertex", "cluster", "tasks")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
