@@ -519,8 +519,8 @@ def normalized_conversations(spark, sf_dir):
 
 
 def _book(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 10000")
-    number = F.lpad(F.col("doc_id").cast("string"), 4, "0")
+    d = table(spark, sf_dir, "documents")
+    number = F.format_string("%04d", F.col("doc_id"))
     text = F.concat(F.lit("# Book\n## E"), number, F.lit(" — "), "source", F.lit("\n**Source references:** [S](#src-"), number, F.lit(")\nBody in "), "lang", F.lit(" [T](#src-x"), (F.col("doc_id") % 5).cast("string"), F.lit(")\n\n# Sources\n<a id=\"src-"), number, F.lit("\"></a>\nsource of "), "lang", F.lit("\n"))
     return d.select(F.col("doc_id").cast("string").alias("document"), text.alias("text"))
 
