@@ -10,12 +10,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.text import DATA_URI, link_targets, long_words, slug
+from attestry.functions.text import DATA_URI, link_targets, slug
 
 ENTRY = r"^(E\d{4,})\s*(?:[—–:-]|\s)\s*(.+)$"
+#: The reader's patterns as Python has them: (?d) makes \n the only line end.
+ADDITION = r"(?idu)^### .*?(?:original.conversation|original claude|original.message|complement|later addition)"
+UNAVAILABLE = r"(?idu)(?:original|underlying).{0,100}(?:unavailable|not (?:retrieved|available|recovered))"
+PRESERVED = r"(?dm)^<!-- BEGIN PRESERVED [A-Za-z0-9_.-]+\.md -->\r?\n"
+STOP = (
+    "the and with from into after before about while their that this owner account record feeling reflection later original "
+    "conversation source for was had not but has its are who his her she him out"
+).split()
 SOURCE_ANCHOR = r"(?i)^(?:src-|cor\d)[A-Za-z0-9_-]*$"
 
 _HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)\s*#*\s*")
@@ -125,25 +133,74 @@ def anchors(scanned: DataFrame) -> DataFrame:
     return named.unionByName(scanned.where("kind = 'anchor'").select("document", F.col("title").alias("target")))
 
 
+def _sections(text: str) -> Column:
+    """A text's parts that each begin at a line with ### (an entry's own heading too)."""
+    parts = F.split(F.concat(F.lit("\n"), F.col(text)), "\n### ", -1)
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.concat(F.lit("### "), x))
+
+
+def additions(entry_rows: DataFrame) -> DataFrame:
+    """Rows (document, entry_id, start, end, text): later additions, from their heading to the entry's next ### line.
+    Offsets are code points of the entry's text."""
+    # a section's place: the text before the first, and the sections before it with the line end that follows each
+    first = F.length("whole") - F.aggregate("sections", F.lit(-1), lambda n, x: n + F.length(x) + 1)
+    before = F.aggregate(F.slice("sections", F.lit(1), F.col("pos")), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    at = entry_rows.select("document", "entry_id", F.col("text").alias("whole"), _sections("text").alias("sections"))
+    each = at.select("*", F.posexplode("sections").alias("pos", "text")).where(F.col("text").rlike(ADDITION))
+    placed = each.withColumn("start", first + before)
+    return placed.select("document", "entry_id", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
+def _terms(text: str) -> Column:
+    """The distinct words of three letters or more, case-folded, without the stop words."""
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{Nl}\p{No}]{3,})"), F.lit(1))
+    folded = F.transform(words, lambda w: F.replace(F.translate(F.lower(w), "ςſ", "σs"), F.lit("ß"), F.lit("ss")))
+    return F.array_except(folded, F.array(*map(F.lit, STOP)))
+
+
+def misplaced_additions(added: DataFrame, titles: DataFrame, top: int = 3) -> DataFrame:
+    """Rows (document, entry_id, start, end, other, shared, k): other entries whose title words an addition shares: three
+    or more, and three more than with its own entry; the best ``top`` by share of the title. ``added``: document,
+    entry_id, start, end, text; ``titles``: document, entry_id, title. An equi-join on words, not a cross join."""
+    words = titles.select("document", F.col("entry_id").alias("other"), F.explode(_terms("title")).alias("word")).distinct()
+    sized = words.withColumn("n", F.count("*").over(Window.partitionBy("document", "other")))
+    terms = added.select("document", "entry_id", "start", "end", F.explode(_terms("text")).alias("word"))
+    shared = terms.join(sized, ["document", "word"]).groupBy("document", "entry_id", "start", "end", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    own = F.max(F.when(F.col("other") == F.col("entry_id"), F.col("shared"))).over(Window.partitionBy("document", "entry_id", "start", "end"))
+    fit = shared.withColumn("own", F.coalesce(own, F.lit(0))).where("other <> entry_id and shared >= greatest(3, own + 3)")
+    w = Window.partitionBy("document", "entry_id", "start", "end").orderBy((F.col("shared") / F.col("n")).desc(), F.desc("shared"), F.desc("other"))
+    return fit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("document", "entry_id", "start", "end", "other", "shared", "k")
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """Rows (document, code, entry_id, detail): unclosed_block, duplicate_entry, duplicate_source,
-    encoded_attachment_excluded, external_or_missing_target, body_sources_missing_from_header, stale_index_title."""
+    encoded_attachment_excluded, preserved_bundle, external_or_missing_target, body_sources_missing_from_header,
+    stale_index_title, possible_misplaced_addition (detail: candidate entries and the addition's place, as JSON),
+    whole_entry_reconciliation, possibly_stale_source_limit. A bundle is named, not unwrapped."""
     scanned = lines(docs)
     found, blocks = entries(docs, scanned), source_blocks(docs, scanned)
     refs = entry_references(found)
     none = F.lit(None).cast("string")
-    row = lambda df, code, entry=none, detail=none: df.select("document", F.lit(code).alias("code"), entry.alias("entry_id"), detail.alias("detail"))
+    row = lambda df, code, entry=none, detail=none: df.select("document", (F.lit(code) if isinstance(code, str) else code).alias("code"), entry.alias("entry_id"), detail.alias("detail"))
     known = blocks.select("document", F.col("source_id").alias("ref")).unionByName(found.select("document", F.lower("entry_id").alias("ref")))
     header = found.select("document", "entry_id", F.explode(link_targets(F.regexp_extract("text", r"(?m)^(\*\*Source references:\*\*[^\n]*)", 1))).alias("ref")).distinct()
     index = scanned.select("document", F.regexp_extract("line", r"^\| \[(E\d{4,})\]\(#[^)]+\) \| ([^|]+) \|", 1).alias("entry_id"), F.trim(F.regexp_extract("line", r"^\| \[(E\d{4,})\]\(#[^)]+\) \| ([^|]+) \|", 2)).alias("shown")).where("entry_id <> ''")
+    added = additions(found)
+    ranked = misplaced_additions(added, found.select("document", "entry_id", "title")).groupBy("document", "entry_id", "start", "end")
+    places = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "other"))), lambda x: x["other"]).alias("candidate_entries"))
+    codes = F.array(F.lit("whole_entry_reconciliation"), F.when(F.col("text").rlike(UNAVAILABLE), F.lit("possibly_stale_source_limit")))
+    to_read = found.where(F.exists(_sections("text"), lambda x: x.rlike(ADDITION))).select("document", "entry_id", F.explode(codes).alias("code")).where("code is not null")
     parts = [
         row(scanned.where("unclosed"), "unclosed_block"),
         row(found.groupBy("document", "entry_id").count().where("count > 1"), "duplicate_entry", F.col("entry_id")),
         row(blocks.groupBy("document", "source_id").count().where("count > 1"), "duplicate_source", none, F.col("source_id")),
         row(docs.select(F.col("document").cast("string"), "text").where(F.col("text").rlike(DATA_URI)), "encoded_attachment_excluded"),
+        row(docs.select(F.col("document").cast("string"), "text").where(F.col("text").rlike(PRESERVED)), "preserved_bundle"),
         row(refs.join(known, ["document", "ref"], "left_anti"), "external_or_missing_target", F.col("entry_id"), F.col("ref")),
         row(refs.where("lower(ref) like 'src-%'").join(header, ["document", "entry_id", "ref"], "left_anti"), "body_sources_missing_from_header", F.col("entry_id"), F.col("ref")),
         row(index.join(found.select("document", "entry_id", "title"), ["document", "entry_id"]).where("shown <> title"), "stale_index_title", F.col("entry_id"), F.col("shown")),
+        row(places, "possible_misplaced_addition", F.col("entry_id"), F.to_json(F.struct("candidate_entries", "start", "end"))),
+        row(to_read, F.col("code"), F.col("entry_id")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -151,21 +208,6 @@ def audit(docs: DataFrame) -> DataFrame:
     return out
 
 
-def misplaced_additions(additions: DataFrame, titles: DataFrame, top: int = 3) -> DataFrame:
-    """Rows (entry_id, addition, other, shared): other entries whose title words an addition shares: three or more, and
-    three more than with its own entry; the best ``top`` by share of the title. ``additions``: entry_id, addition, text;
-    ``titles``: entry_id, title. An equi-join on words, not a cross join."""
-    words = titles.select(F.col("entry_id").alias("other"), F.explode(long_words(F.col("title"))).alias("word"))
-    sizes = words.groupBy("other").agg(F.count("*").alias("n"))
-    terms = additions.select("entry_id", "addition", F.explode(long_words(F.col("text"))).alias("word"))
-    shared = terms.join(words, "word").groupBy("entry_id", "addition", "other").agg(F.count("*").alias("shared"))
-    own = shared.where("entry_id = other").select("entry_id", "addition", F.col("shared").alias("own"))
-    others = shared.where("entry_id <> other").join(own, ["entry_id", "addition"], "left").join(sizes, "other")
-    fit = others.where(F.col("shared") >= F.greatest(F.lit(3), F.coalesce("own", F.lit(0)) + 3))
-    w = Window.partitionBy("entry_id", "addition").orderBy((F.col("shared") / F.col("n")).desc(), F.desc("shared"), F.desc("other"))
-    return fit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("entry_id", "addition", "other", "shared")
-
-
 def witness_problems(witnesses: DataFrame, blocks: DataFrame) -> DataFrame:
     """Witnesses (source_id, source_sha256, start, end, quote) with a code: unknown_source, stale_source, text_mismatch."""
     joined = witnesses.join(blocks.select("source_id", F.col("sha256").alias("_sha"), F.col("text").alias("_text")), "source_id", "left")

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job where the driver's tables don't show it."""
 
+from attestry.operators import documents
 from attestry.plans.queries import QUERIES
 
 
@@ -14,3 +15,45 @@ def test_documents_with_ids_over_9999(spark, tmp_path):
     assert {(r["document"], r["entry_id"]) for r in run("document_audit")} == {(d, f"E{n}") for d, n in number.items()}
     even = {d: n for d, n in number.items() if int(d) % 2 == 0}
     assert {(r["document"], r["detail"]) for r in run("writer_problems")} >= {(d, f"src-{n}") for d, n in even.items()}
+
+
+ADDED = """# Book
+
+## E0001 — Garden gate repair
+The original letter is not available.
+
+### Later addition
+Seeds were sown in the kitchen window boxes 🌱.
+
+### Notes
+Nothing.
+
+### Complement from an original message
+Straße of the garden.
+
+## E0002 — Seeds sown kitchen window
+
+### Plain heading
+Underlying text
+unavailable
+
+## E0003 — Kitchen window boxes with seeds sown early
+"""
+
+
+def test_audit_reads_later_additions(spark):
+    bundle = "<!-- BEGIN PRESERVED x_master.md -->\n## E0001 — A b\n"
+    df = spark.createDataFrame([("d", ADDED), ("b", bundle)], "document string, text string")
+    got = sorted((r["document"], r["code"], r["entry_id"], r["detail"]) for r in documents.audit(df).collect())
+    entry = ADDED[ADDED.index("## E0001") :]
+    start, end = entry.index("### Later"), entry.index("\n### Notes")
+    assert got == [
+        ("b", "preserved_bundle", None, None),
+        ("d", "possible_misplaced_addition", "E0001", f'{{"candidate_entries":["E0002","E0003"],"start":{start},"end":{end}}}'),
+        ("d", "possibly_stale_source_limit", "E0001", None),
+        ("d", "whole_entry_reconciliation", "E0001", None),
+    ]
+    found = documents.entries(df, documents.lines(df))
+    text = {(r["document"], r["entry_id"]): r["text"] for r in found.collect()}
+    placed = documents.additions(found).collect()
+    assert len(placed) == 2 and all(text[r["document"], r["entry_id"]][r["start"] : r["end"]] == r["text"] for r in placed)
