@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 MAX_REMEMBERED = 100_000
+#: Characters of a secret that are permuted at once; a network's half takes at most 512 bits.
+SECRET_PART = 128
 
 
 class Feistel:
@@ -66,9 +68,11 @@ def _alphabets(text: str, hexadecimal: bool = False) -> list[str]:
 
 def _permute(key: bytes, kind: str, text: str, back: bool, valid: Callable[[str], bool] = lambda _: True, hexadecimal: bool = False) -> str:
     """Permutes the texts of this text's format (its characters' classes and what stays)."""
-    alphabets = _alphabets(text, hexadecimal)
-    size = number = 1
-    number = 0
+    return _permute_by(key, kind, text, _alphabets(text, hexadecimal), back, valid)
+
+
+def _permute_by(key: bytes, kind: str, text: str, alphabets: list[str], back: bool, valid: Callable[[str], bool] = lambda _: True) -> str:
+    size, number = 1, 0
     for c, a in zip(text, alphabets, strict=True):
         size *= len(a)
         number = number * len(a) + (a.index(c) if len(a) > 1 else 0)
@@ -134,7 +138,13 @@ def _ip(key: bytes, text: str, back: bool) -> str | None:
 def _ipv6(key: bytes, text: str, back: bool) -> str | None:
     plain = text.replace(":", "")
     plain = plain if plain in (plain.lower(), plain.upper()) else plain.lower()
-    new = iter(_permute(key, f"ipv6{[len(g) for g in text.split(':')]}", plain, back, hexadecimal=True))
+    short = "::" in text
+    if short and (len([g for g in text.split(":") if g]) > 7 or not re.search(r"\d", plain)):
+        return None
+    # a short one keeps a digit, as words like dead::beef are left, and capitals stay capitals: so the way back is clear
+    capital = bool(re.search("[A-F]", plain))
+    valid = lambda t: not short or (bool(re.search(r"\d", t)) and (not capital or bool(re.search("[A-F]", t))))
+    new = iter(_permute(key, f"ipv6{[len(g) for g in text.split(':')]}", plain, back, valid, hexadecimal=True))
     return "".join(c if c == ":" else next(new) for c in text)
 
 
@@ -172,22 +182,27 @@ def _date(key: bytes, text: str, back: bool) -> str | None:
         d = date.fromordinal(y + _FIRST)
         parts = (d.month, d.day) if month_first else (d.day, d.month)
         values = iter((d.year, *parts) if at == 0 else (*parts, d.year))
-        return re.sub(r"\d+", lambda m: str(next(values)).zfill(4 if len(m[0]) == 4 else 2), text)
+        return re.sub(r"\d+", lambda m: str(next(values)).zfill(len(m[0])), text)
 
-    if any(len(n) == 1 for n in numbers):
-        return None
+    # a field of one digit stays one
+    form = [len(n) for n in numbers]
+    kept = lambda y: 1 not in form or [len(n) for n in re.findall(r"\d+", spell(y))] == form
+    tweak = f"date{at}{month_first}" + (str(form) if 1 in form else "")
     # a day over 12 shows that the day comes first: such dates stay among themselves, so the way back is clear
     shows = "/" in text and at == 2 and not month_first
-    return spell(Feistel(key, _LAST - _FIRST + 1, f"date{at}{month_first}").apply(x - _FIRST, back, lambda y: not shows or date.fromordinal(y + _FIRST).day > 12))
+    return spell(Feistel(key, _LAST - _FIRST + 1, tweak).apply(x - _FIRST, back, lambda y: kept(y) and (not shows or date.fromordinal(y + _FIRST).day > 12)))
 
 
 def _phone(key: bytes, text: str, back: bool) -> str | None:
     digits = _only_digits(text)
     marks = sum(text.count(c) for c in " .-") + 2 * text.count("(") + 2 * text.startswith("+")
-    if not 9 <= len(digits) <= 15 or marks < 2:
+    # a national number is known by its leading 0, which stays; others don't get one
+    zero = not text.startswith("+") and digits.startswith("0")
+    if not 9 <= len(digits) <= 15 or marks + text.count("/") + zero < 2 or (zero and marks + text.count("/") < 1):
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .\-(])|", text)[0]
-    return head + _permute(key, f"phone{head}", text[len(head) :], back)
+    head = re.match(r"\+\d{1,3}(?=[ .\-/(])|\(?0|", text)[0]
+    valid = lambda t: bool(head) or not _only_digits(t).startswith("0")
+    return head + _permute(key, f"phone{head}", text[len(head) :], back, valid)
 
 
 def _email(key: bytes, text: str, back: bool) -> str | None:
@@ -198,20 +213,28 @@ def _email(key: bytes, text: str, back: bool) -> str | None:
 def _secret(key: bytes, text: str, back: bool) -> str | None:
     if not (re.search(r"\d", text) and re.search(r"[A-Za-z]", text)):
         return None
-    return _permute(key, "secret", text, back, hexadecimal=True)
+    # longer ones by parts, each under a key of its own from the parts before it in clear
+    alphabets, out, clear = _alphabets(text, True), [], hashlib.sha256(b"")
+    for i in range(0, len(text), SECRET_PART):
+        part = text[i : i + SECRET_PART]
+        new = _permute_by(key, f"secret{clear.hexdigest() if i else ''}", part, alphabets[i : i + SECRET_PART], back)
+        clear.update((new if back else part).encode())
+        out.append(new)
+    return "".join(out)
 
 
 #: Kinds in the order in which they are tried at a place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str, bool], str | None]]] = {
     "email": (r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![\w\-])", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    "secret": (r"(?<![A-Za-z0-9])[A-Za-z0-9_\-]{20,128}(?![A-Za-z0-9_\-])", _secret),
+    "secret": (r"(?<![A-Za-z0-9])(?<![_\-]{2})(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{20,}", _secret),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _ip),
-    "ipv6": (r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", _ipv6),
-    "date": (r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/]|\.\d)", _date),
+    "ipv6": (r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?!\.\d))(?![\w:])", _ipv6),
+    "date": (r"(?<![\d\-/.])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d\-/]|\.\d)", _date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
     "card": (r"(?<![\d])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", _card),
-    "phone": (r"(?<![\w+])\+\d{9,15}(?!\w|\.\d)|(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])(?:\d{2,4}[ .\-]){0,4}\d{3,4}(?!\w|\.\d)", _phone),
+    # unspaced; international, the first group of one digit too; with a leading 0, groups of two or more; three groups or more
+    "phone": (r"(?<![\w+])\+\d{9,15}(?!\w|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-/]\d(?=[ .\-/]))?(?:[ .\-/](?=\d\d)\d|\d){5,12}(?!\w|\.\d)|(?<![\w+])(?<!\d[.,\-/])(?=\(?0\d)(?!\d\d[.\-/]\d\d[.\-/]\d{4}(?!\d))\(?\d(?:\)?[ .\-/](?=\d\d)\d|\)?\d){8,14}(?!\w|\.\d)|(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])(?:\d{2,4}[ .\-]){0,4}\d{3,4}(?!\w|\.\d)", _phone),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 _HINT = re.compile(r"[0-9@]")
