@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 PACKET_CHARS = 1000
+#: Event ids whose headings one window orders; only the blocks' first headings are ordered as a whole.
+SECTION_BLOCK = 1 << 16
 
 
 def query(sql: str | None = None):
@@ -444,13 +446,18 @@ def protected_blocks_lost(spark, sf_dir):
     e as (select a.start, min(b.start) as stop from h a left join h b on b.start > a.start and b.start <= a.start + 40 and b.level <= a.level group by 1)
     select start, coalesce(stop, start + 50)::bigint as "end" from e""")
 def section_ends(spark, sf_dir):
-    """Sections end at the next heading of their level or a higher one (within 40 places here; sections are shorter)."""
+    """Sections end at the next heading of their level or a higher one, however far on; the last ones after 50 places."""
     h = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("start"), (1 + F.col("event_id") % 3).alias("level"))
-    # the range join as an equi-join on blocks of 40
-    own = h.select("start", "level", F.explode(F.array(F.floor(F.col("start") / 40), F.floor(F.col("start") / 40) + 1)).alias("block"))
-    later = h.select(F.col("start").alias("next"), F.col("level").alias("next_level"), F.floor(F.col("start") / 40).alias("block"))
-    found = own.join(later, "block", "left").where("next > start and next <= start + 40 and next_level <= level").groupBy("start").agg(F.min("next").alias("next"))
-    return h.select("start").join(found, "start", "left").select("start", F.coalesce("next", F.col("start") + 50).alias("end"))
+    blocks = h.withColumn("block", F.floor(F.col("start") / SECTION_BLOCK))
+    # the next heading of each level or a higher one in the row's block, else the first of the blocks after it
+    first = lambda k: F.min(F.when(F.col("level") <= k, F.col("start")))
+    within = Window.partitionBy("block").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    own = blocks.select("*", *[first(k).over(within).alias(f"own{k}") for k in (1, 2, 3)])
+    heads = blocks.groupBy("block").agg(*[first(k).alias(f"first{k}") for k in (1, 2, 3)])
+    after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = heads.select("block", *[F.min(f"first{k}").over(after).alias(f"later{k}") for k in (1, 2, 3)])
+    following = F.coalesce(*[F.when(F.col("level") == k, F.coalesce(f"own{k}", f"later{k}")) for k in (1, 2, 3)])
+    return own.join(later, "block").select("start", F.coalesce(following, F.col("start") + 50).alias("end"))
 
 
 @query("""select event_id, case when s is null then 'missing' when regexp_matches(s, '^-?\\d+(\\.\\d+)?$') or regexp_matches(s, 'Z$') then 'valid' else 'invalid' end as state

@@ -1,5 +1,7 @@
 """Queries and operators do the whole job where the driver's tables don't show it."""
 
+import random
+
 from attestry.operators import documents
 from attestry.plans.queries import QUERIES
 
@@ -57,3 +59,11 @@ def test_audit_reads_later_additions(spark):
     text = {(r["document"], r["entry_id"]): r["text"] for r in found.collect()}
     placed = documents.additions(found).collect()
     assert len(placed) == 2 and all(text[r["document"], r["entry_id"]][r["start"] : r["end"]] == r["text"] for r in placed)
+
+
+def test_section_ends_over_gaps(spark, tmp_path):
+    rng = random.Random(2)
+    ids = sorted(rng.sample(range(0, 3_000_000, 10), 400)) + [9_000_000, 9_000_030]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = {i: next((j for j in ids if j > i and j % 3 <= i % 3), i + 50) for i in ids}
+    assert {r["start"]: r["end"] for r in QUERIES["section_ends"](spark, str(tmp_path)).collect()} == want
