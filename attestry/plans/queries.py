@@ -275,8 +275,12 @@ def exact_quotes(spark, sf_dir):
     # a generator of one row computes the words once
     grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 6, F.lit(2))), lambda i: F.xxhash64(F.slice(w, i, 5))))
     split = lambda df, c: df.withColumn("words", F.explode(F.array(words(F.col(c)))))
-    keys = split(b, "quote").select("item_id", "quote", F.element_at(grams(F.col("words")), 1).alias("gram"))
+    items = split(b, "quote")
+    keys = items.where("size(words) >= 8").select("item_id", "quote", F.element_at(grams(F.col("words")), 1).alias("gram"))
     found = split(d, "text").select("doc_id", "text", F.explode(grams(F.col("words"))).alias("gram")).join(keys, "gram").where(F.contains("text", "quote"))
+    # shorter quotes have no five whole words at a sure place: each text is searched for each of them
+    short = items.where("size(words) < 8").select("item_id", "quote")
+    found = found.select("doc_id", "text", "item_id", "quote").unionByName(d.join(F.broadcast(short), F.contains("text", "quote")).select("doc_id", "text", "item_id", "quote"))
     quotes = found.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"), "quote", "text").withColumn("end", F.col("start") + F.length("quote"))
     check = F.when(T.span(F.col("text"), F.col("start"), F.col("end")) == F.col("quote"), "exact").otherwise("text_mismatch")
     return quotes.select("item_id", "doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), check.alias("check"))

@@ -67,3 +67,16 @@ def test_section_ends_over_gaps(spark, tmp_path):
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     want = {i: next((j for j in ids if j > i and j % 3 <= i % 3), i + 50) for i in ids}
     assert {r["start"]: r["end"] for r in QUERIES["section_ends"](spark, str(tmp_path)).collect()} == want
+
+
+def test_short_quotes(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    docs = [(1, text), (2, "five six seven"), (3, "un" + text + "th"), (4, None), (5, "other words")]
+    words = text.split(" ")
+    quotes = [" ".join(words[i : i + n]) for n in range(1, 11) for i in range(11 - n)] + ["ive six", "s", "absent", " two ", "ne two three four five six sev"]
+    items = list(enumerate(quotes))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((i, d, t.index(q), t.index(q) + len(q), "exact") for i, q in items for d, t in docs if t and q in t)
+    got = QUERIES["exact_quotes"](spark, str(tmp_path)).select("item_id", "doc_id", "start", "end", "check").collect()
+    assert sorted(map(tuple, got)) == want
