@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestry.llm import toxicity
 from attestry.llm.fingerprint import edited_fingerprints
 from attestry.llm.langid import fit, identify
-from attestry.llm.line_dedup import line_dedup, lines_of
+from attestry.llm.line_dedup import line_dedup
 from attestry.llm.mixing import mixing_rates
 from attestry.llm.ngram_join import ngram_join
 from attestry.llm.oracles import ORACLE_SQL
@@ -60,7 +60,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = line_dedup(docs.withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long")))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    found = line_dedup(docs.withColumn("n_lines", (F.coalesce(breaks, F.lit(0)) + 1).cast("long")))
     lost = F.aggregate(F.transform("_bitmap", lambda x, i: F.when(i % 2 == 1, x).otherwise(0)), F.lit(0), lambda a, x: a + x)
     return found.select(
         "doc_id",

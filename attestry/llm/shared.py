@@ -1,4 +1,4 @@
-"""Places and graph helpers that several operators share."""
+"""Places, joins and graph helpers that several operators share."""
 
 from __future__ import annotations
 
@@ -11,26 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Rows of one key that a task of spread_join() or of a stream takes at least, and how many keys can have more.
+ROWS, MOST_HOT = 2_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one of this process."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder;
+    a cluster's executors have no folder in common then, so it is refused there."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if set_:
         return set_
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="attestry-"))
     return _own[0]
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *used: DataFrame) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: the lineage is cut, and a lost executor costs no more
-    than a reread. The files go when the driver ends."""
+    than a reread. ``used`` are tables of earlier calls that nothing reads after this; their files go at once, the
+    others' when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/attestry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attestry_path = path
+    discard(*used)
+    return out
+
+
+def discard(*used: DataFrame) -> None:
+    """Deletes the files of tables that materialise() wrote and nothing will read any more."""
+    for df in used:
+        if path := getattr(df, "_attestry_path", None):
+            _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -43,17 +59,38 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are."""
+    return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def hot_keys(rows: DataFrame, keys: list[str], least: int = ROWS, total: int | None = None) -> tuple[DataFrame, int]:
+    """(keys, salts) of the keys that have more than ``most`` of the rows, and ``most``: over how many tasks to spread
+    each. ``most`` grows with the table so that fewer than MOST_HOT keys can have more, which bounds their broadcast.
+    ``rows`` is read more than once: give a written table."""
+    total = rows.count() if total is None else total
+    most = max(least, -(-total // MOST_HOT))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    return counted.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), most
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", least: int = ROWS) -> DataFrame:
+    """``many`` joined on ``key`` with ``one``, which has at most one row for each key. The rows of a key that a large
+    part of ``many`` has are dealt over as many tasks as their number asks for, by the hash of ``spread``; the row of
+    ``one`` goes to each. ``many`` is read more than once: give a written table. Null keys meet nothing."""
+    hot, _ = hot_keys(many.where(F.col(key).isNotNull()), [key], least)
+    hot = F.broadcast(hot.withColumnRenamed("_salts", "_of"))
+    left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_of").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_of"))).otherwise(F.lit(0)).cast("int")).drop("_of")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_of"), F.lit(1)) - 1))).drop("_of")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are."""
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): each vertex with its component's least vertex, as (v, root).
 

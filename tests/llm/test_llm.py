@@ -151,13 +151,40 @@ def test_line_dedup(spark, rows):
     for i, t in rows:
         kept = [x for x in (t or "").split("\n") if not (len(k := x.strip(" \t\n\x0b\x0c\r").translate(low)) >= 40 and len(holders[k]) >= 5 and i < max(holders[k]))]
         want[i, "\n".join(kept)] += 1
-    out = line_dedup.line_dedup(table(spark, rows))
-    assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == want
+    # a line may be streamed whole or in parts
+    for spread in (2000, 3):
+        out = line_dedup.line_dedup(table(spark, rows), spread=spread)
+        assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == want
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
     m = spark.createDataFrame([([0, 2, 3, 1],)], "b array<int>").select(line_dedup.lost_positions(F.col("b"))).first()[0]
     assert m == [0, 1, 5]
 
 
+def test_line_dedup_edges(spark):
+    """Rows without an id hold no line and lose none; ids of any type; columns with the operator's own names stay."""
+    line = "A line of more than forty code points, found in many places"
+    names = [None, "a", "b", "c", "d", "e", "e"]
+    docs = spark.createDataFrame([(n, f"{i}\n{line}\n{line} \nx", "kept") for i, n in enumerate(names)] + [("z", None, "kept")], "id string, text string, runs string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("doc", "row", "_bitmap", "_docs", "_salt", "h", "g")})
+    for spread in (2000, 2):
+        out = line_dedup.line_dedup(docs, id_col="id", spread=spread)
+        assert out.columns == [c for c in docs.columns if c != "_bitmap"] + ["_bitmap"]
+        got_ = sorted(((r["id"] or ""), r["text"], r["_bitmap"]) for r in out.collect())
+        whole = lambda i: f"{i}\n{line}\n{line} \nx"
+        assert got_ == [("", whole(0), None)] + [(n, f"{i}\nx", [1, 2]) for i, n in enumerate("abcd", 1)] + [("e", whole(5), None), ("e", whole(6), None), ("z", None, None)]
+        assert {(r["doc"], r["row"], r["runs"], r["h"]) for r in out.collect()} == {("doc", "row", "kept", "h")}
+    long = [(i, "\n".join([line] * 3000 + [f"{i}"] + [line, "short"] * 2000)) for i in range(6)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table(spark, long), bitmap_col=None).collect()}
+    assert out == {i: "\n".join([f"{i}"] + ["short"] * 2000) if i < 5 else t for i, t in long}
+
+
+def test_line_dedup_streams_sorted_rows(spark, rows):
+    """One range exchange and its sort feed the windows; nothing is dealt by (h, g) again."""
+    found = line_dedup.line_rows(table(spark, rows), "doc_id", "text", 40)
+    plan = line_dedup.streamed(found, spark.createDataFrame([], "h long, g long, _salts int"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.count("hashpartitioning") == 0 and plan.count("Sort [") == 1 and plan.count("Window [") >= 1
+
+
 def test_quality(spark, rows):
     out = {(r["doc_id"], r["text"]): r for r in quality.quality_rules(table(spark, rows)).collect()}
     for i, t in rows:
