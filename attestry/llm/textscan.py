@@ -18,6 +18,7 @@ CHUNK_BYTES = 3_000_000
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _S = np.uint64(0xD6E8FEB86659FD93 | 1)
+_S2 = np.uint64(0xC6A4A7935BD1E995 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,15 +75,19 @@ class Scan:
             ok = np.arange(n) + k <= last
         return out, ok
 
-    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences start:stop; equal sequences have equal hashes wherever they stand."""
-        n = len(self.hashes)
+    def spans(self, start: np.ndarray, stop: np.ndarray, number: int = 0) -> np.ndarray:
+        """Hashes of the word sequences start:stop; equal sequences have equal hashes wherever they stand. Hashes by
+        another ``number`` (0 or 1) are independent."""
+        n, base = len(self.hashes), (_S, _S2)[number]
         if not hasattr(self, "_prefix"):
-            up, _ = _powers(_S, n + 1)
-            self._prefix = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.hashes * up[:n], out=self._prefix[1:])
-        _, down = _powers(_S, n + 1)
-        value = (self._prefix[stop] - self._prefix[start]) * down[start]
+            self._prefix = {}
+        if number not in self._prefix:
+            up, _ = _powers(base, n + 1)
+            prefix = self._prefix[number] = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((mix(self.hashes + _S) if number else self.hashes) * up[:n], out=prefix[1:])
+        _, down = _powers(base, n + 1)
+        prefix = self._prefix[number]
+        value = (prefix[stop] - prefix[start]) * down[start]
         return mix(value + (stop - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

@@ -86,6 +86,55 @@ def test_substring_dedup(spark, rows, empty):
     assert got(out) == want
 
 
+def test_substring_dedup_splits_anchors(spark, rows, monkeypatch):
+    """Anchors dealt out by edge give the same result as those dealt out whole."""
+    want = got(substring_dedup.substring_dedup(table(spark, rows), window=12, k=3))
+    monkeypatch.setattr(substring_dedup, "SHARE", 1.0)
+    monkeypatch.setattr(substring_dedup, "MANY", 2)
+    keyed = substring_dedup._keyed(table(spark, rows), "doc_id", "text")
+    assert len(substring_dedup._split_anchors(keyed, 12, 3)) > 3
+    assert got(substring_dedup.substring_dedup(table(spark, rows), window=12, k=3)) == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100_000])
+def test_streams_of_any_batch_size(size):
+    """classify() and matching() give the same rows however the stream is cut."""
+    rng = np.random.default_rng(6)
+    n = 400
+    deal = np.sort(rng.integers(0, 60, n)).astype(np.int64)
+    edge = deal * 100 + rng.integers(0, 3, n) * 2 + 1
+    order = np.lexsort((edge, deal))
+    after, before = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    start = np.arange(n)
+    columns = [deal[order], edge[order], after[order], before[order], start, (start * 256 + 3) * 8 + 1]
+
+    def batches(columns):
+        for at in range(0, n, size):
+            yield substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array(c[at : at + size]) for c in columns], names=[str(i) for i in range(len(columns))])
+
+    out = [tuple(r.values()) for b in substring_dedup.classify(batches(columns)) for r in b.to_pylist()]
+    edges, many = np.unique(edge, return_counts=True)
+    again = set(edges[many > 1].tolist())
+    kinds = Counter((edges // 100).tolist())
+    assert sorted((e, k) for kind, e, k, *_ in out if kind == 0) == sorted((int(e), int(k)) for e, k in zip(edge[order], start, strict=True) if e in again)
+    assert sorted(e for kind, e, *_ in out if kind == 1) == sorted(e for e in edges.tolist() if kinds[e // 100] > 1)
+    only = lambda x, e: x[edge == e][0] if len(set(x[edge == e].tolist())) == 1 else 0
+    assert sorted((e, nxt, b) for kind, e, _, _, nxt, b in out if kind == 2) == sorted((e, int(only(after, e)), int(only(before, e))) for e in again)
+    columns = [deal[order], edge[order], after[order], start, start, np.full(n, 5)]
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    found = sorted(r["key"] for b in substring_dedup.matching(batches(columns)) for r in b.to_pylist())
+    seen = Counter(zip(*(c.tolist() for c in columns[:3]), strict=True))
+    assert found == sorted(k for *x, k in zip(*(c.tolist() for c in columns[:4]), strict=True) if seen[tuple(x)] > 1)
+
+
+def test_paths(spark):
+    """Edges that agree on being each other's neighbour make one path, however long; others none."""
+    links = [(i, i + 1 if i < 150 else 0, i - 1 if i > 100 else 0, 3) for i in range(100, 151)] + [(7, 9, 0, 2), (8, 9, 0, 2), (9, 0, 0, 4), (20, 20, 20, 1)]
+    out = substring_dedup.paths(spark.createDataFrame(links, "edge long, next long, before long, windows long"))
+    assert {tuple(r) for r in out.collect()} == {(i, 100, 3 * (i - 100)) for i in range(101, 151)}
+
+
 @pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, ngram_join.BLOCK), (5, 80, 60), (1, 80, 40)])
 def test_ngram_join(spark, rows, n, percent, block):
     rows = [r for r in rows if r[0] is not None] + [(1000 + i, f"a b c d e f g h i j k l m n o p q r s t u v{i % 5} w{i % 3}") for i in range(25)]
