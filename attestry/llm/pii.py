@@ -33,7 +33,12 @@ class Feistel:
         self.keys = [hashlib.blake2b(f"{i}|{size}|{tweak}".encode(), key=hashlib.sha256(key).digest()).digest()[:32] for i in range(ROUNDS)]
 
     def _f(self, i: int, x: int) -> int:
-        return int.from_bytes(hashlib.blake2b(x.to_bytes(64, "big"), key=self.keys[i]).digest(), "big") & self.mask
+        data = x.to_bytes(max(64, -(-self.half // 8)), "big")
+        out = hashlib.blake2b(data, key=self.keys[i]).digest()
+        # a wider half takes further digests, by counter
+        for n in range(1, -(-self.half // 512)):
+            out += hashlib.blake2b(data + n.to_bytes(8, "big"), key=self.keys[i]).digest()
+        return int.from_bytes(out, "big") & self.mask
 
     def _once(self, x: int, back: bool) -> int:
         left, right = x >> self.half, x & self.mask
@@ -110,11 +115,8 @@ def _only_digits(text: str) -> str:
 
 def _card(key: bytes, text: str, back: bool) -> str | None:
     digits = _only_digits(text)
-    good = luhn(digits)
-    if not good and digits != text:
+    if not luhn(digits):
         return None
-    if not good:
-        return _permute(key, "number", digits, back, lambda d: not luhn(d))
     head = _permute(key, "card", digits[:-1], back)
     return _fill(text, next(head + c for c in _DIGITS if luhn(head + c)))
 
@@ -200,29 +202,48 @@ def _phone(key: bytes, text: str, back: bool) -> str | None:
     zero = not text.startswith("+") and digits.startswith("0")
     if not 9 <= len(digits) <= 15 or marks + text.count("/") + zero < 2 or (zero and marks + text.count("/") < 1):
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .\-/(])|\(?0|", text)[0]
-    valid = lambda t: bool(head) or not _only_digits(t).startswith("0")
-    return head + _permute(key, f"phone{head}", text[len(head) :], back, valid)
+    # the country's code or the leading 0 stays; all other digits are one number, whatever stands between them
+    head = _country_code(digits) if text.startswith("+") else "0" if zero else ""
+    valid = lambda t: bool(head) or not t.startswith("0")
+    return _fill(text, head + _permute(key, f"phone{'+' * text.startswith('+')}{head}", digits[len(head) :], back, valid))
 
 
-def _email(key: bytes, text: str, back: bool) -> str | None:
-    name, _, top = text.rpartition(".")
-    return _permute(key, "email", name, back) + "." + top
+#: The country codes of one and of two digits; all others have three.
+_ONE_DIGIT = "1 7".split()
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
-def _secret(key: bytes, text: str, back: bool) -> str | None:
-    if not (re.search(r"\d", text) and re.search(r"[A-Za-z]", text)):
-        return None
-    # longer ones by parts, each under a key of its own from the parts before it in clear
-    alphabets, out, clear = _alphabets(text, True), [], hashlib.sha256(b"")
+def _country_code(digits: str) -> str:
+    return digits[: 1 if digits[0] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3]
+
+
+def _by_parts(key: bytes, kind: str, text: str, alphabets: list[str], back: bool, valid: Callable[[str], bool] = lambda _: True) -> str:
+    """Long texts by parts, each under a key of its own from the parts before it in clear; ``valid`` is for a short one."""
+    out, clear = [], hashlib.sha256(b"")
     for i in range(0, len(text), SECRET_PART):
         part = text[i : i + SECRET_PART]
-        new = _permute_by(key, f"secret{clear.hexdigest() if i else ''}", part, alphabets[i : i + SECRET_PART], back)
+        whole = valid if len(text) <= SECRET_PART else lambda _: True
+        new = _permute_by(key, f"{kind}{clear.hexdigest() if i else ''}", part, alphabets[i : i + SECRET_PART], back, whole)
         clear.update((new if back else part).encode())
         out.append(new)
     return "".join(out)
 
 
+def _email(key: bytes, text: str, back: bool) -> str | None:
+    name, _, top = text.rpartition(".")
+    return _by_parts(key, "email", name, _alphabets(name), back) + "." + top
+
+
+def _mixed(text: str) -> bool:
+    """Twelve characters or more in parts that mix letters and digits: prose with hyphens and a year has none."""
+    parts = re.split(r"[_\-]", text)
+    return sum(len(p) for p in parts if re.search(r"\d", p) and re.search(r"[A-Za-z]", p)) >= 12
+
+
+def _secret(key: bytes, text: str, back: bool) -> str | None:
+    return _by_parts(key, "secret", text, _alphabets(text, True), back, _mixed) if _mixed(text) else None
+
+
 #: Kinds in the order in which they are tried at a place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str, bool], str | None]]] = {
     "email": (r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![\w\-])", _email),
@@ -285,7 +306,9 @@ class Pseudonymiser:
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """Rows (id, text, n_<kind> for each kind): whole texts with pseudonyms. One row per input row, in no shuffle.
 
-    A null text stays null, with zero counts; other columns are ignored, whatever their names. ``back`` undoes it.
+    A null text stays null, an empty one empty, with zero counts; null ids stay. Rows that repeat an id or everything are
+    replaced each for itself, alike for equal texts; an empty table gives no rows. Other columns are ignored, whatever
+    their names. ``back`` undoes it.
     """
     kind = dict(docs.select(F.col(id_col).alias("doc")).dtypes)["doc"]
 

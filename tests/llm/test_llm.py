@@ -317,11 +317,12 @@ def test_pii(spark):
     text = "a.b@x7.example.com +1 (017) 555-7713 97.51.17.173 4111 1111 1111 1111 4111111111111112 2021-03-04 31/12/1999 12/31/1999 123-45-6789 DE89370400440532013000 token=\"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 999.1.1.1 v2.0. 17 words"
     docs = table(spark, [(1, text), (2, text.upper()), (3, None), (4, ""), (None, "call +1 (017) 555-7713 97.51.17.173!")])
     out = {r["doc_id"]: r for r in pii.pseudonymise(docs, b"k").collect()}
-    for kind, n in (("email", 1), ("phone", 1), ("ip", 1), ("card", 2), ("date", 3), ("ssn", 1), ("iban", 1), ("secret", 1)):
+    for kind, n in (("email", 1), ("phone", 1), ("ip", 1), ("card", 1), ("date", 3), ("ssn", 1), ("iban", 1), ("secret", 1)):
         assert out[1][f"n_{kind}"] == n, kind
-    for secret in ("a.b@x7", "(017) 555-7713", "97.51.17.173", "4111 1111 1111 1111", "4111111111111112", "2021-03-04", "123-45-6789", "DE8937", "04dbebab"):
+    for secret in ("a.b@x7", "(017) 555-7713", "97.51.17.173", "4111 1111 1111 1111", "2021-03-04", "123-45-6789", "DE8937", "04dbebab"):
         assert secret not in out[1]["text"]
-    assert "999.1.1.1 v2.0. 17 words" in out[1]["text"]
+    # digits with a wrong check digit are no card
+    assert "4111111111111112" in out[1]["text"] and "999.1.1.1 v2.0. 17 words" in out[1]["text"]
     assert out[3]["text"] is None and out[4]["text"] == ""
     # linked across documents, and the key's owner can go back
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[1]["text"])[0]
