@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.llm import textscan
 
 ROLL = 7
 #: A signature at the smaller block size has about 32 to 64 characters and these at most.
 MOST, FEWEST = 160, 24
+#: Code points of a text that order the rows of one id.
+HEAD = 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 
 
@@ -113,37 +116,45 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints each text, and the text with its last quarter replaced by the start of the next document.
 
     Returns one row per input row: the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint,
-    near_edited, near_next. The next document is that of the next id (rows of one id in the order of their texts, null
-    ids before all others; after the last, the first). A null text is empty. Other columns are ignored.
+    near_edited, near_next. Ids are of any type that can be ordered. The next document is that of the next id (rows of one
+    id in the order of their texts' first HEAD code points, then of their texts' hashes; null ids before all others; after
+    the last, the first). A null text is empty. An empty table gives no rows. Other columns are ignored.
 
-    Texts are dealt once, into ranges of ids whose bounds are approximate quantiles; the first row of each range also
-    goes to the end of the range before, so every row meets its next one in a stream, and a range is never held whole.
+    Texts are dealt once, into ranges of (id, head, hash) whose bounds come from a sample of these keys; the first row of
+    each range also goes to the end of the range before, so every row meets its next one in a stream, and a range is never
+    held whole. So many rows of one id, or without an id, take several ranges; only rows alike in id and text share one.
     """
     spark = docs.sparkSession
     kind = dict(docs.select(F.col(id_col).alias("doc")).dtypes)["doc"]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = sorted(set(base.agg(F.percentile_approx("doc", shares, 20 * parts)).first()[0] or []))
-    holds = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
-    range_ = F.coalesce(F.size(F.filter(holds, lambda b: b < F.col("doc"))), F.lit(0))
-    firsts = base.select(range_.alias("range"), "doc").groupBy("range").agg(F.min("doc").alias("doc"), F.bool_or(F.col("doc").isNull()).alias("null"))
-    firsts = sorted((r["range"], None if r["null"] else r["doc"]) for r in firsts.collect())  # at most parts rows
-    if not firsts:
-        firsts = [(0, None)]
-    before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
-    ids = spark.createDataFrame([(r, d, before[r]) for r, d in firsts], f"range int, first {kind}, also int")
-    placed = base.withColumn("range", range_).join(F.broadcast(ids), "range")
-    also = F.when(F.col("doc").eqNullSafe(F.col("first")), F.col("also"))
+    base = base.withColumn("key", F.struct("doc", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash")))
+    key = base.schema["key"].dataType
+    # the sample only places the bounds
+    share = min(1.0, 50 * parts / max(base.count(), 1))
+    sample = [r["key"] for r in base.select("key").sample(share, seed=1).orderBy("key").collect()]
+    bounds = [tuple(sample[len(sample) * i // parts]) for i in range(1, parts)] if sample else []
+    bounds = list(dict.fromkeys(bounds))
+    literal = lambda k: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, key.fields, strict=True)])
+    holds = F.array(*[literal(k) for k in bounds]) if bounds else None
+    range_ = F.size(F.filter(holds, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    ranged = base.withColumn("range", range_)
+    firsts = ranged.groupBy("range").agg(F.min("key").alias("first")).orderBy("range").collect()  # at most parts rows
+    before = {r["range"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)}
+    ids = spark.createDataFrame([(r["range"], r["first"], before[r["range"]]) for r in firsts], StructType().add("range", "integer").add("first", key).add("also", "integer"))
+    placed = ranged.join(F.broadcast(ids), "range")
+    # of rows alike in the key, one goes before the range as its first row: which of them doesn't show
+    also = F.when(F.col("key") == F.col("first"), F.col("also"))
     dealt = (
         placed.select(
-            "doc",
+            "key",
             "text",
             F.explode(F.filter(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("tail")), F.struct(also.alias("range"), F.lit(True).alias("tail"))), lambda x: x["range"].isNotNull())).alias("at"),
         )
-        .select("doc", "text", "at.range", "at.tail")
-        .repartitionByRange(len(firsts), "range")
-        .sortWithinPartitions("range", "tail", F.col("doc").asc_nulls_first(), "text")
+        .select("key.doc", "text", "at.range", "at.tail", "key")
+        .repartitionByRange(max(1, len(firsts)), "range")
+        .sortWithinPartitions("range", "tail", "key")
+        .select("doc", "text", "range", "tail")
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
