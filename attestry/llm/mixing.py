@@ -7,8 +7,11 @@ least-squares problem: each step sums a few numbers over all documents and gives
 
 Steps are taken in the metric of the documents' tokens, where the gradient of a document is a sum over the domains of
 its posteriors. A step first tries the gap divided by the domains' matrix over the documents whose rate isn't 0 (which
-would close the gap if no rate met the bound); if that doesn't lessen the gap, the plain step of the weighed problem is
-taken, whose matrix has rows that sum to 1, so that its length 1 lessens the gap for every input.
+would close the gap if no rate met the bound); if that hardly lessens the gap, the plain step of the weighed problem and
+multiples of it are tried in one pass and the best is taken (the problem's matrix has rows that sum to 1, so that length 1
+lessens the gap for every input). Steps go on until the
+targets are met or the projected gradient is as good as 0, which marks the least-squares rates of targets that can't be
+met; the report says which, and how far the last gradient was from 0 where the steps ran out.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from attestry.llm.shared import materialise, row_key
 
 #: Steps between two written states, which bounds the expressions.
 CHAIN = 6
+#: Lengths of the steps that are tried where Newton's step fails; the first is the plain one.
+LENGTHS = tuple(2.0**i for i in range(10))
+#: Domains of a classifier; each is a column of the posteriors.
+MOST_DOMAINS = 100
 
 
 def _bin(x: Column, edges: tuple[float, ...]) -> Column:
@@ -84,11 +91,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fits the classifier on at most per_domain labelled ids of each domain (chosen by a hash of the id).
 
     Ids labelled more than once take their least domain; null ids and null domains are left out. For the domain
-    ``focus`` it also learns word starts of four letters that its documents have and others lack. Without any labelled
-    document there is one domain, ``all``.
+    ``focus`` it also learns word starts of four letters that its documents have and others lack, the ``most_starts``
+    that tell most. Without any labelled document there is one domain, ``all``. More than MOST_DOMAINS are refused. Of
+    rows that repeat an id the least text counts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(F.col(id_col).alias("_doc")).agg(F.min(domain_col).alias("_domain"))
-    shares = {r["_domain"]: r["n"] for r in known.groupBy("_domain").agg(F.count("*").alias("n")).orderBy("_domain").limit(100).collect()}
+    shares = {r["_domain"]: r["n"] for r in known.groupBy("_domain").agg(F.count("*").alias("n")).orderBy("_domain").limit(MOST_DOMAINS + 1).collect()}
+    if len(shares) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
     if not shares:
         return DomainModel(["all"], {"all": 0.0}, {}, [])
     domains = sorted(shares)
@@ -96,7 +106,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     for d in domains:
         some = known.where(F.col("_domain") == d).orderBy(F.xxhash64("_doc"), "_doc").limit(per_domain)
         ids = some if ids is None else ids.unionByName(some)
-    sample = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), "_doc").select("_text", "_domain")
+    sample = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), "_doc").groupBy("_doc", "_domain").agg(F.min("_text").alias("_text")).select("_text", "_domain")
     count = {r["_domain"]: r["n"] for r in sample.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     domains = [d for d in domains if count.get(d)]
     if not domains:
@@ -144,20 +154,25 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][k] / rows[i][i] for i in range(k)]
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, anchor: str | None = None, steps: int = 24, tolerance: float = 1e-6) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, anchor: str | None = None, steps: int = 60, tolerance: float = 1e-6) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """Adds _rate to rows with _tokens and _p, and returns each domain's target and fitted total.
 
     The target of a domain is its share of ``weights`` (of the domains there are, rescaled to 1) times ``total`` tokens;
-    by default the tokens there are, or such that the domain ``anchor`` keeps what it has. Where targets can't be met the
-    rates are the least-squares ones that ``steps`` steps reach. Documents without tokens keep the rate 1.
+    by default the tokens there are, or such that the domain ``anchor`` keeps what it has. Documents that belong to the
+    anchor by a posterior of one half or more keep the rate 1; the others are fitted around them. Documents without tokens
+    keep the rate 1. The report's ``gradient`` is the domain's part of the projected gradient at the end (0 within
+    ``tolerance`` unless ``steps`` ran out); a domain whose fitted total isn't its target can't have more, or less.
     """
     k = len(domains)
     p = [F.get("_p", F.lit(i)) for i in range(k)]
     cells = [(i, j) for i in range(k) for j in range(i, k)]
+    fixed = F.col("_tokens") == 0
+    if anchor in domains:
+        fixed = fixed | (p[domains.index(anchor)] >= 0.5)
 
     def measure(frame: DataFrame, rate: Column) -> tuple[list[float], list[list[float]]]:
-        """The domains' totals, and their matrix over documents whose rate is above 0."""
-        live = F.when(rate > 0, F.col("_tokens")).otherwise(F.lit(0))
+        """The domains' totals, and their matrix over documents whose rate is free and above 0."""
+        live = F.when((rate > 0) & ~F.col("_fixed"), F.col("_tokens")).otherwise(F.lit(0))
         row = frame.agg(*[F.sum(rate * F.col("_tokens") * x) for x in p], *[F.sum(live * p[i] * p[j]) for i, j in cells]).first()
         values = [float(x or 0.0) for x in row]
         matrix = [[0.0] * k for _ in range(k)]
@@ -165,7 +180,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             matrix[i][j] = matrix[j][i] = x
         return values[:k], matrix
 
-    state, rate = members.withColumn("_rate", F.lit(1.0)), F.col("_rate")
+    state, rate = members.withColumn("_rate", F.lit(1.0)).withColumn("_fixed", fixed), F.col("_rate")
     now, matrix = measure(state, rate)
     natural = now
     share = [max(0.0, weights.get(d, 0.0)) if natural[i] > 0 else 0.0 for i, d in enumerate(domains)]
@@ -178,24 +193,46 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             total = natural[domains.index(anchor)] / share[domains.index(anchor)]
     target = [x * total for x in share]
     loss = lambda s: sum((x - t) ** 2 / n for x, t, n in zip(s, target, natural, strict=True) if n > 0)
-    depth, plain = 0, False
-    for _ in range(steps):
-        gap = [s - t for s, t in zip(now, target, strict=True)]
-        if all(abs(g) <= tolerance * max(n, 1.0) for g, n in zip(gap, natural, strict=True)):
-            break
-        down = [g / n if n > 0 else 0.0 for g, n in zip(gap, natural, strict=True)] if plain else _solve(matrix, gap)
-        moved = F.when(F.col("_tokens") > 0, F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(d)) for x, d in zip(p, down, strict=True)), F.lit(0.0)))).otherwise(F.lit(1.0))
+
+    def slope(s: list[float]) -> list[float]:
+        """The plain step of the weighed problem: by how much a document's rate falls, per posterior of each domain."""
+        return [(x - t) / n if n > 0 else 0.0 for x, t, n in zip(s, target, natural, strict=True)]
+
+    def apply(x: list[float]) -> Column:
+        lower = rate - sum((a * F.lit(float(d)) for a, d in zip(p, x, strict=True)), F.lit(0.0))
+        return F.when(F.col("_fixed"), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), lower))
+
+    def met(s: list[float]) -> bool:
+        return all(abs(x - t) <= tolerance * max(n, 1.0) for x, t, n in zip(s, target, natural, strict=True))
+
+    taken, depth, left = 0, 0, [0.0] * k
+    while not met(now) and taken < steps:
+        moved = apply(_solve(matrix, [s - t for s, t in zip(now, target, strict=True)]))
         then, after = measure(state, moved)
-        if not plain and loss(then) >= loss(now):
-            plain = True
-            continue
-        plain = False
-        rate, now, matrix, depth = moved, then, after, depth + 1
+        if loss(then) > 0.9 * loss(now):
+            # one pass over the documents tries the plain step and longer ones along the projected gradient
+            down = slope(now)
+            trials = [apply([length * x for x in down]) for length in LENGTHS]
+            row = [float(x or 0.0) for x in state.agg(*[F.sum(t * F.col("_tokens") * x) for t in trials for x in p]).first()]
+            found = [row[i * k : (i + 1) * k] for i in range(len(trials))]
+            # the totals that the plain step still moves are the projected gradient
+            left = [x - y for x, y in zip(found[0], now, strict=True)]
+            if all(abs(x) <= 10 * tolerance * max(n, 1.0) for x, n in zip(left, natural, strict=True)):
+                left = [0.0] * k
+                break
+            best = min(range(len(trials)), key=lambda i: loss(found[i]))
+            if loss(found[best]) <= loss(then):
+                moved = trials[best]
+                then, after = measure(state, moved)
+        rate, now, matrix, depth, taken = moved, then, after, depth + 1, taken + 1
         if depth == CHAIN:
-            state = materialise(state.withColumn("_rate", rate))
+            # the first state is the caller's, the others are this function's own
+            state = materialise(state.withColumn("_rate", rate), *([state] if taken > CHAIN else []))
             rate, depth = F.col("_rate"), 0
-    report = {d: {"natural": natural[i], "target": target[i], "fitted": now[i]} for i, d in enumerate(domains)}
-    return state.withColumn("_rate", rate), report
+    if met(now):
+        left = [0.0] * k
+    report = {d: {"natural": natural[i], "target": target[i], "fitted": now[i], "gradient": left[i]} for i, d in enumerate(domains)}
+    return state.withColumn("_rate", rate).drop("_fixed"), report
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total: float | None = None, anchor: str | None = None, per_domain: int = 3000) -> tuple[DataFrame, dict[str, dict[str, float]]]:
@@ -218,18 +255,17 @@ def _fitted(docs, labels, weights, id_col, text_col, domain_col, total, anchor,
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", total: float | None = None, anchor: str | None = None, per_domain: int = 3000) -> DataFrame:
     """``docs`` with each row as often as its fitted rate says, see copies(); rows of copies 0 are gone. Rows with equal
-    id and text have equal rates. A column ``_key`` or ``_copies`` is refused; all others may be there."""
-    if {"_key", "_copies"} & set(docs.columns):
-        raise ValueError("docs has a column _key or _copies")
+    id and text have equal rates and copies; a null text has no tokens and stays once, a null id is an id like others; an
+    empty table gives no rows. Columns keep their names and values, whatever they are."""
     fitted = _fitted(docs, labels, weights, id_col, text_col, domain_col, total, anchor, per_domain)[1]
     counts = fitted.groupBy("_key").agg(F.max("_rate").alias("_rate")).select("_key", copies(F.col("_rate"), F.col("_key")).alias("_copies")).where("_copies > 0")
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(counts.hint("shuffle_hash"), "_key")
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_copies")
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_docs"), row_key(id_col, text_col).alias("_key"))
+    joined = held.join(counts.hint("shuffle_hash"), "_key").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.select(*[F.col("_docs")[c].alias(c) for c in docs.columns])
 
 
-def copies(rate: Column, key: Column, snap: float = 0.05) -> Column:
-    """Whole copies of a document: the rate rounded up or down by a hash of the key so that the mean is the rate; rates
-    within ``snap`` of a whole number are that number, so documents meant to stay are never lost by chance."""
-    whole = F.round(rate)
+def copies(rate: Column, key: Column) -> Column:
+    """Whole copies of a document: the rate rounded up or down by a hash of the key, so that the mean is the rate. A rate
+    of 1 is one copy for certain."""
     chance = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1_000_003)) / 1_000_003
-    return F.when(F.abs(rate - whole) <= snap, whole).otherwise(F.floor(rate + chance)).cast("int")
+    return F.floor(rate + chance).cast("int")
