@@ -9,6 +9,7 @@ person raises it. A logistic model over the counts gives the score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -205,11 +206,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc")
 
 
-def learn_terms(sample: DataFrame, least_share: float = 0.004, least: int = 4, purity: float = 0.97, most: int = 2000) -> list[Term]:
+def learn_terms(sample: DataFrame, least_share: float = 0.004, least: int = 4, purity: float = 0.97) -> list[Term]:
     """Stems and words that toxic documents have and others hardly do.
 
-    Counts documents by each prefix of 4 to 12 letters of their words. Of the prefixes of enough purity the shortest are
-    kept, then lengthened as long as they lose no document. A term is a whole word if nearly all its documents end there.
+    Counts the sample's distinct texts by each prefix of 4 to 12 letters of their words. Of the prefixes of enough purity
+    the shortest are kept, then lengthened as long as they lose no document. A term is a whole word if nearly all its
+    documents end there. Every prefix in ``least`` toxic texts and ``least_share`` of them or more is taken; the sample's
+    bound is theirs.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)))
     prefixes = F.flatten(
@@ -221,14 +224,14 @@ def learn_terms(sample: DataFrame, least_share: float = 0.004, least: int = 4, p
             ),
         )
     )
-    total = sample.groupBy("y").agg(F.count("*").alias("n")).collect()
-    n = {r["y"]: r["n"] for r in total}
+    # copies of one text say no more than one
+    distinct = sample.where("text is not null").groupBy("text").agg(F.max("y").alias("y"))
+    n = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return []
     floor = max(least, math.ceil(least_share * n[1]))
     counted = (
-        sample.where("text is not null")
-        .select("y", F.explode(F.array_distinct(prefixes)).alias("p"))
+        distinct.select("y", F.explode(F.array_distinct(prefixes)).alias("p"))
         .groupBy("p")
         .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
         .where((F.col("toxic") >= floor))
@@ -236,26 +239,27 @@ def learn_terms(sample: DataFrame, least_share: float = 0.004, least: int = 4, p
     # rates, so that the sample's balance doesn't matter
     share = F.col("toxic") / n[1]
     other = F.col("clean") / max(n.get(0, 0), 1)
-    pure = counted.where(share / (share + other) >= purity)
-    rows = {r["p"]: r["toxic"] for r in pure.orderBy(F.desc("toxic"), "p").limit(50 * most).collect()}
-    stems = [p for p in rows if not p.endswith("$") and p[:-1] not in rows]
+    rows = {r["p"]: r["toxic"] for r in counted.where(share / (share + other) >= purity).collect()}
+    longer: dict[str, list[str]] = {}
+    for p in rows:
+        if not p.endswith("$"):
+            longer.setdefault(p[:-1], []).append(p)
     terms = []
-    for p in sorted(stems, key=lambda p: (-rows[p], p)):
+    for p in sorted((p for p in rows if not p.endswith("$") and p[:-1] not in rows), key=lambda p: (-rows[p], p)):
         at = p
-        while True:
-            longer = [q for q in rows if len(q) == len(at) + 1 and q.startswith(at) and not q.endswith("$") and rows[q] >= 0.99 * rows[at]]
-            if not longer:
-                break
-            at = longer[0]
+        while following := [q for q in longer.get(at, ()) if rows[q] >= 0.99 * rows[at]]:
+            at = min(following)
         terms.append(Term(at, stem=rows.get(at + "$", 0) < 0.95 * rows[at]))
-    return terms[:most]
+    return terms
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000,
         least_gain: float = 0.004, max_noise: float = 0.004) -> Model:
-    """Learns lexicon, which terms may match misspelled, and the logistic weights from at most per_class rows of each
-    label; what comes to the driver is bounded by that. Without toxic rows the model scores every text alike, below one half."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+    """Learns lexicon, which terms may match misspelled, and the logistic weights from at most per_class ids of each
+    label; what comes to the driver is bounded by that. Without toxic rows the model scores every text alike, below one
+    half. Null ids and labels are left out; an id that labels repeat is toxic if one says so; of rows of docs that repeat
+    an id the least text counts."""
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class).groupBy("doc", "y").agg(F.min("text").alias("text"))
     terms = learn_terms(sample)
     if not terms:
         return Model([], np.array([-3.0, 0.0, 0.0]))
@@ -288,19 +292,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def cover(documents: list[list[int]], terms: int, least_gain: float) -> list[int]:
     """Terms chosen one by one for the toxic documents they explain: a document's k-th term counts 0.3 ** (k - 1). Words
-    that toxic documents merely share, as copies do, come too late to gain enough."""
+    that toxic documents merely share, as copies do, come too late to gain enough. Gains only fall, so a term's old gain
+    bounds its new one and few are counted anew at each choice."""
     where: list[list[int]] = [[] for _ in range(terms)]
     for d, own in enumerate(documents):
         for t in own:
             where[t].append(d)
-    left, kept, open_ = np.ones(len(documents)), [], set(range(terms))
-    while open_:
-        gain, best = max((float(left[where[t]].sum()), -t) for t in open_)
-        if gain < max(1.5, least_gain * len(documents)):
-            break
-        kept.append(-best)
-        left[where[-best]] *= 0.3
-        open_.discard(-best)
+    floor = max(1.5, least_gain * len(documents))
+    left, kept = np.ones(len(documents)), []
+    queue = [(-float(len(w)), t) for t, w in enumerate(where)]
+    heapq.heapify(queue)
+    while queue and -queue[0][0] >= floor:
+        _, t = heapq.heappop(queue)
+        gain = float(left[where[t]].sum())
+        if queue and (-gain, t) > queue[0]:
+            heapq.heappush(queue, (-gain, t))
+        elif gain >= floor:
+            kept.append(t)
+            left[where[t]] *= 0.3
     return kept
 
 
@@ -323,7 +332,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60)
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score, predicted (1 if score >= 0.5) and hits (lexicon hits, exact or misspelled); columns of these names
-    are replaced. A null text is scored as an empty one. Each row depends on its whole text alone."""
+    are replaced, others stay, whatever their names. A null text is scored as an empty one. Each row depends on its whole
+    text alone: repeated rows get equal results, a null id changes nothing, an empty table gives no rows."""
     own = [c for c in docs.columns if c not in ("score", "predicted", "hits")]
 
     @F.pandas_udf("score double, hits long")
@@ -332,5 +342,6 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
         return pd.DataFrame([model.score(t if isinstance(t, str) else None) for t in texts], columns=["score", "hits"])
 
-    found = docs.select(*own, run(F.col(text_col)).alias("_found"))
-    return found.select(*own, "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"), "_found.hits")
+    held = F.struct(*[F.col(c) for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    found = docs.select(held.alias("_docs"), run(F.col(text_col)).alias("_found"))
+    return found.select(*[F.col("_docs")[c].alias(c) for c in own], "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"), "_found.hits")
