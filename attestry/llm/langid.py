@@ -74,9 +74,10 @@ class ByteCnn:
         return h - np.log(np.exp(h).sum(axis=1, keepdims=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its probability of each whole text; UNKNOWN and 0 for a null or a text without a letter."""
+        """Language and its probability of each whole text; UNKNOWN and 0 for a null or a text without a letter, and for
+        every text if no language was learned."""
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        todo = [i for i, t in enumerate(texts) if self.classes and t and LETTER.search(t)]
         at = 0
         while at < len(todo):
             some, windows, weights, counts = [], [], [], []
@@ -153,26 +154,37 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], filters:
     return ByteCnn(classes, tables, dense)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1200, max_labels: int = 200) -> ByteCnn:
-    """Trains on at most about ``per_label`` rows of each label (chosen by a hash of the id), a window of each from a
-    hashed place in its text. These bounds keep what comes to the driver under max_labels * per_label * WINDOW bytes."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1200, max_labels: int = 2000, max_rows: int = 240_000) -> ByteCnn:
+    """Trains on about ``per_label`` rows of each label (chosen by a hash of the id and the text; fewer where all labels
+    together would pass ``max_rows``), a window of each from a hashed place in its text. So what comes to the driver stays
+    near max_rows * WINDOW bytes. Every label is learned; more than max_labels distinct ones are refused. Without any
+    labelled text that has a letter, an empty table included, the model knows no language and identify() gives UNKNOWN.
+    Rows that repeat an id are rows of their own; null ids count like others.
+    """
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(
-        F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(label_col).alias("label")
+        F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"), F.col(label_col).alias("label")
     )
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return ByteCnn([], {}, np.zeros((1, 0), dtype=np.float32))
+    per_label = min(per_label, max_rows // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
     at = F.pmod(F.xxhash64("doc", F.lit(2)), F.greatest(F.length("text") - F.lit(WINDOW // 2), F.lit(1)))
+    # rows alike in id and text are taken together: the second bound holds whatever repeats there are
     rows = (
         known.where((F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(1_000_000)) / 1_000_000) < share[F.col("label")])
         .select("doc", "label", F.substring("text", (at + 1).cast("int"), F.lit(WINDOW)).alias("part"))
-        .orderBy("doc", "part")
-        .limit(2 * max_labels * per_label)
+        .distinct()
+        .orderBy("doc", "label", "part")
+        .limit(2 * max_rows)
         .collect()
     )
     rows = [r for r in rows if r["part"]]
     classes = sorted(counts)
+    if not rows:
+        return ByteCnn([], {}, np.zeros((1, 0), dtype=np.float32))
     number = {c: i for i, c in enumerate(classes)}
     windows = np.stack([windows_of(r["part"].encode("utf-8", "surrogatepass")[:WINDOW])[0][0] for r in rows])
     return train(windows, np.array([number[r["label"]] for r in rows]), classes)
@@ -180,8 +192,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def identify(docs: DataFrame, model: ByteCnn, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score (columns of these names are replaced); each row by its whole text alone. A null, empty or
-    letterless text gets UNKNOWN and 0. Equal texts have equal results; other columns stay, whatever their names but
-    _found."""
+    letterless text gets UNKNOWN and 0. Every input row gives one row, equal texts have equal results; an empty table gives
+    none. Other columns stay, whatever their names."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     @F.pandas_udf("lang_pred string, score double")
@@ -191,5 +203,6 @@ def identify(docs: DataFrame, model: ByteCnn, text_col: str = "text") -> DataFra
         labels, scores = model.predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang_pred": labels, "score": scores})
 
-    found = docs.select(*own, predict(F.col(text_col)).alias("_found"))
-    return found.select(*own, "_found.lang_pred", "_found.score")
+    held = F.struct(*[F.col(c) for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    found = docs.select(held.alias("_docs"), predict(F.col(text_col)).alias("_found"))
+    return found.select(*[F.col("_docs")[c].alias(c) for c in own], "_found.lang_pred", "_found.score")
