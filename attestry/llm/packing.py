@@ -2,15 +2,17 @@
 
 Documents are tokenized once; pieces (doc, piece, start, length, crc32 of the ids) are written to the shared folder, and
 everything after works on lengths. Pieces of full length are sequences as they are. The others are dealt at random into
-problems of about ``problem`` pieces, whose number grows with the input. Each problem is evolved on several islands,
-one task each. Between epochs each island's best solution migrates to the next island of its problem. A solution is a
-grouping of pieces into bins; crossover injects whole well-filled bins of one parent into the other, drops the bins that
-hold any piece twice, and best-fits the displaced pieces. Populations start from best-fit-decreasing solutions, so a
-result is never worse than that. An island stops as soon as its best solution reaches the lower bound.
+problems of about ``problem`` pieces, whose number grows with the input. Each problem is first packed by best-fit
+decreasing; where that has as few bins as the lower bound, nothing can be better. The others are evolved on several
+islands, one task each, from that solution. Between epochs each island's best solution migrates to the next island of its
+problem. A solution is a grouping of pieces into bins; crossover injects whole well-filled bins of one parent into the
+other, drops the bins that hold any piece twice, and best-fits the displaced pieces, after displaced pieces took the place
+of smaller ones in bins that they fill better. An island stops as soon as its best solution reaches the lower bound.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import zlib
@@ -26,6 +28,8 @@ from attestry.llm.shared import materialise
 
 #: Words whose ids a worker remembers.
 MEMORY = 400_000
+#: Tasks of an epoch; further problems share them.
+MOST_TASKS = 4_000
 
 #: Letters and then punctuation without an apostrophe: what the tokenizers below cut into these two parts.
 _SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -207,11 +211,42 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, size: int, rng:
     first = int((~hit).sum())
     child[injected] = first + np.searchsorted(np.sort(chosen), b[injected])
     free = np.concatenate((free_a[~hit], free_b[np.sort(chosen)])).tolist()
+    child, free, displaced = swap_in(lengths, child, free, displaced)
     order = displaced[np.lexsort((rng.random(len(displaced)), -lengths[displaced]))]
     child, _ = best_fit(lengths, order, size, child, free)
     return child
 
 
+def swap_in(lengths: np.ndarray, bin_of: np.ndarray, free: list[int], displaced: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Lets displaced pieces take the place of a smaller piece, or of two, in bins that are filled better so. Returns the
+    solution, the bins' free space and the pieces that are displaced then (smaller ones, which are easier to place)."""
+    out = sorted((int(n), int(i)) for n, i in zip(lengths[displaced], displaced, strict=True))
+    inside: dict[int, list[int]] = {}
+    for i in np.flatnonzero(bin_of >= 0).tolist():
+        if free[bin_of[i]] > 0:
+            inside.setdefault(int(bin_of[i]), []).append(i)
+    for b, own in inside.items():
+        if not out:
+            break
+        parts = [(int(lengths[i]), (i,)) for i in own]
+        if len(own) <= 12:
+            parts += [(int(lengths[i] + lengths[j]), (i, j)) for k, i in enumerate(own) for j in own[:k]]
+        best = None
+        for n, gone in parts:
+            # the longest displaced piece that fits in their place
+            at = bisect.bisect_right(out, (n + free[b], len(lengths))) - 1
+            if at >= 0 and out[at][0] > n and (best is None or out[at][0] - n > best[0]):
+                best = (out[at][0] - n, at, gone)
+        if best:
+            gain, at, gone = best
+            bin_of[out.pop(at)[1]] = b
+            free[b] -= gain
+            for i in gone:
+                bin_of[i] = -1
+                bisect.insort(out, (int(lengths[i]), i))
+    return bin_of, free, np.array([i for _, i in out], dtype=np.int64)
+
+
 def lower_bound(lengths: np.ndarray, size: int) -> int:
     """No packing has fewer bins: by total, and by pieces over half the size, no two of which share a bin."""
     return max(-(-int(lengths.sum()) // size), int((lengths > size // 2).sum()))
@@ -227,7 +262,7 @@ def evolve(lengths: np.ndarray, size: int, seed: int, migrants: list[np.ndarray]
     def done() -> bool:
         return any(-score(x)[0] <= least for x in people)
 
-    while len(people) < population and not (people and done()):
+    while len(people) < (population if generations else 1) and not (people and done()):
         # the first is best-fit decreasing; the others perturb its order
         noise = 0 if not people else rng.normal(0, 0.02 * size * len(people), n)
         people.append(best_fit(lengths, np.argsort(-(lengths + noise), kind="stable"), size, np.full(n, -1, dtype=np.int64), [])[0])
@@ -254,11 +289,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     if size < 1 or problem < 1 or islands < 1:
         raise ValueError("size, problem and islands must be at least 1")
     pieces = materialise(pieces_of(docs, tokenizer, id_col, text_col, size, end_id).withColumn("row", F.monotonically_increasing_id()))
+    return _named(pack_pieces(pieces, size, problem, islands, epochs, generations, seed), id_col)
+
+
+def pack_pieces(pieces: DataFrame, size: int = 2048, problem: int = 20_000, islands: int = 3, epochs: int = 2, generations: int = 12, seed: int = 1) -> DataFrame:
+    """Adds sequence_id and offset to ``pieces``, a written table with a unique long ``row`` and a ``length`` of at most
+    ``size``. A null length is refused by the lower bound's sum; an empty table gives no rows."""
     loose = pieces.where(F.col("length") < size)
     problems = -(-loose.count() // problem)
     full = pieces.where(F.col("length") >= size).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
     if not problems:
-        return _named(full, id_col)
+        return full
     dealt = loose.withColumn("problem", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(problems)))
 
     def gather(p: pd.DataFrame) -> pd.DataFrame:
@@ -268,9 +309,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     world = materialise(
         dealt.select("problem", "row", "length").groupBy("problem").applyInPandas(gather, "problem long, lengths binary, rows binary")
     )
-    start = world.select("problem", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast("array<binary>").alias("guests"))
 
-    def epoch(number: int):
+    def epoch(number: int, generations: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -280,26 +320,37 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     best = evolve(lengths, size, hash((seed, which, island, number)) & 0x7FFFFFFF, own, generations)
                     bins, score = fitness(compact(best, lengths, size)[1], size)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([which], pa.int64()), pa.array([island], pa.int32()), pa.array([bins], pa.int64()), pa.array([score]), pa.array([best.astype(np.int32).tobytes()], pa.binary())],
-                        names=["problem", "island", "bins", "score", "best"],
+                        [pa.array([which], pa.int64()), pa.array([island], pa.int32()), pa.array([bins], pa.int64()), pa.array([score]), pa.array([-bins > lower_bound(lengths, size)]), pa.array([best.astype(np.int32).tobytes()], pa.binary())],
+                        names=["problem", "island", "bins", "score", "open", "best"],
                     )
 
         return run
 
-    state = start
-    for number in range(epochs):
-        state = materialise(
-            state.select("problem", "lengths", "island", "guests")
-            .repartition(max(1, problems * islands), "problem", "island")
-            .mapInArrow(epoch(number), "problem long, island int, bins long, score double, best binary")
-        )
-        if number + 1 < epochs:
+    def evolved(tasks: DataFrame, count: int, number: int, generations: int) -> DataFrame:
+        """One row per problem and island; a task takes several of them where there are more than MOST_TASKS."""
+        dealt = tasks.select("problem", "lengths", "island", "guests").repartition(max(1, min(count, MOST_TASKS)), "problem", "island")
+        return materialise(dealt.mapInArrow(epoch(number, generations), "problem long, island int, bins long, score double, open boolean, best binary"))
+
+    # best-fit decreasing by one task per problem; the islands evolve those that it leaves above their lower bound
+    first = evolved(world.select("problem", "lengths", F.lit(0).alias("island"), F.lit(None).cast("array<binary>").alias("guests")), problems, 0, 0)
+    found, state, left = first, first.where("open"), first.where("open").count()
+    for number in range(1, epochs + 1):
+        if not left:
+            break
+        if number == 1:
+            guests = state.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array("best").alias("guests"))
+        else:
             # an island keeps its own best and gets that of the island before it
             stay = state.select("problem", "island", "best")
             go = state.select("problem", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "best")
             guests = stay.unionByName(go).groupBy("problem", "island").agg(F.array_sort(F.collect_set("best")).alias("guests"))
-            state = guests.join(world.select("problem", "lengths"), "problem")
-    best = state.groupBy("problem").agg(F.max_by("best", F.struct("bins", "score", -F.col("island"))).alias("best"))
+        state = evolved(guests.join(world.select("problem", "lengths"), "problem"), left * islands, number, generations)
+        found = found.unionByName(state)
+        # a problem that one of its islands has solved is done
+        done = state.where("not open").select("problem").distinct()
+        state = state.join(done, "problem", "left_anti")
+        left = state.select("problem").distinct().count()
+    best = found.groupBy("problem").agg(F.max_by("best", F.struct("bins", "score", -F.col("island"))).alias("best"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +367,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 )
 
     placed = world.join(best, "problem").select("problem", "lengths", "rows", "best").mapInArrow(place, "row long, sequence_id long, offset long")
-    return _named(full.unionByName(loose.join(placed, "row")), id_col)
+    return full.unionByName(loose.join(placed, "row"))
 
 
 def _named(df: DataFrame, id_col: str) -> DataFrame:
