@@ -436,12 +436,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
     """``docs`` with one document of each component: the one of the least id (a null id comes last), and of rows that
-    repeat an id the one of the least key. Rows with equal id and text are one document. Texts without words all stay.
-    A column ``_key`` is refused; all others may be there."""
-    if "_key" in docs.columns:
-        raise ValueError("docs has a column _key")
+    repeat an id the one of the least key. Rows with equal id and text are one document. Texts without words all stay, but
+    for such repeats. An empty table gives no rows. Columns keep their names and values, whatever they are."""
     found = materialise(linked_rows(docs, id_col, text_col, n, threshold, block).select("doc", "key", "root"))
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "key")).alias("first"))
     keys = first.select(F.col("first.key").alias("_key")).unionByName(found.where("root is null").select(F.col("key").alias("_key")))
-    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keys.distinct().hint("shuffle_hash"), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_docs"), row_key(id_col, text_col).alias("_key"))
+    kept = held.join(keys.distinct().hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*[F.col("_docs")[c].alias(c) for c in docs.columns])

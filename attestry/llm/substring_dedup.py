@@ -36,7 +36,7 @@ from attestry.llm.shared import discard, materialise, row_key, spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that are combined before a shuffle.
-COMBINE = 500_000
+COMBINE = 200_000
 #: Share of the texts whose anchors are counted for those to be dealt out by edge, the edges of one that make it such, and
 #: how many anchors there may be (the least count rises with the sample, so there are fewer).
 SHARE, MANY, MOST_ANCHORS = 1 / 16, 100, 20_000
