@@ -348,3 +348,50 @@ def test_quality_rules_by_hand(spark):
         failed = [x.name for x in quality.RULES if len(w) >= x.from_words and not ((x.low is None or metric[x.metric] >= x.low) and (x.high is None or metric[x.metric] <= x.high))]
         assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t)) and sorted(r["failed_rules"]) == sorted(failed)
         assert r["kept"] == (not r["base_failed"] and not failed)
+
+
+ODD = ("_row", "_bitmap", "_key", "_copies", "kept", "failed_rules", "_docs", "row", "key", "runs", "doc", "score")
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows and columns with the operators' own names."""
+    import corpus_pipeline
+
+    clean = [" ".join(f"the word{(i * 37 + j * j) % 997} of it" for j in range(40)) for i in range(6)]
+    rows = [(None, clean[0]), (1, clean[1]), (1, clean[1]), (1, clean[2]), (2, None), (3, ""), (4, clean[3] + "\n" + clean[4]), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumns({c: F.lit(c) for c in ODD})
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {
+        "quality rules": Counter((i, t) for i, t in rows if t),
+        "line dedup": Counter(rows),
+        "n-gram Jaccard join": Counter(set(rows)),
+        "mixing sources to target weights": Counter(rows),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert Counter((r["doc_id"], r["text"]) for r in found) == want[name], name
+        assert all(r[c] == c for r in found for c in ODD)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert Counter(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()) == Counter(i for i, _ in rows)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    """Without spark.checkpoint.dir only a local session gets a folder of its own."""
+    from attestry.llm import shared
+
+    assert shared.shared_dir(spark)
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = spark.conf
+        sparkContext = Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared_dir(Session())
