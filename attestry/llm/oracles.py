@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm.quality import RULES, STOP_WORDS
+from attestry.llm.quality import RULES, STOP_FORMS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,7 +31,7 @@ _PASSES = " and ".join(
     f"(n_words < {r.from_words} or ({' and '.join([f'{_METRICS[r.metric]} >= {r.low}'] * (r.low is not None) + [f'{_METRICS[r.metric]} <= {r.high}'] * (r.high is not None))}))"
     for r in RULES
 )
-_STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
+_STOP = ", ".join("'" + w + "'" for w in STOP_FORMS)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
@@ -43,7 +43,7 @@ ORACLE_SQL: dict[str, str] = {
             select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
                    len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
                    len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper, len(regexp_extract_all(text, '\p{{L}}')) as n_letters, len(regexp_extract_all(text, '!')) as n_exclamations,
-                   len(list_distinct(w)) as n_distinct_words, len(list_filter(w, lambda x: {LOWER.format("x")} in ({_STOP}))) as n_stop_words,
+                   len(list_distinct(w)) as n_distinct_words, len(list_filter(w, lambda x: x in ({_STOP}))) as n_stop_words,
                    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) as n_alpha_words
             from d left join r using (doc_id)
         ), b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)

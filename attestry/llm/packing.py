@@ -98,10 +98,16 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     if path not in _words:
         _words[path] = Words(path)
     words = _words[path]
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    words.learn(set().union(*split))
-    get = words.known.__getitem__
-    return [b"".join(map(get, own)) for own in split]
+    get, out = words.known.__getitem__, []
+    for t in texts:
+        own = (t or "").replace("\n", " ").split(" ")
+        try:
+            ids = b"".join(map(get, own))
+        except KeyError:
+            words.learn(set(own))
+            ids = b"".join(map(get, own))
+        out.append(ids)
+    return out
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, end_id: int) -> DataFrame:

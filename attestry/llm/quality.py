@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The commonest function words of English, French, German and Spanish; A-Z count as lower-case.
+#: The commonest function words of English, French, German and Spanish.
 STOP_WORDS = tuple(
     """the of and to in is that it for was with as on be by at this are from or an not
     le la les de des du un une et est en que qui pour dans sur pas par au avec
     der die das und ist den von zu mit im ein eine nicht auf dem sich des für auch
     el los las y por con para una del se no es su al lo como""".split()
 )
+#: As they count: small, with a capital, in capitals.
+STOP_FORMS = tuple(sorted({f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())}))
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ def measures(docs: DataFrame, text_col: str) -> DataFrame:
                 "n_letters": F.regexp_count(text, F.lit("\\p{L}")).cast("long"),
                 "n_exclamations": F.regexp_count(text, F.lit("!")).cast("long"),
                 "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
-                "n_stop_words": F.size(F.filter("_words", lambda w: F.translate(w, UPPER, LOWER).isin(*STOP_WORDS))).cast("long"),
+                "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(*STOP_FORMS))).cast("long"),
                 "n_alpha_words": F.size(F.filter("_words", lambda w: w.rlike("\\p{L}"))).cast("long"),
             }
         )
