@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 DATA_URI = r"(?i)data:[^\s)]*;base64,"
+#: Fixed value: a link to a place in the same document, its text and its target.
+LINK = r"\[([^\]\n]+)\]\(#([^\s)]+)\)"
 
 
 def zoned_timestamp(raw: Column) -> Column:
@@ -41,16 +45,21 @@ def fence(text: Column) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(longest, F.lit(0)) + 1))
 
 
+def fence_of(text: str) -> str:
+    """The fence of one Python text, see fence()."""
+    return "`" * max([3, *(len(run) + 1 for run in re.findall("`+", text))])
+
+
 def slug(heading: Column) -> Column:
     """A heading's link target: tags and link targets dropped, letters, digits, - and _ kept, spaces to -."""
     plain = F.regexp_replace(F.regexp_replace(heading, "<[^>]+>", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    kept = F.regexp_replace(F.lower(F.trim(plain)), r"[^\p{L}\p{N}\s_-]", "")
-    return F.regexp_replace(kept, r"\s", "-")
+    kept = F.regexp_replace(F.lower(F.trim(plain)), r"[^\p{L}\p{N} _-]", "")
+    return F.replace(kept, F.lit(" "), F.lit("-"))
 
 
 def link_targets(text: Column) -> Column:
     """The targets of the text's Markdown links to places in the same document, percent-decoded."""
-    raw = F.regexp_extract_all(text, F.lit(r"\]\(#([^)\s]+)\)"), F.lit(1))
+    raw = F.regexp_extract_all(text, F.lit(LINK), F.lit(2))
     return F.transform(raw, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
 
 
