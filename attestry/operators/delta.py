@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from attestry.operators.rounds import settle
+from attestry.functions.identity import sha256
 
 KINDS = (
     "new_messages changed_messages unchanged_messages not_present_messages context_changed_messages "
@@ -21,17 +25,38 @@ def usable(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return conversations.join(counted.where("conversation is not null and n = 1").select("conversation"), "conversation", "left_semi"), unknown.unionByName(repeated)
 
 
+def below(start: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (conversation, node) that links (conversation, parent, node) lead to from ``start``, the start itself only
+    where a link leads back to it. One group per conversation, whatever the depth; an export's bounds bound a group."""
+    marked = start.select("conversation", F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), "node", F.lit(True).alias("begins"))
+    rows = links.select("conversation", "parent", "node", F.lit(False).alias("begins")).unionByName(marked)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        under = group[~group["begins"]].groupby("parent")["node"].agg(list).to_dict()
+        todo, seen = list(group.loc[group["begins"], "node"]), set()
+        while todo:
+            new = [c for c in under.get(todo.pop(), ()) if c not in seen]
+            seen.update(new)
+            todo += new
+        return pd.DataFrame({"conversation": [group["conversation"].iloc[0]] * len(seen), "node": list(seen)}, dtype=object)
+
+    # conversations without a start or without a link reach nothing
+    some = rows.join(start.select("conversation").distinct(), "conversation", "left_semi")
+    return some.groupBy("conversation").applyInPandas(run, start.select("conversation", "node").schema)
+
+
 def node_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows (conversation, node, status) of the messages of either side.
 
     Both sides have conversation, node, parent, message_sha (null without a message) and context_sha. A message that is
     the same but below a changed, new or missing node is context_changed. Nodes of the column ``issues`` (optional, an
-    array) that isn't empty get no status, but what is below them is context_changed too.
+    array) that isn't empty get no status, but what is below them is context_changed too. Rows without a conversation
+    are left out: they are the ambiguous ones, see usable(). An empty side makes all of the other new, or not present.
     """
     sides = []
     for name, side in (("x", before), ("y", after)):
         issues = F.size("issues") > 0 if "issues" in side.columns else F.lit(False)
-        sides.append(side.select("conversation", "node", F.struct("message_sha", "context_sha", issues.alias("unclear")).alias(name)))
+        sides.append(side.where("conversation is not null").select("conversation", "node", F.struct("message_sha", "context_sha", issues.alias("unclear")).alias(name)))
     both = sides[0].join(sides[1], ["conversation", "node"], "full_outer")
     x, y = F.col("x"), F.col("y")
     unclear = F.coalesce(x["unclear"], F.lit(False)) | F.coalesce(y["unclear"], F.lit(False))
@@ -46,11 +71,11 @@ def node_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     dirty = unclear | x.isNull() | y.isNull() | ~x["message_sha"].eqNullSafe(y["message_sha"]) | ~same_context
     found = both.select("conversation", "node", status.alias("status"), dirty.alias("dirty"))
-    links = before.select("conversation", "parent", "node").unionByName(after.select("conversation", "parent", "node")).where("parent is not null").distinct()
-    below = settle(found.where("dirty").select("conversation", "node"), links)
+    links = before.select("conversation", "parent", "node").unionByName(after.select("conversation", "parent", "node")).where("conversation is not null and parent is not null").distinct()
+    under = below(found.where("dirty").select("conversation", "node"), links)
     return (
         found.where("status is not null")
-        .join(below.withColumn("below", F.lit(True)), ["conversation", "node"], "left")
+        .join(under.withColumn("below", F.lit(True)), ["conversation", "node"], "left")
         .select("conversation", "node", F.when(F.col("below") & (F.col("status") == "unchanged_messages"), "context_changed_messages").otherwise(F.col("status")).alias("status"))
     )
 
@@ -74,3 +99,63 @@ def counts(*changes: DataFrame) -> DataFrame:
         seen = seen.unionByName(c.select("status"))
     kinds = spark.createDataFrame([(k,) for k in KINDS], "kind string")
     return kinds.join(seen.groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@dataclass
+class Comparison:
+    """counts: kind, n; changes: kind, conversation_id, node_id, logical_key, before, after (places; null on a side that
+    lacks it); ambiguities: side, conversation_id, node_id, issues."""
+
+    counts: DataFrame
+    changes: DataFrame
+    ambiguities: DataFrame
+
+
+def logical_key(namespace: str, conversation, node):
+    """The id of a message across exports: the hash of a JSON array (ASCII, so that any id has one spelling)."""
+    array = F.to_json(F.array(F.lit("chatgpt"), F.lit(namespace), conversation, node))
+    return sha256(_ascii(array))
+
+
+@F.pandas_udf(StringType())
+def _ascii(texts):
+    import json
+
+    return texts.map(lambda t: json.dumps(json.loads(t), ensure_ascii=True, separators=(",", ":")) if isinstance(t, str) else None)
+
+
+def compare(before: DataFrame, after: DataFrame, namespace: str) -> Comparison:
+    """Compares two sides of raw_store.occurrences(): conversations by id where it names one on each side at most, nodes
+    by id within them. Unchanged messages are counted, not listed."""
+    spark = before.sparkSession
+    sides = {"before": before, "after": after}
+    unknown = [s.where("conversation_id is null").select(F.lit(k).alias("side"), "conversation_id", F.lit(None).cast("string").alias("node_id"), "issues") for k, s in sides.items()]
+    several = [s.where("conversation_id is not null").groupBy("conversation_id").count().where("count > 1").select("conversation_id") for s in sides.values()]
+    twice = several[0].union(several[1]).distinct()
+    repeated = twice.select(F.lit("both").alias("side"), "conversation_id", F.lit(None).cast("string").alias("node_id"), F.array(F.lit("duplicate_conversation_id")).alias("issues"))
+    clear = {k: s.where("conversation_id is not null").join(twice, "conversation_id", "left_anti") for k, s in sides.items()}
+    place = F.struct("payload_sha256", "json_pointer", "byte_span", F.lit(None).cast("string").alias("message_sha256"), F.lit(None).cast("string").alias("message_id"))
+    nodes, convs = {}, {}
+    for k, s in clear.items():
+        convs[k] = s.select(F.col("conversation_id").alias("conversation"), F.col("metadata_sha256").alias("metadata_sha"), place.alias(k))
+        each = s.select("conversation_id", "payload_sha256", F.explode("nodes").alias("n"))
+        at = F.struct("payload_sha256", F.col("n.message_pointer").alias("json_pointer"), F.col("n.message_byte_span").alias("byte_span"), "n.message_sha256", "n.message_id")
+        nodes[k] = each.select(F.col("conversation_id").alias("conversation"), F.col("n.node_id").alias("node"), F.col("n.parent_id").alias("parent"), F.col("n.message_sha256").alias("message_sha"), F.col("n.context_sha256").alias("context_sha"), F.col("n.issues").alias("issues"), at.alias(k))
+    changed = node_changes(nodes["before"], nodes["after"])
+    moved = conversation_changes(convs["before"], convs["after"])
+    ambiguous = unknown[0].unionByName(unknown[1]).unionByName(repeated)
+    marked = ambiguous.select(F.lit("ambiguous_conversations").alias("status"))
+    issues = nodes["before"].select("conversation", "node", "issues").union(nodes["after"].select("conversation", "node", "issues")).where("size(issues) > 0")
+    unclear = issues.groupBy("conversation", "node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"))
+    kinds = spark.createDataFrame([("not_present_conversations", "conversation_not_present"), ("conversation_metadata_changed", "conversation_metadata_changed")], "status string, kind string")
+    whole = moved.join(F.broadcast(kinds), "status").withColumn("node", F.lit(None).cast("string"))
+    listed = whole.select("kind", "conversation", "node").join(convs["before"].drop("metadata_sha"), "conversation", "left").join(convs["after"].drop("metadata_sha"), "conversation", "left").withColumn("logical_key", F.lit(None).cast("string"))
+    each = changed.where("status <> 'unchanged_messages'").withColumnRenamed("status", "kind").withColumn("logical_key", logical_key(namespace, F.col("conversation"), F.col("node")))
+    for k in sides:
+        each = each.join(nodes[k].select("conversation", "node", k), ["conversation", "node"], "left")
+    columns = ["kind", F.col("conversation").alias("conversation_id"), F.col("node").alias("node_id"), "logical_key", "before", "after"]
+    return Comparison(
+        counts(changed, moved, marked),
+        listed.select(*columns).unionByName(each.select(*columns)),
+        ambiguous.unionByName(unclear.select(F.lit("both").alias("side"), F.col("conversation").alias("conversation_id"), F.col("node").alias("node_id"), "issues")),
+    )

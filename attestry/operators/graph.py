@@ -1,14 +1,18 @@
 """Conversation trees: order, paths, fan-out, link checks, cycles.
 
-Work on one conversation is one group; a conversation is one export's record, which import bounds. Checks that a join
-can express are joins over all conversations at once.
+Work on one conversation is one group; a conversation is one export's record, which import bounds (a payload has at most
+exports.MAX_PAYLOAD bytes). Checks that a join can express are joins over all conversations at once. Rows without a
+conversation form one group like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from attestry.operators.ranges import numbered
 
 KEY = ["conversation", "node"]
 
@@ -32,22 +36,29 @@ def _preorder(parents: list[int], strict: bool) -> list[int]:
     return out
 
 
+def _none(x):
+    """Python's None for what pandas shows for a null."""
+    return None if pd.isna(x) else x
+
+
 def tree_order(nodes: DataFrame, strict: bool = True) -> DataFrame:
-    """Adds ``order``, the place from 0 of each node in its conversation's parent-first order.
+    """Adds ``order``, the place from 0 of each node in its conversation's parent-first order (replacing a column of that
+    name). Every row gives one row.
 
     ``nodes`` has conversation, node, parent and position (the export's order, which orders siblings). A node whose
     parent isn't in its conversation is a root. Cycles raise GraphError if strict, else their nodes get a null.
     """
-    schema = nodes.select("conversation", "node").schema.add("order", "integer")
+    held = nodes.drop("order")
+    schema = StructType([*held.schema.fields, StructField("order", IntegerType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position", kind="stable").reset_index(drop=True)
-        place = {n: i for i, n in enumerate(group["node"])}
-        order = _preorder([place.get(p, -1) for p in group["parent"]], strict)
+        place = {_none(n): i for i, n in enumerate(group["node"])}
+        order = _preorder([-1 if _none(p) is None else place.get(p, -1) for p in group["parent"]], strict)
         at = pd.Series(range(len(order)), index=order, dtype="Int32").reindex(range(len(group)))
-        return pd.DataFrame({"conversation": group["conversation"].astype(object), "node": group["node"].astype(object), "order": at})
+        return group.assign(order=at)
 
-    return nodes.join(nodes.select("conversation", "node", "parent", "position").groupBy("conversation").applyInPandas(run, schema), KEY)
+    return held.groupBy("conversation").applyInPandas(run, schema)
 
 
 def selected_path(nodes: DataFrame, current: DataFrame) -> DataFrame:
@@ -68,23 +79,31 @@ def selected_path(nodes: DataFrame, current: DataFrame) -> DataFrame:
     return nodes.groupBy("conversation").cogroup(current.groupBy("conversation")).applyInPandas(run, schema)
 
 
+def on_cycles(parent: dict) -> set:
+    """The keys that lie on a cycle of the map; tails that lead into one don't count. Peels off, again and again, what
+    nothing points at: what is left has a way back to itself."""
+    into: dict = {k: 0 for k in parent}
+    for p in parent.values():
+        if p in into:
+            into[p] += 1
+    free = [k for k, n in into.items() if n == 0]
+    while free:
+        k = free.pop()
+        p = parent[k]
+        del into[k]
+        if p in into:
+            into[p] -= 1
+            if into[p] == 0:
+                free.append(p)
+    return set(into)
+
+
 def cycle_members(nodes: DataFrame) -> DataFrame:
     """Rows (conversation, node) of nodes that lie on a cycle of parent links; tails that lead into one don't count."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(group["node"], group["parent"], strict=True))
-        state: dict = {}
-        found = []
-        for start in parent:
-            path, at = [], start
-            while at in parent and at not in state:
-                state[at] = start
-                path.append(at)
-                at = parent[at]
-            if at in parent and state.get(at) == start and at in path:
-                found += path[path.index(at) :]
-        own = group["conversation"].iloc[0]
-        return pd.DataFrame({"conversation": [own] * len(found), "node": found}, dtype=object)
+        found = list(on_cycles({n: _none(p) for n, p in zip(group["node"], group["parent"], strict=True)}))
+        return pd.DataFrame({"conversation": [_none(group["conversation"].iloc[0])] * len(found), "node": found}, dtype=object)
 
     return nodes.select("conversation", "node", "parent").groupBy("conversation").applyInPandas(run, nodes.select("conversation", "node").schema)
 
@@ -103,6 +122,15 @@ def branch_points(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").groupBy("conversation", F.col("parent").alias("node")).agg(F.count("*").alias("fan_out")).where("fan_out > 1")
 
 
+def branch_structure(nodes: DataFrame) -> DataFrame:
+    """Rows (conversation, node, kind, listed): roots (nodes whose parent isn't a node there; listed is that parent, if
+    any) and branch points (listed are the children, by position, with a comma between)."""
+    known = nodes.select("conversation", F.col("node").alias("parent"))
+    roots = nodes.join(known, ["conversation", "parent"], "left_anti").select("conversation", "node", F.lit("root").alias("kind"), F.col("parent").cast("string").alias("listed"))
+    several = children(nodes).where(F.size("children") > 1).join(nodes.select(*KEY), KEY, "left_semi")
+    return roots.unionByName(several.select("conversation", "node", F.lit("branch_point").alias("kind"), F.array_join(F.col("children").cast("array<string>"), ",").alias("listed")))
+
+
 def dangling_parents(nodes: DataFrame, roots: list | None = None) -> DataFrame:
     """Nodes whose parent is neither null nor a node of their conversation nor one of the known root ids."""
     known = nodes.select("conversation", F.col("node").alias("parent"))
@@ -129,5 +157,4 @@ def link_mismatches(nodes: DataFrame) -> DataFrame:
 
 def conversation_rank(conversations: DataFrame) -> DataFrame:
     """Adds ``rank`` from 1: conversations without a time first, then by time, original id and record id."""
-    w = Window.orderBy(F.col("created_at").asc_nulls_first(), "original_id", "record_id")
-    return conversations.withColumn("rank", F.row_number().over(w))
+    return numbered(conversations, ["created_at", "original_id", "record_id"], "rank")

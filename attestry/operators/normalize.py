@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from attestry.functions.identity import envelope, pointer_token, record_id
 
 MAP = "map<string,string>"
+#: A map whose values keep their JSON types, for objects that are written out again.
+TYPED = "map<string,variant>"
 CHATGPT_KINDS = ("text", "multimodal_text", "thoughts", "reasoning_recap")
 CHATGPT_MEDIA = ("image_asset_pointer", "audio_asset_pointer", "real_time_user_audio_video_asset_pointer")
 CLAUDE_KINDS = ("text", "thinking", "tool_use", "tool_result", "token_budget", "flag")
@@ -34,6 +36,13 @@ class Tables:
         return Tables(*[getattr(self, f).unionByName(getattr(other, f), allowMissingColumns=True) for f in self.__dataclass_fields__])
 
 
+def role_of(provider: str, raw: Column) -> Column:
+    """The role that a provider's spelling stands for; unknown for any other."""
+    if provider == "chatgpt":
+        return F.when(raw.isin("user", "assistant", "system", "tool"), raw).otherwise("unknown")
+    return F.when(raw == "human", "user").when(raw == "assistant", "assistant").otherwise("unknown")
+
+
 def _object(text: Column) -> Column:
     return F.from_json(text, MAP)
 
@@ -104,7 +113,7 @@ def _conversations(raw: DataFrame, ids: list[str], items: str, fields: dict[str,
     parsed = parsed.withColumn("original_id", original).withColumn("_error", error)
     pointer = F.concat(F.lit("/"), F.col("index").cast("string"))
     good = _wrap(parsed.where("_error is null"), "conversation", pointer).withColumn("pointer", pointer)
-    good = good.withColumns({name: F.col("_c")[key] for name, key in fields.items()}).withColumn("raw_metadata", F.to_json(F.map_filter("_c", lambda k, _: k != items)))
+    good = good.withColumns({name: F.col("_c")[key] for name, key in fields.items()}).withColumn("raw_metadata", F.to_json(F.map_filter(F.from_json("conversation", TYPED), lambda k, _: k != items)))
     refused = raw.where("error is not null").select("source_id", "index", "error").unionByName(parsed.where("_error is not null").select("source_id", "index", F.col("_error").alias("error")))
     return good, refused
 
@@ -113,16 +122,17 @@ def chatgpt(raw: DataFrame) -> Tables:
     """``raw``: rows of sources.exports.conversations() of the provider chatgpt."""
     convs, refused = _conversations(raw, ["id", "conversation_id"], "mapping", {"title": "title", "created_at_raw": "create_time", "updated_at_raw": "update_time", "current_node_id": "current_node"})
     base = convs.select(*SOURCE, F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("conversation_original_id"), "pointer", F.posexplode(F.map_entries(_object(F.col("_c")["mapping"]))).alias("position", "_n"))
-    node = base.withColumn("node_id", F.col("_n.key")).withColumn("_o", _object(F.col("_n.value"))).drop("_n")
+    fields = F.to_json(F.map_filter(F.from_json(F.col("_n.value"), TYPED), lambda k, _: k != "message"))
+    node = base.withColumn("node_id", F.col("_n.key")).withColumn("_o", _object(F.col("_n.value"))).withColumn("_fields", fields).drop("_n")
     node = node.withColumn("raw", F.col("_o")["message"]).withColumn("pointer", F.concat("pointer", F.lit("/mapping/"), pointer_token(F.col("node_id")), F.lit("/message")))
     node = node.withColumn("message_record_id", F.when(F.col("raw").isNotNull(), record_id("message", F.col("source_id"), F.col("pointer"))))
-    nodes = node.select("conversation_record_id", "node_id", F.col("_o")["parent"].alias("parent_id"), F.from_json(F.col("_o")["children"], "array<string>").alias("children_ids"), "message_record_id", "position", F.to_json(F.map_filter("_o", lambda k, _: k != "message")).alias("node_fields"))
+    nodes = node.select("conversation_record_id", "node_id", F.col("_o")["parent"].alias("parent_id"), F.from_json(F.col("_o")["children"], "array<string>").alias("children_ids"), "message_record_id", "position", F.col("_fields").alias("node_fields"))
     m = node.where("raw is not null").withColumn("_m", _object(F.col("raw"))).withColumn("_content", _object(F.col("_m")["content"]))
     role = _object(F.col("_m")["author"])["role"]
     m = m.withColumns({"content_kind": F.col("_content")["content_type"], "role_raw": role})
     messages = _wrap(m, "message", F.col("pointer")).select(
         *ENVELOPE, "conversation_record_id", "conversation_original_id", F.col("_m")["id"].alias("original_id"), "node_id", F.col("_o")["parent"].alias("parent_id"), "position",
-        F.when(F.col("role_raw").isin("user", "assistant", "system", "tool"), F.col("role_raw")).otherwise("unknown").alias("role"), "role_raw",
+        role_of("chatgpt", F.col("role_raw")).alias("role"), "role_raw",
         F.col("_m")["create_time"].alias("created_at_raw"), F.col("_m")["update_time"].alias("updated_at_raw"), "content_kind", "raw",
     )
     keep = [*SOURCE, "conversation_record_id", "message_record_id", "pointer"]
@@ -155,7 +165,7 @@ def claude(raw: DataFrame) -> Tables:
     # the element's own text keeps what the export wrote; a variant's order of keys is its own
     m = m.withColumn("pointer", F.concat("pointer", F.lit("/chat_messages/"), F.col("pos").cast("string"))).withColumn("_m", _object(F.col("element")))
     m = m.withColumn("message_record_id", record_id("message", F.col("source_id"), F.col("pointer"))).withColumnRenamed("pos", "position")
-    role = F.when(F.col("_m")["sender"] == "human", "user").when(F.col("_m")["sender"] == "assistant", "assistant").otherwise("unknown")
+    role = role_of("claude", F.col("_m")["sender"])
     messages = _wrap(m, "message", F.col("pointer")).select(
         *ENVELOPE, "conversation_record_id", "conversation_original_id", F.col("_m")["uuid"].alias("original_id"), F.col("_m")["uuid"].alias("node_id"), F.col("_m")["parent_message_uuid"].alias("parent_id"), "position",
         role.alias("role"), F.col("_m")["sender"].alias("role_raw"), F.col("_m")["created_at"].alias("created_at_raw"), F.col("_m")["updated_at"].alias("updated_at_raw"), F.lit("blocks").alias("content_kind"), F.col("element").alias("raw"),
@@ -195,15 +205,18 @@ def normalize(raw: DataFrame) -> Tables:
 
 
 def resolve_attachments(attachments: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds availability and resolved_path: unverified_reference (no name, no root, or a multimodal reference),
+    """Adds availability, resolved_path and sha256: unverified_reference (no name, no root, or a multimodal reference),
     unsafe_reference, missing, local_filename_match or ambiguous_candidates. A match is a candidate, no proof.
 
-    ``roots``: source_id, root; ``files``: root, name, path. Only an exact name below a root of the record's source counts.
+    ``roots``: source_id, root; ``files``: root, name, path and sha256 (if known). Only an exact name below a root of the
+    record's source counts. Every attachment gives one row; without roots or files none is found.
     """
-    a = attachments.drop("availability").withColumn("_source", F.col("provenance.source_id"))
-    unsafe = F.col("filename").rlike(r"(^|/)\.\.(/|$)|^/|\\\\")
-    known = roots.select(F.col("source_id").alias("_source"), "root")
-    matches = a.select("record_id", "_source", "filename").join(known, "_source").join(files.withColumnRenamed("name", "filename"), ["root", "filename"]).groupBy("record_id").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
+    a = attachments.drop("availability", "resolved_path", "sha256").withColumn("_source", F.col("provenance.source_id"))
+    unsafe = F.col("filename").rlike(r"(^|/)\.\.(/|$)|^/|\\")
+    known = roots.select(F.col("source_id").alias("_source"), "root").distinct()
+    there = files if "sha256" in files.columns else files.withColumn("sha256", F.lit(None).cast("string"))
+    candidates = a.select("record_id", "_source", "filename").join(known, "_source").join(there.withColumnRenamed("name", "filename"), ["root", "filename"])
+    matches = candidates.groupBy("record_id").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"), F.min("sha256").alias("_hash"))
     with_root = known.select("_source").distinct().withColumn("_rooted", F.lit(True))
     joined = a.join(with_root, "_source", "left").join(matches, "record_id", "left")
     state = (
@@ -211,4 +224,6 @@ def resolve_attachments(attachments: DataFrame, roots: DataFrame, files: DataFra
         .when(unsafe, "unsafe_reference").when(F.col("_rooted").isNull(), "unverified_reference")
         .when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "local_filename_match").otherwise("ambiguous_candidates")
     )
-    return joined.withColumn("availability", state).withColumn("resolved_path", F.when(F.col("availability") == "local_filename_match", F.col("path"))).drop("_source", "_rooted", "n", "path")
+    sure = joined.withColumn("availability", state)
+    match = F.col("availability") == "local_filename_match"
+    return sure.withColumn("resolved_path", F.when(match, F.col("path"))).withColumn("sha256", F.when(match, F.col("_hash"))).drop("_source", "_rooted", "n", "path", "_hash")

@@ -1,4 +1,8 @@
-"""Validation as queries: each rule gives rows (code, record_id, detail) of what breaks it."""
+"""Validation as queries: each rule gives rows (code, record_id, detail) of what breaks it.
+
+Rules on single columns and links come first; dataset() is the whole of a dataset's validation, which compares the derived
+tables with census(), the source read anew, and with what was frozen when they were written.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,17 @@ from pyspark.sql import functions as F
 
 from attestry.functions.identity import IMPORTER_VERSION, SCHEMA_VERSION, record_id
 from attestry.functions.text import timestamp_state
-from attestry.operators.graph import cycle_members, dangling_parents, link_mismatches
+from attestry.operators.census import json_key
+from attestry.operators.graph import branch_points, cycle_members, dangling_parents, link_mismatches
+
+#: Codes that tell what to know about a valid dataset; all others are errors.
+WARNINGS = ("unknown_role", "unknown_content", "unknown_multimodal_content", "unknown_part", "missing_child_lists", "attachment_gaps", "repeated_message_ids", "missing_creation_times")
+KINDS = ("conversation", "message", "attachment")
 
 
-def _found(rows: DataFrame, code: str, record: Column, detail: Column | None = None) -> DataFrame:
-    return rows.select(F.lit(code).alias("code"), record.cast("string").alias("record_id"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
+def _found(rows: DataFrame, code: str | Column, record: Column, detail: Column | None = None) -> DataFrame:
+    code = F.lit(code) if isinstance(code, str) else code
+    return rows.select(code.alias("code"), record.cast("string").alias("record_id"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 
 
 def repeated(rows: DataFrame, columns: list[str], code: str) -> DataFrame:
@@ -45,16 +55,16 @@ def bad_timestamps(records: DataFrame, column: str) -> DataFrame:
     return _found(records.where(timestamp_state(F.col(column)) == "invalid"), "invalid_timestamp", F.col("record_id"), F.col(column))
 
 
-def census(derived: DataFrame, source: DataFrame, columns: list[str], code: str = "source_coverage") -> DataFrame:
+def census_difference(derived: DataFrame, source: DataFrame, columns: list[str], code: str = "source_coverage") -> DataFrame:
     """Rows that one of both sides has more often than the other: derived ones and those counted in the source anew."""
     extra, missing = derived.select(*columns).exceptAll(source.select(*columns)), source.select(*columns).exceptAll(derived.select(*columns))
     return _found(extra, code, F.col(columns[0]), F.lit("not in the source")).unionByName(_found(missing, code, F.col(columns[0]), F.lit("not derived")))
 
 
-def expected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
+def expected_counts(counts: DataFrame, expected: DataFrame, code: str = "expected_count") -> DataFrame:
     """Differences of (name, n) from (name, expected); a name without rows has none."""
     joined = expected.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return _found(joined.where("n <> expected"), "expected_count", F.col("name"), F.concat_ws("/", F.col("n").cast("string"), F.col("expected").cast("string")))
+    return _found(joined.where("n <> expected"), code, F.col("name"), F.concat_ws("/", F.col("n").cast("string"), F.col("expected").cast("string")))
 
 
 def graph_rules(nodes: DataFrame, roots: list | None = None) -> DataFrame:
@@ -78,3 +88,257 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code").agg(F.count("*").alias("n"))
+
+
+def table_print(table: DataFrame) -> str:
+    """A hash of a table's rows, in no order: sums of parts of their SHA-256, so equal tables have equal ones."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(table.columns)]), {"ignoreNullFields": "false"}), 256)
+    part = lambda i: F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)"))
+    found = table.agg(F.count("*"), *[part(i) for i in range(5)]).first()
+    return "-".join(str(x or 0) for x in found)
+
+
+def _differs(joined: DataFrame, code: str, pairs: list[tuple[Column, Column]], detail: str) -> DataFrame:
+    """Rows of which any pair of columns isn't alike."""
+    wrong = reduce(lambda a, b: a | b, [~a.eqNullSafe(b) for a, b in pairs])
+    return _found(joined.where(wrong), code, F.col("record_id"), F.lit(detail))
+
+
+def _pairs(*names: str) -> list[tuple[Column, Column]]:
+    return [(F.col(n), F.col("values")[n]) for n in names]
+
+
+class Dataset:
+    """Derived tables (normalize.Tables' names) next to the source they came from: ``raw`` are rows of
+    exports.conversations(), ``sources`` rows of exports.inventory(); ``files`` and ``roots`` say what attachment roots
+    hold, see normalize.resolve_attachments(); ``frozen`` is the manifest (name, records, print) and ``expected`` the
+    configured counts, by name."""
+
+    def __init__(self, tables: dict[str, DataFrame], raw: DataFrame, sources: DataFrame, census: DataFrame, expected: dict[str, int] | None = None, frozen: dict[str, dict] | None = None, roots: DataFrame | None = None, files: DataFrame | None = None, manifest: dict | None = None):
+        self.t, self.raw, self.sources, self.census = tables, raw, sources, census
+        self.expected, self.frozen, self.roots, self.files, self.manifest = expected or {}, frozen or {}, roots, files, manifest or {}
+        at = F.struct(F.col("source_id").alias("s"), F.col("json_pointer").alias("p"))
+        own = census.withColumn("at", at)
+        self.source = {kind: own.where(F.col("kind") == kind).select("at", "values", "provider", "sha256", F.col("conversation_pointer").alias("c_at"), F.col("message_pointer").alias("m_at")) for kind in (*KINDS, "node", "segment", "warning", "refused")}
+
+    def records(self, kind: str) -> DataFrame:
+        return self.t[f"{kind}s"].withColumn("at", F.struct(F.col("provenance.source_id").alias("s"), F.col("provenance.json_pointer").alias("p")))
+
+    def against(self, kind: str) -> DataFrame:
+        """Derived records with the values that the source has at their place."""
+        return self.records(kind).join(self.source[kind].select("at", "values", "m_at", F.col("provider").alias("_provider"), F.col("sha256").alias("_sha")), "at")
+
+    def identity(self) -> DataFrame:
+        """schema_version, importer_version (of the manifest), source_collision, source_identity, record_identity,
+        record_version, provenance."""
+        spark = self.raw.sparkSession
+        wrong = [(k, str(v)) for k, v, right in (("schema_version", self.manifest.get("schema_version", SCHEMA_VERSION), SCHEMA_VERSION), ("importer_version", self.manifest.get("importer_version", IMPORTER_VERSION), IMPORTER_VERSION)) if v != right]
+        parts = [spark.createDataFrame([(c, None, d) for c, d in wrong], "code string, record_id string, detail string")]
+        parts.append(repeated(self.sources, ["source_id"], "source_collision"))
+        right = F.concat("provider", F.lit(":"), "sha256")
+        parts.append(_found(self.sources.where(~F.col("source_id").eqNullSafe(right)), "source_identity", F.col("source_id"), right))
+        known = self.sources.select("source_id", F.col("provider").alias("_provider"), F.col("sha256").alias("_sha")).distinct()
+        for kind in KINDS:
+            r = self.records(kind)
+            parts.append(identities(r, kind))
+            parts.append(_found(r.where(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)) | ~F.col("importer_version").eqNullSafe(F.lit(IMPORTER_VERSION))), "record_version", F.col("record_id")))
+            there = r.join(known, r["provenance.source_id"] == known["source_id"], "left")
+            parts.append(_differs(there, "provenance", [(F.col("provider"), F.col("_provider")), (F.col("provenance.sha256"), F.col("_sha"))], "not the source's provider or hash"))
+        return union(parts)
+
+    def uniqueness(self) -> DataFrame:
+        """conversation_id_collision, record_id_collision, source_pointer_collision, node_collision, duplicate_child."""
+        own = self.source["conversation"].select(F.col("at.s").alias("source_id"), F.col("values")["original_id"].alias("id"))
+        ids = union([self.records(kind).select("record_id") for kind in KINDS])
+        places = [repeated(self.records(kind).select(F.col("at.s").alias("source_id"), F.col("at.p").alias("pointer")), ["source_id", "pointer"], "source_pointer_collision") for kind in KINDS]
+        nodes = self.nodes()
+        twice = nodes.where(F.size("children_ids") > F.size(F.array_distinct("children_ids")))
+        return union([repeated(own, ["source_id", "id"], "conversation_id_collision"), repeated(ids, ["record_id"], "record_id_collision"), *places, repeated(nodes, ["conversation", "node"], "node_collision"), _found(twice, "duplicate_child", F.col("conversation"), F.col("node"))])
+
+    def integrity(self) -> DataFrame:
+        """clean_hash_mismatch, file_count: tables that aren't what was written."""
+        spark = self.raw.sparkSession
+        rows = []
+        for name, spec in sorted(self.frozen.items()):
+            table = self.t[name]
+            count = table.count()
+            if table_print(table) != spec["print"]:
+                rows.append(("clean_hash_mismatch", name, None))
+            if count != spec["records"]:
+                rows.append(("file_count", name, f"{count}/{spec['records']}"))
+        return spark.createDataFrame(rows, "code string, record_id string, detail string")
+
+    def coverage(self) -> DataFrame:
+        """source_coverage, provider_count, expected_count: places and numbers, counted in the source anew."""
+        place = lambda df: df.select("at.s", "at.p")
+        parts = []
+        counts, wanted = [], []
+        for kind in KINDS:
+            derived, source = place(self.records(kind)).distinct(), place(self.source[kind]).distinct()
+            for a, b, detail in ((derived, source, "not in the source"), (source, derived, "not derived")):
+                parts.append(_found(a.join(b, ["s", "p"], "left_anti"), "source_coverage", F.concat_ws("|", "s", "p"), F.lit(detail)))
+            if kind != "attachment":
+                named = lambda df, kind=kind: df.groupBy(F.concat("provider", F.lit(f"_{kind}s")).alias("name")).agg(F.count("*").alias("n"))
+                counts.append(named(self.records(kind)))
+                wanted.append(named(self.source[kind]).withColumnRenamed("n", "expected"))
+        parts.append(expected_counts(union(counts), union(wanted), "provider_count"))
+        if self.expected:
+            given = self.raw.sparkSession.createDataFrame(sorted(self.expected.items()), "name string, expected long")
+            parts.append(expected_counts(union(counts), given))
+        return union(parts)
+
+    def conversations(self) -> DataFrame:
+        """metadata_fidelity, conversation_identity, title_fidelity, timestamp_fidelity, branch_selection, graph_fidelity."""
+        c = self.against("conversation")
+        roots = F.from_json(F.col("values")["root_parent_ids"], "array<string>")
+        parts = [
+            _differs(c, "metadata_fidelity", [(json_key(F.col("raw_metadata")), F.col("values")["raw_metadata"])], "metadata changed"),
+            _differs(c, "conversation_identity", _pairs("original_id"), "original id changed"),
+            _differs(c, "title_fidelity", _pairs("title"), "title changed"),
+            _differs(c, "timestamp_fidelity", _pairs("created_at_raw", "updated_at_raw"), "time changed"),
+            _differs(c, "branch_selection", [*_pairs("current_node_id"), (F.col("root_parent_ids"), roots)], "selected node or roots changed"),
+        ]
+        node = F.struct("position", "node_id", "parent_id", "children_ids", "message_record_id", "fields")
+        listed = lambda df: df.groupBy("conversation").agg(F.array_sort(F.collect_list(node)).alias("graph"))
+        own = listed(self.t["nodes"].select(F.col("conversation_record_id").alias("conversation"), F.col("position").cast("int").alias("position"), "node_id", "parent_id", "children_ids", "message_record_id", json_key(F.col("node_fields")).alias("fields")))
+        v = lambda n: F.col("values")[n]
+        message = F.when(F.col("m_at").isNotNull(), record_id("message", F.col("at.s"), F.col("m_at")))
+        source = self.source["node"].select(record_id("conversation", F.col("at.s"), F.col("c_at")).alias("conversation"), v("position").cast("int").alias("position"), v("node_id").alias("node_id"), v("parent_id").alias("parent_id"), F.from_json(v("children_ids"), "array<string>").alias("children_ids"), message.alias("message_record_id"), v("node_fields").alias("fields"))
+        both = own.join(listed(source).withColumnRenamed("graph", "wanted"), "conversation", "full_outer").join(self.t["conversations"].select(F.col("record_id").alias("conversation")).distinct(), "conversation", "left_semi")
+        parts.append(_found(both.where(~F.col("graph").eqNullSafe(F.col("wanted"))), "graph_fidelity", F.col("conversation"), F.lit("the exported graph changed")))
+        return union(parts)
+
+    def messages(self) -> DataFrame:
+        """raw_fidelity, conversation_reference, conversation_membership, role_fidelity, timestamp_fidelity,
+        message_identity, content_kind, text_fidelity, text_pointer."""
+        m = self.against("message")
+        convs = self.t["conversations"].select(F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("_original"), F.col("provenance").alias("_from")).dropDuplicates(["conversation_record_id"])
+        placed = self.records("message").join(convs, "conversation_record_id")
+        outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~F.startswith(F.col("at.p"), F.concat("_from.json_pointer", F.lit("/")))
+        segment = F.struct(F.col("segment_index").cast("int").alias("i"), "json_pointer", "text", "kind")
+        own = self.t["segments"].groupBy(F.col("message_record_id").alias("record_id")).agg(F.transform(F.array_sort(F.collect_list(segment)), lambda s: F.array(s["json_pointer"], s["text"], s["kind"])).alias("_own"))
+        texts = m.join(own, "record_id", "left").select("record_id", F.coalesce("_own", F.array().cast("array<array<string>>")).alias("_own"), F.from_json(F.col("values")["segments"], "array<array<string>>").alias("_wanted"))
+        at = self.t["segments"].join(self.t["messages"].select(F.col("record_id").alias("message_record_id"), "provenance").dropDuplicates(["message_record_id"]), "message_record_id")
+        there = at.select(F.col("message_record_id").alias("record_id"), F.struct(F.col("provenance.source_id").alias("s"), F.col("json_pointer").alias("p")).alias("at"), "text").join(self.source["segment"].select("at", "values"), "at", "left")
+        return union([
+            _differs(m, "raw_fidelity", [(json_key(F.col("raw")), F.col("values")["raw"])], "the message changed"),
+            references(self.records("message"), "conversation_record_id", self.t["conversations"], "conversation_reference"),
+            _found(placed.where(~F.col("conversation_original_id").eqNullSafe(F.col("_original"))), "conversation_membership", F.col("record_id"), F.lit("another conversation's id")),
+            _found(placed.where(outside), "conversation_membership", F.col("record_id"), F.lit("outside its conversation")),
+            _differs(m, "role_fidelity", _pairs("role", "role_raw"), "role changed"),
+            _differs(m, "timestamp_fidelity", _pairs("created_at_raw", "updated_at_raw"), "time changed"),
+            _differs(m, "message_identity", _pairs("original_id"), "original id changed"),
+            _differs(m, "content_kind", _pairs("content_kind"), "kind of content changed"),
+            _found(texts.where(~F.col("_own").eqNullSafe(F.col("_wanted"))), "text_fidelity", F.col("record_id"), F.lit("text changed")),
+            _found(there.where(~F.col("text").eqNullSafe(F.col("values")["text"])), "text_pointer", F.col("record_id"), F.col("at.p")),
+        ])
+
+    def attachments(self) -> DataFrame:
+        """attachment_fidelity, attachment_membership, attachment_source_membership, attachment_kind, attachment_metadata,
+        attachment_availability."""
+        from attestry.operators.normalize import resolve_attachments
+
+        a = self.against("attachment")
+        owner = self.t["messages"].select(F.col("record_id").alias("message_record_id"), F.col("conversation_record_id").alias("_conversation"), F.col("provenance").alias("_from")).dropDuplicates(["message_record_id"])
+        placed = self.records("attachment").join(owner, "message_record_id", "left")
+        outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~F.coalesce(F.startswith(F.col("at.p"), F.concat("_from.json_pointer", F.lit("/"))), F.lit(False))
+        parts = [
+            _differs(a, "attachment_fidelity", [(json_key(F.col("raw")), F.col("values")["raw"])], "the reference changed"),
+            _found(placed.where(~F.col("conversation_record_id").eqNullSafe(F.col("_conversation"))), "attachment_membership", F.col("record_id")),
+            _found(placed.where(outside), "attachment_source_membership", F.col("record_id")),
+            _differs(a, "attachment_kind", _pairs("attachment_kind"), "kind changed"),
+            _differs(a, "attachment_metadata", _pairs("filename", "original_id"), "name or id changed"),
+        ]
+        if "resolved_path" in self.t["attachments"].columns and self.roots is not None:
+            anew = resolve_attachments(self.t["attachments"], self.roots, self.files).select("record_id", F.col("availability").alias("_state"), F.col("resolved_path").alias("_path"), F.col("sha256").alias("_hash"))
+            parts.append(_differs(self.t["attachments"].join(anew, "record_id"), "attachment_availability", [(F.col("availability"), F.col("_state")), (F.col("resolved_path"), F.col("_path")), (F.col("sha256"), F.col("_hash"))], "availability changed"))
+        return union(parts)
+
+    def timestamps(self) -> DataFrame:
+        """invalid_timestamp."""
+        return union([bad_timestamps(self.t[t], c) for t in ("conversations", "messages") for c in ("created_at_raw", "updated_at_raw")])
+
+    def nodes(self) -> DataFrame:
+        n = self.t["nodes"].select(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "position", "children_ids", "message_record_id")
+        return n
+
+    def graph(self) -> DataFrame:
+        """missing_current_node, dangling_parent, child_link, parent_link, node_message_link, graph_cycle,
+        conversation_message_count."""
+        n = self.nodes()
+        chosen = self.t["conversations"].where("current_node_id is not null").select(F.col("record_id").alias("conversation"), F.col("current_node_id").alias("node"))
+        roots = self.t["conversations"].select(F.col("record_id").alias("conversation"), F.explode("root_parent_ids").alias("parent"))
+        links = link_mismatches(n)
+        said = n.where("message_record_id is not null")
+        m = self.t["messages"].select(F.col("record_id").alias("message_record_id"), F.struct(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), F.col("position").cast("int").alias("position")).alias("_link")).dropDuplicates(["message_record_id"])
+        linked = said.join(m, "message_record_id", "left").where(~F.struct("conversation", "node", "parent", F.col("position").cast("int").alias("position")).eqNullSafe(F.col("_link")))
+        count = said.groupBy(F.col("conversation").alias("record_id")).agg(F.count("*").alias("n"))
+        counted = self.t["conversations"].select("record_id", "message_count").join(count, "record_id", "left").where("coalesce(n, 0) <> message_count")
+        return union([
+            _found(chosen.join(n.select("conversation", "node"), ["conversation", "node"], "left_anti"), "missing_current_node", F.col("conversation"), F.col("node")),
+            _found(dangling_parents(n).join(roots, ["conversation", "parent"], "left_anti"), "dangling_parent", F.col("conversation"), F.col("node")),
+            links.select("code", F.col("conversation").alias("record_id"), F.concat_ws("|", "parent", "child").alias("detail")),
+            _found(linked, "node_message_link", F.col("conversation"), F.col("node")),
+            _found(cycle_members(n), "graph_cycle", F.col("conversation"), F.col("node")),
+            _found(counted, "conversation_message_count", F.col("record_id"), F.concat_ws("/", F.coalesce("n", F.lit(0)), "message_count")),
+        ])
+
+    def warnings(self) -> DataFrame:
+        """unknown_role, unknown_content, unknown_multimodal_content, unknown_part by message; and, one row each where
+        they apply, missing_child_lists, attachment_gaps, repeated_message_ids, missing_creation_times (detail: how many)."""
+        own = self.source["warning"].select(F.col("values")["code"].alias("code"), record_id("message", F.col("at.s"), F.col("m_at")).alias("record_id"), F.lit(None).cast("string").alias("detail"))
+        one = lambda code, rows: rows.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(code).alias("code"), F.lit(None).cast("string").alias("record_id"), F.col("n").cast("string").alias("detail"))
+        times = self.t["conversations"].select("created_at_raw").unionByName(self.t["messages"].select("created_at_raw"))
+        return union([
+            own,
+            one("missing_child_lists", self.t["nodes"].where("children_ids is null")),
+            one("attachment_gaps", self.t["attachments"].where(F.col("availability").isin("unverified_reference", "missing"))),
+            one("repeated_message_ids", repeated_ids(self.t["messages"])),
+            one("missing_creation_times", times.where("created_at_raw is null")),
+        ])
+
+    def refused(self) -> DataFrame:
+        """validation_exception: what neither the adapters nor the census can read."""
+        return _found(self.source["refused"], "validation_exception", F.concat_ws("|", "at.s", "at.p"), F.col("values")["error"])
+
+    def findings(self) -> DataFrame:
+        """All rules' rows; an empty dataset of an empty source has none."""
+        groups = (self.identity, self.uniqueness, self.integrity, self.coverage, self.conversations, self.messages, self.attachments, self.timestamps, self.graph, self.warnings, self.refused)
+        return union([g() for g in groups])
+
+    def errors(self) -> DataFrame:
+        return self.findings().where(~F.col("code").isin(*WARNINGS))
+
+
+def repeated_ids(messages: DataFrame) -> DataFrame:
+    """Rows (provider, original_id, memberships) of message ids that stand in several places."""
+    return messages.groupBy("provider", "original_id").agg(F.count("*").alias("memberships")).where("memberships > 1")
+
+
+def statistics(tables: dict[str, DataFrame], census: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows (statistic, value, n): roles, kinds of content and of blocks, availability, missing times, transcriptions,
+    texts that differ from their blocks, messages without text, empty conversations, branch points, graph nodes, nodes
+    without child lists, repeated ids, payloads, places and exact duplicates."""
+    by = lambda df, name, value: df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("statistic"), "value", "n")
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("statistic"), F.lit("all").alias("value"), "n")
+    m, n, c = tables["messages"], tables["nodes"], tables["conversations"]
+    own = census.where("kind = 'message'")
+    nodes = n.select(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"))
+    there = branch_points(nodes).join(nodes.select("conversation", "node"), ["conversation", "node"], "left_semi")
+    places = sources.select(F.size("locations").alias("k"))
+    total = places.agg(F.count("*").alias("a"), F.coalesce(F.sum("k"), F.lit(0)).alias("b"))
+    return union([
+        by(m, "role", F.col("role")),
+        by(m.where("provider = 'chatgpt'"), "chatgpt_content", F.col("content_kind")),
+        by(tables["segments"], "segment", F.col("kind")),
+        by(tables["attachments"], "attachment", F.col("availability")),
+        *[one(df.where(f"{col} is null"), f"missing_{col}_{name}") for name, df in (("conversations", c), ("messages", m)) for col in ("created_at_raw", "updated_at_raw")],
+        one(own.where(F.col("values")["text_differs"] == "true"), "text_differs_from_blocks"),
+        one(own.where(F.col("values")["no_text"] == "true"), "messages_without_text"),
+        one(c.where("message_count = 0"), "empty_conversations"),
+        one(there, "branch_points"),
+        one(n, "graph_nodes"),
+        one(n.where("children_ids is null"), "nodes_without_child_lists"),
+        one(repeated_ids(m), "repeated_message_ids"),
+        total.select(F.expr("stack(3, 'source_payloads', a, 'source_locations', b, 'duplicate_locations', b - a) as (statistic, n)")).select("statistic", F.lit("all").alias("value"), "n"),
+    ])
