@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import DATA_URI, link_targets, slug
 
-ENTRY = r"^(E\d{4,})\s*(?:[—–:-]|\s)\s*(.+)$"
-#: The reader's patterns as Python has them: (?d) makes \n the only line end.
+#: Fixed values, the reader's grammar as Python has it: (?d) makes \n the only line end.
+ENTRY = r"^(E\d{4,})\s+[—–-]\s+(.+?)\s*$"
 ADDITION = r"(?idu)^### .*?(?:original.conversation|original claude|original.message|complement|later addition)"
 UNAVAILABLE = r"(?idu)(?:original|underlying).{0,100}(?:unavailable|not (?:retrieved|available|recovered))"
 PRESERVED = r"(?dm)^<!-- BEGIN PRESERVED [A-Za-z0-9_.-]+\.md -->\r?\n"
@@ -25,9 +25,10 @@ STOP = (
     "conversation source for was had not but has its are who his her she him out"
 ).split()
 SOURCE_ANCHOR = r"(?i)^(?:src-|cor\d)[A-Za-z0-9_-]*$"
+OUTSIDE = r"external reference `([A-Za-z0-9_-]+)`; not included"
 
 _HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)\s*#*\s*")
-_ANCHOR = re.compile(r'<a\s+id="([^"]+)"\s*>\s*</a>')
+_ANCHOR = re.compile(r""" {0,3}<a\s+(?:id|name)=["']([^"']+)["']\s*></a>\s*""")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 _BEGIN = re.compile(r"\s*<!-- ARCHIVED_TEXT_BEGIN (\S+) -->\s*")
 
@@ -54,6 +55,16 @@ def scan_lines(text: str) -> tuple[list[tuple[int, int, int, str]], bool]:
     return out, closing is not None
 
 
+def token(line: str) -> tuple[str, int, str] | None:
+    """(kind, level, title) of a heading or an anchor (level 0, its id); None for any other line."""
+    body = line.rstrip("\r\n")
+    if heading := _HEADING.fullmatch(body):
+        return "heading", len(heading[1]), heading[2]
+    if anchor := _ANCHOR.fullmatch(body):
+        return "anchor", 0, anchor[1]
+    return None
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``docs``: document, text. Rows (document, start, end, number, line, kind, level, title, unclosed): the visible
     lines; kind is heading (level, title), anchor (title is its id) or null. An unclosed block is marked on a row of its
@@ -67,11 +78,8 @@ def lines(docs: DataFrame) -> DataFrame:
             for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, unclosed = scan_lines(text or "")
                 for begin, end, number, line in found:
-                    body = line.rstrip("\r\n")
-                    heading, anchor = _HEADING.fullmatch(body), _ANCHOR.fullmatch(body)
-                    kind = "heading" if heading else "anchor" if anchor else None
-                    title = heading[2] if heading else anchor[1] if anchor else None
-                    rows.append((document, begin, end, number, line, kind, len(heading[1]) if heading else None, title, False))
+                    kind, level, title = token(line) or (None, None, None)
+                    rows.append((document, begin, end, number, line, kind, level or None, title, False))
                 if unclosed:
                     rows.append((document, None, None, None, None, None, None, None, True))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -87,19 +95,41 @@ def entries(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     before that heading belongs to the following section.
     """
     heads = scanned.where("kind = 'heading'").withColumn("is_entry", F.col("level").isin(2, 3) & F.col("title").rlike(ENTRY))
-    own = heads.where("is_entry").select("document", "start", "level", F.regexp_extract("title", ENTRY, 1).alias("entry_id"), F.regexp_extract("title", ENTRY, 2).alias("title"))
-    later = heads.select("document", F.col("start").alias("next"), F.col("level").alias("next_level"), F.col("is_entry").alias("next_entry"))
-    ends = own.join(later, "document").where("next > start and (next_level <= level or next_entry)").groupBy("document", "start").agg(F.min("next").alias("next"))
+    later = next_heading(heads, ["document"], "start", "level", 6)
+    after = Window.partitionBy("document").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = later.withColumn("next", F.least("next", F.min(F.when(F.col("is_entry"), F.col("start"))).over(after)))
+    own = ended.where("is_entry").select("document", "start", "level", F.regexp_extract("title", ENTRY, 1).alias("entry_id"), F.regexp_extract("title", ENTRY, 2).alias("title"), "next")
     # the visible token before the end, if it's an anchor with nothing but blank lines between
     tokens = scanned.where("kind is not null or trim(line) <> ''").where("start is not null")
     before = tokens.withColumn("prior_kind", F.lag("kind").over(Window.partitionBy("document").orderBy("start"))).withColumn("prior_start", F.lag("start").over(Window.partitionBy("document").orderBy("start")))
     before = before.select("document", F.col("start").alias("next"), "prior_kind", "prior_start")
-    bounded = own.join(ends, ["document", "start"], "left").join(before, ["document", "next"], "left").join(docs.select(F.col("document").cast("string"), F.col("text").alias("whole")), "document")
+    bounded = own.join(before, ["document", "next"], "left").join(docs.select(F.col("document").cast("string"), F.col("text").alias("whole")), "document")
     end = F.when(F.col("next").isNull(), F.length("whole")).when((F.col("prior_kind") == "anchor") & (F.col("prior_start") > F.col("start")), F.col("prior_start")).otherwise(F.col("next"))
     body = F.concat(F.rtrim(F.regexp_replace(F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), r"\s+$", "")), F.lit("\n"))
     return bounded.withColumn("end", end.cast("long")).withColumn("text", body).select("document", "entry_id", "title", "start", "end", "text", F.sha2("text", 256).alias("sha256"))
 
 
+def next_heading(heads: DataFrame, group: list[str], start: str, level: str, levels: int, block: int | None = None) -> DataFrame:
+    """Adds ``next``: where the next heading of the row's level or a higher one (a lower number) begins, null if none
+    does. Levels are 1 to ``levels``. One window over a group's headings; with ``block`` (a number of places) a window over
+    each block's, and one over the blocks' first headings, so a group of any length takes many tasks."""
+    first = lambda k: F.min(F.when(F.col(level) <= k, F.col(start)))
+    ks = range(1, levels + 1)
+    held = heads if block is None else heads.withColumn("_block", F.floor(F.col(start) / block))
+    within = [*group, *(["_block"] if block else [])]
+    after = Window.partitionBy(*within).orderBy(F.desc(start)).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumns({f"_next{k}": first(k).over(after) for k in ks})
+    own = lambda k: F.col(f"_next{k}")
+    if block:
+        tops = held.groupBy(*within).agg(*[first(k).alias(f"_first{k}") for k in ks])
+        beyond = Window.partitionBy(*group).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        later = tops.select(*within, *[F.min(f"_first{k}").over(beyond).alias(f"_later{k}") for k in ks])
+        held = held.join(later, within)
+        own = lambda k: F.coalesce(f"_next{k}", f"_later{k}")
+    found = F.coalesce(*[F.when(F.col(level) == k, own(k)) for k in ks])
+    return held.withColumn("next", found).drop("_block", *[f"_next{k}" for k in ks], *[f"_later{k}" for k in ks])
+
+
 def source_blocks(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Rows (document, source_id, start, end, text, sha256): from a source's or correction's anchor to the next anchor."""
     w = Window.partitionBy("document").orderBy("start")
@@ -111,10 +141,13 @@ def source_blocks(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def entry_references(entry_rows: DataFrame) -> DataFrame:
-    """Rows (document, entry_id, ref): the distinct places that an entry's visible lines link to."""
+    """Rows (document, entry_id, ref): the distinct places that an entry's visible lines link to, and the references that
+    an earlier publication marked as not included."""
     inside = lines(entry_rows.select(F.concat_ws("\x1f", "document", "entry_id").alias("document"), "text")).where("line is not null")
     at = F.split("document", "\x1f")
-    return inside.select(at[0].alias("document"), at[1].alias("entry_id"), F.explode(link_targets(F.col("line"))).alias("ref")).distinct()
+    named = inside.select(at[0].alias("document"), at[1].alias("entry_id"), F.explode(link_targets(F.col("line"))).alias("ref"))
+    marked = entry_rows.select("document", "entry_id", F.explode(F.regexp_extract_all("text", F.lit(OUTSIDE), F.lit(1))).alias("ref"))
+    return named.unionByName(marked).distinct()
 
 
 def entry_bases(entry_rows: DataFrame, refs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -160,18 +193,40 @@ def _terms(text: str) -> Column:
 
 def misplaced_additions(added: DataFrame, titles: DataFrame, top: int = 3) -> DataFrame:
     """Rows (document, entry_id, start, end, other, shared, k): other entries whose title words an addition shares: three
-    or more, and three more than with its own entry; the best ``top`` by share of the title. ``added``: document,
-    entry_id, start, end, text; ``titles``: document, entry_id, title. An equi-join on words, not a cross join."""
-    words = titles.select("document", F.col("entry_id").alias("other"), F.explode(_terms("title")).alias("word")).distinct()
-    sized = words.withColumn("n", F.count("*").over(Window.partitionBy("document", "other")))
-    terms = added.select("document", "entry_id", "start", "end", F.explode(_terms("text")).alias("word"))
-    shared = terms.join(sized, ["document", "word"]).groupBy("document", "entry_id", "start", "end", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    own = F.max(F.when(F.col("other") == F.col("entry_id"), F.col("shared"))).over(Window.partitionBy("document", "entry_id", "start", "end"))
-    fit = shared.withColumn("own", F.coalesce(own, F.lit(0))).where("other <> entry_id and shared >= greatest(3, own + 3)")
-    w = Window.partitionBy("document", "entry_id", "start", "end").orderBy((F.col("shared") / F.col("n")).desc(), F.desc("shared"), F.desc("other"))
+    or more, and three more than with its own entry; the best ``top`` by share of the title, then by number, then by id.
+    ``added``: document, entry_id, start, end, text; ``titles``: document, entry_id, title.
+
+    Titles with the same words are one, and so are additions with the same words under such titles; only these meet, by
+    their words, and each set of titles needs no more than its last ``top`` + 1 ids. Nothing is paired entry by entry.
+    """
+    named = titles.select("document", F.col("entry_id").alias("other"), F.array_sort(_terms("title")).alias("title_words"))
+    last = F.slice(F.sort_array(F.collect_set("other"), asc=False), 1, top + 1)
+    sets = _largest(named, ["document", "title_words"], "other", top + 1).groupBy("document", "title_words").agg(last.alias("others")).where("size(title_words) > 0")
+    own = named.select("document", F.col("other").alias("entry_id"), "title_words").dropDuplicates(["document", "entry_id"])
+    kinds = added.select("document", "entry_id", "start", "end", F.array_sort(_terms("text")).alias("words")).join(own, ["document", "entry_id"], "left")
+    kinds = kinds.withColumn("least", F.greatest(F.lit(3), F.size(F.array_intersect("words", F.coalesce("title_words", F.array().cast("array<string>")))) + 3)).drop("title_words")
+    distinct = kinds.where("size(words) >= least").select("document", "words", "least").distinct()
+    met = distinct.select("document", "words", "least", F.explode("words").alias("word")).join(sets.select("document", "title_words", "others", F.explode("title_words").alias("word")), ["document", "word"])
+    shared = met.groupBy("document", "words", "least", "title_words").agg(F.count("*").alias("shared"), F.first("others").alias("others")).where("shared >= least")
+    best = ["document", "words", "least"]
+    order = [(F.col("shared") / F.size("title_words")).desc(), F.desc("shared"), F.desc("other")]
+    each = shared.select(*best, "shared", "title_words", F.explode("others").alias("other"))
+    few = each.withColumn("k", F.row_number().over(Window.partitionBy(*best).orderBy(*order))).where(F.col("k") <= top + 1)
+    fit = kinds.join(few.drop("k"), best).where("other <> entry_id")
+    w = Window.partitionBy("document", "entry_id", "start", "end").orderBy(*order)
     return fit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("document", "entry_id", "start", "end", "other", "shared", "k")
 
 
+def _largest(rows: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
+    """The ``n`` largest distinct values of each group. A group of many rows is thinned by hash first, so it meets in one
+    task as a few rows of each part."""
+    parts = rows.select(*group, value).distinct().withColumn("_part", F.pmod(F.xxhash64(value), F.lit(64)))
+    for keys in ([*group, "_part"], group):
+        w = Window.partitionBy(*keys).orderBy(F.desc(value))
+        parts = parts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return parts.drop("_part")
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """Rows (document, code, entry_id, detail): unclosed_block, duplicate_entry, duplicate_source,
     encoded_attachment_excluded, preserved_bundle, external_or_missing_target, body_sources_missing_from_header,

@@ -20,6 +20,28 @@ def quote_problems(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.withColumn("code", code).where("code is not null").drop("text")
 
 
+def find_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (item_id, doc_id, start, end): the first place of each item's text in each document that has it. ``items``:
+    item_id, quote, a stated set of bounded size; ``docs``: doc_id, text, streamed against it. Null texts have no place.
+
+    A quote of eight words or more is met by five words at its start, which are whole words wherever it stands; only the
+    words' hashes are dealt out, and the texts of what met are looked at. Shorter quotes are searched in every text.
+    """
+    words = lambda c: F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""), r"\s+")
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 6, F.lit(2))), lambda i: F.xxhash64(F.slice(w, i, 5))))
+    # a generator of one row computes the words once
+    split = lambda df, c: df.withColumn("words", F.explode(F.array(words(F.col(c)))))
+    own = split(items.where("quote is not null"), "quote")
+    keys = own.where("size(words) >= 8").select("item_id", F.element_at(grams(F.col("words")), 1).alias("gram"))
+    met = split(docs.where("text is not null"), "text").select("doc_id", F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(keys), "gram").select("doc_id", "item_id").distinct()
+    quotes = own.select("item_id", "quote")
+    long = docs.join(met, "doc_id").join(F.broadcast(quotes), "item_id").where(F.contains("text", "quote"))
+    short = docs.join(F.broadcast(own.where("size(words) < 8").select("item_id", "quote")), F.contains("text", "quote"))
+    found = long.select("item_id", "doc_id", "text", "quote").unionByName(short.select("item_id", "doc_id", "text", "quote"))
+    start = F.instr("text", F.col("quote")) - 1
+    return found.select("item_id", "doc_id", start.alias("start"), (start + F.length("quote")).alias("end"), "text", "quote")
+
+
 def uncovered_quotes(quotes: DataFrame, pieces: DataFrame, coverage: DataFrame) -> DataFrame:
     """Rows of quotes joined with the pieces they overlap that no coverage row names: an equi-join on the segment with
     the interval overlap as its residue, then an anti join."""
@@ -44,6 +66,31 @@ def pending_packets(pieces: DataFrame, coverage: DataFrame) -> DataFrame:
     return pieces.join(coverage.select("piece_id"), "piece_id", "left_anti").groupBy("packet").agg(F.count("*").alias("pending"))
 
 
+def first_pending(pieces: DataFrame, coverage: DataFrame):
+    """The least ``packet`` with a piece that isn't covered, None if there is none."""
+    return pending_packets(pieces, coverage).agg(F.min("packet").alias("packet")).first()["packet"]
+
+
+def is_complete(counts: dict[str, int], missing: list) -> bool:
+    """All conversations are integrated, and no member of the selection is missing."""
+    return not missing and set(counts) <= {"integrated"} and sum(counts.values()) > 0
+
+
+def latest_by_decision(journals: DataFrame) -> DataFrame:
+    """Rows (decision_id, batch_id, completed_at, ambiguous): the latest completed batch of each decision. ``journals``:
+    batch_id, completed_at, decision_ids."""
+    each = journals.select("batch_id", "completed_at", F.explode("decision_ids").alias("decision_id"))
+    at = each.groupBy("decision_id", "completed_at").agg(F.count("*").alias("n"), F.max("batch_id").alias("batch_id"))
+    return at.groupBy("decision_id").agg(F.max_by("batch_id", "completed_at").alias("batch_id"), F.max("completed_at").alias("completed_at"), (F.max("n") > 1).alias("ambiguous"))
+
+
+def completed(journals: DataFrame) -> DataFrame:
+    """Journals whose installation is complete, with ``completed_at`` as a moment; a time without a zone is null."""
+    from attestry.functions.text import zoned_timestamp
+
+    return journals.where("status = 'complete'").withColumn("completed_at", zoned_timestamp(F.col("completed_at")))
+
+
 def latest_dispositions(journals: DataFrame) -> DataFrame:
     """Rows (finding, completed_at, outcome, ambiguous): each finding's outcome at its latest completion.
 

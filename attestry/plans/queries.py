@@ -1,51 +1,18 @@
-"""The engine's queries over the driver's tables, by name, and the SQL that must give the same rows."""
+"""Queries of records, trees, packets, comparisons, reviews and documents over the driver's tables, and their SQL. Those of
+imports and their validation, of stores and of decisions are in the modules imported at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions.identity import pointer_key, pointer_token, record_id, sha256, source_id, struct_fingerprint
 from attestry.operators import delta, documents, graph, normalize, packets, proposals, review, validate, writer
 from attestry.plans.bridge import SOURCE, export_sides, messages, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from attestry.plans.registry import MESSAGES, ORACLE_SQL, ORDERED, QUERIES, query
 
 PACKET_CHARS = 1000
-#: Event ids whose headings one window orders; only the blocks' first headings are ordered as a whole.
-SECTION_BLOCK = 1 << 16
-
-
-def query(sql: str | None = None):
-    """Registers a function as the query of its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-#: The bridge's messages in SQL.
-MESSAGES = """
-    select conv_id as conversation, turn as node, case when turn = 0 then null when turn = 1 then 0 else turn - 2 end as parent,
-           turn as position, role, text, '/' || conv_id || '/mapping/' || turn || '/message' as pointer,
-           'message:' || sha256('chatgpt:driver' || chr(10) || '/' || conv_id || '/mapping/' || turn || '/message') as record_id
-    from conversations"""
-#: Parent-first order by a path of positions.
-ORDERED = f"""m as ({MESSAGES}),
-    walk as (
-        select conversation, node, [node] as path from m where parent is null
-        union all
-        select c.conversation, c.node, list_append(w.path, c.node) from m c join walk w on c.conversation = w.conversation and c.parent = w.node
-    ),
-    ordered as (select conversation, node, path, row_number() over (partition by conversation order by path) - 1 as ord from walk)"""
 
 
 @query(f"""select record_id, conversation, node, pointer, sha256(text) as text_sha256,
@@ -63,45 +30,6 @@ def pointer_tokens(spark, sf_dir):
     return d.select("doc_id", pointer_token(F.col("key")).alias("token"), pointer_key(pointer_token(F.col("key"))).alias("back"), rid.alias("record_id"))
 
 
-@query("""select sha256(text) as payload_sha256, count(*)::bigint as locations, min(doc_id) as first_doc, sum(n_chars)::bigint as chars
-          from documents group by 1""")
-def payload_dedup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", sha256(F.col("text")).alias("payload_sha256"))
-    return d.groupBy("payload_sha256").agg(F.count("*").alias("locations"), F.min("doc_id").alias("first_doc"), F.sum("n_chars").alias("chars"))
-
-
-@query("""select (sum(n) - count(*))::bigint as duplicate_locations, count(*)::bigint as payloads from (select count(*) as n from documents group by text)""")
-def duplicate_locations(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy(sha256(F.col("text")).alias("sha")).agg(F.count("*").alias("n"))
-    return d.agg((F.sum("n") - F.count("*")).alias("duplicate_locations"), F.count("*").alias("payloads"))
-
-
-@query(f"""with m as ({MESSAGES})
-    select 'role' as statistic, role as value, count(*)::bigint as n from m group by role
-    union all select 'empty_text', 'messages', (count(*) filter (where trim(text) = ''))::bigint from m
-    union all select 'conversations', 'all', count(distinct conversation)::bigint from m""")
-def import_statistics(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    roles = m.groupBy("role").agg(F.count("*").alias("n")).select(F.lit("role").alias("statistic"), F.col("role").alias("value"), "n")
-    totals = m.agg(F.count_if(F.trim("text") == "").alias("a"), F.countDistinct("conversation").alias("b"))
-    long = totals.select(F.expr("stack(2, 'empty_text', 'messages', a, 'conversations', 'all', b) as (statistic, value, n)"))
-    return roles.unionByName(long)
-
-
-@query("""select sha256(text) as text_sha256, count(*)::bigint as memberships, count(distinct conv_id)::bigint as conversations
-          from conversations group by 1 having count(*) > 1""")
-def repeated_messages(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    return m.groupBy(sha256(F.col("text")).alias("text_sha256")).agg(F.count("*").alias("memberships"), F.countDistinct("conversation").alias("conversations")).where("memberships > 1")
-
-
-@query("""select conv_id as conversation, turn as node, case role when 'user' then 'user' when 'assistant' then 'assistant' else 'other' end as role_class
-          from conversations""")
-def role_classes(spark, sf_dir):
-    m = messages(spark, sf_dir)
-    return m.select("conversation", "node", F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("other").alias("role_class"))
-
-
 @query(f"""with m as ({MESSAGES}) select conversation, parent as node, count(*)::bigint as fan_out from m where parent is not null
     group by 1, 2 having count(*) > 1""")
 def branch_points(spark, sf_dir):
@@ -263,29 +191,6 @@ def export_delta_counts(spark, sf_dir):
     return delta.counts(delta.node_changes(before, after), delta.conversation_changes(side(before), side(after)))
 
 
-@query("""select item_id, doc_id, (instr(d.text, b.text) - 1)::int as start, (instr(d.text, b.text) - 1 + length(b.text))::int as "end", 'exact' as check
-    from benchmark b join documents d on contains(d.text, b.text)""")
-def exact_quotes(spark, sf_dir):
-    """Spans of benchmark items in documents. The benchmark is a stated query set of bounded size (its table doesn't grow
-    with the corpus), and documents are streamed against it in blocks."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # five words at a quote's start meet the text's runs of five words by equality; the span settles it
-    words = lambda c: F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""), r"\s+")
-    # a generator of one row computes the words once
-    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 6, F.lit(2))), lambda i: F.xxhash64(F.slice(w, i, 5))))
-    split = lambda df, c: df.withColumn("words", F.explode(F.array(words(F.col(c)))))
-    items = split(b, "quote")
-    keys = items.where("size(words) >= 8").select("item_id", "quote", F.element_at(grams(F.col("words")), 1).alias("gram"))
-    found = split(d, "text").select("doc_id", "text", F.explode(grams(F.col("words"))).alias("gram")).join(keys, "gram").where(F.contains("text", "quote"))
-    # shorter quotes have no five whole words at a sure place: each text is searched for each of them
-    short = items.where("size(words) < 8").select("item_id", "quote")
-    found = found.select("doc_id", "text", "item_id", "quote").unionByName(d.join(F.broadcast(short), F.contains("text", "quote")).select("doc_id", "text", "item_id", "quote"))
-    quotes = found.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"), "quote", "text").withColumn("end", F.col("start") + F.length("quote"))
-    check = F.when(T.span(F.col("text"), F.col("start"), F.col("end")) == F.col("quote"), "exact").otherwise("text_mismatch")
-    return quotes.select("item_id", "doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), check.alias("check"))
-
-
 def _quotes(spark, sf_dir):
     m = messages(spark, sf_dir)
     wrong = F.when(F.col("node") % 3 == 0, F.substring("text", 11, 20)).otherwise(F.substring("text", 12, 20))
@@ -360,14 +265,14 @@ def latest_dispositions(spark, sf_dir):
 
 
 @query(f"""with m as ({MESSAGES}),
-    g as (select conversation % 4 as decision_id, conversation, node, case when node % 2 = 0 then record_id end as rid, case when node % 2 = 1 then 'm' || node end as mid, pointer || '/content/parts/0' as jp from m where node < 4),
+    g as (select conversation % 4 as decision_id, conversation, node, case when node % 2 = 0 then record_id end as rid, case when node % 2 = 1 then 'm' || node end as mid, pointer || '/content/parts/0' as jp from m),
     f as (select g.conversation, g.node, m.record_id from g join m on m.conversation % 4 = g.decision_id
           and (m.record_id = g.rid or 'm' || m.node = g.mid) and starts_with(g.jp, m.pointer || '/'))
     select g.conversation || '-' || g.node as gap, count(f.record_id)::bigint as candidates, case when count(f.record_id) = 1 then min(f.record_id) end as message
     from g left join f on f.conversation = g.conversation and f.node = g.node group by 1""")
 def media_gaps(spark, sf_dir):
     m = messages(spark, sf_dir).withColumn("decision_id", F.col("conversation") % 4).withColumn("original_id", F.concat(F.lit("m"), F.col("node").cast("string")))
-    gaps = m.where("node < 4").select(
+    gaps = m.select(
         F.concat(F.col("conversation").cast("string"), F.lit("-"), F.col("node").cast("string")).alias("gap"), "decision_id",
         F.when(F.col("node") % 2 == 0, F.col("record_id")).alias("message_record_id"), F.when(F.col("node") % 2 == 1, F.col("original_id")).alias("message_id"),
         F.concat("pointer", F.lit("/content/parts/0")).alias("json_pointer"),
@@ -382,22 +287,6 @@ def usage_totals(spark, sf_dir):
     return review.usage_totals(e.select(F.col("user_id").alias("worker"), F.when(F.coalesce(F.col("value") > 95, F.lit(False)), F.lit(None)).otherwise(F.col("event_id")).alias("input_tokens"), (F.col("event_id") % 100).alias("output_tokens")), "worker")
 
 
-@query("""with e as (select user_id, event_id, coalesce(sum(event_id % 50) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as before from events)
-    select user_id, event_id, before::bigint as used_before from e where before < 200""")
-def budgeted_jobs(spark, sf_dir):
-    """Jobs of each queue that start before its budget of 200 is used up."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.select("user_id", "event_id", F.coalesce(F.sum(F.col("event_id") % 50).over(w), F.lit(0)).alias("used_before")).where("used_before < 200")
-
-
-@query("""select part, count(*)::bigint as n from (select unnest([length(text) > 0, contains(lower(text), 'license'), text = upper(text)]) as hit, unnest(['text', 'license', 'capitals']) as part from documents) where hit group by 1""")
-def keyword_flags(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    flags = F.array(*[F.when(c, F.lit(n)) for n, c in (("text", F.length("text") > 0), ("license", F.contains(F.lower("text"), F.lit("license"))), ("capitals", F.col("text") == F.upper("text")))])
-    return d.select(F.explode(flags).alias("part")).where("part is not null").groupBy("part").agg(F.count("*").alias("n"))
-
-
 @query("""with d as (select doc_id, '[S](#src-' || ((doc_id * 7) % 1100) || ') and [T](#e%C3%A9' || (doc_id % 3) || ')' as text from documents),
     l as (select doc_id, unnest(['src-' || ((doc_id * 7) % 1100), 'eé' || (doc_id % 3)]) as target from d)
     select doc_id, target from l where target not in (select 'src-' || doc_id from documents)""")
@@ -408,62 +297,6 @@ def broken_links(spark, sf_dir):
     return links.join(d.select(F.concat(F.lit("src-"), F.col("doc_id").cast("string")).alias("target")), "target", "left_anti").select("doc_id", "target")
 
 
-@query("""select a.doc_id, coalesce(b.sha, 'unavailable') as basis from documents a
-    left join (select doc_id, sha256(text) as sha from documents where doc_id % 3 <> 0) b on b.doc_id = (a.doc_id * 7) % 1100""")
-def entry_basis(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    blocks = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("ref"), sha256(F.col("text")).alias("sha"))
-    return d.select("doc_id", ((F.col("doc_id") * 7) % 1100).alias("ref")).join(blocks, "ref", "left").select("doc_id", F.coalesce("sha", F.lit("unavailable")).alias("basis"))
-
-
-@query("""with s as (select page_id, regexp_replace(regexp_replace(lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') as slug from pages)
-    select page_id, case when n = 0 then slug else slug || '-' || n end as anchor from (select page_id, slug, row_number() over (partition by slug order by page_id) - 1 as n from s)""")
-def heading_anchors(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", T.slug(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("page_id")) - 1
-    return p.withColumn("n", n).select("page_id", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string"))).alias("anchor"))
-
-
-@query("""with w as (select distinct p_partkey as id, unnest(string_split(lower(p_name), ' ')) as word from part where p_partkey <= 1000000),
-    t as (select id, word, count(*) over (partition by id) as n from w where length(word) >= 3),
-    o as (select a.id, b.id as other, count(*) as shared, max(b.n) as n from t a join t b on a.word = b.word and a.id <> b.id group by 1, 2),
-    r as (select *, row_number() over (partition by id order by shared * 1000000 // n desc, shared desc, other desc) as k from o)
-    select id, other, shared::bigint as shared from r where k <= 3""")
-def similar_titles(spark, sf_dir):
-    """The three titles that share the largest part of their words with each; a top-3 is the feature."""
-    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")).where("length(word) >= 3")
-    sizes = words.groupBy("id").agg(F.count("*").alias("n"))
-    pairs = words.join(words.withColumnRenamed("id", "other"), "word").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
-    ranked = pairs.join(sizes.withColumnRenamed("id", "other"), "other")
-    w = Window.partitionBy("id").orderBy(F.expr("shared * 1000000 div n").desc(), F.desc("shared"), F.desc("other"))
-    return ranked.withColumn("k", F.row_number().over(w)).where("k <= 3").select("id", "other", "shared")
-
-
-@query("""select hash, (b - a)::bigint as lost from (select sha256(text) as hash, count(*) as b, count(*) filter (where doc_id % 13 <> 0) as a from documents group by 1) where b > a""")
-def protected_blocks_lost(spark, sf_dir):
-    """Blocks, with their numbers, that the later text has less often: a difference of multisets."""
-    d = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("hash"))
-    return d.select("hash").exceptAll(d.where("doc_id % 13 <> 0").select("hash")).groupBy("hash").agg(F.count("*").alias("lost"))
-
-
-@query("""with h as (select event_id as start, 1 + event_id % 3 as level from events where event_id % 10 = 0),
-    e as (select a.start, min(b.start) as stop from h a left join h b on b.start > a.start and b.start <= a.start + 40 and b.level <= a.level group by 1)
-    select start, coalesce(stop, start + 50)::bigint as "end" from e""")
-def section_ends(spark, sf_dir):
-    """Sections end at the next heading of their level or a higher one, however far on; the last ones after 50 places."""
-    h = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("start"), (1 + F.col("event_id") % 3).alias("level"))
-    blocks = h.withColumn("block", F.floor(F.col("start") / SECTION_BLOCK))
-    # the next heading of each level or a higher one in the row's block, else the first of the blocks after it
-    first = lambda k: F.min(F.when(F.col("level") <= k, F.col("start")))
-    within = Window.partitionBy("block").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
-    own = blocks.select("*", *[first(k).over(within).alias(f"own{k}") for k in (1, 2, 3)])
-    heads = blocks.groupBy("block").agg(*[first(k).alias(f"first{k}") for k in (1, 2, 3)])
-    after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    later = heads.select("block", *[F.min(f"first{k}").over(after).alias(f"later{k}") for k in (1, 2, 3)])
-    following = F.coalesce(*[F.when(F.col("level") == k, F.coalesce(f"own{k}", f"later{k}")) for k in (1, 2, 3)])
-    return own.join(later, "block").select("start", F.coalesce(following, F.col("start") + 50).alias("end"))
-
-
 @query("""select event_id, case when s is null then 'missing' when regexp_matches(s, '^-?\\d+(\\.\\d+)?$') or regexp_matches(s, 'Z$') then 'valid' else 'invalid' end as state
     from (select event_id, case event_id % 4 when 0 then null when 1 then epoch(ts)::bigint::varchar when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') else strftime(ts, '%Y-%m-%dT%H:%M:%S') end as s from events)""")
 def timestamp_states(spark, sf_dir):
@@ -473,29 +306,13 @@ def timestamp_states(spark, sf_dir):
     return e.select("event_id", T.timestamp_state(raw).alias("state"))
 
 
-@query("""select 'conversations' as name, count(*)::varchar || '/536' as detail from conversations having count(*) <> 536
-    union all select 'documents', count(*)::varchar || '/7' from documents having count(*) <> 7""")
-def expected_counts(spark, sf_dir):
-    counts = table(spark, sf_dir, "conversations").agg(F.count("*").alias("n")).withColumn("name", F.lit("conversations"))
-    counts = counts.unionByName(table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).withColumn("name", F.lit("documents")))
-    expected = spark.createDataFrame([("conversations", 536), ("documents", 7)], "name string, expected long")
-    return validate.expected_counts(counts, expected).select(F.col("record_id").alias("name"), "detail")
-
-
 @query(f"""with m as ({MESSAGES}), d as (select record_id from m where node % 6 <> 5 union all select record_id from m where node % 6 = 4)
     select record_id, case when x > y then 'not in the source' else 'not derived' end as detail
     from (select record_id, count(*) filter (where k = 0) as x, count(*) filter (where k = 1) as y from (select record_id, 0 as k from d union all select record_id, 1 from m) group by 1) where x <> y""")
 def source_census(spark, sf_dir):
     m = messages(spark, sf_dir).select("record_id", "node")
     derived = m.where("node % 6 <> 5").unionByName(m.where("node % 6 = 4"))
-    return validate.census(derived, m, ["record_id"]).select("record_id", "detail")
-
-
-@query("""select quality * 10 + toxic as code, case when quality = 0 then 'defer' when toxic = 1 then 'revise' else 'keep' end as decision, count(*)::bigint as n from labels group by 1, 2""")
-def review_decisions(spark, sf_dir):
-    answers = table(spark, sf_dir, "labels")
-    decision = F.when(F.col("quality") == 0, "defer").when(F.col("toxic") == 1, "revise").otherwise("keep")
-    return answers.groupBy((F.col("quality") * 10 + F.col("toxic")).alias("code"), decision.alias("decision")).agg(F.count("*").alias("n"))
+    return validate.census_difference(derived, m, ["record_id"]).select("record_id", "detail")
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,7 +353,7 @@ def _book(spark, sf_dir):
     return d.select(F.col("doc_id").cast("string").alias("document"), text.alias("text"))
 
 
-@query("""with d as (select doc_id, lpad(doc_id::varchar, 4, '0') as n, source, lang from documents where doc_id < 10000)
+@query("""with d as (select doc_id, printf('%04d', doc_id) as n, source, lang from documents)
     select doc_id::varchar as document, 'E' || n as entry_id, source as title,
         sha256('## E' || n || ' — ' || source || chr(10) || '**Source references:** [S](#src-' || n || ')' || chr(10) || 'Body in ' || lang || ' [T](#src-x' || (doc_id % 5) || ')' || chr(10)) as sha256 from d""")
 def document_entries(spark, sf_dir):
@@ -544,24 +361,18 @@ def document_entries(spark, sf_dir):
     return documents.entries(docs, documents.lines(docs)).select("document", "entry_id", "title", "sha256")
 
 
-@query("""select doc_id::varchar as document, 'src-' || lpad(doc_id::varchar, 4, '0') as source_id, sha256('source of ' || lang || chr(10)) as sha256 from documents where doc_id < 10000""")
+@query("""select doc_id::varchar as document, 'src-' || printf('%04d', doc_id) as source_id, sha256('source of ' || lang || chr(10)) as sha256 from documents""")
 def document_sources(spark, sf_dir):
     docs = _book(spark, sf_dir)
     return documents.source_blocks(docs, documents.lines(docs)).select("document", "source_id", "sha256")
 
 
-@query("""with d as (select doc_id::varchar as document, 'E' || lpad(doc_id::varchar, 4, '0') as entry_id, 'src-x' || (doc_id % 5) as detail from documents where doc_id < 10000)
+@query("""with d as (select doc_id::varchar as document, 'E' || printf('%04d', doc_id) as entry_id, 'src-x' || (doc_id % 5) as detail from documents)
     select document, unnest(['external_or_missing_target', 'body_sources_missing_from_header']) as code, entry_id, detail from d""")
 def document_audit(spark, sf_dir):
     return documents.audit(_book(spark, sf_dir))
 
 
-@query("""select doc_id::varchar as document, 'broken_internal_link' as code, unnest(['src-' || lpad(doc_id::varchar, 4, '0'), 'src-x' || (doc_id % 5)]) as detail from documents where doc_id < 10000 and doc_id % 2 = 0""")
-def writer_problems(spark, sf_dir):
-    docs = _book(spark, sf_dir).where("cast(document as long) % 2 = 0").withColumn("text", F.regexp_replace("text", '<a id=[^>]*></a>', ""))
-    return writer.problems(writer.parts(docs))
-
-
 @query(f"""with m as ({MESSAGES}), p as (select conversation, node, role, text, node % 4 = 3 as covered from m),
     e as (select *, substr(text, 3, 6) as span, case when node % 5 = 4 then 'wrong!' else substr(text, 3, 6) end as quote from p where length(text) >= 20)
     select conversation::varchar as packet, code, item from (
@@ -583,3 +394,9 @@ def proposal_problems(spark, sf_dir):
     quote = F.when(F.col("node") % 5 == 4, "wrong!").otherwise(F.substring("text", 3, 6))
     evidence = some.select("packet", cid.alias("candidate_id"), "piece_id", F.lit(2).alias("start"), F.lit(8).alias("end"), quote.alias("quote"))
     return proposals.problems(pieces, coverage, candidates, evidence)
+
+
+# the rest of the registry
+from attestry.plans import reviewing, storing, validation  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES", "reviewing", "storing", "validation"]

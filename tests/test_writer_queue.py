@@ -31,7 +31,7 @@ def test_writer_checks(spark):
     assert rows(writer.problems(now)) == [("broken_internal_link", "nowhere"), ("next_id_collision", "next_source_id"), ("next_id_gap", "next_entry_id")]
     later = DOC.replace("## E0002 Second\n", "").replace("hidden", "other") + "```\nopen"
     assert {c for c, _ in rows(writer.problems(one(later), now))} == {
-        "broken_internal_link", "counter_mismatch", "next_id_collision", "next_id_gap", "protected_material_changed", "removed_entry", "unclosed_block",
+        "broken_internal_link", "counter_mismatch", "next_id_collision", "next_id_gap", "protected_material_changed", "removed_entries", "unclosed_protected_block",
     }
     assert writer.parts(spark.createDataFrame([("e", ""), ("n", None)], "document string, text string")).count() == 0
 
