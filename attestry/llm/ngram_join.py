@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import textscan
-from attestry.llm.shared import components, materialise, row_key
+from attestry.llm.shared import components, materialise, row_key, spread_join
 
 #: Shingles of a block; a task holds two blocks.
 BLOCK = 2_000_000
@@ -138,9 +138,9 @@ class CountTree:
             cut = np.arange(0, len(top), fan)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, i: int, num: int, den: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions after i of another label than i's whose bound admits den * overlap >= num * union with point i, and
-        the bounds."""
+    def search(self, i: int, num: int, den: int, label: np.ndarray, all_: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Positions after i (or ``all_``) of another label than i's whose bound admits den * overlap >= num * union with
+        point i, and the bounds."""
         point, size = self.levels[0][0][i], int(self.levels[0][1][i])
         at, bound = np.arange(len(self.levels[-1][0])), None
         for level in range(len(self.levels) - 1, -1, -1):
@@ -148,7 +148,8 @@ class CountTree:
             if level < len(self.levels) - 1:
                 at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
                 at = at[at < len(top)]
-            at = at[at >= (i + 1 if level == 0 else i // self.fan**level)]
+            if not all_:
+                at = at[at >= (i + 1 if level == 0 else i // self.fan**level)]
             if level == 0:
                 at = at[label[at] != label[i]]
             at = at[(num * size <= den * high[at]) & (num * low[at] <= den * size)]
@@ -208,8 +209,12 @@ def _spanning(points: np.ndarray, sizes: np.ndarray, num: int, den: int, settled
     tree = CountTree(points[order], sizes[order])
     label = np.arange(len(sizes))
     links = []
-    for i in range(len(sizes)):
-        at, bound = tree.search(i, num, den, label)
+    # copies of one text are far from each other but near it: the point most like the mean meets all others first, and
+    # what it links needs no search among itself
+    mean = points[order].mean(axis=0)
+    center = int(np.minimum(points[order], mean).sum(axis=1).argmax()) if len(sizes) > tree.fan else -1
+    for i in [center] * (center >= 0) + list(range(len(sizes))):
+        at, bound = tree.search(i, num, den, label, i == center)
         at = at[np.argsort(-bound, kind="stable")]
         while len(at):
             at = at[label[at] != label[i]]
@@ -223,22 +228,29 @@ def _spanning(points: np.ndarray, sizes: np.ndarray, num: int, den: int, settled
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) sorted: joins each further node of a signature to its first one. Keeps one row."""
+    """Rows (sig, node, head) sorted by the first two: joins each further node of a signature to its first one, and passes
+    on the rows that have a head already. Keeps one row."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = sig[1:] != sig[:-1]
-        if last is not None and sig[0] == last[0]:
-            new[0] = False
-            heads = np.concatenate(([last[1]], node[new]))
-            head = heads[np.cumsum(new)]
-        else:
-            head = node[new][np.cumsum(new) - 1]
-        last = (sig[-1], head[-1])
-        pairs = np.unique(np.stack((head, node), axis=1)[head != node], axis=0)
+        sig, node, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        told = known != 0
+        done = np.stack((known[told], node[told]), axis=1)
+        sig, node = sig[~told], node[~told]
+        pairs = np.zeros((0, 2), dtype=np.int64)
+        if len(sig):
+            new = np.ones(len(sig), dtype=bool)
+            new[1:] = sig[1:] != sig[:-1]
+            if last is not None and sig[0] == last[0]:
+                new[0] = False
+                heads = np.concatenate(([last[1]], node[new]))
+                head = heads[np.cumsum(new)]
+            else:
+                head = node[new][np.cumsum(new) - 1]
+            last = (sig[-1], head[-1])
+            pairs = np.stack((head, node), axis=1)[head != node]
+        pairs = np.unique(np.concatenate((done, pairs)), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -249,17 +261,25 @@ def _names(shingles: np.ndarray) -> tuple[bytes | None, int | None]:
     spread = textscan.mix(shingles)
     one = textscan.mix(spread.sum(keepdims=True) + np.uint64(len(shingles)))
     two = textscan.mix(np.bitwise_xor.reduce(spread * np.uint64(0xC2B2AE3D27D4EB4F), keepdims=True))
-    return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0])
+    return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0]) or 1
 
 
 def _signed(held: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    owner = np.repeat(np.array(nodes, dtype=np.int64), [len(h) for h in held])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(owner)], names=["sig", "node"])
-
-
-def _set_rows(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["cluster", "task", "vertex", "shingles"])
+    """Rows (sig, node, head) of some sets. Of sets that share a signature only the first is dealt out by it; the others
+    have that one as head (else 0) and a signature of their own, so one that a large part of all sets shares sends one row
+    of each batch to its task."""
+    node = np.repeat(np.array(nodes, dtype=np.int64), [len(h) for h in held])
+    sig = np.concatenate(held).view(np.int64)
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = sig[1:] != sig[:-1]
+    head = node[new][np.cumsum(new) - 1]
+    alone = textscan.mix(node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + head.view(np.uint64)).view(np.int64)
+    # a set may have one signature twice
+    keep = new | (head != node)
+    sig, head = np.where(new, sig, alone), np.where(new, 0, head)
+    return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(head[keep])], names=["sig", "node", "head"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -285,24 +305,25 @@ def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         yield pairs()
 
 
-def _link(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, task, vertex, shingles) sorted by the first two: returns each task's forest of links."""
+def _link(batches: Iterator[pa.RecordBatch], num: int, den: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, task, vertex, text) sorted by the first two: returns each task's forest of links. Texts take less
+    room in the shuffle than the sets that are made of them here, once for each vertex of a task."""
     task, held = None, {}
 
     def links() -> pa.RecordBatch:
         names = list(held)
-        pairs = forest([np.frombuffer(x, dtype=np.uint64) for x in held.values()], num, den)
+        pairs = forest(list(held.values()), num, den)
         return pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        cluster, todo, vertex, shingles = (batch.column(i) for i in range(4))
-        for i in range(batch.num_rows):
-            now = (cluster[i].as_py(), todo[i].as_py())
+        cluster, todo, vertex = (batch.column(i).to_pylist() for i in range(3))
+        for i, s in shingle_sets(batch.column(3).to_pylist(), n):
+            now = (cluster[i], todo[i])
             if now != task:
                 if len(held) > 1:
                     yield links()
                 task, held = now, {}
-            held[vertex[i].as_py()] = shingles[i].as_py()
+            held[vertex[i]] = s
     if len(held) > 1:
         yield links()
 
@@ -374,7 +395,7 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, counts binary"))
     # signatures are a second scan's work: kept beside the table, they'd take more room than the texts
     clusters = components(
-        base.select("text").mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
+        base.select("text").mapInArrow(sign, "sig long, node long, head long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
     ).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
     # one row per distinct set; the key of any one of its rows leads back to a text
     sets_ = table.where("vertex is not null").groupBy("vertex", "node", "size").agg(F.min("key").alias("key"), F.first("counts").alias("counts"))
@@ -389,36 +410,24 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     ).select(F.col("v").alias("vertex"), F.xxhash64("root").alias("cluster"))
     tasks = _tasks(sets_.drop("counts").join(near, "vertex"), num, den, block).select("key", "vertex", "cluster", "tasks")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, vertex, cluster, todo = (batch.column(i) for i in range(4))
-            out: list[list] = [[], [], [], []]
-            held = 0
-            for i, s in shingle_sets(texts.to_pylist(), n):
-                data = s.tobytes()
-                for t in todo[i].as_py():
-                    out[0].append(cluster[i].as_py())
-                    out[1].append(f"{t['band']},{t['i']},{t['j']}")
-                    out[2].append(vertex[i].as_py())
-                    out[3].append(data)
-                    held += len(data)
-                if held > 16_000_000:
-                    yield _set_rows(out)
-                    out, held = [[], [], [], []], 0
-            yield _set_rows(out)
-
     joined = components(
         base.select("key", "text")
         .join(tasks.hint("shuffle_hash"), "key")
-        .select("text", "vertex", "cluster", "tasks")
-        .mapInArrow(emit, "cluster long, task string, vertex binary, shingles binary")
+        .select("text", "vertex", "cluster", F.explode("tasks").alias("t"))
+        .select("cluster", F.concat_ws(",", "t.band", "t.i", "t.j").alias("task"), "vertex", "text")
         .repartition("cluster", "task")
         .sortWithinPartitions("cluster", "task")
-        .mapInArrow(lambda batches: _link(batches, num, den), "a binary, b binary")
+        .mapInArrow(lambda batches: _link(batches, num, den, n), "a binary, b binary")
     ).select(F.col("v").alias("vertex"), "root")
-    table = table.select("doc", "key", "size", "vertex").join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    least = table.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-    return table.join(least, "root", "left").select("doc", "key", "size", "root", F.coalesce("least", "doc").alias("least"))
+    # the least id of a vertex, then of a root, then back: each step is a combined minimum, and joins split hot keys
+    linked = materialise(joined)
+    own = table.where("vertex is not null").groupBy("vertex").agg(F.min("doc").alias("least"))
+    roots = linked.join(own, "vertex").groupBy("root").agg(F.min("least").alias("least"))
+    known = spread_join(linked, roots, "root", F.col("vertex"), "left")
+    alone = own.join(linked, "vertex", "left_anti").select("vertex", F.col("vertex").alias("root"), "least")
+    named = known.select("vertex", "root", "least").unionByName(alone)
+    out = spread_join(table.select("doc", "key", "size", "vertex"), named, "vertex", F.col("key"), "left")
+    return out.select("doc", "key", "size", "root", F.coalesce("least", "doc").alias("least"))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: tuple[int, int] = (90, 100), block: int = BLOCK) -> DataFrame:

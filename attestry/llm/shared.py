@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -85,48 +84,36 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): each vertex with its component's least vertex, as (v, root).
 
-    Alternates the large-star and small-star steps; every step is a grouped minimum (combined before the shuffle) and
-    an equi-join, so a vertex with very many edges is one row of the aggregate and its join can be split by AQE. Each
-    round is written, which bounds the plan. Vertices without an edge to another vertex don't appear.
+    Alternates the large-star and small-star steps; each is one shuffle, whose sorted rows are streamed by window
+    functions: the first row of a vertex is its least neighbour. A vertex with very many larger neighbours is dealt over as
+    many tasks as their number asks for, and its few smaller ones go to each. Every round is written, which bounds the
+    plan, and the round before is deleted. Vertices without an edge to another vertex don't appear.
     """
-    now = materialise(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    del edges
-    tidy(now.sparkSession)
+    now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     state = None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        now = materialise(small)
-        # a fixed point has the same edges, each vertex with one parent that is a root
-        found = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first()
-        if tuple(found) == state:
+        # the same edges as before the round: each vertex has one parent, which is a root
+        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(v, u))")).first())
+        if found == state:
             break
-        state = tuple(found)
+        state = found
+        hot = F.broadcast(hot_keys(now, ["v"], total=found[0])[0].withColumnRenamed("v", "key"))
+        larger = now.select(F.col("v").alias("key"), F.col("u").alias("other")).join(hot, "key", "left")
+        smaller = now.select(F.col("u").alias("key"), F.col("v").alias("other")).join(hot, "key", "left")
+        one = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("other"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        rows = larger.select("key", "other", one.alias("salt")).unionByName(smaller.select("key", "other", every.alias("salt")))
+        stream = Window.partitionBy("key", "salt").orderBy("other")
+        marked = rows.withColumns({"least": F.least(F.first("other").over(stream), F.col("key")), "prior": F.lag("other").over(stream)})
+        large = marked.where((F.col("other") > F.col("key")) & (F.col("prior").isNull() | (F.col("prior") != F.col("other")))).select(F.col("other").alias("u"), F.col("least").alias("v"))
+        stream = Window.partitionBy("u").orderBy("v")
+        marked = large.withColumns({"least": F.first("v").over(stream), "prior": F.lag("v").over(stream)}).where("prior is null or prior <> v")
+        # a vertex goes to its least neighbour, and so do its other neighbours
+        small = marked.select(F.when(F.col("prior").isNull(), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
+        now = materialise(small, now)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(
-        now.select("v").distinct().select("v", F.col("v").alias("root"))
-    )
+    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v").distinct().select("v", F.col("v").alias("root")))
