@@ -160,8 +160,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     The target of a domain is its share of ``weights`` (of the domains there are, rescaled to 1) times ``total`` tokens;
     by default the tokens there are, or such that the domain ``anchor`` keeps what it has. Documents that belong to the
     anchor by a posterior of one half or more keep the rate 1; the others are fitted around them. Documents without tokens
-    keep the rate 1. The report's ``gradient`` is the domain's part of the projected gradient at the end (0 within
-    ``tolerance`` unless ``steps`` ran out); a domain whose fitted total isn't its target can't have more, or less.
+    keep the rate 1. The report's ``gradient`` is the domain's part of the projected gradient at the end: 0 within
+    ``tolerance`` unless ``steps`` ran out or three of them together gained less than three thousandths; a domain whose fitted total isn't its target can't have more, or less.
     """
     k = len(domains)
     p = [F.get("_p", F.lit(i)) for i in range(k)]
@@ -205,8 +205,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     def met(s: list[float]) -> bool:
         return all(abs(x - t) <= tolerance * max(n, 1.0) for x, t, n in zip(s, target, natural, strict=True))
 
-    taken, depth, left = 0, 0, [0.0] * k
-    while not met(now) and taken < steps:
+    taken, depth, stalled, left = 0, 0, 0, [0.0] * k
+    while not met(now) and taken < steps and stalled < 3:
         moved = apply(_solve(matrix, [s - t for s, t in zip(now, target, strict=True)]))
         then, after = measure(state, moved)
         if loss(then) > 0.9 * loss(now):
@@ -224,6 +224,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             if loss(found[best]) <= loss(then):
                 moved = trials[best]
                 then, after = measure(state, moved)
+        stalled = stalled + 1 if loss(then) > 0.999 * loss(now) else 0
         rate, now, matrix, depth, taken = moved, then, after, depth + 1, taken + 1
         if depth == CHAIN:
             # the first state is the caller's, the others are this function's own

@@ -5,21 +5,21 @@ point, its counts by group; the summed coordinate minima of two points bound the
 point and a box's upper corner bound it for all points in the box. So a packed R-tree over the points finds for a
 document all partners that may reach the threshold, and the sets themselves settle the surviving pairs.
 
-First the points alone, without the sets, cut loose clusters into those whose bounds admit links; then the sets go to
-their clusters' tasks. A tree needs its points in one place. Documents come together by an exact filter: two sets of similarity t differ in
-at most (|A| + |B|) * (1 - t) / (1 + t) shingles, so among one group more than that at least one group of shingles is
-equal in both. A document emits the hash of each of its groups (about 1/9 as many as shingles at t = 0.9); documents
-that share one are joined to a star, the stars' components are the clusters, and each cluster gets its trees. A large
-cluster is divided by size band and hash into blocks of bounded size, and each pair of blocks that sizes allow is a
-task of its own, so no cluster has to fit into one task. Equal sets are one vertex from the start, and each task
-returns a spanning forest of its links, never all pairs.
+First the points alone, without the texts, cut loose clusters into those whose bounds admit links; then the texts go to
+their clusters' tasks. A tree needs its points in one place. Documents come together by an exact filter: two sets of
+similarity t differ in at most (|A| + |B|) * (1 - t) / (1 + t) shingles, so among one group more than that at least one
+group of shingles is equal in both. A document emits the hash of each of its groups (about 1/9 as many as shingles at
+t = 0.9); documents that share one are joined to a star, the stars' components are the clusters, and each cluster gets its
+trees. A large cluster is dealt out in blocks that each get its center, the point most like the mean of all; members that
+are connected with the center are done, and only the others meet all blocks. Equal sets are one vertex from the start, and
+each task returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from attestry.llm import textscan
 from attestry.llm.shared import components, materialise, row_key, spread_join
 
-#: Shingles of a block; a task holds two blocks.
-BLOCK = 2_000_000
+#: Shingles of a block, and sets: a task holds two blocks at most, and a center.
+BLOCK, DENSE = 2_000_000, 200
+#: Groups by which the points of a cluster are added up.
+FOLD = 64
 #: Sizes of one band differ by this factor at most, or by the threshold's inverse if that is more.
 BAND = 1.25
 #: Divisions that are tried; each fails for few sets.
@@ -228,29 +230,22 @@ def _spanning(points: np.ndarray, sizes: np.ndarray, num: int, den: int, settled
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node, head) sorted by the first two: joins each further node of a signature to its first one, and passes
-    on the rows that have a head already. Keeps one row."""
+    """Rows (sig, node) sorted: joins each further node of a signature to its first one. Keeps one row."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        told = known != 0
-        done = np.stack((known[told], node[told]), axis=1)
-        sig, node = sig[~told], node[~told]
-        pairs = np.zeros((0, 2), dtype=np.int64)
-        if len(sig):
-            new = np.ones(len(sig), dtype=bool)
-            new[1:] = sig[1:] != sig[:-1]
-            if last is not None and sig[0] == last[0]:
-                new[0] = False
-                heads = np.concatenate(([last[1]], node[new]))
-                head = heads[np.cumsum(new)]
-            else:
-                head = node[new][np.cumsum(new) - 1]
-            last = (sig[-1], head[-1])
-            pairs = np.stack((head, node), axis=1)[head != node]
-        pairs = np.unique(np.concatenate((done, pairs)), axis=0)
+        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = sig[1:] != sig[:-1]
+        if last is not None and sig[0] == last[0]:
+            new[0] = False
+            heads = np.concatenate(([last[1]], node[new]))
+            head = heads[np.cumsum(new)]
+        else:
+            head = node[new][np.cumsum(new) - 1]
+        last = (sig[-1], head[-1])
+        pairs = np.unique(np.stack((head, node), axis=1)[head != node], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -261,13 +256,13 @@ def _names(shingles: np.ndarray) -> tuple[bytes | None, int | None]:
     spread = textscan.mix(shingles)
     one = textscan.mix(spread.sum(keepdims=True) + np.uint64(len(shingles)))
     two = textscan.mix(np.bitwise_xor.reduce(spread * np.uint64(0xC2B2AE3D27D4EB4F), keepdims=True))
-    return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0]) or 1
+    return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0])
 
 
 def _signed(held: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    """Rows (sig, node, head) of some sets. Of sets that share a signature only the first is dealt out by it; the others
-    have that one as head (else 0) and a signature of their own, so one that a large part of all sets shares sends one row
-    of each batch to its task."""
+    """Rows (sig, node) of some sets. Of sets that share a signature only the first is dealt out by it; each other one goes
+    with the first under a signature of their own, once for all that the two share. So a signature that a large part of
+    all sets has sends one row of each batch to its task."""
     node = np.repeat(np.array(nodes, dtype=np.int64), [len(h) for h in held])
     sig = np.concatenate(held).view(np.int64)
     order = np.lexsort((node, sig))
@@ -275,11 +270,10 @@ def _signed(held: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
     new = np.ones(len(sig), dtype=bool)
     new[1:] = sig[1:] != sig[:-1]
     head = node[new][np.cumsum(new) - 1]
-    alone = textscan.mix(node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + head.view(np.uint64)).view(np.int64)
     # a set may have one signature twice
-    keep = new | (head != node)
-    sig, head = np.where(new, sig, alone), np.where(new, 0, head)
-    return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(head[keep])], names=["sig", "node", "head"])
+    pairs = np.unique(np.stack((head, node), axis=1)[head != node], axis=0)
+    own = textscan.mix(pairs[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + textscan.mix(pairs[:, 0].view(np.uint64))).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((sig[new], own, own))), pa.array(np.concatenate((node[new], pairs[:, 0], pairs[:, 1])))], names=["sig", "node"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -328,32 +322,86 @@ def _link(batches: Iterator[pa.RecordBatch], num: int, den: int, n: int) -> Iter
         yield links()
 
 
-def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Adds ``tasks``, an array of (band, i, j), to members (cluster, vertex, size, ...).
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, counts): each cluster's counts by FOLD groups, summed over a batch, as (cluster, dim, total)."""
+    for batch in batches:
+        cluster = batch.column(0).to_numpy(zero_copy_only=False)
+        points = _folds(batch.column(1))
+        names, at = np.unique(cluster, return_inverse=True)
+        total = np.zeros((len(names), FOLD), dtype=np.int64)
+        np.add.at(total, at, points)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, FOLD)), pa.array(np.tile(np.arange(FOLD), len(names)), pa.int32()), pa.array(total.ravel())], names=["cluster", "dim", "total"])
+
 
-    A cluster of at most ``block`` shingles is one task. A larger one is divided by size band and a hash of the vertex
-    into parts; each part meets each part of its band and of the next one in a task of theirs.
+def _folds(counts: pa.Array) -> np.ndarray:
+    rows = [np.frombuffer(c.as_py(), dtype=np.uint32).reshape(-1, FOLD).sum(axis=0) for c in counts]
+    return np.stack(rows).astype(np.int64) if rows else np.zeros((0, FOLD), dtype=np.int64)
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, vertex, counts, totals, n): how much of its cluster's mean each point covers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mean = np.stack([np.array(t.as_py(), dtype=float) for t in batch.column(3)]) / batch.column(4).to_numpy(zero_copy_only=False)[:, None]
+        score = np.minimum(_folds(batch.column(2)), mean).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["cluster", "vertex", "score"])
+
+
+def _blocks(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` (cluster, vertex, size, counts, ...) with ``blocks`` (1 for a cluster that one task takes) and
+    ``center`` (a vertex; null there), written; and the large clusters' rows of them, None if there are none.
+
+    The center of a large cluster is the point that covers most of the mean of all: what is copied, if it is there.
+    """
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where((F.col("n") > DENSE) | (F.col("total") > block))
+    # blocks grow with the root of a very large cluster's size, so its center isn't copied too often
+    each = F.greatest(F.lit(float(DENSE)), F.sqrt("n"))
+    big = materialise(sizes.select("cluster", "n", F.ceil(F.greatest(F.col("n") / each, F.col("total") / block)).cast("int").alias("blocks")))
+    if big.isEmpty():
+        one = members.withColumns({"blocks": F.lit(1), "center": F.lit(None).cast("binary")})
+        return one, None
+    marked = materialise(spread_join(members, big, "cluster", F.col("vertex"), "left"))
+    large = marked.where("blocks is not null")
+    totals = large.select("cluster", "counts").mapInArrow(_sums, "cluster long, dim int, total long").groupBy("cluster", "dim").agg(F.sum("total").alias("total"))
+    totals = totals.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "total"))), lambda x: x["total"]).alias("totals"))
+    scored = spread_join(large, totals, "cluster", F.col("vertex")).select("cluster", "vertex", "counts", "totals", F.col("n").cast("double")).mapInArrow(_scores, "cluster long, vertex binary, score double")
+    centers = scored.groupBy("cluster").agg(F.max_by("vertex", F.struct("score", "vertex")).alias("center"))
+    whole = materialise(spread_join(marked, centers, "cluster", F.col("vertex"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("n"), marked)
+    return whole, whole.where("center is not null")
+
+
+def _linked(members: DataFrame, settle: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """Components (v, root) of what ``settle`` links: it takes members with a ``task`` each and returns edges (a, b) of the
+    vertices that one task of one cluster holds.
+
+    A large cluster is dealt out in blocks, and its center goes to each. Members that turn out connected with the center
+    need no more; the others, in parts, meet each block and each other. So a cluster of copies costs what its members cost,
+    and only one that doesn't gather around a center costs the square of what stays apart.
     """
-    step = math.log(den / num) if num < den else 1.0
-    banded = members.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9)))
-    totals = banded.groupBy("cluster", "band").agg(F.sum("size").alias("band_size"))
-    whole = totals.groupBy("cluster").agg(F.sum("band_size").alias("cluster_size"))
-    parts = totals.join(whole, "cluster").select(
-        "cluster", "band", F.when(F.col("cluster_size") <= block, 0).otherwise(F.ceil(F.col("band_size") / block)).cast("int").alias("parts")
-    )
-    above = parts.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    below = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    parts = parts.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").na.fill(0)
-    # tasks of a set: with each part of its own band, of the next and of the one before
-    plan = f"""case when parts = 0 then array(struct(-1L as band, 0 as i, 0 as j)) else concat(
-        transform(sequence(0, parts - 1), x -> struct(band, least(x, part) as i, greatest(x, part) as j)),
-        if(above > 0, transform(sequence(0, greatest(above, 1) - 1), x -> struct(band, part as i, x + 1000000 as j)), array()),
-        if(below > 0, transform(sequence(0, greatest(below, 1) - 1), x -> struct(band - 1 as band, x as i, part + 1000000 as j)), array())) end"""
-    return (
-        banded.join(parts, ["cluster", "band"])
-        .withColumn("part", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("vertex"), F.greatest("parts", F.lit(1)))).otherwise(0).cast("int"))
-        .withColumn("tasks", F.expr(plan))
-    )
+    whole, large = _blocks(members, block)
+    own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    is_center = F.coalesce(F.col("vertex") == F.col("center"), F.lit(False))
+    tasks = F.when(is_center, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    columns = [c for c in whole.columns if c not in ("blocks", "center")]
+    found = components(settle(whole.select(*columns, F.explode(tasks.cast("array<string>")).alias("task"))))
+    if large is None:
+        return found
+    label = spread_join(large, found.withColumnRenamed("v", "vertex"), "vertex", F.col("cluster"), "left")
+    label = materialise(label.withColumn("root", F.coalesce("root", "vertex")))
+    centers = label.where(is_center).select("cluster", F.col("root").alias("middle"))
+    apart = spread_join(label, centers, "cluster", F.col("vertex")).withColumn("open", F.col("root") != F.col("middle"))
+    apart = materialise(apart.drop("root", "middle"), label)
+    parts = apart.where("open").groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / DENSE, F.sum("size") / block)).cast("int").alias("parts"))
+    if parts.isEmpty():
+        return found
+    planned = spread_join(apart, parts, "cluster", F.col("vertex"))
+    part = "pmod(xxhash64(vertex, 1), parts)"
+    # each open part meets each block and each open part
+    plan = F.expr(f"""case when open then concat(transform(sequence(0, blocks - 1), x -> concat('s', x, ',', {part})), transform(sequence(0, parts - 1), x -> concat('o', least(x, {part}), ',', greatest(x, {part}))))
+        else transform(sequence(0, parts - 1), x -> concat('s', pmod(xxhash64(vertex), blocks), ',', x)) end""")
+    more = settle(planned.select(*columns, F.explode(plan).alias("task")))
+    return components(found.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: tuple[int, int], block: int) -> DataFrame:
@@ -395,32 +443,27 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, counts binary"))
     # signatures are a second scan's work: kept beside the table, they'd take more room than the texts
     clusters = components(
-        base.select("text").mapInArrow(sign, "sig long, node long, head long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
+        base.select("text").mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
     ).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
     # one row per distinct set; the key of any one of its rows leads back to a text
     sets_ = table.where("vertex is not null").groupBy("vertex", "node", "size").agg(F.min("key").alias("key"), F.first("counts").alias("counts"))
     # the clusters' points alone say which of their sets may link: their trees cut loose clusters into tight ones
-    near = components(
-        _tasks(sets_.join(clusters, "node"), num, den, block)
-        .select("cluster", F.explode("tasks").alias("t"), "vertex", "size", "counts")
-        .select("cluster", F.concat_ws(",", "t.band", "t.i", "t.j").alias("task"), "vertex", "size", "counts")
-        .repartition("cluster", "task")
-        .sortWithinPartitions("cluster", "task")
-        .mapInArrow(lambda batches: _near(batches, num, den), "a binary, b binary")
-    ).select(F.col("v").alias("vertex"), F.xxhash64("root").alias("cluster"))
-    tasks = _tasks(sets_.drop("counts").join(near, "vertex"), num, den, block).select("key", "vertex", "cluster", "tasks")
-
-    joined = components(
-        base.select("key", "text")
-        .join(tasks.hint("shuffle_hash"), "key")
-        .select("text", "vertex", "cluster", F.explode("tasks").alias("t"))
-        .select("cluster", F.concat_ws(",", "t.band", "t.i", "t.j").alias("task"), "vertex", "text")
-        .repartition("cluster", "task")
-        .sortWithinPartitions("cluster", "task")
-        .mapInArrow(lambda batches: _link(batches, num, den, n), "a binary, b binary")
-    ).select(F.col("v").alias("vertex"), "root")
+    def by_points(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("cluster", "task", "vertex", "size", "counts").repartition("cluster", "task").sortWithinPartitions("cluster", "task")
+        return dealt.mapInArrow(lambda batches: _near(batches, num, den), "a binary, b binary")
+
+    def by_texts(rows: DataFrame) -> DataFrame:
+        # the side of the vertices is the smaller one; a center is there once for each of its tasks
+        dealt = base.select("key", "text").join(rows.select("key", "vertex", "cluster", "task").hint("shuffle_hash"), "key")
+        dealt = dealt.select("cluster", "task", "vertex", "text").repartition("cluster", "task").sortWithinPartitions("cluster", "task")
+        return dealt.mapInArrow(lambda batches: _link(batches, num, den, n), "a binary, b binary")
+
+    loose = materialise(sets_.join(clusters, "node").drop("node"))
+    near = materialise(_linked(loose, by_points, block).select(F.col("v").alias("vertex"), F.xxhash64("root").alias("cluster")))
+    tight = materialise(loose.drop("cluster").join(near, "vertex"), loose, near)
+    joined = _linked(tight, by_texts, block).select(F.col("v").alias("vertex"), "root")
     # the least id of a vertex, then of a root, then back: each step is a combined minimum, and joins split hot keys
-    linked = materialise(joined)
+    linked = materialise(joined, tight)
     own = table.where("vertex is not null").groupBy("vertex").agg(F.min("doc").alias("least"))
     roots = linked.join(own, "vertex").groupBy("root").agg(F.min("least").alias("least"))
     known = spread_join(linked, roots, "root", F.col("vertex"), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _own: list[str] = []
 #: Rows of one key that a task of spread_join() or of a stream takes at least, and how many keys can have more.
-ROWS, MOST_HOT = 2_000, 100_000
+ROWS, MOST_HOT = 250, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if set_:
         return set_
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="attestry-"))
@@ -84,13 +84,26 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def _least_first(rows: DataFrame, least: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` (key, other) with ``first``, the least ``other`` of the key in ``rows`` and ``least`` (at most a row for
+    each key), once for each pair; ``origin`` marks the pairs of ``rows``. One shuffle, streamed in order by a window; the
+    rows of a key in ``hot`` (key, _salts) take several streams, and its row of ``least`` goes to each."""
+    hot = F.broadcast(hot)
+    one = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("other"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    dealt = rows.join(hot, "key", "left").select("key", "other", one.alias("salt"), F.lit(True).alias("origin"))
+    dealt = dealt.unionByName(least.join(hot, "key", "left").select("key", "other", every.alias("salt"), F.lit(False).alias("origin")))
+    stream = Window.partitionBy("key", "salt").orderBy("other", F.desc("origin"))
+    marked = dealt.withColumns({"first": F.first("other").over(stream), "prior": F.lag("other").over(stream)})
+    return marked.where(F.col("origin") & (F.col("prior").isNull() | (F.col("prior") != F.col("other"))))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): each vertex with its component's least vertex, as (v, root).
 
-    Alternates the large-star and small-star steps; each is one shuffle, whose sorted rows are streamed by window
-    functions: the first row of a vertex is its least neighbour. A vertex with very many larger neighbours is dealt over as
-    many tasks as their number asks for, and its few smaller ones go to each. Every round is written, which bounds the
-    plan, and the round before is deleted. Vertices without an edge to another vertex don't appear.
+    Alternates the large-star and small-star steps, each a shuffle whose sorted rows are streamed; a vertex with very many
+    neighbours on either side takes as many streams as their number asks for. Every step is written, which bounds the
+    plan, and the one before is deleted. Vertices without an edge to another vertex don't appear.
     """
     now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     state = None
@@ -100,20 +113,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if found == state:
             break
         state = found
-        hot = F.broadcast(hot_keys(now, ["v"], total=found[0])[0].withColumnRenamed("v", "key"))
-        larger = now.select(F.col("v").alias("key"), F.col("u").alias("other")).join(hot, "key", "left")
-        smaller = now.select(F.col("u").alias("key"), F.col("v").alias("other")).join(hot, "key", "left")
-        one = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("other"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-        rows = larger.select("key", "other", one.alias("salt")).unionByName(smaller.select("key", "other", every.alias("salt")))
-        stream = Window.partitionBy("key", "salt").orderBy("other")
-        marked = rows.withColumns({"least": F.least(F.first("other").over(stream), F.col("key")), "prior": F.lag("other").over(stream)})
-        large = marked.where((F.col("other") > F.col("key")) & (F.col("prior").isNull() | (F.col("prior") != F.col("other")))).select(F.col("other").alias("u"), F.col("least").alias("v"))
-        stream = Window.partitionBy("u").orderBy("v")
-        marked = large.withColumns({"least": F.first("v").over(stream), "prior": F.lag("v").over(stream)}).where("prior is null or prior <> v")
+        # every larger neighbour of a vertex goes to the least one of it, or to itself
+        larger = now.select(F.col("v").alias("key"), F.col("u").alias("other"))
+        least = now.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("other"))
+        large = _least_first(larger, least, hot_keys(larger, ["key"], total=found[0])[0])
+        large = materialise(large.select(F.col("other").alias("key"), F.least("first", "key").alias("other")), now)
         # a vertex goes to its least neighbour, and so do its other neighbours
-        small = marked.select(F.when(F.col("prior").isNull(), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
-        now = materialise(small, now)
+        least = large.groupBy("key").agg(F.min("other").alias("other"))
+        small = _least_first(large, least, hot_keys(large, ["key"])[0])
+        now = materialise(small.select(F.when(F.col("other") == F.col("first"), F.col("key")).otherwise(F.col("other")).alias("u"), F.col("first").alias("v")), large)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v").distinct().select("v", F.col("v").alias("root")))

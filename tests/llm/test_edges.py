@@ -316,6 +316,28 @@ def test_genetic_islands_beat_best_fit(spark):
     assert packing.lower_bound(lengths, size) == 40
 
 
+def judge(text):
+    """(n_symbols, base_failed, failed rules) of a text, by hand."""
+    t = text or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n = max(len(w), 1)
+    forms = {f for x in quality.STOP_WORDS for f in (x, x.capitalize(), x.upper())}
+    metric = {
+        "mean_word_chars": sum(map(len, w)) / n,
+        "symbols_per_word": len(re.findall(r"[#*$%&|<>]", t)) / n,
+        "alpha_words_ratio": sum(any(c.isalpha() for c in x) for x in w) / n,
+        "upper_ratio": sum(c.isupper() for c in t) / max(sum(c.isalpha() for c in t), 1),
+        "exclamations_per_word": t.count("!") / n,
+        "dup_lines_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1),
+        "stop_words_ratio": sum(x in forms for x in w) / n,
+        "distinct_words_ratio": len(set(w)) / n,
+    }
+    windows = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+    again = {p for j in range(len(w) - 7) if windows[tuple(w[j : j + 8])] > 1 for p in range(j, j + 8)}
+    failed = [x.name for x in quality.RULES if len(w) >= x.from_words and not ((x.low is None or metric[x.metric] >= x.low) and (x.high is None or metric[x.metric] <= x.high))]
+    return len(re.findall(r"[#*$%&|<>]", t)), len(w) < 20 or 100 * len(again) > 30 * len(w), failed
+
+
 def test_quality_rules_by_hand(spark):
     rng = random.Random(6)
     stop = list(quality.STOP_WORDS)
@@ -331,22 +353,67 @@ def test_quality_rules_by_hand(spark):
     out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows)
     for r in out:
-        t = r["text"] or ""
-        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
-        n = max(len(w), 1)
-        metric = {
-            "mean_word_chars": sum(map(len, w)) / n,
-            "symbols_per_word": len(re.findall(r"[#*$%&|<>]", t)) / n,
-            "alpha_words_ratio": sum(any(c.isalpha() for c in x) for x in w) / n,
-            "upper_ratio": sum(c.isupper() for c in t) / max(sum(c.isalpha() for c in t), 1),
-            "exclamations_per_word": t.count("!") / n,
-            "dup_lines_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1),
-            "stop_words_ratio": sum(any(x in (y, y.capitalize(), y.upper()) for y in stop) for x in w) / n,
-            "distinct_words_ratio": len(set(w)) / n,
-        }
-        failed = [x.name for x in quality.RULES if len(w) >= x.from_words and not ((x.low is None or metric[x.metric] >= x.low) and (x.high is None or metric[x.metric] <= x.high))]
-        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t)) and sorted(r["failed_rules"]) == sorted(failed)
-        assert r["kept"] == (not r["base_failed"] and not failed)
+        symbols, base, failed = judge(r["text"])
+        assert (r["n_symbols"], r["base_failed"], sorted(r["failed_rules"]), r["kept"]) == (symbols, base, sorted(failed), not base and not failed)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run()'s pieces are those of the documents that rules, lines and near copies leave, each as often as mixing says."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from attestry.llm.queries import MIX, domain_labels
+
+    rng = random.Random(13)
+    plain = [f"word{i}" for i in range(400)]
+    line = "This whole line of the licence stands in many of the documents here"
+    texts = []
+    for i in range(120):
+        t = [rng.choice([*plain, *quality.STOP_WORDS[:20]]) for _ in range(rng.randint(10, 90))]
+        if i % 9 == 0 and texts:
+            t = texts[-1].split(" ")
+            t[len(t) // 2] = "changed"
+        if i % 11 == 0:
+            t = [w + "###" for w in t]
+        texts.append(" ".join(t) + (f"\n{line}" * (i % 4 == 0)))
+    rows = list(enumerate(texts)) + [(500, None), (501, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 11 > 0), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {i: t for i, t in rows if not judge(t)[1] and not judge(t)[2]}
+    holders = {i for i, t in kept.items() if f"\n{line}" in t}
+    last = max(holders)
+    assert len(holders) >= 5
+    lines = {i: t.replace(f"\n{line}", "") if i != last else t for i, t in kept.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, WORD.findall(t.lower())) for i, t in lines.items())}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    one = {i: lines[i] for i in sets if root(i) == i}
+    assert len(one) < len(lines) < len(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in one.items()], DOCS)
+    mixed = Counter(r["doc_id"] for r in mixing.mix(docs, domain_labels(spark, str(tmp_path)), MIX, anchor="good").collect())
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    want = Counter()
+    for i, times in mixed.items():
+        ids = np.array([*encode(one[i], add_special_tokens=False).ids, 0], dtype="<u4")
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())] += times
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter(tuple(map(int, r)) for r in out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == want
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert list(own["offset"]) == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= 2048
 
 
 ODD = ("_row", "_bitmap", "_key", "_copies", "kept", "failed_rules", "_docs", "row", "key", "runs", "doc", "score")

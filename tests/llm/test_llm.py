@@ -135,9 +135,23 @@ def test_paths(spark):
     assert {tuple(r) for r in out.collect()} == {(i, 100, 3 * (i - 100)) for i in range(101, 151)}
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, ngram_join.BLOCK), (5, 80, 60), (1, 80, 40)])
-def test_ngram_join(spark, rows, n, percent, block):
+def gathered(rng):
+    """Copies of one text with a few words changed each (near it, far from each other), a second such group that shares
+    half of the text, and some between the two."""
+    words = [f"t{i}" for i in range(120)]
+    out = [" ".join(words)]
+    for k in range(40):
+        own = words if k % 3 else words[:60] + [f"u{i}" for i in range(60)]
+        at = rng.sample(range(120), rng.randint(1, 5))
+        out.append(" ".join(f"c{k}x{i}" if i in at else w for i, w in enumerate(own)))
+    return [(2000 + i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize(("n", "percent", "block", "dense"), [(3, 90, ngram_join.BLOCK, 200), (5, 80, 60, 200), (1, 80, 40, 200), (1, 90, ngram_join.BLOCK, 4), (3, 80, 700, 3)])
+def test_ngram_join(spark, rows, n, percent, block, dense, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
     rows = [r for r in rows if r[0] is not None] + [(1000 + i, f"a b c d e f g h i j k l m n o p q r s t u v{i % 5} w{i % 3}") for i in range(25)]
+    rows += gathered(random.Random(7)) if dense < 200 else []
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
