@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.identity import IMPORTER_VERSION, SCHEMA_VERSION, record_id
+from attestry.functions.identity import IMPORTER_VERSION, SCHEMA_VERSION, record_id, table_print
 from attestry.functions.text import timestamp_state
 from attestry.operators.census import json_key
 from attestry.operators.graph import branch_points, cycle_members, dangling_parents, link_mismatches
@@ -90,14 +90,6 @@ def histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def table_print(table: DataFrame) -> str:
-    """A hash of a table's rows, in no order: sums of parts of their SHA-256, so equal tables have equal ones."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(table.columns)]), {"ignoreNullFields": "false"}), 256)
-    part = lambda i: F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)"))
-    found = table.agg(F.count("*"), *[part(i) for i in range(5)]).first()
-    return "-".join(str(x or 0) for x in found)
-
-
 def _differs(joined: DataFrame, code: str, pairs: list[tuple[Column, Column]], detail: str) -> DataFrame:
     """Rows of which any pair of columns isn't alike."""
     wrong = reduce(lambda a, b: a | b, [~a.eqNullSafe(b) for a, b in pairs])

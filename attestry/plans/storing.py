@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry.functions import text as T
 from attestry.functions.identity import canonical_fingerprint, resolve_pointer, sha256
 from attestry.operators import delta, graph, validate
 from attestry.plans.bridge import messages, raw_chatgpt, table
@@ -140,3 +141,16 @@ def canonical_json(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     text = F.concat(F.lit('{ "c": {"y":"'), "source", F.lit('", "x":true},\n "b":["'), "lang", F.lit('",null], "a":'), F.col("doc_id").cast("string"), F.lit("}"))
     return d.select("doc_id", canonical_fingerprint()(text).alias("free"), resolve_pointer(text, F.lit("/b/0")).alias("found"))
+
+
+@query("""with d as (select doc_id, lang, coalesce(text, '') as text from documents), o as (select *, ((length(text) - length(replace(text, 'the', ''))) / 3)::int as n from d)
+    select doc_id, n as occurrences, case when n = 1 then sha256(replace(text, 'the', 'THE')) end as replaced, repeat('`', greatest(3, doc_id % 6 + 1)::int) as fence, lang as period, len(list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}')))::int as long_words from o""")
+def text_functions(spark, sf_dir):
+    """Counts, single replacement, fences, labelled lines and long words."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    ticks = F.concat(F.lit("x"), F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit("y`"))
+    label = F.concat(F.lit("Head\n**Event period:** "), "lang", F.lit("\nBody"))
+    return d.select(
+        "doc_id", T.occurrences(F.col("text"), F.lit("the")).alias("occurrences"), sha256(T.replace_once(F.col("text"), F.lit("the"), F.lit("THE"))).alias("replaced"), T.fence(ticks).alias("fence"),
+        T.labelled_line(label, "Event period").alias("period"), F.size(T.long_words(F.col("text"))).alias("long_words"),
+    )

@@ -258,3 +258,35 @@ def validation_refused(spark, sf_dir):
 def import_statistics(spark, sf_dir):
     raw = raw_chatgpt(spark, sf_dir)
     return validate.statistics(tables(raw), census(raw), sources(spark))
+
+
+@query(f"""with {M} select record_id, 'chatgpt' as provider, '1.0' as schema_version, '0.1.1' as importer_version, 'chatgpt:driver' as source_id, pointer as json_pointer, case when node % 4 = 1 then 'multimodal_text' else 'text' end as content_kind,
+    case when node % 4 <> 3 then (1700000000 + node)::varchar end as created_at_raw, 'm' || node as original_id, parent::varchar as parent_id, position::int as position from m""")
+def message_records(spark, sf_dir):
+    m = tables(raw_chatgpt(spark, sf_dir))["messages"]
+    return m.select("record_id", "provider", "schema_version", "importer_version", F.col("provenance.source_id").alias("source_id"), F.col("provenance.json_pointer").alias("json_pointer"), "content_kind", "created_at_raw", "original_id", "parent_id", "position")
+
+
+@query(f"""with {M} select c_id as record_id, 'c' || conversation as original_id, 'T' || conversation as title, case when conversation % 9 <> 0 then (1700000000 + conversation)::varchar end as created_at_raw, last::varchar as current_node_id,
+    n::bigint as message_count, 'p' || (conversation % 3) as project from cs""")
+def conversation_records(spark, sf_dir):
+    c = tables(raw_chatgpt(spark, sf_dir))["conversations"]
+    return c.select("record_id", "original_id", "title", "created_at_raw", "current_node_id", "message_count", F.get_json_object("raw_metadata", "$.conversation_template_id").alias("project"))
+
+
+@query(f"""with {M}, k as (select conversation, parent as node, string_agg(node::varchar, ',' order by position) as kids from m where parent is not null group by 1, 2)
+    select record_id as message_record_id, m.node::varchar as node_id, m.parent::varchar as parent_id, coalesce(kids, '') as children, position::int as position, '{{"id":"' || m.node || '"' || case when m.parent is null then '' else ',"parent":"' || m.parent || '"' end || ',"children":[' || coalesce('"' || replace(kids, ',', '","') || '"', '') || ']}}' as node_fields
+    from m left join k on k.conversation = m.conversation and k.node = m.node""")
+def node_records(spark, sf_dir):
+    n = tables(raw_chatgpt(spark, sf_dir))["nodes"]
+    return n.select("message_record_id", "node_id", "parent_id", F.array_join("children_ids", ",").alias("children"), "position", "node_fields")
+
+
+@query("""select p as provider, count(*)::bigint as messages, count(distinct conv_id)::bigint as conversations, (case p when 'chatgpt' then count(*) else 2 * count(*) + count(*) filter (where turn % 3 = 0) end)::bigint as segments,
+    (case p when 'chatgpt' then count(*) filter (where turn % 3 = 0) + count(*) filter (where turn % 4 = 1) else count(*) filter (where turn % 3 = 0) end)::bigint as attachments from conversations, (select unnest(['chatgpt', 'claude']) as p) group by 1""")
+def provider_counts(spark, sf_dir):
+    """Both providers' exports in one import."""
+    t = tables(raw_chatgpt(spark, sf_dir).unionByName(raw_claude(spark, sf_dir)))
+    count = lambda df, name: df.groupBy("provider").agg(F.count("*").alias(name))
+    segments = t["segments"].join(t["messages"].select(F.col("record_id").alias("message_record_id"), "provider"), "message_record_id")
+    return count(t["messages"], "messages").join(count(t["conversations"], "conversations"), "provider").join(count(segments, "segments"), "provider").join(count(t["attachments"], "attachments"), "provider")

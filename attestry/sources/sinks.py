@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions.identity import table_print
+
 
 class PublishError(RuntimeError):
     """A target that exists with other content, or a staged result that fails its checks."""
@@ -44,20 +46,24 @@ def publish_tables(tables: dict[str, DataFrame], target: str, check: Callable[[d
 
 def append_blobs(blobs: DataFrame, path: str) -> int:
     """Appends blobs (sha256, bytes, content) that the store lacks, by the first two characters of their hash; refuses a
-    hash that doesn't fit its content. Repeating it adds nothing. Returns the number of new blobs."""
+    hash that doesn't fit its content, and then appends nothing. Repeating it adds nothing. One pass: the hash is proved
+    and the rows are counted while they're written. Returns the number of new blobs."""
     spark = blobs.sparkSession
     fs, place = _fs(spark, path)
-    wrong = blobs.where(F.sha2("content", 256) != F.col("sha256"))
-    if not wrong.isEmpty():
-        raise PublishError("a blob's hash isn't that of its content")
     new = blobs.dropDuplicates(["sha256"])
     if fs.exists(place):
         new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
-    new = new.withColumn("prefix", F.substring("sha256", 1, 2))
-    n = new.count()
-    if n:
-        new.write.mode("append").partitionBy("prefix").parquet(path)
-    return n
+    wrong = F.raise_error(F.lit("a blob's hash isn't that of its content")).cast("binary")
+    proved = new.withColumn("content", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(wrong))
+    seen = Observation()
+    written = proved.withColumn("prefix", F.substring("sha256", 1, 2)).observe(seen, F.count("*").alias("n"))
+    try:
+        written.write.mode("append").partitionBy("prefix").parquet(path)
+    except Exception as e:
+        if "hash isn't that of its content" in str(e):
+            raise PublishError("a blob's hash isn't that of its content") from e
+        raise
+    return seen.get["n"]
 
 
 class Journal:
@@ -77,8 +83,7 @@ class Journal:
 
     def install(self, batch: str, rows: DataFrame) -> str:
         """Returns installed, or already_installed."""
-        one = rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("row"))
-        fingerprint = str(one.agg(F.count("*"), F.expr("bit_xor(xxhash64(row))"), F.sum(F.xxhash64("row").cast("decimal(38,0)"))).first().asDict().values())
+        fingerprint = table_print(rows)
         seen = {(r["batch"], r["state"]): r["fingerprint"] for r in self.entries().collect()}
         open_ = {b for b, s in seen if s == "installing"} - {b for b, s in seen if s == "complete"}
         if (batch, "complete") in seen:
