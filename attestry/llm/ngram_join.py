@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import textscan
-from attestry.llm.shared import components, materialise, row_key, spread_join
+from attestry.llm.shared import components, materialise, row_key, small, spread_join
 
 #: Shingles of a block, and sets: a task holds two blocks at most, and a center.
 BLOCK, DENSE = 2_000_000, 200
@@ -371,9 +371,9 @@ def _blocks(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None
     return whole, whole.where("center is not null")
 
 
-def _linked(members: DataFrame, settle: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
-    """Components (v, root) of what ``settle`` links: it takes members with a ``task`` each and returns edges (a, b) of the
-    vertices that one task of one cluster holds.
+def _linked(members: DataFrame, settle: Callable[[DataFrame, bool], DataFrame], block: int) -> DataFrame:
+    """Components (v, root) of what ``settle`` links: it takes members with a ``task`` each (and whether they are likely to
+    be few) and returns edges (a, b) of the vertices that one task of one cluster holds.
 
     A large cluster is dealt out in blocks, and its center goes to each. Members that turn out connected with the center
     need no more; the others, in parts, meet each block and each other. So a cluster of copies costs what its members cost,
@@ -384,7 +384,7 @@ def _linked(members: DataFrame, settle: Callable[[DataFrame], DataFrame], block:
     is_center = F.coalesce(F.col("vertex") == F.col("center"), F.lit(False))
     tasks = F.when(is_center, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     columns = [c for c in whole.columns if c not in ("blocks", "center")]
-    found = components(settle(whole.select(*columns, F.explode(tasks.cast("array<string>")).alias("task"))))
+    found = components(settle(whole.select(*columns, F.explode(tasks.cast("array<string>")).alias("task")), False))
     if large is None:
         return found
     label = spread_join(large, found.withColumnRenamed("v", "vertex"), "vertex", F.col("cluster"), "left")
@@ -400,7 +400,7 @@ def _linked(members: DataFrame, settle: Callable[[DataFrame], DataFrame], block:
     # each open part meets each block and each open part
     plan = F.expr(f"""case when open then concat(transform(sequence(0, blocks - 1), x -> concat('s', x, ',', {part})), transform(sequence(0, parts - 1), x -> concat('o', least(x, {part}), ',', greatest(x, {part}))))
         else transform(sequence(0, parts - 1), x -> concat('s', pmod(xxhash64(vertex), blocks), ',', x)) end""")
-    more = settle(planned.select(*columns, F.explode(plan).alias("task")))
+    more = settle(planned.select(*columns, F.explode(plan).alias("task")), True)
     return components(found.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
@@ -448,13 +448,14 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     # one row per distinct set; the key of any one of its rows leads back to a text
     sets_ = table.where("vertex is not null").groupBy("vertex", "node", "size").agg(F.min("key").alias("key"), F.first("counts").alias("counts"))
     # the clusters' points alone say which of their sets may link: their trees cut loose clusters into tight ones
-    def by_points(rows: DataFrame) -> DataFrame:
+    def by_points(rows: DataFrame, few: bool) -> DataFrame:
         dealt = rows.select("cluster", "task", "vertex", "size", "counts").repartition("cluster", "task").sortWithinPartitions("cluster", "task")
         return dealt.mapInArrow(lambda batches: _near(batches, num, den), "a binary, b binary")
 
-    def by_texts(rows: DataFrame) -> DataFrame:
-        # the side of the vertices is the smaller one; a center is there once for each of its tasks
-        dealt = base.select("key", "text").join(rows.select("key", "vertex", "cluster", "task").hint("shuffle_hash"), "key")
+    def by_texts(rows: DataFrame, few: bool) -> DataFrame:
+        # a center is there once for each of its tasks
+        rows = rows.select("key", "vertex", "cluster", "task")
+        dealt = base.select("key", "text").join(small(materialise(rows)) if few else rows.hint("shuffle_hash"), "key")
         dealt = dealt.select("cluster", "task", "vertex", "text").repartition("cluster", "task").sortWithinPartitions("cluster", "task")
         return dealt.mapInArrow(lambda batches: _link(batches, num, den, n), "a binary, b binary")
 

@@ -86,10 +86,11 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how:
 
 def _least_first(rows: DataFrame, least: DataFrame, hot: DataFrame) -> DataFrame:
     """``rows`` (key, other) with ``first``, the least ``other`` of the key in ``rows`` and ``least`` (at most a row for
-    each key), once for each pair; ``origin`` marks the pairs of ``rows``. One shuffle, streamed in order by a window; the
+    each key), once for each pair and stream; ``origin`` marks the pairs of ``rows``. One shuffle, streamed in order by a window; the
     rows of a key in ``hot`` (key, _salts) take several streams, and its row of ``least`` goes to each."""
     hot = F.broadcast(hot)
-    one = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("other"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    # by place in the written table, as equal pairs of a hot key have one hash
+    one = F.when(F.col("_salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     dealt = rows.join(hot, "key", "left").select("key", "other", one.alias("salt"), F.lit(True).alias("origin"))
     dealt = dealt.unionByName(least.join(hot, "key", "left").select("key", "other", every.alias("salt"), F.lit(False).alias("origin")))
@@ -98,6 +99,12 @@ def _least_first(rows: DataFrame, least: DataFrame, hot: DataFrame) -> DataFrame
     return marked.where(F.col("origin") & (F.col("prior").isNull() | (F.col("prior") != F.col("other"))))
 
 
+def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table as the side of a join: to be broadcast if it has at most ``most`` rows, else to be shuffled and
+    hashed."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_hash")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): each vertex with its component's least vertex, as (v, root).
 
