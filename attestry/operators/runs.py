@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.identity import canonical, now, packet_id, sha256, struct_fingerprint, zoned_instant
-from attestry.functions.text import fence_of, span, zoned_timestamp
+from attestry.functions.text import fence_of, zoned_timestamp
 from attestry.operators import decisions as D
 from attestry.operators import graph, packets, review, writer
 from attestry.operators.units import units
@@ -412,4 +412,4 @@ def init_document(path: str | Path, title: str = "Organized conversations") -> N
     files.create(path, f"# {title}\n\nSelected information with its sources, not a transcript.\n\n## Key information\n\n## Open questions\n\nNothing has been reviewed yet.\n")
 
 
-__all__ = ["Prepared", "ReviewError", "Run", "in_scope", "init_document", "packet_view", "prepare", "prompt", "render_packet", "requests", "span"]
+__all__ = ["Prepared", "ReviewError", "Run", "in_scope", "init_document", "packet_view", "prepare", "prompt", "render_packet", "requests"]

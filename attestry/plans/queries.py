@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions.identity import pointer_key, pointer_token, record_id, sha256, source_id, struct_fingerprint
-from attestry.operators import delta, documents, graph, normalize, packets, proposals, review, validate, writer
+from attestry.operators import delta, documents, graph, normalize, packets, proposals, review, validate
 from attestry.plans.bridge import SOURCE, export_sides, messages, table
 from attestry.plans.registry import MESSAGES, ORACLE_SQL, ORDERED, QUERIES, query
 
