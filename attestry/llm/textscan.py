@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text scanned at once; the arrays over a chunk take about 60 times the bytes of its words.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _S = np.uint64(0xD6E8FEB86659FD93 | 1)
