@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 #: Rows of one key that a task of spread_join() or of a stream takes at least, and how many keys can have more.
 ROWS, MOST_HOT = 250, 100_000
+#: The same for the pairs of a vertex, whose tables are small.
+FEW = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -123,11 +125,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # every larger neighbour of a vertex goes to the least one of it, or to itself
         larger = now.select(F.col("v").alias("key"), F.col("u").alias("other"))
         least = now.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("other"))
-        large = _least_first(larger, least, hot_keys(larger, ["key"], total=found[0])[0])
+        large = _least_first(larger, least, hot_keys(larger, ["key"], FEW, found[0])[0])
         large = materialise(large.select(F.col("other").alias("key"), F.least("first", "key").alias("other")), now)
         # a vertex goes to its least neighbour, and so do its other neighbours
         least = large.groupBy("key").agg(F.min("other").alias("other"))
-        small = _least_first(large, least, hot_keys(large, ["key"])[0])
+        small = _least_first(large, least, hot_keys(large, ["key"], FEW)[0])
         now = materialise(small.select(F.when(F.col("other") == F.col("first"), F.col("key")).otherwise(F.col("other")).alias("u"), F.col("first").alias("v")), large)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
