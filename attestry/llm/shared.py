@@ -101,12 +101,6 @@ def _least_first(rows: DataFrame, least: DataFrame, hot: DataFrame) -> DataFrame
     return marked.where(F.col("origin") & (F.col("prior").isNull() | (F.col("prior") != F.col("other"))))
 
 
-def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """A written table as the side of a join: to be broadcast if it has at most ``most`` rows, else to be shuffled and
-    hashed."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_hash")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): each vertex with its component's least vertex, as (v, root).
 

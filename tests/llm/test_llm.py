@@ -147,11 +147,10 @@ def gathered(rng):
     return [(2000 + i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("n", "percent", "block", "dense"), [(3, 90, ngram_join.BLOCK, 200), (5, 80, 60, 200), (1, 80, 40, 200), (1, 90, ngram_join.BLOCK, 4), (3, 80, 700, 3)])
-def test_ngram_join(spark, rows, n, percent, block, dense, monkeypatch):
-    monkeypatch.setattr(ngram_join, "DENSE", dense)
+@pytest.mark.parametrize(("n", "percent", "block", "copies"), [(3, 90, ngram_join.BLOCK, False), (5, 80, 60, False), (1, 80, 40, False), (1, 90, ngram_join.BLOCK, True), (3, 80, 700, True)])
+def test_ngram_join(spark, rows, n, percent, block, copies):
     rows = [r for r in rows if r[0] is not None] + [(1000 + i, f"a b c d e f g h i j k l m n o p q r s t u v{i % 5} w{i % 3}") for i in range(25)]
-    rows += gathered(random.Random(7)) if dense < 200 else []
+    rows += gathered(random.Random(7)) if copies else []
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
