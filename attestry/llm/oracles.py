@@ -83,4 +83,35 @@ ORACLE_SQL: dict[str, str] = {
         m as (select v as doc_id, min(least) as least from r group by 1)
         select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, doc_id) as component_id
         from documents left join n using (doc_id) left join m using (doc_id)""",
+    "op13_gap_sessions": """
+        with recursive one as (
+            select distinct on (click_id) click_id, client_id, epoch_us(ts) as t, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 900000000, false) as late,
+                   coalesce(kind in ('purchase', 'signup') and value >= 60, false) as final, coalesce(floor(100 * value + 0.5), 0)::bigint as cents
+            from clicks where click_id is not null and client_id is not null and ts is not null
+        ), ordered as (
+            select *, lag(t) over w as before, coalesce(lag(final) over w, false) as ended, row_number() over w as pos from one where not late window w as (partition by client_id order by t, click_id)
+        ), islands as (
+            select *, sum(case when before is null or ended or t - before >= 900000000 then 1 else 0 end) over (partition by client_id order by pos) as island from ordered
+        ), starts as (
+            select client_id, island, min(t) as t, min(pos) as pos from islands group by 1, 2
+            union all
+            select i.client_id, i.island, min(i.t), min(i.pos) from starts s join islands i on i.client_id = s.client_id and i.island = s.island and i.t > s.t + 3600000000
+            group by 1, 2
+        ), marked as (
+            select i.*, s.pos is not null as begins, max(s.pos) over (partition by i.client_id order by i.pos) as start_pos,
+                   case when s.pos is null or before is null then null when ended then 'end' when i.t - before >= 900000000 then 'gap' else 'length' end as why
+            from islands i left join starts s on s.client_id = i.client_id and s.pos = i.pos
+        ), sessions as (
+            select client_id, start_pos, arg_min(click_id, pos) as session_id, min(t) as start_us, max(t) as end_us, count(*) as n_clicks, sum(cents) as value_cents,
+                   arg_max(final, pos) as final, max(pos) as last_pos, sha256(string_agg(click_id::varchar, ',' order by pos)) as path_sha256
+            from marked group by 1, 2
+        ), spans as (
+            select *, lead(start_us) over (partition by client_id order by start_pos) as next_us from sessions
+        ), l as (
+            select s.client_id, s.start_pos, count(*) as n_late from one o join spans s on s.client_id = o.client_id and o.t >= s.start_us and o.t < coalesce(s.next_us, 9223372036854775807)
+            where o.late group by 1, 2
+        )
+        select s.client_id, session_id, start_us, end_us, n_clicks::bigint as n_clicks, coalesce(n_late, 0)::bigint as n_late, value_cents::bigint as value_cents,
+               coalesce(m.why, case when s.final then 'end' else 'none' end) as closed_by, path_sha256
+        from spans s left join l using (client_id, start_pos) left join marked m on m.client_id = s.client_id and m.pos = s.last_pos + 1""",
 }

@@ -18,6 +18,7 @@ from attestry.llm.oracles import ORACLE_SQL
 from attestry.llm.packing import pack
 from attestry.llm.pii import pseudonymise
 from attestry.llm.quality import quality_rules
+from attestry.llm.sessions import sessionise
 from attestry.llm.substring_dedup import substring_dedup
 
 
@@ -98,6 +99,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessionise(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+    return found.select(
+        F.col("client").alias("client_id"),
+        F.col("session").alias("session_id"),
+        F.col("start").alias("start_us"),
+        F.col("end").alias("end_us"),
+        "n_clicks",
+        "n_late",
+        F.col("cents").alias("value_cents"),
+        "closed_by",
+        F.sha2("path", 256).alias("path_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -109,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_gap_sessions": op13_gap_sessions,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
