@@ -16,6 +16,7 @@ from attestry.llm.mixing import mixing_rates
 from attestry.llm.ngram_join import ngram_join
 from attestry.llm.oracles import ORACLE_SQL
 from attestry.llm.packing import pack
+from attestry.llm.pieces import encode_decode
 from attestry.llm.pii import pseudonymise
 from attestry.llm.quality import quality_rules
 from attestry.llm.sessions import sessionise
@@ -99,6 +100,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op13_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessionise(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
     return found.select(
@@ -125,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_gap_sessions": op13_gap_sessions,
 }
 
