@@ -305,7 +305,7 @@ def _incoming(first: DataFrame, client: str, click: str, rule: Rule) -> DataFram
     step = 1
     while now.where("not known").limit(1).count():
         before = now.select(F.col("part").alias("b_part"), (F.col("part") + step).alias("_to"), *[F.col(c).alias(f"b_{c}") for c in _NAMES])
-        left = now.where("not known").join(before, F.col("part") == F.col("_to"), "left").drop("_to")
+        left = now.where("not known").join(before.hint("merge"), F.col("part") == F.col("_to"), "left").drop("_to")
         new = left.mapInArrow(lambda batches: _compose(batches, to_arrow, rule), columns)
         now, step = materialise(now.where("known").unionByName(new), now), 2 * step
     return now
@@ -398,7 +398,7 @@ def sessionise(
     given = _incoming(first, client, click, rule)
     heads = first.where(F.col("kind") == HEAD).select("part", "client", "after", "h_ts", "h_click", "h_cents", "h_flags")
     open_ = given.select((F.col("part") + 1).alias("part"), "known", F.col("client").alias("open_client"), "open_start", "open_session", "open_last", "open_final")
-    pieces = heads.join(open_, "part", "left").mapInArrow(lambda batches: _heads(batches, part_schema, rule), session)
+    pieces = heads.join(open_.hint("merge"), "part", "left").mapInArrow(lambda batches: _heads(batches, part_schema, rule), session)
     columns = "client session start end n_clicks n_late cents closed_by path".split()
     tails = first.where((F.col("kind") == TAIL) & F.col("start").isNotNull()).select("part", *columns)
     joined = (
