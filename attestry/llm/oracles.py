@@ -83,6 +83,20 @@ ORACLE_SQL: dict[str, str] = {
         m as (select v as doc_id, min(least) as least from r group by 1)
         select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, doc_id) as component_id
         from documents left join n using (doc_id) left join m using (doc_id)""",
+    "op11_hard_negatives": """
+        with e as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))::bigint as score
+            from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+        ), p as (
+            select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+        )
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other) as rank, other as negative_id,
+               positive_score, score as negative_score
+        from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+        qualify rank <= 5""",
     "op13_gap_sessions": """
         with recursive one as (
             select distinct on (click_id) click_id, client_id, epoch_us(ts) as t, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 900000000, false) as late,

@@ -13,6 +13,7 @@ from attestry.llm.fingerprint import edited_fingerprints
 from attestry.llm.langid import fit, identify
 from attestry.llm.line_dedup import line_dedup
 from attestry.llm.mixing import mixing_rates
+from attestry.llm.negatives import hard_negatives
 from attestry.llm.ngram_join import ngram_join
 from attestry.llm.oracles import ORACLE_SQL
 from attestry.llm.packing import pack
@@ -100,6 +101,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select(
@@ -136,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_gap_sessions": op13_gap_sessions,
 }
