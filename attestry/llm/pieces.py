@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import materialise
+from attestry.llm.shared import materialise_by
 
 #: Characters of a block of texts; a longer text is a block of its own.
 BLOCK_CHARS = 10_000_000
 #: Ids that positions pick at once.
-PICKED = 1_000_000
+PICKED = 250_000
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -224,7 +224,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ddl = f"block bigint, bucket int, docs array<{kind}>, counts array<int>, buckets binary, n int, packed binary"
     out_ddl = f"doc {kind}, ids binary, decoded string"
     schema, out_schema = (to_arrow_schema(_parse_datatype_string(d)) for d in (ddl, out_ddl))
-    table = materialise(own.mapInArrow(lambda b: _blocks(b, path, buckets, block_chars, schema), ddl))
+    table = materialise_by(own.mapInArrow(lambda b: _blocks(b, path, buckets, block_chars, schema), ddl), "block", buckets)
     words = table.where("bucket is not null").select("block", "bucket", "n", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     segmented = words.mapInArrow(lambda b: _segmented(b, path), "block bigint, bucket int, n int, n_ids bigint, sizes binary, ids binary")
     blocks = table.where("bucket is null").select("block", "docs", "counts", "buckets", "n", "packed")

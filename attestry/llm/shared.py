@@ -43,6 +43,17 @@ def materialise(df: DataFrame, *used: DataFrame) -> DataFrame:
     return out
 
 
+def materialise_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As materialise(), the rows dealt into ``buckets`` by ``key``: what groups or joins by it needs no shuffle of them."""
+    spark = df.sparkSession
+    name = f"attestry_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    out = spark.table(name)
+    out._attestry_path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    return out
+
+
 def discard(*used: DataFrame) -> None:
     """Deletes the files of tables that materialise() wrote and nothing will read any more."""
     for df in used:
@@ -60,6 +71,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"drop table if exists {name}")
+            _delete(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
+    except Exception:  # noqa: BLE001  as in _delete
+        return
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are."""
     return F.xxhash64(*[F.col(c) for c in columns])
