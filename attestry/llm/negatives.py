@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attestry.llm.shared import discard, materialise
 
 #: Vectors that the tree is fitted on at most; points of a page of candidates and of anchors.
-SAMPLE, PAGE, ANCHORS = 20_000, 512, 256
+SAMPLE, PAGE, ANCHORS = 20_000, 512, 1_024
 #: Binary splits between a level of nodes and the next; pages of candidates that a task of the exact scores takes.
 BITS, TASK_PAGES = 3, 16
 
@@ -47,9 +47,10 @@ class Tree:
             node = 2 * node + (np.einsum("ij,ij->i", x, self.axis[node]) > self.above[node])
         return node
 
-    def ancestors(self, leaf: int, levels: int) -> list[int]:
-        """The nodes of each level above the pages, from the root; a leaf stands for itself on levels below its own."""
-        return [leaf >> (self.depth - min(BITS * n, self.depth)) for n in range(levels)]
+    def ancestors(self, node: int, levels: int) -> list[int]:
+        """The nodes of each level above the pages, from the root; a node stands for itself on levels below its own."""
+        depth = node.bit_length() - 1
+        return [node >> (depth - min(BITS * n, depth)) for n in range(levels)]
 
 
 def fit(sample: np.ndarray, leaves: int) -> Tree:
@@ -92,7 +93,8 @@ def _matrix(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype="<i8").reshape(len(values), -1)
 
 
-def _routed(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree]) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree], depth: int) -> Iterator[pa.RecordBatch]:
+    """Each row's node, ``depth`` splits below the root or a leaf above that."""
     for batch in batches:
         vec = batch.column("vec").to_pylist()
         leaf = np.ones(len(vec), dtype=np.int64)
@@ -100,7 +102,7 @@ def _routed(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree]) -> Iterat
         for dim, tree in trees.items():
             own = np.flatnonzero(size == dim)
             if len(own) and dim:
-                leaf[own] = tree.leaf(_matrix([vec[i] for i in own]).astype(float))
+                leaf[own] = tree.leaf(_matrix([vec[i] for i in own]).astype(float)) >> max(0, tree.depth - depth)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(leaf)], names=[*batch.schema.names, "dim", "leaf"])
 
 
@@ -321,9 +323,12 @@ def hard_negatives(
     points = ranked.groupBy("vec", "label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     single = table.where("anchor").select("vec", "label", F.array("id").alias("ids"))
     levels = 1 + max([-(-t.depth // BITS) for t in trees.values()], default=0)
+    asking = table.where("anchor").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    # no deeper than fills pages of anchors, each of one label
+    shallow = max(0, (asking.n // (anchor_page * max(1, asking.labels))).bit_length())
     sides = []
-    for side, most, by_label in ((single, anchor_page, True), (points, page, False)):
-        routed = side.mapInArrow(lambda b: _routed(b, trees), "vec binary, label bigint, ids array<bigint>, dim bigint, leaf bigint")
+    for side, most, by_label, depth in ((single, anchor_page, True, shallow), (points, page, False, 64)):
+        routed = side.mapInArrow(lambda b, d=depth: _routed(b, trees, d), "vec binary, label bigint, ids array<bigint>, dim bigint, leaf bigint")
         key = ["dim", "label", "leaf"] if by_label else ["dim", "leaf", "label"]
         order = [*key, F.xxhash64("vec"), F.col("ids")[0]]
         sorted_ = routed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
