@@ -7,16 +7,16 @@ text is cut into consecutive windows, all of which count by their lengths.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 

@@ -443,5 +443,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "key")).alias("first"))
     keys = first.select(F.col("first.key").alias("_key")).unionByName(found.where("root is null").select(F.col("key").alias("_key")))
     held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_docs"), row_key(id_col, text_col).alias("_key"))
-    kept = held.join(keys.distinct().hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"])
+    # rows of one key are one document if a second hash agrees: none is lost to two documents of one key
+    held = held.withColumn("_twin", F.xxhash64(F.lit(1), F.col("_docs")[text_col], F.col("_docs")[id_col], F.col("_docs")[text_col].isNull()))
+    kept = held.join(keys.distinct().hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key", "_twin"])
     return kept.select(*[F.col("_docs")[c].alias(c) for c in docs.columns])

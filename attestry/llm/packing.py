@@ -38,9 +38,10 @@ _SIMPLE = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-
 class Words:
     """Ids of single words from a tokenizers file, remembered within bounds.
 
-    The tokenizer is to drop white space and never to join what stands on both sides of a space or a line break. If it
-    lower-cases, cuts at the border of letters and other signs and spells in bytes, a simple word's two parts go to its
-    model directly, which spares the tracking of offsets; every other word goes through the whole tokenizer.
+    That is for tokenizers whose setup shows that they drop white space and join nothing across it: they lower-case, cut
+    at the border of letters and other signs and spell in bytes. A simple word's two parts go to the model directly, which
+    spares the tracking of offsets; every other word goes through the whole tokenizer. Any other tokenizer gets whole texts
+    (``spell`` is None).
     """
 
     def __init__(self, path: str):
@@ -94,10 +95,14 @@ _words: dict[str, Words] = {}
 
 
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; null has none."""
+    """Each text's ids as little-endian unsigned 32-bit integers, without special tokens; null has none. They are those of
+    the whole text for every tokenizer, by words where its setup shows that this gives the same."""
     if path not in _words:
         _words[path] = Words(path)
     words = _words[path]
+    if words.spell is None:
+        # nothing is known of what it joins across white space: whole texts
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     get, out = words.known.__getitem__, []
     for t in texts:
         own = (t or "").replace("\n", " ").split(" ")

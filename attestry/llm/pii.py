@@ -156,13 +156,14 @@ def _iban_check(country: str, rest: str) -> str:
 
 
 def _iban(key: bytes, text: str, back: bool) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     country, check, rest = plain[:2], plain[2:4], plain[4:]
     if not 15 <= len(plain) <= 34 or _iban_check(country, rest) != check:
         return None
     rest = _permute(key, f"iban{country}", rest, back)
     out = iter(country + _iban_check(country, rest) + rest)
-    return "".join(c if c == " " else next(out) for c in text)
+    new = "".join(c if c == " " else next(out) for c in text)
+    return new.lower() if text[0].islower() else new
 
 
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -231,7 +232,10 @@ def _by_parts(key: bytes, kind: str, text: str, alphabets: list[str], back: bool
 
 def _email(key: bytes, text: str, back: bool) -> str | None:
     name, _, top = text.rpartition(".")
-    return _by_parts(key, "email", name, _alphabets(name), back) + "." + top
+    # an address is the same in any case; each place keeps its own
+    low = "".join(c.lower() if c in _UPPER else c for c in name)
+    new = _by_parts(key, "email", low, _alphabets(low), back)
+    return "".join(n.upper() if c in _UPPER else n for c, n in zip(name, new, strict=True)) + "." + top
 
 
 def _mixed(text: str) -> bool:
@@ -246,8 +250,8 @@ def _secret(key: bytes, text: str, back: bool) -> str | None:
 
 #: Kinds in the order in which they are tried at a place.
 KINDS: dict[str, tuple[str, Callable[[bytes, str, bool], str | None]]] = {
-    "email": (r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![\w\-])", _email),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    "email": (r"(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![\w\-])", _email),
+    "iban": (r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
     "secret": (r"(?<![A-Za-z0-9])(?<![_\-]{2})(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{20,}", _secret),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _ip),
     "ipv6": (r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?!\.\d))(?![\w:])", _ipv6),

@@ -155,7 +155,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     helpers = ["n_lines_with_words", "n_upper", "n_letters", "n_exclamations", "n_distinct_words", "n_stop_words", "n_alpha_words"]
-    own = [c for c in docs.columns if c not in {*added, *helpers, "base_failed", "kept", "failed_rules"} or c == text_col]
+    own = [c for c in docs.columns if c not in {*added, "base_failed", "kept", "failed_rules"} or c == text_col]
     held = F.struct(*[F.col(c) for c in docs.columns])
     measured = measures(docs.select(held.alias("_row"), F.col(text_col).alias("_text")), "_text")
     # a generator of one row: filters on the verdict don't move below it, where they'd repeat every measure

@@ -81,8 +81,9 @@ def _drop(spark: SparkSession, name: str) -> None:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    """A 64-bit key of a row's values: rows with equal values share it, whatever repeats of an id there are. A null is
+    told from a value that isn't there: (null, x) and (x, null) differ."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
 def hot_keys(rows: DataFrame, keys: list[str], least: int = ROWS, total: int | None = None) -> tuple[DataFrame, int]:
