@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from attestry.functions.identity import sha256
+from attestry.operators.rounds import doubled, longest, written
 
 KINDS = (
     "new_messages changed_messages unchanged_messages not_present_messages context_changed_messages "
@@ -27,22 +27,32 @@ def usable(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def below(start: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (conversation, node) that links (conversation, parent, node) lead to from ``start``, the start itself only
-    where a link leads back to it. One group per conversation, whatever the depth; an export's bounds bound a group."""
-    marked = start.select("conversation", F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), "node", F.lit(True).alias("begins"))
-    rows = links.select("conversation", "parent", "node", F.lit(False).alias("begins")).unionByName(marked)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        under = group[~group["begins"]].groupby("parent")["node"].agg(list).to_dict()
-        todo, seen = list(group.loc[group["begins"], "node"]), set()
-        while todo:
-            new = [c for c in under.get(todo.pop(), ()) if c not in seen]
-            seen.update(new)
-            todo += new
-        return pd.DataFrame({"conversation": [group["conversation"].iloc[0]] * len(seen), "node": list(seen)}, dtype=object)
-
-    # conversations without a start or without a link reach nothing
-    some = rows.join(start.select("conversation").distinct(), "conversation", "left_semi")
-    return some.groupBy("conversation").applyInPandas(run, start.select("conversation", "node").schema)
+    where a link leads back to it.
+
+    Each node follows one of its parents up to a start, by doubling. A node with another parent that leads to a start is a
+    start of the next pass; where nodes have one parent each there is one pass, whatever the depth.
+    """
+    own = links.where("parent is not null and node is not null").select(F.struct("conversation", F.col("parent").alias("node")).alias("up"), F.struct("conversation", "node").alias("at")).distinct()
+    own = written(own)
+    first = written(own.groupBy("at").agg(F.min("up").alias("next")))
+    more = own.join(first, "at").where(F.col("up") != F.col("next")).select("at", "up")
+    several = not more.isEmpty()
+    rounds = longest(first.select("at.conversation"), "conversation")
+    marked = written(start.select(F.struct("conversation", "node").alias("at")).distinct())
+    while True:
+        state = first.join(marked.withColumn("hit", F.lit(True)), "at", "left").select("at", "next", F.coalesce("hit", F.lit(False)).alias("hit"))
+        # starts that no link leads to end the chains of others
+        roots = marked.join(first, "at", "left_anti").select("at", F.lit(None).cast(first.schema["next"].dataType).alias("next"), F.lit(True).alias("hit"))
+        ended = doubled(state.unionByName(roots), rounds, {"hit": F.col("hit") | F.coalesce("far_hit", F.lit(False))}, F.col("hit"))
+        reached = ended.where("hit").select("at")
+        if not several:
+            break
+        new = more.join(reached.withColumnRenamed("at", "up"), "up", "left_semi").select("at").join(reached, "at", "left_anti").distinct()
+        if new.isEmpty():
+            break
+        marked = written(reached.unionByName(new), marked)
+    under = own.join(reached.withColumnRenamed("at", "up"), "up", "left_semi")
+    return under.select("at.conversation", "at.node").distinct()
 
 
 def node_changes(before: DataFrame, after: DataFrame) -> DataFrame:

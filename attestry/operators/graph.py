@@ -1,18 +1,17 @@
 """Conversation trees: order, paths, fan-out, link checks, cycles.
 
-Work on one conversation is one group; a conversation is one export's record, which import bounds (a payload has at most
-exports.MAX_PAYLOAD bytes). Checks that a join can express are joins over all conversations at once. Rows without a
-conversation form one group like any other; an empty table gives no rows.
+Trees are worked on by joins over all conversations at once, whatever the size of one: what follows links to any depth is
+pointer doubling in written rounds (rounds.doubled). Rows without a conversation are one conversation like any other; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from attestry.operators.ranges import numbered
+from attestry.operators.rounds import doubled, longest, written
 
 KEY = ["conversation", "node"]
 
@@ -21,62 +20,67 @@ class GraphError(ValueError):
     """A conversation whose nodes can't all be reached from a root."""
 
 
-def _preorder(parents: list[int], strict: bool) -> list[int]:
-    """Indices in parent-first order, siblings by index; parents[i] is an index or -1. Nodes on cycles are left out."""
-    children: dict[int, list[int]] = {}
-    for i, p in enumerate(parents):
-        children.setdefault(p, []).append(i)
-    out, stack = [], list(reversed(children.get(-1, [])))
-    while stack:
-        i = stack.pop()
-        out.append(i)
-        stack.extend(reversed(children.get(i, [])))
-    if strict and len(out) != len(parents):
-        raise GraphError("the graph has a cycle or nodes that no root reaches")
-    return out
-
-
-def _none(x):
-    """Python's None for what pandas shows for a null."""
-    return None if pd.isna(x) else x
-
-
 def tree_order(nodes: DataFrame, strict: bool = True) -> DataFrame:
     """Adds ``order``, the place from 0 of each node in its conversation's parent-first order (replacing a column of that
     name). Every row gives one row.
 
     ``nodes`` has conversation, node, parent and position (the export's order, which orders siblings). A node whose
-    parent isn't in its conversation is a root. Cycles raise GraphError if strict, else their nodes get a null.
+    parent isn't in its conversation is a root; of rows that repeat a node its children hang below the last. Cycles raise
+    GraphError if strict, else their nodes, and those below, get a null.
+
+    The order is a rank in a list: a walk round the trees goes down to each node and up from it again. Down leads to the
+    first child, else up; up leads down to the next sibling, else up from the parent. Doubling counts, for each step, the
+    nodes gone down to from there to the end.
     """
-    held = nodes.drop("order")
-    schema = StructType([*held.schema.fields, StructField("order", IntegerType())])
+    held = written(nodes.drop("order").withColumn("_row", F.monotonically_increasing_id()))
+    links = held.select("_row", "conversation", "node", "parent", "position")
+    place = links.where("node is not null").groupBy(F.col("conversation").alias("_c"), F.col("node").alias("_n")).agg(F.max_by("_row", F.struct("position", "_row")).alias("up"))
+    named = links.join(place, F.col("conversation").eqNullSafe(F.col("_c")) & (F.col("parent") == F.col("_n")), "left").select("_row", "conversation", "position", "up")
+    siblings = Window.partitionBy("conversation", "up").orderBy("position", "_row")
+    placed = written(named.select("_row", "conversation", "up", F.lead("_row").over(siblings).alias("beside"), (F.row_number().over(siblings) == 1).alias("eldest")))
+    child = placed.where(F.col("eldest") & F.col("up").isNotNull()).select(F.col("up").alias("_row"), F.col("_row").alias("child"))
+    down, up = F.col("_row") * 2, F.col("_row") * 2 + 1
+    steps = placed.join(child, "_row", "left").select(
+        F.explode(
+            F.array(
+                F.struct(down.alias("at"), F.coalesce(F.col("child") * 2, up).alias("next"), F.lit(1).cast("long").alias("left")),
+                F.struct(up.alias("at"), F.coalesce(F.col("beside") * 2, F.col("up") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("left")),
+            )
+        ).alias("s")
+    )
+    ranked = doubled(steps.select("s.*"), longest(placed, "conversation") + 1, {"left": F.col("left") + F.coalesce("far_left", F.lit(0))})
+    if strict and not ranked.where("next is not null").isEmpty():
+        raise GraphError("the graph has a cycle or nodes that no root reaches")
+    reached = ranked.where("next is null and at % 2 = 0").select((F.col("at") / 2).cast("long").alias("_row"), "left")
+    counted = placed.select("_row", "conversation").join(reached, "_row")
+    # the first root has all nodes before the end
+    total = counted.groupBy(F.col("conversation").alias("_c")).agg(F.max("left").alias("total"))
+    order = counted.join(total, F.col("conversation").eqNullSafe(F.col("_c"))).select("_row", (F.col("total") - F.col("left")).cast("int").alias("order"))
+    return held.join(order, "_row", "left").drop("_row")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position", kind="stable").reset_index(drop=True)
-        place = {_none(n): i for i, n in enumerate(group["node"])}
-        order = _preorder([-1 if _none(p) is None else place.get(p, -1) for p in group["parent"]], strict)
-        at = pd.Series(range(len(order)), index=order, dtype="Int32").reindex(range(len(group)))
-        return group.assign(order=at)
 
-    return held.groupBy("conversation").applyInPandas(run, schema)
+def _parents(nodes: DataFrame) -> DataFrame:
+    """Rows (at, next): each node's place and its parent's, as structs; of rows that repeat a node the least parent's."""
+    at = nodes.where("node is not null").groupBy(*KEY).agg(F.min("parent").alias("parent"))
+    return at.select(F.struct(*KEY).alias("at"), F.when(F.col("parent").isNotNull(), F.struct("conversation", F.col("parent").alias("node"))).alias("next"))
 
 
 def selected_path(nodes: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows (conversation, node, depth) from each conversation's current node (depth 0) up to its root."""
-    schema = nodes.select("conversation", "node").schema.add("depth", "integer")
-
-    def run(key, group: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(group["node"], group["parent"], strict=True))
-        at = chosen["current"].iloc[0] if len(chosen) else None
-        out: list = []
-        seen = set()
-        while at in parent and at not in seen:
-            seen.add(at)
-            out.append(at)
-            at = parent[at]
-        return pd.DataFrame({"conversation": [key[0]] * len(out), "node": out, "depth": range(len(out))}, dtype=object)
+    """Rows (conversation, node, depth) from each conversation's current node (depth 0) up to its root; on a cycle each
+    node once. ``current`` has conversation and current; what names no node there has no rows.
 
-    return nodes.groupBy("conversation").cogroup(current.groupBy("conversation")).applyInPandas(run, schema)
+    Round k adds to the nodes of the path so far those 2**k above them.
+    """
+    jumps = written(_parents(nodes))
+    path = written(current.where("current is not null").select(F.struct("conversation", F.col("current").cast(nodes.schema["node"].dataType).alias("node")).alias("at"), F.lit(0).alias("depth")).join(jumps.select("at"), "at", "left_semi").distinct())
+    for k in range(longest(nodes, "conversation")):
+        above = path.join(jumps.where("next is not null"), "at").select(F.col("next").alias("at"), (F.col("depth") + (1 << k)).alias("depth")).join(jumps.select("at"), "at", "left_semi")
+        if above.isEmpty():
+            break
+        path = written(path.unionByName(above).groupBy("at").agg(F.min("depth").alias("depth")), path)
+        far = jumps.select(F.col("at").alias("next"), F.col("next").alias("far"))
+        jumps = written(jumps.join(far, "next", "left").select("at", F.col("far").alias("next")), jumps)
+    return path.select("at.conversation", "at.node", "depth")
 
 
 def on_cycles(parent: dict) -> set:
@@ -99,13 +103,10 @@ def on_cycles(parent: dict) -> set:
 
 
 def cycle_members(nodes: DataFrame) -> DataFrame:
-    """Rows (conversation, node) of nodes that lie on a cycle of parent links; tails that lead into one don't count."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = list(on_cycles({n: _none(p) for n, p in zip(group["node"], group["parent"], strict=True)}))
-        return pd.DataFrame({"conversation": [_none(group["conversation"].iloc[0])] * len(found), "node": found}, dtype=object)
-
-    return nodes.select("conversation", "node", "parent").groupBy("conversation").applyInPandas(run, nodes.select("conversation", "node").schema)
+    """Rows (conversation, node) of nodes that lie on a cycle of parent links; tails that lead into one don't count. Who
+    goes on for more links than there are nodes ends on a cycle, and its nodes all end on it."""
+    ended = doubled(_parents(nodes), longest(nodes, "conversation"))
+    return ended.where("next is not null").select("next.conversation", "next.node").distinct()
 
 
 def children(nodes: DataFrame) -> DataFrame:
