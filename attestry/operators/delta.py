@@ -136,9 +136,9 @@ def _ascii(texts):
 
 def compare(before: DataFrame, after: DataFrame, namespace: str) -> Comparison:
     """Compares two sides of raw_store.occurrences(): conversations by id where it names one on each side at most, nodes
-    by id within them. Unchanged messages are counted, not listed."""
+    by id within them. Unchanged messages are counted, not listed. Both sides are written once, and read from there."""
     spark = before.sparkSession
-    sides = {"before": before, "after": after}
+    sides = {"before": written(before), "after": written(after)}
     unknown = [s.where("conversation_id is null").select(F.lit(k).alias("side"), "conversation_id", F.lit(None).cast("string").alias("node_id"), "issues") for k, s in sides.items()]
     several = [s.where("conversation_id is not null").groupBy("conversation_id").count().where("count > 1").select("conversation_id") for s in sides.values()]
     twice = several[0].union(several[1]).distinct()
@@ -151,7 +151,7 @@ def compare(before: DataFrame, after: DataFrame, namespace: str) -> Comparison:
         each = s.select("conversation_id", "payload_sha256", F.explode("nodes").alias("n"))
         at = F.struct("payload_sha256", F.col("n.message_pointer").alias("json_pointer"), F.col("n.message_byte_span").alias("byte_span"), "n.message_sha256", "n.message_id")
         nodes[k] = each.select(F.col("conversation_id").alias("conversation"), F.col("n.node_id").alias("node"), F.col("n.parent_id").alias("parent"), F.col("n.message_sha256").alias("message_sha"), F.col("n.context_sha256").alias("context_sha"), F.col("n.issues").alias("issues"), at.alias(k))
-    changed = node_changes(nodes["before"], nodes["after"])
+    changed = written(node_changes(nodes["before"], nodes["after"]))
     moved = conversation_changes(convs["before"], convs["after"])
     ambiguous = unknown[0].unionByName(unknown[1]).unionByName(repeated)
     marked = ambiguous.select(F.lit("ambiguous_conversations").alias("status"))

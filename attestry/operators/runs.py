@@ -19,6 +19,7 @@ from attestry.functions.identity import canonical, now, packet_id, sha256, struc
 from attestry.functions.text import fence_of, zoned_timestamp
 from attestry.operators import decisions as D
 from attestry.operators import graph, packets, review, writer
+from attestry.operators.rounds import written
 from attestry.operators.units import units
 from attestry.operators.validate import table_print
 from attestry.sources import files
@@ -61,10 +62,10 @@ def prepare(tables: dict[str, DataFrame], chosen: DataFrame, max_chars: int = MA
     if max_chars < 1:
         raise ReviewError("max_chars must be positive")
     timed = chosen.select("record_id", "original_id", "title", "created_at_raw", "provenance", "message_count", "current_node_id", zoned_timestamp(F.col("created_at_raw")).alias("created_at"))
-    ranked = graph.conversation_rank(timed)
+    ranked = written(graph.conversation_rank(timed))
     nodes = tables["nodes"].join(ranked.select(F.col("record_id").alias("conversation_record_id"), "rank"), "conversation_record_id")
     tree = nodes.select(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "position", "message_record_id", "rank")
-    ordered = graph.tree_order(tree).where("message_record_id is not null").select("conversation", "rank", "order", "message_record_id")
+    ordered = written(graph.tree_order(tree).where("message_record_id is not null").select("conversation", "rank", "order", "message_record_id"))
     said = tables["messages"].join(ordered.select(F.col("message_record_id").alias("record_id")), "record_id", "left_semi")
     own = units(said, tables["segments"].join(ordered, "message_record_id", "left_semi")).join(ordered, "message_record_id").join(said.select(F.col("record_id").alias("message_record_id"), "role"), "message_record_id")
     empty = ranked.where("message_count = 0").select(

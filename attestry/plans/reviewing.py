@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.functions.identity import sha256
 from attestry.operators import decisions, documents, normalize, packets, review, runs, writer
+from attestry.operators.rounds import written
 from attestry.operators.units import units
 from attestry.plans.bridge import messages, raw_chatgpt, raw_claude, table
 from attestry.plans.registry import MESSAGES, ORDERED, query
@@ -27,7 +28,7 @@ def role_classes(spark, sf_dir):
     select record_id as message_record_id, 0::int as segment_index, 'text' as kind, pointer || '/content/parts/0' as json_pointer, text from e
     union all select record_id, -3::int, 'multimodal_or_unrecognized_content', pointer || '/content/parts/1', '{{"content_type": "image_asset_pointer", "name": "p.png"}}' from e where image""")
 def review_units(spark, sf_dir):
-    t = tables(raw_chatgpt(spark, sf_dir))
+    t = {k: written(v) for k, v in tables(written(raw_chatgpt(spark, sf_dir))).items()}
     return units(t["messages"], t["segments"]).select("message_record_id", "segment_index", "kind", "json_pointer", "text")
 
 
