@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.operators import needles
 from attestry.operators.review import quote_problems, uncovered_quotes
 
 #: Outcomes of review, those that need a finding, and those of a finding's place in a document.
@@ -109,21 +110,20 @@ def disposition_problems(findings: DataFrame, dispositions: DataFrame) -> DataFr
     return _rows(keyed.where(none), "no_disposition", "finding_id").unionByName(_rows(keyed.where(~none & bare), "integrated_without_entry", "finding_id"))
 
 
-def text_problems(text: str, integrated: DataFrame, dispositions: DataFrame, entry_ids: list[str]) -> DataFrame:
+def text_problems(document: DataFrame, integrated: DataFrame, dispositions: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows (decision_id, code, item): quotes and provenance of integrated findings that the document doesn't have, and
-    entries it lacks. ``integrated``: decision_id, finding_id, text, original_id, sha256, json_pointer. The document is
-    one text, given once."""
-    spark = integrated.sparkSession
-    whole = spark.createDataFrame([(text,)], "document string")
-    held = integrated.join(F.broadcast(whole))
-    missing = lambda c: ~F.coalesce(F.contains("document", F.col(c)), F.lit(True))
-    witnesses = held.select("decision_id", "document", F.explode(F.array("original_id", "sha256", "json_pointer")).alias("witness"))
-    entries = spark.createDataFrame([(e.lower(),) for e in entry_ids], "entry string")
+    entries it lacks. ``integrated``: decision_id, finding_id, text, original_id, sha256, json_pointer; nulls aren't
+    looked for. ``document``: text, the rows that it is made of; ``entries``: entry, in any case."""
+    provenance = ["original_id", "sha256", "json_pointer"]
+    witnesses = integrated.select("decision_id", F.explode(F.array(*provenance)).alias("needle")).where("needle is not null")
+    quotes = integrated.where("text is not null").select("decision_id", "finding_id", F.col("text").alias("needle"))
+    there = needles.found(quotes.select("needle").unionByName(witnesses.select("needle")), document)
+    known = entries.select(F.lower("entry").alias("entry"))
     linked_ = dispositions.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("decision_id"), F.explode("entry_ids").alias("entry")).withColumn("entry", F.lower("entry"))
     return reduce(DataFrame.unionByName, [
-        _rows(held.where(missing("text")), "quote_not_in_document", "finding_id"),
-        _rows(witnesses.where(missing("witness")), "provenance_not_in_document", "witness"),
-        _rows(linked_.join(entries, "entry", "left_anti"), "unknown_entry", "entry"),
+        _rows(quotes.join(there, "needle", "left_anti"), "quote_not_in_document", "finding_id"),
+        _rows(witnesses.join(there, "needle", "left_anti"), "provenance_not_in_document", "needle"),
+        _rows(linked_.join(known, "entry", "left_anti"), "unknown_entry", "entry"),
     ]).distinct()
 
 

@@ -340,7 +340,7 @@ class Run:
         m = self.dataset["messages"].select(F.col("record_id").alias("message"), "original_id", "provenance.sha256", "provenance.json_pointer")
         quotes = own["quotes"].join(keyed, ["decision_id", "finding_id"], "left_semi").join(m, "message")
         entries = re.findall(r'<a id="(e\d{4})"></a>', after)
-        missing = D.text_problems(after, quotes, settled, entries)
+        missing = D.text_problems(self.spark.createDataFrame([(after,)], "text string"), quotes, settled, self.spark.createDataFrame([(e,) for e in entries], "entry string"))
         errors = _document_errors(self.spark, after, before) + [f"{r['code']}: {r['item']}" for r in missing.collect()]
         return {"errors": errors, "before": before, "after": after}
 
@@ -382,12 +382,12 @@ class Run:
     # outside workers
 
     def loader(self):
-        """A function from a packet's id to its request, for queue.Queue; it refuses when decisions changed since."""
+        """A function from a packet's id to its request, for outside workers; it refuses when decisions changed since."""
         frozen = canonical(self.in_force())
 
         def load(packet: str) -> dict:
             if canonical(self.in_force()) != frozen:
-                raise ReviewError("decisions changed since the queue was planned")
+                raise ReviewError("decisions changed since the work was planned")
             row = requests(self.view(packet), self.conversations).first()
             return json.loads(row["request"])
 

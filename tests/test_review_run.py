@@ -1,13 +1,12 @@
-"""A review from a dataset to an applied batch, with its refusals; the reading workflow; report and document checks."""
+"""A review from a dataset to an applied batch, with its refusals; report and document checks."""
 
 import json
 
 import pytest
 
-from attestry.operators import decisions, reading, runs, writer
+from attestry.operators import decisions, runs, writer
 from attestry.operators.census import census
 from attestry.operators.normalize import normalize
-from attestry.operators.queue import Queue
 from attestry.operators.validate import Dataset, table_print
 from attestry.sources import exports, files, sinks
 from tests.test_import import TALK, TREE
@@ -167,106 +166,6 @@ The exact words of the letter.
 """
 
 
-def test_reading_from_audit_to_publication(spark, tmp_path):
-    source = tmp_path / "book.md"
-    source.write_text(BOOK, "utf-8")
-    found = reading.prepare(spark, source, tmp_path / "run")
-    assert found["entries"] == 2 and found["issue_counts"]["external_or_missing_target"] == 1 and found["issue_counts"]["body_sources_missing_from_header"] == 2
-    doc = reading.Document.read(spark, source)
-    assert doc.decisions == "Kept as said." and doc.entries["E0001"]["period"] == "spring" and [c["title"] for c in doc.context()] == ["Recorded decisions", "Sources"]
-    assert reading.status(spark, tmp_path / "run")["pending"] == 2
-    reading.packet(spark, tmp_path / "run", ["E0001"], tmp_path / "packet.md")
-    assert "The exact words" in (tmp_path / "packet.md").read_text() and "not in this input" in (tmp_path / "packet.md").read_text()
-    reading.packet(spark, tmp_path / "run", ["E0001"], tmp_path / "small.md", budget=3)
-    assert "Not included" in (tmp_path / "small.md").read_text()
-    assert reading.source_range(spark, tmp_path / "run", "@master", tmp_path / "range.md", 2, 4) == {"status": "source_written", "start": 2, "end": 6, "complete": False}
-    for bad in (lambda: reading.packet(spark, tmp_path / "run", [], tmp_path / "x"), lambda: reading.packet(spark, tmp_path / "run", ["E0001"] * 2, tmp_path / "x"), lambda: reading.source_range(spark, tmp_path / "run", "src-1", tmp_path / "x")):
-        with pytest.raises(reading.ReadingError):
-            bad()
-    answers = files.read_json(tmp_path / "run" / "answers.template.json")
-    checks = dict.fromkeys(reading.CHECKS, "fine")
-    block = doc.sources["src-0001"]
-    at = block["text"].index("exact words")
-    witness = {"source_id": "src-0001", "source_sha256": block["sha256"], "start": at, "end": at + 11, "quote": "exact words", "claim": "Seeds were sown", "relation": "supports"}
-    new = "## E0001 — Garden\n**Event period:** spring\nSeeds were sown [S](#src-0001) and [gone](#src-0009).\n"
-    review = {"entry_id": "E0001", "basis": doc.basis("E0001"), "decision": "revise", "reason": "clearer", "checks": checks, "witnesses": [witness], "replacement": new}
-    defer = {"entry_id": "E0002", "basis": doc.basis("E0002"), "decision": "defer", "reason": "later", "checks": checks, "witnesses": []}
-    answers.update(reviewer="me", selection_note="all", reviews=[review, defer], excerpts=[])
-    inventory, _ = reading.current(spark, tmp_path / "run")
-    reading.check_answers(spark, answers, inventory, doc)
-    for change in (
-        {"reviewer": " "}, {"run_id": "x"}, {"reviews": [review]}, {"reviews": [review, review]}, {"reviews": [{**review, "basis": "x"}, defer]}, {"reviews": [{**review, "witnesses": []}, defer]}, {"reviews": [{**review, "checks": {}}, defer]},
-        {"reviews": [{**review, "replacement": new + "## E0003 — More\n"}, defer]}, {"reviews": [{**review, "witnesses": [{**witness, "quote": "other words"}]}, defer]}, {"reviews": [{**review, "witnesses": [{**witness, "claim": "not there"}]}, defer]},
-        {"reviews": [{**review, "replacement": new.replace("[gone](#src-0009)", "gone")}, defer]}, {"reviews": [review, {**defer, "replacement": "x"}]}, {"excerpts": [{k: witness[k] for k in ("source_id", "source_sha256", "start", "end", "quote")}] * 2},
-    ):
-        with pytest.raises(reading.ReadingError):
-            reading.check_answers(spark, {**answers, **change}, inventory, doc)
-    (tmp_path / "answers.json").write_text(json.dumps(answers))
-    out = reading.check(spark, tmp_path / "run", tmp_path / "answers.json", tmp_path / "preview")
-    assert out["deferred"] == 1 and out["evidence_access_counts"] == {"complete_available_block": 1, "not_available_in_input": 1}
-    with pytest.raises(reading.ReadingError):
-        reading.publish(spark, tmp_path / "run", tmp_path / "answers.json", tmp_path / "preview", tmp_path / "copy.md")
-    assert reading.publish(spark, tmp_path / "run", tmp_path / "answers.json", tmp_path / "preview", tmp_path / "copy.md", True)["status"] == "published"
-    copy = (tmp_path / "copy.md").read_text("utf-8")
-    assert "gone (external reference `src-0009`; not included)" in copy and "**Source references:** [SRC-0001](#src-0001), [SRC-0009]" not in copy and "**Unresolved review:** later" in copy and "# Recorded decisions" in copy
-    assert reading.publish(spark, tmp_path / "run", tmp_path / "answers.json", tmp_path / "preview", tmp_path / "copy.md", True)["status"] == "already_published"
-    (tmp_path / "copy.md").write_text("by hand")
-    with pytest.raises(reading.ReadingError):
-        reading.publish(spark, tmp_path / "run", tmp_path / "answers.json", tmp_path / "preview", tmp_path / "copy.md", True)
-    # reviews are taken over where nothing they rest on changed
-    source.write_text(BOOK.replace("See [E1]", "Look at [E1]"), "utf-8")
-    with pytest.raises(reading.ReadingError, match="changed"):
-        reading.current(spark, tmp_path / "run")
-    assert reading.prepare(spark, source, tmp_path / "run2", tmp_path / "preview" / "preview.json")["reused_reviews"] == 1
-
-
-def test_bundles_and_protected_text(spark):
-    main = "# M\n\n## E0001 — One\nText.\n"
-    bundle = f"Intro.\n# Owner confirmations\nYes.\n<!-- BEGIN PRESERVED x_master.md -->\n{main}<!-- END PRESERVED x_master.md -->\n- `x_master.md`: `{writer.sha(main)}`\n"
-    assert reading.unwrap(bundle)[0] == main and reading.unwrap(main) == (main, "", {})
-    doc = reading.Document.from_text(spark, bundle)
-    assert doc.hashes and list(doc.entries) == ["E0001"] and "Yes." in doc.decisions
-    for bad in (bundle.replace("`: `", "`: `0"), bundle.replace("END PRESERVED", "STOP"), bundle.replace("x_master", "x_other"), bundle.replace(main, main + "x")):
-        with pytest.raises(reading.ReadingError):
-            reading.unwrap(bad)
-    text = "[a](#in) [b](#out)\n```\n[c](#out)\n```\n[d](#out)"
-    assert reading.rewrite_links(text, {"in"}) == "[a](#in) b (external reference `out`; not included)\n```\n[c](#out)\n```\nd (external reference `out`; not included)"
-    with pytest.raises(reading.ReadingError):
-        reading.Document.from_text(spark, "## E0001 — A\n## E0001 — B\n")
-    with pytest.raises(reading.ReadingError):
-        reading.tokens("```\nopen")
-
-
-def test_recorded_decisions_of_a_bundle(spark):
-    main = "## E0001 — One\nAnn came.\n"
-    start = main.index("Ann")
-    entries = reading.entry_table(spark, main)
-    table = lambda name, rows: f"### {name}\n\n```jsonl\n" + "\n".join(json.dumps(r) for r in rows) + "\n```\n"
-    rows = {
-        "entries": [{"entry_id": "E0001", "source_start": 0, "source_end": len(main), "source_sha256": writer.sha(main)}],
-        "correction_events": [{"event_id": "V1", "actor": "owner", "answer": "That is Ann B."}],
-        "correction_rules": [{"rule_id": "R1", "event_id": "V1", "active": True, "operation": "bind_mentions", "payload": {"entity_id": "N1", "entry_ids": ["E0001"], "mention_ids": ["M1"]}}, {"rule_id": "R2", "event_id": "V1", "active": False, "operation": "merge"}],
-        "mentions": [{"mention_id": "M1", "entry_id": "E0001", "entity_id": "N1", "start": start, "end": start + 3, "quote": "Ann"}],
-        "relationships": [{"rule_ids": ["R1"], "relation": "refers_to", "status": "user_confirmed", "authority": "owner_confirmed", "source_id": "M1", "target_id": "N1"}],
-        "entities": [{"entity_id": "N1", "label": "Ann B."}],
-    }
-    text = lambda r: "## Structured record appendix\n\n" + "\n".join(table(k, v) for k, v in r.items())
-    found = reading.recorded_decisions(text(rows), entries, main)
-    assert "That is Ann B." in found and f'characters {start}–{start + 3}: "Ann"' in found and reading.recorded_decisions("none", entries, main) == ""
-    for name, change in (("correction_rules", {"operation": "merge"}), ("mentions", {"quote": "Bob"}), ("mentions", {"entity_id": "N2"}), ("relationships", {"status": "guessed"}), ("entities", {"entity_id": "N9"}), ("entries", {"source_end": 4}), ("correction_events", {"event_id": "V2"})):
-        with pytest.raises(reading.ReadingError):
-            reading.recorded_decisions(text({**rows, name: [{**rows[name][0], **change}, *rows[name][1:]]}), entries, main)
-
-
-def test_demo(spark, tmp_path):
-    from attestry.demo import run_demo
-
-    found = run_demo(spark, tmp_path / "demo")
-    assert (found["packets"], found["first_pass_calls"], found["total_calls"], found["replay_extra_calls"]) == (9, 1, 9, 0)
-    assert found["reviewed_pieces"] == 0 and found["document_unchanged"] and found["all_extracted"] and found["false_quote_refused"]
-    assert Queue(tmp_path / "demo" / "queue.json").load().calls == 9
-
-
 def test_writer_keeps_data_and_confirmations(spark):
     before = 'x data:a/b;base64,QUJD y\n<a id="src-027"></a>\nowner said\n\n<a id="src-028"></a>\nagain\n<a id="coverage"></a>\n'
     parts = lambda t: writer.parts(spark.createDataFrame([("d", t)], "document string, text string"))

@@ -1,13 +1,10 @@
-"""Proposals of outside workers: their form, their evidence; event logs and summaries of queues."""
+"""Proposals of outside workers: their form, their evidence."""
 
 import copy
-import json
 
 import pytest
 
-from attestry.demo import echo
 from attestry.operators import proposals
-from attestry.operators.queue import MAX_EVENTS, State, event_summary, summary
 
 
 def piece(i, text, role="user", segment=0, covered=False, kind="text"):
@@ -16,9 +13,22 @@ def piece(i, text, role="user", segment=0, covered=False, kind="text"):
 
 REQUEST = {"packet_id": "P1", "pieces": [piece("a", "Grüße 🌱"), piece("b", "no", "assistant"), piece("c", "{}", segment=-2), piece("d", "old", covered=True)]}
 
+PROPOSAL = {
+    "packet_id": "P1",
+    "coverage": [
+        {"piece_id": "a", "disposition": "candidate", "reason": "said so", "candidate_ids": ["one"]},
+        {"piece_id": "b", "disposition": "candidate", "reason": "said so", "candidate_ids": ["echo-2"]},
+        {"piece_id": "c", "disposition": "no_extractable_content", "reason": "no text of its own", "candidate_ids": []},
+    ],
+    "candidates": [
+        {"candidate_id": "one", "category": "other", "attribution": "unknown", "statement": "Grüße 🌱", "uncertainty": "all", "evidence": [{"piece_id": "a", "start": 0, "end": 7, "quote": "Grüße 🌱"}]},
+        {"candidate_id": "echo-2", "category": "other", "attribution": "assistant_content", "statement": "no", "uncertainty": "all", "evidence": [{"piece_id": "b", "start": 0, "end": 2, "quote": "no"}]},
+    ],
+}
+
 
 def changed(path, value):
-    out = copy.deepcopy(echo(REQUEST)["proposal"])
+    out = copy.deepcopy(PROPOSAL)
     at = out
     for step in path[:-1]:
         at = at[step]
@@ -27,7 +37,7 @@ def changed(path, value):
 
 
 def test_a_right_proposal_passes():
-    assert proposals.check_proposal(REQUEST, echo(REQUEST)["proposal"]) == []
+    assert proposals.check_proposal(REQUEST, PROPOSAL) == []
 
 
 @pytest.mark.parametrize(
@@ -41,29 +51,3 @@ def test_a_right_proposal_passes():
 )
 def test_one_fault_is_one_refusal(path, value):
     assert proposals.check_proposal(REQUEST, changed(path, value))
-
-
-def test_event_logs(tmp_path):
-    log = tmp_path / "events"
-    turn = {"type": "turn.completed", "usage": {"input_tokens": 10, "cached_input_tokens": 4, "output_tokens": 2}}
-
-    def read(*events):
-        log.write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in events))
-        return event_summary(log)
-
-    assert read(turn, "", turn) == {"usage": {"input_tokens": 20, "output_tokens": 4}, "error": None}
-    assert read() == {"usage": None, "error": None}
-    assert read(turn, {"type": "turn.completed", "usage": {"input_tokens": True, "output_tokens": 1}})["usage"] is None
-    assert read(turn, {"item": {"type": "web_search"}})["error"] == "unexpected tool activity"
-    assert read(turn, {"type": "error"}) == {"usage": None, "error": "the provider reported a failure"}
-    assert read("[1]")["error"] == read("{")["error"] == read('{"a":1,"a":2}')["error"] == "invalid events"
-    assert event_summary(tmp_path / "none")["error"] == "missing or oversized events"
-    log.write_bytes(b" " * (MAX_EVENTS + 1))
-    assert event_summary(log)["error"] == "missing or oversized events"
-
-
-def test_summary_claims_nothing():
-    state = State({"a": "extracted", "b": "blocked"}, calls=3, input_tokens=5)
-    found = summary(state)
-    assert found["counts"] == {"extracted": 1, "blocked": 1} and not found["all_extracted"] and found["calls"] == 3
-    assert summary(State({"a": "extracted"}))["all_extracted"]
