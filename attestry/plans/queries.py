@@ -67,8 +67,7 @@ def dangling_parents(spark, sf_dir):
 
 
 @query(f"""with recursive m as ({MESSAGES}),
-    g as (select conversation, node, case when conversation % 6 = 0 and node = 0 then 2 else parent end as parent from m
-          where conversation % 6 <> 0 or (select max(node) from m x where x.conversation = m.conversation) >= 2),
+    g as (select conversation, node, case when conversation % 6 = 0 and node = 0 and (select max(node) from m x where x.conversation = m.conversation) >= 2 then 2 else parent end as parent from m),
     walk as (
         select conversation, node as origin, parent as here from g where parent is not null
         union
@@ -77,8 +76,8 @@ def dangling_parents(spark, sf_dir):
 def graph_cycles(spark, sf_dir):
     m = messages(spark, sf_dir)
     size = m.groupBy("conversation").agg(F.max("node").alias("last"))
-    g = m.join(size, "conversation").where("conversation % 6 <> 0 or last >= 2")
-    g = g.withColumn("parent", F.when((F.col("conversation") % 6 == 0) & (F.col("node") == 0), F.lit(2)).otherwise(F.col("parent")).cast("long"))
+    g = m.join(size, "conversation")
+    g = g.withColumn("parent", F.when((F.col("conversation") % 6 == 0) & (F.col("node") == 0) & (F.col("last") >= 2), F.lit(2)).otherwise(F.col("parent")).cast("long"))
     return graph.cycle_members(g)
 
 
@@ -194,12 +193,13 @@ def export_delta_counts(spark, sf_dir):
 def _quotes(spark, sf_dir):
     m = messages(spark, sf_dir)
     wrong = F.when(F.col("node") % 3 == 0, F.substring("text", 11, 20)).otherwise(F.substring("text", 12, 20))
-    quotes = m.where("length(text) >= 40").select(F.col("record_id").alias("message"), F.lit(0).alias("segment"), F.lit(10).alias("start"), F.lit(30).alias("end"), wrong.alias("quote"))
+    quotes = m.select(F.col("record_id").alias("message"), F.lit(0).alias("segment"), F.lit(10).alias("start"), F.lit(30).alias("end"), wrong.alias("quote"))
     return quotes, m.select(F.col("record_id").alias("message"), F.lit(0).alias("segment"), "text")
 
 
-@query(f"""with m as ({MESSAGES}) select record_id as message, 'text_mismatch' as code from m where length(text) >= 40
-    and substr(text, 11, 20) <> case when node % 3 = 0 then substr(text, 11, 20) else substr(text, 12, 20) end""")
+@query(f"""with m as ({MESSAGES}), q as (select record_id as message, case when text is null then 'unknown_segment' when length(text) < 30 then 'bad_span'
+        when substr(text, 11, 20) <> case when node % 3 = 0 then substr(text, 11, 20) else substr(text, 12, 20) end then 'text_mismatch' end as code from m)
+    select message, code from q where code is not null""")
 def quote_problems(spark, sf_dir):
     return review.quote_problems(*_quotes(spark, sf_dir)).select("message", "code")
 
@@ -219,10 +219,10 @@ def _reviewed(spark, sf_dir):
 
 
 @query(f"""with {REVIEWED} select p.message, p.piece_id from m join p on p.message = m.record_id
-    where length(m.text) >= 40 and p_start < 430 and p_end > 390 and piece_id not in (select piece_id from c)""")
+    where p_start < 430 and p_end > 390 and piece_id not in (select piece_id from c)""")
 def uncovered_quotes(spark, sf_dir):
     pieces, coverage = _reviewed(spark, sf_dir)
-    quotes = messages(spark, sf_dir).where("length(text) >= 40").select(F.col("record_id").alias("message"), F.lit(0).alias("segment"), F.lit(390).alias("start"), F.lit(430).alias("end"))
+    quotes = messages(spark, sf_dir).select(F.col("record_id").alias("message"), F.lit(0).alias("segment"), F.lit(390).alias("start"), F.lit(430).alias("end"))
     return review.uncovered_quotes(quotes, pieces, coverage).select("message", "piece_id")
 
 
