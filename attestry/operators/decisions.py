@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import needles
+from attestry.operators import intervals, needles
 from attestry.operators.review import quote_problems, uncovered_quotes
 
 #: Outcomes of review, those that need a finding, and those of a finding's place in a document.
@@ -69,7 +69,9 @@ def problems(new: dict[str, DataFrame], pieces: DataFrame, segments: DataFrame,
     # pieces that a quote touches must be covered by its own decision or by one in force
     touched = uncovered_quotes(spans.drop("quote"), pieces, covered.select("piece_id"))
     open_ = touched.join(c.select("decision_id", "piece_id"), ["decision_id", "piece_id"], "left_anti")
-    apart = spans.join(pieces.select("message", "segment", F.col("start").alias("_s"), F.col("end").alias("_e")), ["message", "segment"]).where("_s < end and _e > start").select("decision_id", "finding_id", "message", "segment", "start", "end")
+    places = pieces.select("message", "segment", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    key = ["decision_id", "finding_id", "message", "segment", "start", "end"]
+    apart = intervals.overlapping(spans.select(key), places, ["message", "segment"], ("start", "end"), ("_s", "_e")).select(key)
     parts = [
         _rows(d.where(~F.coalesce(F.col("decision_id").rlike("^[A-Za-z0-9_-]+$"), F.lit(False))), "unsafe_id", "decision_id"),
         _rows(d.where(_blank("reviewer") | _blank("reviewed_at")), "no_reviewer", "decision_id"),

@@ -1,19 +1,16 @@
 """Review pieces and packets: spans of bounded length and the greedy filling of packets in reading order.
 
-The greedy folds are sequential by nature: a group's rows are streamed in order through one task, whose state is two
-numbers, so a group of any size takes the memory of one batch. Rows without a group are one group.
+The folds along a group's order go over ranges of it (``folds``), so a group takes as many tasks as its rows need. Rows
+without a group are one group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from attestry.functions.text import span
+from attestry.operators import folds
 
 
 def split_spans(segments: DataFrame, max_chars: int, text_col: str = "text") -> DataFrame:
@@ -27,39 +24,10 @@ def split_spans(segments: DataFrame, max_chars: int, text_col: str = "text") ->
     return out.withColumn("end", end).withColumn("piece", span(F.col(text_col), F.col("start"), F.col("end")))
 
 
-def _streamed(rows: DataFrame, group: str, order: list[str], size: str, name: str, kind: str, step: Callable) -> DataFrame:
-    """Adds ``name``: step(state, size) gives (state, value) for each row of a group in order, from the state None."""
-    held = rows.drop(name)
-    at, of = held.columns.index(group), held.columns.index(size)
-    arrow, plain = {"integer": (pa.int32(), IntegerType()), "boolean": (pa.bool_(), BooleanType())}[kind]
-    schema = StructType([*held.schema.fields, StructField(name, plain)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, begun = None, None, False
-        for batch in batches:
-            values = []
-            for g, n in zip(batch.column(at).to_pylist(), batch.column(of).to_pylist(), strict=True):
-                if not begun or g != now:
-                    now, state, begun = g, None, True
-                state, value = step(state, n or 0)
-                values.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
-
-    return held.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
-
-
 def fill_packets(pieces: DataFrame, group: str, order: list[str], size: str, limit: int) -> DataFrame:
     """Adds ``packet``, numbered from 1 in each group: pieces in order go into a packet until the next one would exceed
     the limit. A piece over the limit has a packet of its own; a null size counts as 0."""
-
-    def step(state, n):
-        number, used = state or (1, 0)
-        # the first piece of a packet always goes in
-        if state is not None and used + n > limit:
-            number, used = number + 1, 0
-        return (number, used + n), number
-
-    return _streamed(pieces, group, order, size, "packet", "integer", step)
+    return folds.fill(pieces, group, order, size, limit, "packet")
 
 
 def packet_summary(packets: DataFrame, group: str, size: str) -> DataFrame:
@@ -70,16 +38,10 @@ def packet_summary(packets: DataFrame, group: str, size: str) -> DataFrame:
 def budgeted(items: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
     """Adds ``included``: items in order are taken if they fit into what is left of the group's budget, else skipped,
     and later smaller ones may still fit. A null size counts as 0."""
-
-    def step(state, n):
-        left = budget if state is None else state
-        return (left - n, True) if n <= left else (left, False)
-
-    return _streamed(items, group, order, size, "included", "boolean", step)
+    return folds.take(items, group, order, size, budget, "included")
 
 
 def started_within(jobs: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """The jobs of each group that start before its budget is used up, with ``used_before``: the costs of the jobs before
     it (a null cost counts as 0). A job that starts may go over; none starts after that."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return jobs.withColumn("used_before", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("used_before") < budget)
+    return folds.running(jobs, group, order, cost, "used_before").where(F.col("used_before") < budget)

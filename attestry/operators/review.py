@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.text import span
+from attestry.operators import intervals
 
 
 def quote_problems(quotes: DataFrame, segments: DataFrame) -> DataFrame:
@@ -43,10 +44,10 @@ def find_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def uncovered_quotes(quotes: DataFrame, pieces: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Rows of quotes joined with the pieces they overlap that no coverage row names: an equi-join on the segment with
-    the interval overlap as its residue, then an anti join."""
+    """Rows of quotes joined with the pieces they overlap that no coverage row names. Quotes and pieces of a segment meet by
+    the places they share (``intervals``), however many a segment has."""
     p = pieces.select("message", "segment", "piece_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    touching = quotes.join(p, ["message", "segment"]).where("p_start < end and p_end > start")
+    touching = intervals.overlapping(quotes, p, ["message", "segment"], ("start", "end"), ("p_start", "p_end"))
     return touching.join(coverage.select("piece_id"), "piece_id", "left_anti")
 
 
