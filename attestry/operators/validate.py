@@ -15,6 +15,7 @@ from attestry.functions.identity import IMPORTER_VERSION, SCHEMA_VERSION, record
 from attestry.functions.text import timestamp_state
 from attestry.operators.census import json_key
 from attestry.operators.graph import branch_points, cycle_members, dangling_parents, link_mismatches
+from attestry.operators.rounds import written
 
 #: Codes that tell what to know about a valid dataset; all others are errors.
 WARNINGS = ("unknown_role", "unknown_content", "unknown_multimodal_content", "unknown_part", "missing_child_lists", "attachment_gaps", "repeated_message_ids", "missing_creation_times")
@@ -90,62 +91,156 @@ def histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def _differs(joined: DataFrame, code: str, pairs: list[tuple[Column, Column]], detail: str) -> DataFrame:
-    """Rows of which any pair of columns isn't alike."""
-    wrong = reduce(lambda a, b: a | b, [~a.eqNullSafe(b) for a, b in pairs])
-    return _found(joined.where(wrong), code, F.col("record_id"), F.lit(detail))
+def _unlike(*pairs: tuple[Column, Column]) -> Column:
+    """Whether any pair of columns isn't alike."""
+    return reduce(lambda a, b: a | b, [~a.eqNullSafe(b) for a, b in pairs])
 
 
-def _pairs(*names: str) -> list[tuple[Column, Column]]:
+def _values(*names: str) -> list[tuple[Column, Column]]:
     return [(F.col(n), F.col("values")[n]) for n in names]
 
 
+def broken(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """The findings of all rules (code, condition, detail) over the columns of a record, in one pass over the records: an
+    array of what each rule finds, null where it finds nothing, of which the rest is exploded."""
+    found = [F.when(wrong, F.struct(F.lit(code).alias("code"), F.col("record_id").cast("string").alias("record_id"), detail.cast("string").alias("detail"))) for code, wrong, detail in rules]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.code", "f.record_id", "f.detail")
+
+
+class _Once(dict):
+    """Tables by name; each is written when it is first asked for and read from there after that."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        table = super().__getitem__(name)
+        if not hasattr(table, "_round_place"):
+            table = written(table)
+            self[name] = table
+        return table
+
+
 class Dataset:
     """Derived tables (normalize.Tables' names) next to the source they came from: ``raw`` are rows of
     exports.conversations(), ``sources`` rows of exports.inventory(); ``files`` and ``roots`` say what attachment roots
     hold, see normalize.resolve_attachments(); ``frozen`` is the manifest (name, records, print) and ``expected`` the
-    configured counts, by name."""
+    configured counts, by name.
+
+    Tables and census are written once. Rules on the columns of a kind of record are one pass (``checks``) over one join
+    of the records with the source, their conversation or message and their segments."""
 
     def __init__(self, tables: dict[str, DataFrame], raw: DataFrame, sources: DataFrame, census: DataFrame, expected: dict[str, int] | None = None, frozen: dict[str, dict] | None = None, roots: DataFrame | None = None, files: DataFrame | None = None, manifest: dict | None = None):
-        self.t, self.raw, self.sources, self.census = tables, raw, sources, census
+        self.t, self.raw, self.sources = _Once(tables), raw, sources
+        self.census = written(census)
         self.expected, self.frozen, self.roots, self.files, self.manifest = expected or {}, frozen or {}, roots, files, manifest or {}
         at = F.struct(F.col("source_id").alias("s"), F.col("json_pointer").alias("p"))
-        own = census.withColumn("at", at)
+        own = self.census.withColumn("at", at)
         self.source = {kind: own.where(F.col("kind") == kind).select("at", "values", "provider", "sha256", F.col("conversation_pointer").alias("c_at"), F.col("message_pointer").alias("m_at")) for kind in (*KINDS, "node", "segment", "warning", "refused")}
 
     def records(self, kind: str) -> DataFrame:
         return self.t[f"{kind}s"].withColumn("at", F.struct(F.col("provenance.source_id").alias("s"), F.col("provenance.json_pointer").alias("p")))
 
-    def against(self, kind: str) -> DataFrame:
-        """Derived records with the values that the source has at their place."""
-        return self.records(kind).join(self.source[kind].select("at", "values", "m_at", F.col("provider").alias("_provider"), F.col("sha256").alias("_sha")), "at")
-
-    def identity(self) -> DataFrame:
-        """schema_version, importer_version (of the manifest), source_collision, source_identity, record_identity,
-        record_version, provenance."""
+    def _wide(self, kind: str, fidelity: bool) -> DataFrame:
+        """Records with what their rules look at: _known, the provider and hash of their source; and, for ``fidelity``,
+        values of the source at their place, the record that they belong to and a message's segments."""
+        known = self.sources.groupBy(F.col("source_id").alias("_source")).agg(F.collect_set(F.struct("provider", "sha256")).alias("_known"))
+        rows = self.records(kind)
+        out = rows.join(known, F.col("provenance.source_id") == F.col("_source"), "left")
+        if not fidelity:
+            return out
+        out = out.join(self.source[kind].select("at", "values"), "at", "left")
+        parent = lambda name, *columns: self.t[name].select(*columns, F.col("provenance").alias("_from"), F.lit(True).alias("_there")).dropDuplicates(["_parent"])
+        if kind == "message":
+            out = out.join(parent("conversations", F.col("record_id").alias("_parent"), F.col("original_id").alias("_original")), F.col("conversation_record_id") == F.col("_parent"), "left")
+            segment = F.struct(F.col("segment_index").cast("int").alias("i"), "json_pointer", "text", "kind")
+            texts = F.transform(F.array_sort(F.collect_list(segment)), lambda s: F.array(s["json_pointer"], s["text"], s["kind"]))
+            out = out.join(self.t["segments"].groupBy(F.col("message_record_id").alias("record_id")).agg(texts.alias("_texts")), "record_id", "left")
+        if kind == "attachment":
+            out = out.join(parent("messages", F.col("record_id").alias("_parent"), F.col("conversation_record_id").alias("_conversation")), F.col("message_record_id") == F.col("_parent"), "left")
+        return out
+
+    def checks(self, kind: str, *groups: str) -> DataFrame:
+        """The rules on a kind's columns, of the groups identity, fidelity and times."""
+        nothing = F.lit(None).cast("string")
+        right = record_id(kind, F.col("provenance.source_id"), F.col("provenance.json_pointer"))
+        unknown = F.array(F.struct(nothing.alias("provider"), nothing.alias("sha256")))
+        foreign = F.exists(F.coalesce("_known", unknown), lambda k: ~F.col("provider").eqNullSafe(k["provider"]) | ~F.col("provenance.sha256").eqNullSafe(k["sha256"]))
+        version = ~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)) | ~F.col("importer_version").eqNullSafe(F.lit(IMPORTER_VERSION))
+        rules = []
+        if "identity" in groups:
+            rules += [
+                ("record_identity", ~F.col("record_id").eqNullSafe(right), right),
+                ("record_version", version, nothing),
+                ("provenance", foreign, F.lit("not the source's provider or hash")),
+            ]
+        if "fidelity" in groups:
+            in_source, at_parent = F.col("values").isNotNull(), F.coalesce("_there", F.lit(False)) if kind != "conversation" else None
+            changed = lambda code, detail, *pairs: (code, in_source & _unlike(*pairs), F.lit(detail))
+            inside = F.startswith(F.col("at.p"), F.concat("_from.json_pointer", F.lit("/"))) if kind != "conversation" else None
+            if kind == "conversation":
+                roots = F.from_json(F.col("values")["root_parent_ids"], "array<string>")
+                rules += [
+                    changed("metadata_fidelity", "metadata changed", (json_key(F.col("raw_metadata")), F.col("values")["raw_metadata"])),
+                    changed("conversation_identity", "original id changed", *_values("original_id")),
+                    changed("title_fidelity", "title changed", *_values("title")),
+                    changed("timestamp_fidelity", "time changed", *_values("created_at_raw", "updated_at_raw")),
+                    changed("branch_selection", "selected node or roots changed", *_values("current_node_id"), (F.col("root_parent_ids"), roots)),
+                ]
+            elif kind == "message":
+                outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~inside
+                empty = F.array().cast("array<array<string>>")
+                rules += [
+                    changed("raw_fidelity", "the message changed", (json_key(F.col("raw")), F.col("values")["raw"])),
+                    ("conversation_reference", ~at_parent, F.col("conversation_record_id")),
+                    ("conversation_membership", at_parent & ~F.col("conversation_original_id").eqNullSafe(F.col("_original")), F.lit("another conversation's id")),
+                    ("conversation_membership", at_parent & outside, F.lit("outside its conversation")),
+                    changed("role_fidelity", "role changed", *_values("role", "role_raw")),
+                    changed("timestamp_fidelity", "time changed", *_values("created_at_raw", "updated_at_raw")),
+                    changed("message_identity", "original id changed", *_values("original_id")),
+                    changed("content_kind", "kind of content changed", *_values("content_kind")),
+                    changed("text_fidelity", "text changed", (F.coalesce("_texts", empty), F.from_json(F.col("values")["segments"], "array<array<string>>"))),
+                ]
+            else:
+                outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~F.coalesce(inside, F.lit(False))
+                rules += [
+                    changed("attachment_fidelity", "the reference changed", (json_key(F.col("raw")), F.col("values")["raw"])),
+                    ("attachment_membership", ~F.col("conversation_record_id").eqNullSafe(F.col("_conversation")), nothing),
+                    ("attachment_source_membership", outside, nothing),
+                    changed("attachment_kind", "kind changed", *_values("attachment_kind")),
+                    changed("attachment_metadata", "name or id changed", *_values("filename", "original_id")),
+                ]
+        if "times" in groups and kind != "attachment":
+            rules += [("invalid_timestamp", timestamp_state(F.col(c)) == "invalid", F.col(c)) for c in ("created_at_raw", "updated_at_raw")]
+        rows = self.records(kind) if groups == ("times",) else self._wide(kind, "fidelity" in groups)
+        return broken(rows, rules)
+
+    def headers(self) -> DataFrame:
+        """schema_version and importer_version of the manifest, source_collision, source_identity."""
         spark = self.raw.sparkSession
         wrong = [(k, str(v)) for k, v, right in (("schema_version", self.manifest.get("schema_version", SCHEMA_VERSION), SCHEMA_VERSION), ("importer_version", self.manifest.get("importer_version", IMPORTER_VERSION), IMPORTER_VERSION)) if v != right]
-        parts = [spark.createDataFrame([(c, None, d) for c, d in wrong], "code string, record_id string, detail string")]
-        parts.append(repeated(self.sources, ["source_id"], "source_collision"))
         right = F.concat("provider", F.lit(":"), "sha256")
-        parts.append(_found(self.sources.where(~F.col("source_id").eqNullSafe(right)), "source_identity", F.col("source_id"), right))
-        known = self.sources.select("source_id", F.col("provider").alias("_provider"), F.col("sha256").alias("_sha")).distinct()
-        for kind in KINDS:
-            r = self.records(kind)
-            parts.append(identities(r, kind))
-            parts.append(_found(r.where(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)) | ~F.col("importer_version").eqNullSafe(F.lit(IMPORTER_VERSION))), "record_version", F.col("record_id")))
-            there = r.join(known, r["provenance.source_id"] == known["source_id"], "left")
-            parts.append(_differs(there, "provenance", [(F.col("provider"), F.col("_provider")), (F.col("provenance.sha256"), F.col("_sha"))], "not the source's provider or hash"))
-        return union(parts)
+        return union([
+            spark.createDataFrame([(c, None, d) for c, d in wrong], "code string, record_id string, detail string"),
+            repeated(self.sources, ["source_id"], "source_collision"),
+            _found(self.sources.where(~F.col("source_id").eqNullSafe(right)), "source_identity", F.col("source_id"), right),
+        ])
+
+    def identity(self) -> DataFrame:
+        """headers(); and of each record record_identity, record_version, provenance."""
+        return union([self.headers(), *[self.checks(kind, "identity") for kind in KINDS]])
+
+    def places(self) -> DataFrame:
+        """Rows (kind, s, p, provider, derived): the places of all records, and of what the source has."""
+        place = lambda df, kind, derived: df.select(F.lit(kind).alias("kind"), "at.s", "at.p", "provider", F.lit(derived).alias("derived"))
+        return union([place(df, kind, d) for kind in KINDS for df, d in ((self.records(kind), 1), (self.source[kind], 0))])
 
     def uniqueness(self) -> DataFrame:
         """conversation_id_collision, record_id_collision, source_pointer_collision, node_collision, duplicate_child."""
         own = self.source["conversation"].select(F.col("at.s").alias("source_id"), F.col("values")["original_id"].alias("id"))
         ids = union([self.records(kind).select("record_id") for kind in KINDS])
-        places = [repeated(self.records(kind).select(F.col("at.s").alias("source_id"), F.col("at.p").alias("pointer")), ["source_id", "pointer"], "source_pointer_collision") for kind in KINDS]
+        shared = self.places().where("derived = 1").groupBy("kind", "s", "p").agg(F.count("*").alias("n")).where("n > 1")
+        places = _found(shared, "source_pointer_collision", F.col("s"), F.concat_ws("|", "p", F.col("n").cast("string")))
         nodes = self.nodes()
         twice = nodes.where(F.size("children_ids") > F.size(F.array_distinct("children_ids")))
-        return union([repeated(own, ["source_id", "id"], "conversation_id_collision"), repeated(ids, ["record_id"], "record_id_collision"), *places, repeated(nodes, ["conversation", "node"], "node_collision"), _found(twice, "duplicate_child", F.col("conversation"), F.col("node"))])
+        return union([repeated(own, ["source_id", "id"], "conversation_id_collision"), repeated(ids, ["record_id"], "record_id_collision"), places, repeated(nodes, ["conversation", "node"], "node_collision"), _found(twice, "duplicate_child", F.col("conversation"), F.col("node"))])
 
     def integrity(self) -> DataFrame:
         """clean_hash_mismatch, file_count: tables that aren't what was written."""
@@ -162,34 +257,24 @@ class Dataset:
 
     def coverage(self) -> DataFrame:
         """source_coverage, provider_count, expected_count: places and numbers, counted in the source anew."""
-        place = lambda df: df.select("at.s", "at.p")
-        parts = []
-        counts, wanted = [], []
-        for kind in KINDS:
-            derived, source = place(self.records(kind)).distinct(), place(self.source[kind]).distinct()
-            for a, b, detail in ((derived, source, "not in the source"), (source, derived, "not derived")):
-                parts.append(_found(a.join(b, ["s", "p"], "left_anti"), "source_coverage", F.concat_ws("|", "s", "p"), F.lit(detail)))
-            if kind != "attachment":
-                named = lambda df, kind=kind: df.groupBy(F.concat("provider", F.lit(f"_{kind}s")).alias("name")).agg(F.count("*").alias("n"))
-                counts.append(named(self.records(kind)))
-                wanted.append(named(self.source[kind]).withColumnRenamed("n", "expected"))
-        parts.append(expected_counts(union(counts), union(wanted), "provider_count"))
+        own = self.places()
+        at = own.groupBy("kind", "s", "p").agg(F.max("derived").alias("has"), F.min("derived").alias("lacks"))
+        one_sided = at.where("has = lacks")
+        parts = [_found(one_sided, "source_coverage", F.concat_ws("|", "s", "p"), F.when(F.col("has") == 1, "not in the source").otherwise("not derived"))]
+        named = own.where("kind <> 'attachment'").groupBy(F.concat("provider", F.lit("_"), "kind", F.lit("s")).alias("name"))
+        numbers = named.agg(F.sum("derived").alias("n"), F.sum(1 - F.col("derived")).alias("expected"))
+        parts.append(expected_counts(numbers.where("n > 0").select("name", "n"), numbers.where("expected > 0").select("name", "expected"), "provider_count"))
         if self.expected:
             given = self.raw.sparkSession.createDataFrame(sorted(self.expected.items()), "name string, expected long")
-            parts.append(expected_counts(union(counts), given))
+            parts.append(expected_counts(numbers.where("n > 0").select("name", "n"), given))
         return union(parts)
 
     def conversations(self) -> DataFrame:
         """metadata_fidelity, conversation_identity, title_fidelity, timestamp_fidelity, branch_selection, graph_fidelity."""
-        c = self.against("conversation")
-        roots = F.from_json(F.col("values")["root_parent_ids"], "array<string>")
-        parts = [
-            _differs(c, "metadata_fidelity", [(json_key(F.col("raw_metadata")), F.col("values")["raw_metadata"])], "metadata changed"),
-            _differs(c, "conversation_identity", _pairs("original_id"), "original id changed"),
-            _differs(c, "title_fidelity", _pairs("title"), "title changed"),
-            _differs(c, "timestamp_fidelity", _pairs("created_at_raw", "updated_at_raw"), "time changed"),
-            _differs(c, "branch_selection", [*_pairs("current_node_id"), (F.col("root_parent_ids"), roots)], "selected node or roots changed"),
-        ]
+        return self.checks("conversation", "fidelity").unionByName(self.exported_graph())
+
+    def exported_graph(self) -> DataFrame:
+        """graph_fidelity."""
         node = F.struct("position", "node_id", "parent_id", "children_ids", "message_record_id", "fields")
         listed = lambda df: df.groupBy("conversation").agg(F.array_sort(F.collect_list(node)).alias("graph"))
         own = listed(self.t["nodes"].select(F.col("conversation_record_id").alias("conversation"), F.col("position").cast("int").alias("position"), "node_id", "parent_id", "children_ids", "message_record_id", json_key(F.col("node_fields")).alias("fields")))
@@ -197,58 +282,38 @@ class Dataset:
         message = F.when(F.col("m_at").isNotNull(), record_id("message", F.col("at.s"), F.col("m_at")))
         source = self.source["node"].select(record_id("conversation", F.col("at.s"), F.col("c_at")).alias("conversation"), v("position").cast("int").alias("position"), v("node_id").alias("node_id"), v("parent_id").alias("parent_id"), F.from_json(v("children_ids"), "array<string>").alias("children_ids"), message.alias("message_record_id"), v("node_fields").alias("fields"))
         both = own.join(listed(source).withColumnRenamed("graph", "wanted"), "conversation", "full_outer").join(self.t["conversations"].select(F.col("record_id").alias("conversation")).distinct(), "conversation", "left_semi")
-        parts.append(_found(both.where(~F.col("graph").eqNullSafe(F.col("wanted"))), "graph_fidelity", F.col("conversation"), F.lit("the exported graph changed")))
-        return union(parts)
+        return _found(both.where(~F.col("graph").eqNullSafe(F.col("wanted"))), "graph_fidelity", F.col("conversation"), F.lit("the exported graph changed"))
 
     def messages(self) -> DataFrame:
         """raw_fidelity, conversation_reference, conversation_membership, role_fidelity, timestamp_fidelity,
         message_identity, content_kind, text_fidelity, text_pointer."""
-        m = self.against("message")
-        convs = self.t["conversations"].select(F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("_original"), F.col("provenance").alias("_from")).dropDuplicates(["conversation_record_id"])
-        placed = self.records("message").join(convs, "conversation_record_id")
-        outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~F.startswith(F.col("at.p"), F.concat("_from.json_pointer", F.lit("/")))
-        segment = F.struct(F.col("segment_index").cast("int").alias("i"), "json_pointer", "text", "kind")
-        own = self.t["segments"].groupBy(F.col("message_record_id").alias("record_id")).agg(F.transform(F.array_sort(F.collect_list(segment)), lambda s: F.array(s["json_pointer"], s["text"], s["kind"])).alias("_own"))
-        texts = m.join(own, "record_id", "left").select("record_id", F.coalesce("_own", F.array().cast("array<array<string>>")).alias("_own"), F.from_json(F.col("values")["segments"], "array<array<string>>").alias("_wanted"))
+        return self.checks("message", "fidelity").unionByName(self.text_places())
+
+    def text_places(self) -> DataFrame:
+        """text_pointer."""
         at = self.t["segments"].join(self.t["messages"].select(F.col("record_id").alias("message_record_id"), "provenance").dropDuplicates(["message_record_id"]), "message_record_id")
         there = at.select(F.col("message_record_id").alias("record_id"), F.struct(F.col("provenance.source_id").alias("s"), F.col("json_pointer").alias("p")).alias("at"), "text").join(self.source["segment"].select("at", "values"), "at", "left")
-        return union([
-            _differs(m, "raw_fidelity", [(json_key(F.col("raw")), F.col("values")["raw"])], "the message changed"),
-            references(self.records("message"), "conversation_record_id", self.t["conversations"], "conversation_reference"),
-            _found(placed.where(~F.col("conversation_original_id").eqNullSafe(F.col("_original"))), "conversation_membership", F.col("record_id"), F.lit("another conversation's id")),
-            _found(placed.where(outside), "conversation_membership", F.col("record_id"), F.lit("outside its conversation")),
-            _differs(m, "role_fidelity", _pairs("role", "role_raw"), "role changed"),
-            _differs(m, "timestamp_fidelity", _pairs("created_at_raw", "updated_at_raw"), "time changed"),
-            _differs(m, "message_identity", _pairs("original_id"), "original id changed"),
-            _differs(m, "content_kind", _pairs("content_kind"), "kind of content changed"),
-            _found(texts.where(~F.col("_own").eqNullSafe(F.col("_wanted"))), "text_fidelity", F.col("record_id"), F.lit("text changed")),
-            _found(there.where(~F.col("text").eqNullSafe(F.col("values")["text"])), "text_pointer", F.col("record_id"), F.col("at.p")),
-        ])
+        return _found(there.where(~F.col("text").eqNullSafe(F.col("values")["text"])), "text_pointer", F.col("record_id"), F.col("at.p"))
 
     def attachments(self) -> DataFrame:
         """attachment_fidelity, attachment_membership, attachment_source_membership, attachment_kind, attachment_metadata,
         attachment_availability."""
+        return self.checks("attachment", "fidelity").unionByName(self.availability())
+
+    def availability(self) -> DataFrame:
+        """attachment_availability, where roots are known."""
         from attestry.operators.normalize import resolve_attachments
 
-        a = self.against("attachment")
-        owner = self.t["messages"].select(F.col("record_id").alias("message_record_id"), F.col("conversation_record_id").alias("_conversation"), F.col("provenance").alias("_from")).dropDuplicates(["message_record_id"])
-        placed = self.records("attachment").join(owner, "message_record_id", "left")
-        outside = ~F.col("at.s").eqNullSafe(F.col("_from.source_id")) | ~F.coalesce(F.startswith(F.col("at.p"), F.concat("_from.json_pointer", F.lit("/"))), F.lit(False))
-        parts = [
-            _differs(a, "attachment_fidelity", [(json_key(F.col("raw")), F.col("values")["raw"])], "the reference changed"),
-            _found(placed.where(~F.col("conversation_record_id").eqNullSafe(F.col("_conversation"))), "attachment_membership", F.col("record_id")),
-            _found(placed.where(outside), "attachment_source_membership", F.col("record_id")),
-            _differs(a, "attachment_kind", _pairs("attachment_kind"), "kind changed"),
-            _differs(a, "attachment_metadata", _pairs("filename", "original_id"), "name or id changed"),
-        ]
-        if "resolved_path" in self.t["attachments"].columns and self.roots is not None:
-            anew = resolve_attachments(self.t["attachments"], self.roots, self.files).select("record_id", F.col("availability").alias("_state"), F.col("resolved_path").alias("_path"), F.col("sha256").alias("_hash"))
-            parts.append(_differs(self.t["attachments"].join(anew, "record_id"), "attachment_availability", [(F.col("availability"), F.col("_state")), (F.col("resolved_path"), F.col("_path")), (F.col("sha256"), F.col("_hash"))], "availability changed"))
-        return union(parts)
+        own = self.t["attachments"]
+        if "resolved_path" not in own.columns or self.roots is None:
+            return self.raw.sparkSession.createDataFrame([], "code string, record_id string, detail string")
+        anew = resolve_attachments(own, self.roots, self.files).select("record_id", F.col("availability").alias("_state"), F.col("resolved_path").alias("_path"), F.col("sha256").alias("_hash"))
+        wrong = _unlike((F.col("availability"), F.col("_state")), (F.col("resolved_path"), F.col("_path")), (F.col("sha256"), F.col("_hash")))
+        return broken(own.join(anew, "record_id"), [("attachment_availability", wrong, F.lit("availability changed"))])
 
     def timestamps(self) -> DataFrame:
         """invalid_timestamp."""
-        return union([bad_timestamps(self.t[t], c) for t in ("conversations", "messages") for c in ("created_at_raw", "updated_at_raw")])
+        return union([self.checks(kind, "times") for kind in ("conversation", "message")])
 
     def nodes(self) -> DataFrame:
         n = self.t["nodes"].select(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "position", "children_ids", "message_record_id")
@@ -295,8 +360,9 @@ class Dataset:
 
     def findings(self) -> DataFrame:
         """All rules' rows; an empty dataset of an empty source has none."""
-        groups = (self.identity, self.uniqueness, self.integrity, self.coverage, self.conversations, self.messages, self.attachments, self.timestamps, self.graph, self.warnings, self.refused)
-        return union([g() for g in groups])
+        of_columns = [self.checks(kind, "identity", "fidelity", "times") for kind in KINDS]
+        across = (self.headers, self.uniqueness, self.integrity, self.coverage, self.exported_graph, self.text_places, self.availability, self.graph, self.warnings, self.refused)
+        return union([*of_columns, *[g() for g in across]])
 
     def errors(self) -> DataFrame:
         return self.findings().where(~F.col("code").isin(*WARNINGS))
