@@ -25,13 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def new_place(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else has, deleted when the driver ends."""
+    place = f"{shared_folder(spark)}/attestry-round-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, place)
+    return place
+
+
 def written(rows: DataFrame, *done: DataFrame) -> DataFrame:
     """``rows`` from a table in the shared folder, so that no lineage grows and a lost executor costs a reread. The tables
     ``done`` are deleted, as nothing reads them any more; others when the driver ends."""
     spark = rows.sparkSession
-    place = f"{shared_folder(spark)}/attestry-round-{uuid.uuid4().hex}"
+    place = new_place(spark)
     rows.write.parquet(place)
-    atexit.register(_remove, spark, place)
     out = spark.read.schema(rows.schema).parquet(place)
     out._round_place = place
     for d in done:

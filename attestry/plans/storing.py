@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions.identity import canonical_fingerprint, resolve_pointer, sha256
-from attestry.operators import delta, graph, validate
+from attestry.operators import delta, graph, rounds, validate
 from attestry.plans.bridge import messages, raw_chatgpt, table
 from attestry.plans.registry import MESSAGES, query
 from attestry.plans.validation import tables
-from attestry.sources import exports, raw_store
+from attestry.sources import exports, known, raw_store, sinks
 
 
 def _payloads(spark, sf_dir):
@@ -86,6 +86,16 @@ def ingest_report(spark, sf_dir):
     return raw_store.ingest_report(parts, parts.where("doc_id % 2 = 0").select("sha256"))
 
 
+@query("""select doc_id, sha256(text) in (select sha256(text) from documents where doc_id % 2 = 0) as had from documents""")
+def known_blobs(spark, sf_dir):
+    """Whether a store that holds the texts of even numbers has a document's text, by its filters and prefix folders."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.col("text").cast("binary").alias("content"))
+    store = f"{rounds.new_place(spark)}/blobs"
+    sinks.append_blobs(texts.where("doc_id % 2 = 0").select("sha256", "bytes", "content"), store)
+    had = known.had(texts.select("sha256"), store).withColumn("had", F.lit(True))
+    return texts.select("doc_id", "sha256").join(had, "sha256", "left").select("doc_id", F.coalesce("had", F.lit(False)).alias("had"))
+
+
 @query("""select count(*)::bigint as blobs, sum(n)::bigint as bytes from (select distinct sha256(text), strlen(text) as n from documents)""")
 def referenced_blobs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.identity import table_print
+from attestry.sources import known
 
 
 class PublishError(RuntimeError):
@@ -44,19 +45,21 @@ def publish_tables(tables: dict[str, DataFrame], target: str, check: Callable[[d
         fs.delete(stage, True)
 
 
-def append_blobs(blobs: DataFrame, path: str) -> int:
+def append_blobs(blobs: DataFrame, path: str, had: DataFrame | None = None) -> int:
     """Appends blobs (sha256, bytes, content) that the store lacks, by the first two characters of their hash; refuses a
-    hash that doesn't fit its content, and then appends nothing. Repeating it adds nothing. One pass: the hash is proved
-    and the rows are counted while they're written. Returns the number of new blobs."""
-    spark = blobs.sparkSession
-    fs, place = _fs(spark, path)
-    new = blobs.dropDuplicates(["sha256"])
-    if fs.exists(place):
-        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    hash that doesn't fit its content, and then appends nothing. Repeating it adds nothing. What the store has is told by
+    its filters and, where they can't, by the folders of the blobs' own prefixes (see sources.known); a caller that has
+    asked already gives the answer. The hash is proved and the rows are counted while they're written. Returns the number
+    of new blobs."""
+    if had is None:
+        had = known.had(blobs.select("sha256"), path)
+    new = blobs.dropDuplicates(["sha256"]).join(had, "sha256", "left_anti")
     wrong = F.raise_error(F.lit("a blob's hash isn't that of its content")).cast("binary")
     proved = new.withColumn("content", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(wrong))
     seen = Observation()
-    written = proved.withColumn("prefix", F.substring("sha256", 1, 2)).observe(seen, F.count("*").alias("n"))
+    written = proved.withColumn("prefix", known.prefix()).observe(seen, F.count("*").alias("n"))
+    # before the blobs: a filter may have too much, never too little
+    known.add(new.select("sha256"), known.filters_of(path))
     try:
         written.write.mode("append").partitionBy("prefix").parquet(path)
     except Exception as e:
