@@ -24,8 +24,8 @@ def range_of(rows: DataFrame, key: str, parts: int | None = None) -> Column:
     return F.size(F.filter(F.array(*literals), lambda b: b <= F.col(key)))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds ``name``, the row's place from 1 by the columns ``order`` (nulls first). Each range numbers its own rows and
+def numbered(rows: DataFrame, order: list[str], name: str, kind: str = "int") -> DataFrame:
+    """Adds ``name``, the row's place from 1 by the columns ``order`` (nulls first), of type ``kind``. Each range numbers its own rows and
     adds how many the ranges before it hold; that table has one row for each range. An empty table gives no rows."""
     keyed = rows.withColumn("_key", F.struct(*order))
     placed = keyed.withColumn("_range", range_of(keyed, "_key"))
@@ -33,4 +33,4 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
     joined = placed.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
-    return joined.withColumn(name, (within + F.col("_before")).cast("int")).drop("_key", "_range", "_before")
+    return joined.withColumn(name, (within + F.col("_before")).cast(kind)).drop("_key", "_range", "_before")

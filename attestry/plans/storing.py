@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.functions.identity import canonical_fingerprint, resolve_pointer, sha256
 from attestry.operators import delta, graph, rounds, validate
-from attestry.plans.bridge import messages, raw_chatgpt, table
+from attestry.plans.bridge import SOURCE, messages, raw_chatgpt, table
 from attestry.plans.registry import MESSAGES, query
 from attestry.plans.validation import tables
-from attestry.sources import exports, known, raw_store, sinks
+from attestry.sources import exports, known, lookup, raw_store, sinks
 
 
 def _payloads(spark, sf_dir):
@@ -164,3 +164,36 @@ def text_functions(spark, sf_dir):
         "doc_id", T.occurrences(F.col("text"), F.lit("the")).alias("occurrences"), sha256(T.replace_once(F.col("text"), F.lit("the"), F.lit("THE"))).alias("replaced"), T.fence(ticks).alias("fence"),
         T.labelled_line(label, "Event period").alias("period"), F.size(T.long_words(F.col("text"))).alias("long_words"),
     )
+
+
+#: The bridge's messages with their lines in SQL.
+LINES = f"""m as ({MESSAGES}), l as (select *, row_number() over (order by conversation, position, pointer)::bigint as line from m)"""
+
+
+def _records(spark, sf_dir):
+    """The bridge's messages as a published table of records with its lines."""
+    m = messages(spark, sf_dir)
+    provenance = F.struct(F.lit(SOURCE).alias("source_id"), F.lit("driver").alias("sha256"), F.col("pointer").alias("json_pointer"))
+    place = f"{rounds.new_place(spark)}/dataset"
+    sinks.publish_tables({"messages": m.select("record_id", provenance.alias("provenance"), "conversation", "node", "position", sha256(F.col("text")).alias("text_sha256"))}, place)
+    return f"{place}/messages"
+
+
+@query(f"with {LINES} select line, record_id from l")
+def record_lines(spark, sf_dir):
+    """Records numbered in the export's order."""
+    return spark.read.parquet(f"{_records(spark, sf_dir)}.lines")
+
+
+@query(f"""with {LINES}, n as (select count(*) as n from l), w as (select 1 as line union all select n // 2 from n union all select n from n)
+    select l.line, record_id, conversation, node, sha256(text) as text_sha256 from l join (select distinct line from w where line > 0) w using (line)""")
+def record_lookup(spark, sf_dir):
+    """The records of the first, the middle and the last line, each looked up by its number and again by its id; there are
+    none in an empty table."""
+    place = _records(spark, sf_dir)
+    n = spark.read.parquet(place).count()
+    found = spark.read.parquet(place).limit(0).withColumn("line", F.lit(0).cast("long"))
+    for line in sorted({1, n // 2, n} & set(range(1, n + 1))):
+        first = lookup.record(spark, place, line=line).first()
+        found = found.unionByName(lookup.record(spark, place, first["record_id"]).withColumn("line", F.lit(line).cast("long")))
+    return found.select("line", "record_id", "conversation", "node", "text_sha256")

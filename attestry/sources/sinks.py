@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.identity import table_print
-from attestry.sources import known
+from attestry.sources import known, lookup
 
 
 class PublishError(RuntimeError):
@@ -24,6 +24,7 @@ def publish_tables(tables: dict[str, DataFrame], target: str, check: Callable[[d
     """Writes tables as Parquet next to ``target``, checks them as they read back, and renames them in place.
 
     ``check`` gives rows of what is wrong; with any, or if the target exists, nothing is published and the stage is gone.
+    Tables of records are sorted by their ids and get their lines, so that one record is found without a scan.
     """
     spark = next(iter(tables.values())).sparkSession
     fs, place = _fs(spark, target)
@@ -34,7 +35,15 @@ def publish_tables(tables: dict[str, DataFrame], target: str, check: Callable[[d
     fs.delete(stage, True)
     try:
         for name, df in tables.items():
-            df.write.mode("errorifexists").parquet(f"{staging}/{name}")
+            at = f"{staging}/{name}"
+            if "record_id" not in df.columns:
+                df.write.mode("errorifexists").parquet(at)
+                continue
+            df.write.mode("errorifexists").parquet(f"{at}.unsorted")
+            lookup.write(spark.read.schema(df.schema).parquet(f"{at}.unsorted"), at, "record_id")
+            fs.delete(_fs(spark, f"{at}.unsorted")[1], True)
+            if "provenance" in df.columns:
+                lookup.write_lines(spark.read.schema(df.schema).parquet(at), f"{at}.lines")
         written = {name: spark.read.parquet(f"{staging}/{name}") for name in tables}
         wrong = check(written) if check else None
         if wrong is not None and not wrong.isEmpty():
