@@ -43,14 +43,16 @@ def _there(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def add(hashes: DataFrame, filters: str) -> None:
-    """Adds a filter of ``hashes`` (sha256). The more there are, the more blocks it has, so that it stays as sharp."""
+def add(hashes: DataFrame, filters: str) -> int:
+    """Adds a filter of ``hashes`` (sha256). The more there are, the more blocks it has, so that it stays as sharp. Returns
+    how many digits name a block."""
     n, digits = hashes.count(), 0
     while digits < MOST_DIGITS and n > 256 * 16**digits * PER_BLOCK:
         digits += 1
     bits = hashes.select(prefix().alias("prefix"), F.substring("sha256", 3, digits).alias("block"), F.explode(positions()).alias("bit"))
     made = bits.groupBy("prefix", "block").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("digits", F.lit(digits))
     made.select("digits", "block", "bits", "prefix").write.mode("append").partitionBy("prefix").parquet(filters)
+    return digits
 
 
 def maybe(hashes: DataFrame, filters: str) -> DataFrame:

@@ -66,11 +66,14 @@ def append_blobs(blobs: DataFrame, path: str, had: DataFrame | None = None) -> i
     wrong = F.raise_error(F.lit("a blob's hash isn't that of its content")).cast("binary")
     proved = new.withColumn("content", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(wrong))
     seen = Observation()
-    written = proved.withColumn("prefix", known.prefix()).observe(seen, F.count("*").alias("n"))
     # before the blobs: a filter may have too much, never too little
-    known.add(new.select("sha256"), known.filters_of(path))
+    digits = known.add(new.select("sha256"), known.filters_of(path))
+    # by prefix and block, or each task would write a file into each of the 256 folders
+    dealt = proved.withColumn("prefix", known.prefix()).repartition("prefix", F.substring("sha256", 3, digits))
+    # counted above the exchange: an empty one would leave nothing below it to count
+    dealt = dealt.observe(seen, F.count("*").alias("n"))
     try:
-        written.write.mode("append").partitionBy("prefix").parquet(path)
+        dealt.write.mode("append").partitionBy("prefix").parquet(path)
     except Exception as e:
         if "hash isn't that of its content" in str(e):
             raise PublishError("a blob's hash isn't that of its content") from e
