@@ -45,6 +45,17 @@ def written(rows: DataFrame, *done: DataFrame) -> DataFrame:
     return out
 
 
+class Once(dict):
+    """Tables by name; each is written when it is first asked for and read from there after that."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        table = super().__getitem__(name)
+        if not hasattr(table, "_round_place"):
+            table = written(table)
+            self[name] = table
+        return table
+
+
 def _remove(spark: SparkSession, place: str) -> None:
     if spark.sparkContext._jsc is None:
         return

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.batches import slices
 from attestry.functions.identity import strict_json
 
 #: Kinds of content that stand for an assistant's inner work.
@@ -55,7 +56,7 @@ def units(messages: DataFrame, segments: DataFrame) -> DataFrame:
     joined = messages.select(F.col("record_id").alias("message_record_id"), "provider", "role", "content_kind", "raw", F.col("provenance.json_pointer").alias("at")).join(own, "message_record_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
                 listed = [(s["i"], s["json_pointer"], s["kind"], s["text"]) for s in r["own"] or []]

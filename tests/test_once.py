@@ -1,0 +1,47 @@
+"""What several steps of a query read is made once; texts in Python are bounded by bytes."""
+
+import os
+
+import pyarrow as pa
+import pytest
+
+from attestry.functions.batches import slices
+from attestry.plans import reviewing
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+
+
+def counted(spark, df):
+    """``df`` and a counter of the rows that any job makes of it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def made_by(spark, monkeypatch, module, name):
+    """Conversations of the export, and how many a query makes of it until it is collected."""
+    raw, made = counted(spark, module.raw_chatgpt(spark, SF))
+    monkeypatch.setattr(module, "raw_chatgpt", lambda *_: raw)
+    getattr(module, name)(spark, SF).collect()
+    return made.value
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["packet_view"])
+def test_a_run_makes_its_export_once(spark, monkeypatch, name):
+    assert made_by(spark, monkeypatch, reviewing, name) == 20
+
+
+def test_slices_bound_the_bytes_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) * 1000 for i in range(5000)]), pa.array(range(5000))], names=["text", "n"])
+    got = list(slices([batch, batch.slice(0, 0), batch.slice(10, 1)], 100_000))
+    assert len(got) > 100 and [n for b in got for n in b.column(1).to_pylist()] == [*range(5000), 10]
+    assert max(sum(map(len, b.column(0).to_pylist())) for b in got) < 200_000
+    # a row over the bound is still one slice
+    assert [b.num_rows for b in slices([pa.RecordBatch.from_arrays([pa.array(["x" * 500, "y" * 500])], names=["t"])], 10)] == [1, 1]
