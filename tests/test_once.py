@@ -33,7 +33,7 @@ def made_by(spark, monkeypatch, module, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["packet_view"])
+@pytest.mark.parametrize("name", ["packet_view", "packet_requests"])
 def test_a_run_makes_its_export_once(spark, monkeypatch, name):
     assert made_by(spark, monkeypatch, reviewing, name) == 20
 
