@@ -6,7 +6,7 @@ tables with census(), the source read anew, and with what was frozen when they w
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from attestry.functions.identity import IMPORTER_VERSION, SCHEMA_VERSION, record
 from attestry.functions.text import timestamp_state
 from attestry.operators.census import json_key
 from attestry.operators.graph import branch_points, cycle_members, dangling_parents, link_mismatches
-from attestry.operators.rounds import written
+from attestry.operators.rounds import Once, written
 
 #: Codes that tell what to know about a valid dataset; all others are errors.
 WARNINGS = ("unknown_role", "unknown_content", "unknown_multimodal_content", "unknown_part", "missing_child_lists", "attachment_gaps", "repeated_message_ids", "missing_creation_times")
@@ -107,17 +107,6 @@ def broken(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFram
     return rows.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.code", "f.record_id", "f.detail")
 
 
-class _Once(dict):
-    """Tables by name; each is written when it is first asked for and read from there after that."""
-
-    def __getitem__(self, name: str) -> DataFrame:
-        table = super().__getitem__(name)
-        if not hasattr(table, "_round_place"):
-            table = written(table)
-            self[name] = table
-        return table
-
-
 class Dataset:
     """Derived tables (normalize.Tables' names) next to the source they came from: ``raw`` are rows of
     exports.conversations(), ``sources`` rows of exports.inventory(); ``files`` and ``roots`` say what attachment roots
@@ -128,12 +117,20 @@ class Dataset:
     of the records with the source, their conversation or message and their segments."""
 
     def __init__(self, tables: dict[str, DataFrame], raw: DataFrame, sources: DataFrame, census: DataFrame, expected: dict[str, int] | None = None, frozen: dict[str, dict] | None = None, roots: DataFrame | None = None, files: DataFrame | None = None, manifest: dict | None = None):
-        self.t, self.raw, self.sources = _Once(tables), raw, sources
-        self.census = written(census)
+        self.t, self.raw, self.sources = Once(tables), raw, sources
+        self._census = census
         self.expected, self.frozen, self.roots, self.files, self.manifest = expected or {}, frozen or {}, roots, files, manifest or {}
+
+    @cached_property
+    def census(self) -> DataFrame:
+        """The source read anew, written when a rule first asks for it."""
+        return written(self._census)
+
+    @cached_property
+    def source(self) -> dict[str, DataFrame]:
         at = F.struct(F.col("source_id").alias("s"), F.col("json_pointer").alias("p"))
         own = self.census.withColumn("at", at)
-        self.source = {kind: own.where(F.col("kind") == kind).select("at", "values", "provider", "sha256", F.col("conversation_pointer").alias("c_at"), F.col("message_pointer").alias("m_at")) for kind in (*KINDS, "node", "segment", "warning", "refused")}
+        return {kind: own.where(F.col("kind") == kind).select("at", "values", "provider", "sha256", F.col("conversation_pointer").alias("c_at"), F.col("message_pointer").alias("m_at")) for kind in (*KINDS, "node", "segment", "warning", "refused")}
 
     def records(self, kind: str) -> DataFrame:
         return self.t[f"{kind}s"].withColumn("at", F.struct(F.col("provenance.source_id").alias("s"), F.col("provenance.json_pointer").alias("p")))

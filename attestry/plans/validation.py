@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import normalize, validate
 from attestry.operators.census import census
+from attestry.operators.rounds import Once, written
 from attestry.plans.bridge import CLAUDE_ROOT, SOURCE, raw_chatgpt, raw_claude
 from attestry.plans.registry import MESSAGES, query
 
@@ -36,9 +37,10 @@ def at(name: str):
     return F.regexp_extract("provenance.json_pointer", place, 1).cast("long")
 
 
-def dataset(spark: SparkSession, sf_dir: str, change=None, **more) -> validate.Dataset:
-    raw = raw_chatgpt(spark, sf_dir)
-    own = tables(raw)
+def dataset(spark: SparkSession, sf_dir: str, change=None, raw=None, own=None, **more) -> validate.Dataset:
+    """``raw``, ``own``: the export and its tables before ``change``, if the caller has them."""
+    raw = written(raw_chatgpt(spark, sf_dir)) if raw is None else raw
+    own = own or tables(raw)
     return validate.Dataset({**own, **(change(own) if change else {})}, raw, more.pop("sources", sources(spark)), census(raw), **more)
 
 
@@ -230,9 +232,10 @@ def validation_warnings(spark, sf_dir):
 @query(f"""with {M} select 'clean_hash_mismatch' as code, 'messages' as record_id, null as detail union all select 'file_count', 'messages', (count(*) - count(*) filter (where node = 1)) || '/' || count(*) from m having count(*) filter (where node = 1) > 0""")
 def validation_files(spark, sf_dir):
     """Frozen prints and counts against tables of which one lost rows afterwards."""
-    own = tables(raw_chatgpt(spark, sf_dir))
+    raw = written(raw_chatgpt(spark, sf_dir))
+    own = Once(tables(raw))
     frozen = {k: {"records": own[k].count(), "print": validate.table_print(own[k])} for k in ("conversations", "messages")}
-    return dataset(spark, sf_dir, lambda t: {"messages": t["messages"].where(at("node") != 1)}, frozen=frozen).integrity()
+    return dataset(spark, sf_dir, lambda t: {"messages": t["messages"].where(at("node") != 1)}, raw, own, frozen=frozen).integrity()
 
 
 @query(f"""with {M}, r as (select 'validation_exception' as code, 'chatgpt:driver|/' || conversation as record_id, case conversation % 3 when 0 then 'missing_id' else 'mapping_missing' end as detail from cs where conversation % 3 <> 2) select * from r""")
@@ -240,7 +243,7 @@ def validation_refused(spark, sf_dir):
     """Conversations without an id, or whose mapping is a list, are named and not guessed at."""
     raw = raw_chatgpt(spark, sf_dir)
     broken = F.when(F.col("index") % 3 == 0, F.regexp_replace("conversation", '^\\{"id":"c[0-9]*"', '{"id":""')).when(F.col("index") % 3 == 1, F.lit('{"id":"x","mapping":[]}')).otherwise(F.col("conversation"))
-    raw = raw.withColumn("conversation", broken)
+    raw = written(raw.withColumn("conversation", broken))
     return validate.Dataset(tables(raw), raw, sources(spark), census(raw)).refused()
 
 
@@ -256,8 +259,8 @@ def validation_refused(spark, sf_dir):
         union all select unnest(['source_payloads', 'source_locations', 'duplicate_locations']), 'all', unnest([1, 1, 0]))
     select statistic, value, n::bigint as n from s""")
 def import_statistics(spark, sf_dir):
-    raw = raw_chatgpt(spark, sf_dir)
-    return validate.statistics(tables(raw), census(raw), sources(spark))
+    raw = written(raw_chatgpt(spark, sf_dir))
+    return validate.statistics(Once(tables(raw)), written(census(raw)), sources(spark))
 
 
 @query(f"""with {M} select record_id, 'chatgpt' as provider, '1.0' as schema_version, '0.1.1' as importer_version, 'chatgpt:driver' as source_id, pointer as json_pointer, case when node % 4 = 1 then 'multimodal_text' else 'text' end as content_kind,

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from attestry.functions.batches import slices
-from attestry.plans import reviewing
+from attestry.plans import reviewing, validation
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -33,11 +33,17 @@ def made_by(spark, monkeypatch, module, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["packet_view", "packet_requests"])
+@pytest.mark.parametrize("name", ["packet_view", "packet_requests", "first_pending"])
 def test_a_run_makes_its_export_once(spark, monkeypatch, name):
     assert made_by(spark, monkeypatch, reviewing, name) == 20
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["validation_files", "validation_messages", "import_statistics"])
+def test_a_validation_makes_its_export_once(spark, monkeypatch, name):
+    assert made_by(spark, monkeypatch, validation, name) == 20
+
+
 def test_slices_bound_the_bytes_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array([str(i) * 1000 for i in range(5000)]), pa.array(range(5000))], names=["text", "n"])
     got = list(slices([batch, batch.slice(0, 0), batch.slice(10, 1)], 100_000))
