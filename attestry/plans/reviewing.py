@@ -102,9 +102,9 @@ def packet_requests(spark, sf_dir):
 @query(f"""with recursive {RUN} select min(packet_id) as packet_id from r where rank > 3""")
 def first_pending(spark, sf_dir):
     """The first packet with something left, where the first three conversations are covered."""
-    pieces = _run(spark, sf_dir)[0].pieces
-    covered = pieces.where("rank <= 3").select("piece_id")
-    left = review.pending_packets(pieces.withColumn("packet", F.struct("rank", "packet", "packet_id")), covered)
+    pieces = written(_run(spark, sf_dir)[0].pieces.select(F.struct("rank", "packet", "packet_id").alias("packet"), "piece_id"))
+    covered = pieces.where("packet.rank <= 3").select("piece_id")
+    left = review.pending_packets(pieces, covered)
     return left.agg(F.min("packet").alias("p")).select("p.packet_id")
 
 
