@@ -2,10 +2,13 @@
 
 Everything is a projection of JSON text in the JVM: objects as string maps that keep key order, arrays exploded with
 their positions as variants, so that a value's type can be told. Unknown content stays in ``raw`` and gives a warning.
+The tables share what the export's text is parsed into; who reads several of them says how it is kept (``rounds.written``),
+so that it is parsed once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,14 @@ CLAUDE_KINDS = ("text", "thinking", "tool_use", "tool_result", "token_budget", "
 CLAUDE_ROOT = "00000000-0000-4000-8000-000000000000"
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def anew(rows: DataFrame) -> DataFrame:
+    """Keeps nothing: every table parses the export for itself."""
+    return rows
+
+
 @dataclass
 class Tables:
     conversations: DataFrame
@@ -118,25 +129,31 @@ def _conversations(raw: DataFrame, ids: list[str], items: str, fields: dict[str,
     return good, refused
 
 
-def chatgpt(raw: DataFrame) -> Tables:
-    """``raw``: rows of sources.exports.conversations() of the provider chatgpt."""
+def chatgpt(raw: DataFrame, keep: Keep = anew) -> Tables:
+    """``raw``: rows of sources.exports.conversations() of the provider chatgpt. ``keep`` gets the parsed conversations and
+    the parsed nodes, which all tables but the refused are made of."""
     convs, refused = _conversations(raw, ["id", "conversation_id"], "mapping", {"title": "title", "created_at_raw": "create_time", "updated_at_raw": "update_time", "current_node_id": "current_node"})
-    base = convs.select(*SOURCE, F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("conversation_original_id"), "pointer", F.posexplode(F.map_entries(_object(F.col("_c")["mapping"]))).alias("position", "_n"))
+    told = [*dict.fromkeys([*SOURCE, *ENVELOPE]), "original_id", "pointer", "title", "created_at_raw", "updated_at_raw", "current_node_id", "raw_metadata"]
+    convs = keep(convs.select(*told, F.col("_c")["mapping"].alias("_mapping")))
+    base = convs.select(*SOURCE, F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("conversation_original_id"), "pointer", F.posexplode(F.map_entries(_object(F.col("_mapping")))).alias("position", "_n"))
     fields = F.to_json(F.map_filter(F.from_json(F.col("_n.value"), TYPED), lambda k, _: k != "message"))
     node = base.withColumn("node_id", F.col("_n.key")).withColumn("_o", _object(F.col("_n.value"))).withColumn("_fields", fields).drop("_n")
     node = node.withColumn("raw", F.col("_o")["message"]).withColumn("pointer", F.concat("pointer", F.lit("/mapping/"), pointer_token(F.col("node_id")), F.lit("/message")))
     node = node.withColumn("message_record_id", F.when(F.col("raw").isNotNull(), record_id("message", F.col("source_id"), F.col("pointer"))))
-    nodes = node.select("conversation_record_id", "node_id", F.col("_o")["parent"].alias("parent_id"), F.from_json(F.col("_o")["children"], "array<string>").alias("children_ids"), "message_record_id", "position", F.col("_fields").alias("node_fields"))
-    m = node.where("raw is not null").withColumn("_m", _object(F.col("raw"))).withColumn("_content", _object(F.col("_m")["content"]))
-    role = _object(F.col("_m")["author"])["role"]
-    m = m.withColumns({"content_kind": F.col("_content")["content_type"], "role_raw": role})
+    node = node.withColumn("_m", _object(F.col("raw"))).withColumn("_content", _object(F.col("_m")["content"]))
+    node = keep(node.select(
+        *SOURCE, "conversation_record_id", "conversation_original_id", "pointer", "position", "node_id", F.col("_o")["parent"].alias("parent_id"), F.from_json(F.col("_o")["children"], "array<string>").alias("children_ids"),
+        F.col("_fields").alias("node_fields"), "message_record_id", "raw", F.col("_m")["id"].alias("original_id"), _object(F.col("_m")["author"])["role"].alias("role_raw"), F.col("_m")["create_time"].alias("created_at_raw"),
+        F.col("_m")["update_time"].alias("updated_at_raw"), F.col("_content")["content_type"].alias("content_kind"), F.col("_content")["parts"].alias("_parts"), _object(F.col("_m")["metadata"])["attachments"].alias("_listed"),
+    ))
+    nodes = node.select("conversation_record_id", "node_id", "parent_id", "children_ids", "message_record_id", "position", "node_fields")
+    m = node.where("raw is not null")
     messages = _wrap(m, "message", F.col("pointer")).select(
-        *ENVELOPE, "conversation_record_id", "conversation_original_id", F.col("_m")["id"].alias("original_id"), "node_id", F.col("_o")["parent"].alias("parent_id"), "position",
-        role_of("chatgpt", F.col("role_raw")).alias("role"), "role_raw",
-        F.col("_m")["create_time"].alias("created_at_raw"), F.col("_m")["update_time"].alias("updated_at_raw"), "content_kind", "raw",
+        *ENVELOPE, "conversation_record_id", "conversation_original_id", "original_id", "node_id", "parent_id", "position",
+        role_of("chatgpt", F.col("role_raw")).alias("role"), "role_raw", "created_at_raw", "updated_at_raw", "content_kind", "raw",
     )
-    keep = [*SOURCE, "conversation_record_id", "message_record_id", "pointer"]
-    parts = _items(m.where(F.col("content_kind").isin("text", "multimodal_text")), F.col("_content")["parts"], keep).withColumn("pointer", F.concat("pointer", F.lit("/content/parts/"), F.col("pos").cast("string")))
+    keys = [*SOURCE, "conversation_record_id", "message_record_id", "pointer"]
+    parts = _items(m.where(F.col("content_kind").isin("text", "multimodal_text")), F.col("_parts"), keys).withColumn("pointer", F.concat("pointer", F.lit("/content/parts/"), F.col("pos").cast("string")))
     parts = parts.withColumn("part_kind", F.when(_is(F.col("value"), "OBJECT"), _text(F.col("value"), "$.content_type")))
     spoken = F.coalesce((F.col("part_kind") == "audio_transcription") & F.try_variant_get("value", "$.text", "string").isNotNull(), F.lit(False))
     plain, others = parts.where(_is(F.col("value"), "STRING")), parts.where(_is(F.col("value"), "OBJECT"))
@@ -144,7 +161,7 @@ def chatgpt(raw: DataFrame) -> Tables:
         others.where(spoken).select("message_record_id", F.lit(0).alias("rank"), "pos", F.concat("pointer", F.lit("/text")).alias("pointer"), _text(F.col("value"), "$.text").alias("text"), F.lit("transcription_text").alias("kind"))
     )
     media = others.where(~spoken)
-    listed = _items(m, _object(F.col("_m")["metadata"])["attachments"], keep).withColumn("pointer", F.concat("pointer", F.lit("/metadata/attachments/"), F.col("pos").cast("string")))
+    listed = _items(m, F.col("_listed"), keys).withColumn("pointer", F.concat("pointer", F.lit("/metadata/attachments/"), F.col("pos").cast("string")))
     attachments = _attachments(media, F.lit("multimodal_reference")).unionByName(_attachments(listed, F.lit("attachment")))
     known = F.coalesce(F.col("content_kind").isin(*CHATGPT_KINDS), F.lit(False))
     warnings = (
@@ -157,26 +174,27 @@ def chatgpt(raw: DataFrame) -> Tables:
     return Tables(conversations, nodes, messages, _segments(segments), attachments, warnings, refused)
 
 
-def claude(raw: DataFrame) -> Tables:
-    """``raw``: rows of sources.exports.conversations() of the provider claude."""
+def claude(raw: DataFrame, keep: Keep = anew) -> Tables:
+    """``raw``: rows of sources.exports.conversations() of the provider claude. ``keep`` gets the parsed messages;
+    the conversations' own columns are parsed apart."""
     convs, refused = _conversations(raw, ["uuid"], "chat_messages", {"title": "name", "created_at_raw": "created_at", "updated_at_raw": "updated_at"})
     base = convs.select(*SOURCE, F.col("record_id").alias("conversation_record_id"), F.col("original_id").alias("conversation_original_id"), "pointer", F.col("_c")["chat_messages"].alias("_list"))
     m = _items(base, F.col("_list"), [*SOURCE, "conversation_record_id", "conversation_original_id", "pointer"])
     # the element's own text keeps what the export wrote; a variant's order of keys is its own
     m = m.withColumn("pointer", F.concat("pointer", F.lit("/chat_messages/"), F.col("pos").cast("string"))).withColumn("_m", _object(F.col("element")))
-    m = m.withColumn("message_record_id", record_id("message", F.col("source_id"), F.col("pointer"))).withColumnRenamed("pos", "position")
+    m = keep(m.withColumn("message_record_id", record_id("message", F.col("source_id"), F.col("pointer"))).withColumnRenamed("pos", "position"))
     role = role_of("claude", F.col("_m")["sender"])
     messages = _wrap(m, "message", F.col("pointer")).select(
         *ENVELOPE, "conversation_record_id", "conversation_original_id", F.col("_m")["uuid"].alias("original_id"), F.col("_m")["uuid"].alias("node_id"), F.col("_m")["parent_message_uuid"].alias("parent_id"), "position",
         role.alias("role"), F.col("_m")["sender"].alias("role_raw"), F.col("_m")["created_at"].alias("created_at_raw"), F.col("_m")["updated_at"].alias("updated_at_raw"), F.lit("blocks").alias("content_kind"), F.col("element").alias("raw"),
     )
-    keep = [*SOURCE, "conversation_record_id", "message_record_id", "pointer"]
+    keys = [*SOURCE, "conversation_record_id", "message_record_id", "pointer"]
     own = m.where(F.try_variant_get("value", "$.text", "string").isNotNull()).select("message_record_id", F.lit(0).alias("rank"), F.lit(0).alias("pos"), F.concat("pointer", F.lit("/text")).alias("pointer"), _text(F.col("value"), "$.text").alias("text"), F.lit("text").alias("kind"))
-    blocks = _items(m, F.col("_m")["content"], keep).withColumn("pointer", F.concat("pointer", F.lit("/content/"), F.col("pos").cast("string"))).withColumn("block", F.when(_is(F.col("value"), "OBJECT"), _text(F.col("value"), "$.type")))
+    blocks = _items(m, F.col("_m")["content"], keys).withColumn("pointer", F.concat("pointer", F.lit("/content/"), F.col("pos").cast("string"))).withColumn("block", F.when(_is(F.col("value"), "OBJECT"), _text(F.col("value"), "$.type")))
     text = blocks.where("block = 'text'").where(_text(F.col("value"), "$.text").isNotNull()).select("message_record_id", F.lit(1).alias("rank"), "pos", F.concat("pointer", F.lit("/text")).alias("pointer"), _text(F.col("value"), "$.text").alias("text"), F.lit("text").alias("kind"))
     refs = None
     for rank, (field, kind) in enumerate((("attachments", "attachment"), ("files", "file_reference")), 2):
-        some = _items(m, F.col("_m")[field], keep).withColumn("pointer", F.concat("pointer", F.lit(f"/{field}/"), F.col("pos").cast("string"))).withColumn("_kind", F.lit(kind)).withColumn("rank", F.lit(rank))
+        some = _items(m, F.col("_m")[field], keys).withColumn("pointer", F.concat("pointer", F.lit(f"/{field}/"), F.col("pos").cast("string"))).withColumn("_kind", F.lit(kind)).withColumn("rank", F.lit(rank))
         refs = some if refs is None else refs.unionByName(some)
     extracted = refs.where(_is(F.col("value"), "OBJECT")).withColumn("text", _text(F.col("value"), "$.extracted_content")).where("text is not null")
     extracted = extracted.select("message_record_id", "rank", "pos", F.concat("pointer", F.lit("/extracted_content")).alias("pointer"), "text", F.lit("attachment_text").alias("kind"))
@@ -191,13 +209,13 @@ def claude(raw: DataFrame) -> Tables:
     return Tables(conversations, nodes, messages, _segments(own.unionByName(text).unionByName(extracted)), attachments, warnings, refused)
 
 
-#: Provider -> adapter; an adapter for another provider can be added.
+#: Provider -> adapter (of the export and of how parsed rows are kept); an adapter for another provider can be added.
 ADAPTERS = {"chatgpt": chatgpt, "claude": claude}
 
 
-def normalize(raw: DataFrame) -> Tables:
+def normalize(raw: DataFrame, keep: Keep = anew) -> Tables:
     """All providers' tables in one."""
-    tables = [adapter(raw.where(F.col("provider") == name)) for name, adapter in ADAPTERS.items()]
+    tables = [adapter(raw.where(F.col("provider") == name), keep) for name, adapter in ADAPTERS.items()]
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)

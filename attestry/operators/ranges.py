@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ def range_of(rows: DataFrame, key: str, parts: int | None = None) -> Column:
         return F.lit(0)
     fields = rows.schema[key].dataType.fields
     literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields, strict=True)]) for b in bounds]
-    return F.size(F.filter(F.array(*literals), lambda b: b <= F.col(key)))
+    # every wide-th bound first, then those behind the last of them that the key has passed
+    wide = math.isqrt(len(literals) - 1) + 1
+    passed = lambda some: F.size(F.filter(some, lambda b: b <= F.col(key)))
+    full = passed(F.array(*literals[wide - 1 :: wide])) * wide
+    return full + passed(F.slice(F.array(*literals), full + 1, wide))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, kind: str = "int") -> DataFrame:

@@ -66,8 +66,8 @@ def prepare(tables: dict[str, DataFrame], chosen: DataFrame, max_chars: int = MA
     nodes = tables["nodes"].join(ranked.select(F.col("record_id").alias("conversation_record_id"), "rank"), "conversation_record_id")
     tree = nodes.select(F.col("conversation_record_id").alias("conversation"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "position", "message_record_id", "rank")
     ordered = written(graph.tree_order(tree).where("message_record_id is not null").select("conversation", "rank", "order", "message_record_id"))
-    said = tables["messages"].join(ordered.select(F.col("message_record_id").alias("record_id")), "record_id", "left_semi")
-    own = units(said, tables["segments"].join(ordered, "message_record_id", "left_semi")).join(ordered, "message_record_id").join(said.select(F.col("record_id").alias("message_record_id"), "role"), "message_record_id")
+    said = tables["messages"].join(ordered.withColumnRenamed("message_record_id", "record_id"), "record_id")
+    own = units(said, tables["segments"].join(ordered, "message_record_id", "left_semi"), ["conversation", "rank", "order", "role"])
     empty = ranked.where("message_count = 0").select(
         F.lit(None).cast("string").alias("message_record_id"), F.lit(0).alias("unit"), F.lit(-1).alias("segment_index"), F.col("provenance.json_pointer").alias("json_pointer"), F.lit("empty_conversation").alias("kind"),
         F.lit("").alias("text"), F.col("record_id").alias("conversation"), "rank", F.lit(0).alias("order"), F.lit(None).cast("string").alias("role"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.functions.batches import slices
 from attestry.functions.identity import strict_json
@@ -49,21 +50,29 @@ def units_of(provider: str, role: str, kind: str | None, raw: str, pointer: str,
     return [*segments, *placeholders(provider, role, kind, content, at)] or [(-1, at, UNPROJECTED, shown(content))]
 
 
-def units(messages: DataFrame, segments: DataFrame) -> DataFrame:
+def units(messages: DataFrame, segments: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Rows (message_record_id, unit, segment_index, json_pointer, kind, text): ``unit`` orders a message's units from 0.
-    Both are normalize's tables; a message without segments still has a unit."""
+    Both are normalize's tables; a message without segments still has a unit. ``more`` names columns of the messages that
+    their units have, too, so that no join has to bring them to the texts."""
     own = segments.groupBy("message_record_id").agg(F.array_sort(F.collect_list(F.struct(F.col("segment_index").cast("int").alias("i"), "json_pointer", "kind", "text"))).alias("own"))
-    joined = messages.select(F.col("record_id").alias("message_record_id"), "provider", "role", "content_kind", "raw", F.col("provenance.json_pointer").alias("at")).join(own, "message_record_id", "left")
+    read = ["provider", "role", "content_kind", "raw", "at", "own"]
+    along = [c for c in more if c not in read]
+    joined = messages.withColumns({"message_record_id": F.col("record_id"), "at": F.col("provenance.json_pointer")}).select("message_record_id", *read[:-1], *along).join(own, "message_record_id", "left")
+    kinds = {"unit": pa.int32(), "segment_index": pa.int32(), "json_pointer": pa.string(), "kind": pa.string(), "text": pa.string()}
+    made = StructType.fromDDL("unit int, segment_index int, json_pointer string, kind string, text string")
+    kept = ["message_record_id", *more]
+    out = StructType([*[joined.schema[c] for c in kept], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for r in batch.to_pylist():
+            rows, of = [], []
+            for n, r in enumerate(batch.select(read).to_pylist()):
                 listed = [(s["i"], s["json_pointer"], s["kind"], s["text"]) for s in r["own"] or []]
                 found = units_of(r["provider"], r["role"], r["content_kind"], r["raw"], r["at"], listed)
-                rows += [(r["message_record_id"], i, *u) for i, u in enumerate(found)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["message_record_id", "unit", "segment_index", "json_pointer", "kind", "text"])
+                rows += [(i, *u) for i, u in enumerate(found)]
+                of += [n] * len(found)
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            theirs = batch.select(kept).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*theirs.columns, *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], names=[*kept, *kinds])
 
-    return joined.select("message_record_id", "provider", "role", "content_kind", "raw", "at", "own").mapInArrow(run, "message_record_id string, unit int, segment_index int, json_pointer string, kind string, text string")
+    return joined.mapInArrow(run, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.functions.identity import sha256
 from attestry.operators import decisions, documents, normalize, packets, review, runs, writer
-from attestry.operators.rounds import Once, written
+from attestry.operators.rounds import written
 from attestry.operators.units import units
 from attestry.plans.bridge import messages, raw_chatgpt, raw_claude, table
 from attestry.plans.registry import MESSAGES, ORDERED, query
@@ -71,7 +71,9 @@ RUN = f"""{ORDERED},
 
 
 def _run(spark, sf_dir) -> tuple[runs.Prepared, dict]:
-    t = Once(tables(written(raw_chatgpt(spark, sf_dir))))
+    # nodes, messages, segments and attachments are projections of the parsed nodes, each read once; conversations aren't
+    t = tables(written(raw_chatgpt(spark, sf_dir)), written)
+    t["conversations"] = written(t["conversations"])
     return runs.prepare(t, t["conversations"], 400), t
 
 

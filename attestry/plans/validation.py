@@ -22,8 +22,8 @@ A = f"""a as (select conversation, node, {A_ID} as a_id, 'attachment' as kind, '
     union all select conversation, node, {I_ID}, 'multimodal_reference', 'p.png', null from m where node % 4 = 1)"""
 
 
-def tables(raw: DataFrame) -> dict[str, DataFrame]:
-    t = normalize.normalize(raw)
+def tables(raw: DataFrame, keep: normalize.Keep = normalize.anew) -> dict[str, DataFrame]:
+    t = normalize.normalize(raw, keep)
     return {k: getattr(t, k) for k in ("conversations", "nodes", "messages", "segments", "attachments", "warnings")}
 
 
