@@ -9,7 +9,9 @@ First the points alone, without the sets, cut loose clusters into those whose bo
 their clusters' tasks. A tree needs its points in one place. Documents come together by an exact filter: two sets of similarity t differ in
 at most (|A| + |B|) * (1 - t) / (1 + t) shingles, so among one group more than that at least one group of shingles is
 equal in both. A document emits the hash of each of its groups (about 1/9 as many as shingles at t = 0.9); documents
-that share one are joined to a star, the stars' components are the clusters, and each cluster gets its trees. A large
+that share one are joined to a star, the stars' components are the clusters, and each cluster gets its trees. Groups of
+shingles that very many documents have (a license line, a common passage) would join unrelated documents, and the more of
+them the larger the table; a document emits none of those while enough others are left. A large
 cluster is divided by size band and hash into blocks of bounded size, and each pair of blocks that sizes allow is a
 task of its own, so no cluster has to fit into one task. Equal sets are one vertex from the start, and each task
 returns a spanning forest of its links, never all pairs.
@@ -35,6 +37,12 @@ BLOCK = 2_000_000
 BAND = 1.25
 #: Divisions that are tried; each fails for few sets.
 LEVELS = 64
+#: The first divisions leave out groups of common shingles alone, as many further ones those of very common ones alone.
+TRIES = 2
+#: Shingles that a task counts at a time, and in how many of these counts one that is common comes up twice at least.
+COUNTED, COMMON = 2_000_000, 4
+#: Common shingles that are told to all tasks; which ones they are decides on clusters, never on links.
+MOST_COMMON = 500_000
 MASK = (1 << 64) - 1
 
 
@@ -80,12 +88,22 @@ def plan_of_band(b: int, num: int, den: int, ratio: float) -> tuple[int, int, in
     return least, differ, min(groups, 2 * top + 1)
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+def commonness(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each shingle its rank, 0 if it isn't common. ``common`` is sorted."""
+    if not len(common):
+        return np.zeros(len(shingles), dtype=np.int8)
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return np.where(common[at] == shingles, rank[at], 0).astype(np.int8)
+
+
+def signatures(shingles: np.ndarray, num: int, den: int, rank: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the groups of a set, divided for its own band and, if it may link with sets of the next one, for that.
 
     Linked sets lie in one band or in neighbouring ones, since a band's ratio is den / num at least. Of two linked sets
-    divided alike, groups - differ groups at least are equal. Where all those are empty, both sets have that many empty
-    groups, and both take another division in turn, so one of their signatures is equal in any case.
+    divided alike, groups - differ groups at least are equal. A division leaves out empty groups and, by ``rank`` of
+    the shingles, those of common ones alone: what equal groups hold is left out in both sets or in none. Where all the
+    equal groups are left out, both sets leave out that many, and both take another division in turn; the later ones
+    leave out empty groups alone. So one of their signatures is equal in any case.
     """
     n = len(shingles)
     ratio = max(BAND, den / num)
@@ -100,7 +118,8 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             which = (((spread >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(g, dtype=np.uint64)
             np.add.at(total, which, spread | np.uint64(1))
-            used = np.flatnonzero(np.bincount(which, minlength=g))
+            telling = which if rank is None or level >= 2 * TRIES else which[rank <= level // TRIES]
+            used = np.flatnonzero(np.bincount(telling, minlength=g))
             label = used.astype(np.uint64) + np.uint64((b << 40) + (level << 34))
             out.append(textscan.mix(total[used] + textscan.mix(label)))
             if g - len(used) < g - differ:
@@ -257,6 +276,25 @@ def _names(shingles: np.ndarray) -> tuple[bytes | None, int | None]:
     return one.tobytes() + two.tobytes(), int(one.view(np.int64)[0])
 
 
+def _doubled(held: list[np.ndarray]) -> np.ndarray:
+    """The shingles that two or more of the sets have, sorted."""
+    every = np.sort(np.concatenate(held))
+    return np.unique(every[1:][every[1:] == every[:-1]])
+
+
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that came up twice in COMMON counts (rows with an array ``doubled``) or more, sorted, and their rank: 2 if
+    in a quarter of all counts, else 1. Of more than MOST_COMMON those that came up most."""
+    total = counts.count()
+    if total < COMMON:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8)
+    often = counts.select(F.explode("doubled").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = often.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], np.where(4 * n[order] >= total, 2, 1).astype(np.int8)
+
+
 def _signed(held: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
     """Rows (sig, node) of some sets. Of sets that share a signature only the first is dealt out by it; each other one goes
     with the first under a signature of their own, once for all that the two share. So a signature that a large part of
@@ -356,13 +394,36 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     kind = dict(docs.select(F.col(id_col).alias("doc")).dtypes)["doc"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "key", "size", "vertex", "node", "counts", "doubled"]
+        # each distinct set is counted once, so copies of one text don't make it common
+        held: dict[bytes, np.ndarray] = {}
+        many = 0
+        doc = None
+
+        def counted() -> pa.RecordBatch:
+            twice = _doubled(list(held.values())).view(np.int64)
+            told = pa.ListArray.from_arrays(pa.array([0, len(twice)], pa.int32()), pa.array(twice))
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in (doc, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())], told], names=names)
+
         for batch in batches:
-            found = [(len(s), *_names(s), point(s).tobytes()) for _, s in shingle_sets(batch.column(1).to_pylist(), n)]
-            size, vertex, node, counts = zip(*found, strict=True) if found else ((), (), (), ())
+            found = []
+            doc = batch.column(0).type
+            for _, s in shingle_sets(batch.column(1).to_pylist(), n):
+                vertex, node = _names(s)
+                found.append((len(s), vertex, node, point(s).tobytes()))
+                if vertex is not None and vertex not in held:
+                    held[vertex] = s
+                    many += len(s)
+                    if many >= COUNTED or len(held) >= 200_000:
+                        yield counted()
+                        held, many = {}, 0
+            size, vertices, nodes, counts = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertex, pa.binary()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())],
-                names=["doc", "key", "size", "vertex", "node", "counts"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(vertices, pa.binary()), pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))],
+                names=names,
             )
+        if held:
+            yield counted()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -375,7 +436,7 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(vertex)
-                    held.append(signatures(s, num, den))
+                    held.append(signatures(s, num, den, commonness(s, *common)))
                     nodes.append(node)
                 if len(held) >= 2000:
                     yield _signed(held, nodes)
@@ -384,7 +445,9 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                 yield _signed(held, nodes)
 
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    table = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, counts binary"))
+    written = materialise(base.mapInArrow(sets, f"doc {kind}, key long, size long, vertex binary, node long, counts binary, doubled array<long>"))
+    common = _common(written.where("doubled is not null").select("doubled"))
+    table = written.where("doubled is null").drop("doubled")
     # signatures are a second scan's work: kept beside the table, they'd take more room than the texts
     clusters = components(
         base.select("text").mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star, "a long, b long")
